@@ -30,10 +30,14 @@ def topk_per_group(df: DataFrame, k: int, by, order_col: str, desc: bool = True,
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
+def _key(c, digits):
+    return F.round(c, digits) if digits is not None else c
+
+
 def topk_abs(df: DataFrame, k: int, col: str, by=None, tie: str | None = None,
-             out: str = "rank") -> DataFrame:
-    """Top-k by absolute value."""
-    o = [F.abs(F.col(col)).desc()] + ([F.col(tie).asc()] if tie else [])
+             out: str = "rank", digits: int | None = None) -> DataFrame:
+    """Top-k by absolute value (``digits`` makes float-noise ties exact)."""
+    o = [_key(F.abs(F.col(col)), digits).desc()] + ([F.col(tie).asc()] if tie else [])
     keys = _by(by)
     w = Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
@@ -48,10 +52,10 @@ def best_model(df: DataFrame, by, metric: str, order_col: str = "model_order",
 
 
 def importance_table(df: DataFrame, feature: str = "feature", imp: str = "importance",
-                     by=None) -> DataFrame:
+                     by=None, digits: int | None = None) -> DataFrame:
     """Ranking with percent score rounded to 2 digits."""
     keys = _by(by)
-    o = [F.col(imp).desc(), F.col(feature).asc()]
+    o = [_key(F.col(imp), digits).desc(), F.col(feature).asc()]
     w = Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
     return df.select(*keys, feature, imp, F.row_number().over(w).alias("rank"),
                      F.round(F.col(imp) * 100, 2).alias("score_pct"))

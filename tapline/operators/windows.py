@@ -107,9 +107,10 @@ def lookback_sequences(df: DataFrame, cols: Sequence[str], steps: int = 24, by=N
 
 
 def rank_numbers(df: DataFrame, order_col: str, by=None, desc: bool = True,
-                 out: str = "rank") -> DataFrame:
+                 out: str = "rank", tie: str | None = None, digits: int | None = None) -> DataFrame:
     """1-based rank numbering of an ordered list."""
     keys = _by(by)
-    o = F.col(order_col).desc() if desc else F.col(order_col).asc()
-    w = Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
+    k = F.round(F.col(order_col), digits) if digits is not None else F.col(order_col)
+    o = [k.desc() if desc else k.asc()] + ([F.col(tie).asc()] if tie else [])
+    w = Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
     return df.withColumn(out, F.row_number().over(w))
