@@ -179,8 +179,11 @@ def burden_ratios_alt(df: DataFrame) -> DataFrame:
     })
 
 
-def interaction_features(df: DataFrame, thermal_scale: float = 1e6) -> DataFrame:
-    """Process interactions; a feature whose inputs are absent is constant 0."""
+def interaction_features(df: DataFrame, thermal_scale: float = 1e6, extended: bool = False) -> DataFrame:
+    """Process interactions; a feature whose inputs are absent is constant 0.
+
+    ``extended`` adds the six-target variant's dp_ratio and pellet_thermal.
+    """
     have = set(df.columns)
 
     def has(*cs):
@@ -194,8 +197,8 @@ def interaction_features(df: DataFrame, thermal_scale: float = 1e6) -> DataFrame
         "burden_thermal": (F.col("ore_coke_ratio") * F.col("hbt")) if has("ore_coke_ratio", "hbt") else F.lit(0.0),
         "flux_thermal": (F.col("flux_iron_ratio") * F.col("hbt")) if has("flux_iron_ratio", "hbt") else F.lit(0.0),
     }
-    if has("top_dp", "bottom_dp"):
+    if extended and has("top_dp", "bottom_dp"):
         out["dp_ratio"] = safe_div("top_dp", "bottom_dp")
-    if has("pellet_frac", "hbt"):
+    if extended and has("pellet_frac", "hbt"):
         out["pellet_thermal"] = F.col("pellet_frac") * F.col("hbt")
     return df.withColumns(out)
