@@ -114,3 +114,33 @@ def rank_numbers(df: DataFrame, order_col: str, by=None, desc: bool = True,
     o = [k.desc() if desc else k.asc()] + ([F.col(tie).asc()] if tie else [])
     w = Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
     return df.withColumn(out, F.row_number().over(w))
+
+
+def prefix_sum(df: DataFrame, order_col: str, cols: Sequence[str], desc: bool = False,
+               inclusive: bool = True, buckets: int = 256, fmt: str = "{c}_cum") -> DataFrame:
+    """Exact running sums over a *global* order without a single-task window.
+
+    Rows are range-bucketed on ``order_col`` (edges from one
+    ``approx_percentile`` pass — a list of at most ``buckets`` values),
+    running sums are taken inside each bucket with a partitioned window,
+    and the bucket offsets come from a ``buckets``-row table that is safe
+    to broadcast.  Rows with equal keys must already be aggregated (one
+    row per key), which is how every caller uses it.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    key = F.col(order_col) if not desc else -F.col(order_col)
+    x = df.withColumn("__k", key.cast("double"))
+    qs = [i / buckets for i in range(1, buckets)]
+    edges = x.agg(F.approx_percentile("__k", qs, 10_000).alias("e")).first()["e"] or []
+    splits = [float("-inf")] + sorted({float(e) for e in edges if e is not None}) + [float("inf")]
+    x = Bucketizer(splits=splits, inputCol="__k", outputCol="__bk", handleInvalid="keep").transform(x)
+    tot = x.groupBy("__bk").agg(*[F.sum(c).alias(c) for c in cols])
+    wb = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("__bk", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"__off_{c}") for c in cols])
+    hi = 0 if inclusive else -1
+    w = Window.partitionBy("__bk").orderBy("__k").rowsBetween(Window.unboundedPreceding, hi)
+    y = x.join(F.broadcast(off), "__bk")  # ≤ buckets rows by construction
+    y = y.withColumns({fmt.format(c=c): F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
+                       for c in cols})
+    return y.drop("__k", "__bk", *[f"__off_{c}" for c in cols])
