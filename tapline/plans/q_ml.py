@@ -1 +1,494 @@
-"""Registered queries."""
+"""Registered queries: ML preparation, training, evaluation and scoring (J, K, M1a, O)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import scalars as S
+from ..ml import models as M
+from ..ml import prep as MP
+from ..ml import scoring as SC
+from ..ml import training as TR
+from ..operators import clean, metrics, windows
+from ..sources.fixtures import with_fixtures as W
+from . import feature_table as FT
+from . import sqlparts as P
+from .registry import query
+
+PCOLS = ["hbt", "oxygen_flow", "etaco"]
+GAP_SQL = P.TAP_H + ",\n" + P.PARA_H + ",\ngap as (select t.clock, t.hm_si, p.hbt, p.oxygen_flow, p.etaco from tap_h t left join para_h p using (clock))"
+
+
+def gap_table(spark, d):
+    """Tap hours with process readings missing where the process hour is absent."""
+    p = FT.para_hourly(spark, d).select("clock", *PCOLS)
+    return FT.tap_hourly(spark, d).select("clock", "hm_si").join(p, "clock", "left")
+
+
+@query("impute_median", W("select clock, " + ", ".join(
+    f"round(coalesce({c}, (select median({c}) from gap)), 6) as {c}" for c in PCOLS) + " from gap", GAP_SQL))
+def q_impute_median(spark, d):
+    """Exact median fill (the ML Imputer's median is approximate)."""
+    return clean.impute_median(gap_table(spark, d), PCOLS).select("clock", *PCOLS)
+
+
+@query("fill_zero", W("select clock, " + ", ".join(f"round(coalesce({c}, 0e0), 6) as {c}" for c in PCOLS)
+                      + " from gap", GAP_SQL))
+def q_fill_zero(spark, d):
+    return clean.fill_zero(gap_table(spark, d), PCOLS).select("clock", *PCOLS)
+
+
+@query("scale_standard", W("select clock, " + ", ".join(
+    f"round(({c} - (select avg({c}) from para_h)) / (select stddev_pop({c}) from para_h), 6) as {c}" for c in PCOLS)
+    + " from para_h", P.PARA_H))
+def q_scale_standard(spark, d):
+    """Population-std scaling (Spark ML's scaler uses the sample std)."""
+    return clean.scale_standard(FT.para_hourly(spark, d), PCOLS).select("clock", *PCOLS)
+
+
+@query("scale_robust", W("select clock, " + ", ".join(
+    f"round(({c} - (select median({c}) from para_h)) / (select quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) from para_h), 6) as {c}"
+    for c in PCOLS) + " from para_h", P.PARA_H))
+def q_scale_robust(spark, d):
+    """(x − median) / IQR with exact quantiles."""
+    return clean.scale_robust(FT.para_hourly(spark, d), PCOLS).select("clock", *PCOLS)
+
+
+@query("scale_minmax", W("""select clock, round((hm_si - mn) / (mx - mn), 6) as hm_si_scaled,
+  round(((hm_si - mn) / (mx - mn)) * (mx - mn) + mn, 6) as hm_si_back
+from tap_h, (select min(hm_si) as mn, max(hm_si) as mx from tap_h)""", P.TAP_H))
+def q_scale_minmax(spark, d):
+    """Min-max scaling of the target and its inverse."""
+    t = FT.tap_hourly(spark, d)
+    mn, mx = clean.minmax_params(t, "hm_si")
+    x = clean.scale_minmax(t, "hm_si", out="hm_si_scaled")
+    x = clean.inverse_minmax(x, "hm_si_scaled", mn, mx, out="hm_si_back")
+    return x.select("clock", "hm_si_scaled", "hm_si_back")
+
+
+LABEL_SQL = P.FEATURE_CTES + """,
+lab as (select clock, case when hm_si is null then 'nan' when hm_si <= 0.25 then 'Low' when hm_si <= 0.8 then 'Normal'
+  else 'High' end as si_class from feat)"""
+
+
+@query("label_encode", W("""select clock, si_class, cast(dense_rank() over (order by si_class) - 1 as int) as si_class_idx
+from lab""", LABEL_SQL))
+def q_label_encode(spark, d):
+    """Alphabetical codes (High=0, Low=1, Normal=2)."""
+    f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class")
+    return MP.label_encode(f, "si_class")
+
+
+@query("class_weights", W("""select clock, si_class, round(count(*) over () / ((select count(distinct si_class) from lab)
+  * count(*) over (partition by si_class)), 6) as weight from lab""", LABEL_SQL))
+def q_class_weights(spark, d):
+    """Balanced class weights n / (k · n_c)."""
+    f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class")
+    return MP.class_weights(f, "si_class")
+
+
+@query("random_split")
+def q_random_split(spark, d):
+    """80/20 hash split keyed by the clock (stable under repartitioning)."""
+    return TR.context(spark, d).split().select("clock", "split")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, d):
+    """Per-class exact 80/20 split."""
+    return TR.context(spark, d).split(stratify="si_class").select("clock", "si_class", "split")
+
+
+@query("smote")
+def q_smote(spark, d):
+    """Minority classes of the scaled training rows oversampled to the majority size."""
+    ctx = TR.context(spark, d)
+    feats = TR.selection(ctx, "si_class", classify=True)
+    sp = ctx.split(stratify="si_class")
+    train = sp.where("split = 'train'")
+    prep = M.Prep.fit(train, feats)
+    z = prep.sql().transform(train).select("clock", "si_class", *prep.zcols())
+    out = MP.smote(z, "si_class", "clock", prep.zcols(), k=5)
+    return out.groupBy("si_class", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kfold_cv")
+def q_kfold_cv(spark, d):
+    """5-fold stratified CV accuracy of a forest on the tap classes."""
+    ctx = TR.context(spark, d)
+    feats = TR.selection(ctx, "si_class", classify=True)
+    x = MP.kfold_ids(ctx.table.withColumn("label", TR._code("si_class")), 5, ["clock"], label="si_class").persist()
+    rows = []
+    for k in range(5):
+        tr, te = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
+        prep = M.Prep.fit(tr, feats)
+        pm = M.fit(tr, prep, M.rf_cls("label", 100, 10))
+        acc = pm.transform(te).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        rows.append((k, float(acc or 0.0)))
+    return spark.createDataFrame(rows, "fold int, accuracy double")
+
+
+@query("learning_curve")
+def q_learning_curve(spark, d):
+    """8 train sizes 20-100 %, 3-fold, mean ± std of train and CV accuracy."""
+    ctx = TR.context(spark, d)
+    feats = TR.selection(ctx, "si_class", classify=True)
+    x = MP.kfold_ids(ctx.table.withColumn("label", TR._code("si_class")), 3, ["clock"], label="si_class")
+    x = x.withColumn("__u", MP.hash_unit(["clock"], 99)).persist()
+    res = []
+    for i in range(8):
+        frac = 0.2 + 0.8 * i / 7
+        for k in range(3):
+            tr = x.where((F.col("fold") != k) & (F.col("__u") < frac))
+            te = x.where(F.col("fold") == k)
+            prep = M.Prep.fit(tr, feats)
+            pm = M.fit(tr, prep, M.rf_cls("label", 50, 8))
+            a_tr = pm.transform(tr).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            a_te = pm.transform(te).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+            res.append((round(frac, 4), k, float(a_tr or 0), float(a_te or 0)))
+    df = spark.createDataFrame(res, "train_frac double, fold int, train_acc double, cv_acc double")
+    return df.groupBy("train_frac").agg(F.avg("train_acc").alias("train_mean"), F.stddev_pop("train_acc").alias("train_std"),
+                                        F.avg("cv_acc").alias("cv_mean"), F.stddev_pop("cv_acc").alias("cv_std"))
+
+
+@query("feature_selection")
+def q_feature_selection(spark, d):
+    """RF(50, depth 8) importances → top-9 per target (the model input lists)."""
+    ctx = TR.context(spark, d)
+    rows = []
+    for t in TR.TARGETS:
+        for i, f in enumerate(TR.selection(ctx, t), 1):
+            rows.append((t, i, f))
+    return spark.createDataFrame(rows, "target string, rank int, feature string")
+
+
+def _both_targets(fn):
+    """Fit the two targets from a driver thread pool (each fit is a Spark job)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        parts = list(ex.map(fn, TR.TARGETS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _reg_metrics(spark, d, model):
+    ctx = TR.context(spark, d)
+    for t in TR.TARGETS:
+        TR.selection(ctx, t)
+    return _both_targets(lambda t: TR.regression_scores(TR.fit_regression(ctx, t, model), t)
+                         .withColumns({"target": F.lit(t), "model": F.lit(model)}).persist())
+
+
+@query("fit_ridge")
+def q_fit_ridge(spark, d):
+    """K1: ridge (α = 1) coefficients per target on the scaled top-9 features."""
+    ctx = TR.context(spark, d)
+    rows = []
+    for t in TR.TARGETS:
+        f = TR.fit_regression(ctx, t, "Ridge")
+        lr = f["pm"].stages[-1]
+        rows.append((t, "intercept", float(lr.intercept)))
+        rows += [(t, c, float(v)) for c, v in zip(f["features"], lr.coefficients.toArray())]
+    return spark.createDataFrame(rows, "target string, term string, coef double")
+
+
+@query("fit_rf_reg")
+def q_fit_rf_reg(spark, d):
+    """K2: random-forest regression (200 trees, depth 10), hold-out metrics."""
+    return _reg_metrics(spark, d, "Random Forest")
+
+
+@query("fit_gbt_reg")
+def q_fit_gbt_reg(spark, d):
+    """K3: gradient-boosted regression (150 × depth 5, lr 0.08), hold-out metrics."""
+    return _reg_metrics(spark, d, "Gradient Boosting")
+
+
+def _cls_metrics(spark, d, model):
+    ctx = TR.context(spark, d)
+    for lab in ("si_class", "temp_class"):
+        TR.selection(ctx, lab, classify=True)
+    return _both_targets(lambda t: TR.classification_scores(TR.fit_classification(ctx, t, model))
+                         .withColumns({"target": F.lit(t), "model": F.lit(model)}).persist())
+
+
+@query("fit_rf_cls")
+def q_fit_rf_cls(spark, d):
+    return _cls_metrics(spark, d, "Random Forest")
+
+
+@query("fit_gbt_cls")
+def q_fit_gbt_cls(spark, d):
+    """K5: 3-class boosting (one-vs-rest GBTs)."""
+    return _cls_metrics(spark, d, "Gradient Boosting")
+
+
+@query("fit_logreg")
+def q_fit_logreg(spark, d):
+    return _cls_metrics(spark, d, "Logistic Regression")
+
+
+def _cls_data(spark, d):
+    ctx = TR.context(spark, d)
+    feats = TR.selection(ctx, "si_class", classify=True)
+    sp = ctx.split(stratify="si_class").withColumn("label", TR._code("si_class"))
+    train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
+    return feats, train, test, M.Prep.fit(train, feats)
+
+
+def _acc(pm, test):
+    return pm.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+@query("fit_tree_rules")
+def q_fit_tree_rules(spark, d):
+    """K7: decision tree (depth 8, min leaf 5) → readable leaf rules to depth 5."""
+    feats, train, test, prep = _cls_data(spark, d)
+    pm = M.fit(train, prep, M.tree_cls("label", 8, 5))
+    rules = M.tree_rules(pm.stages[-1], prep.zcols(), 5)
+    return spark.createDataFrame(rules, "rule_no int, depth int, conditions string, predicted_code double")
+
+
+@query("fit_mlp_cls")
+def q_fit_mlp_cls(spark, d):
+    """K8: multilayer perceptron (128, 64, 32)."""
+    feats, train, test, prep = _cls_data(spark, d)
+    pm = M.fit(train, prep, M.mlp_cls("label", len(feats)))
+    return _acc(pm, test).withColumn("model", F.lit("MLP"))
+
+
+@query("fit_svm")
+def q_fit_svm(spark, d):
+    """K9: max-margin classifier on degree-2 expanded features (one-vs-rest)."""
+    feats, train, test, prep = _cls_data(spark, d)
+    pm = M.fit(train, prep, M.svm_cls("label", 10.0, train.count()), extra_stages=[M.poly_stage()])
+    return _acc(pm, test).withColumn("model", F.lit("SVM (linear, poly-2)"))
+
+
+@query("bakeoff")
+def q_bakeoff(spark, d):
+    """Regression candidates × targets with the best flagged (R²)."""
+    return TR.bakeoff(TR.context(spark, d), "regression")
+
+
+@query("bakeoff_classification")
+def q_bakeoff_classification(spark, d):
+    """Classification candidates × targets with the best flagged (accuracy)."""
+    return TR.bakeoff(TR.context(spark, d), "classification")
+
+
+@query("pi_forest")
+def q_pi_forest(spark, d):
+    """Forest percentile interval from per-tree leaf values, for every test row."""
+    ctx = TR.context(spark, d)
+    f = TR.fit_regression(ctx, "hm_si", "Random Forest")
+    test = f["split"].where("split = 'test'")
+    out = M.forest_interval(spark, f["pm"], test)
+    return out.select("clock", "hm_si", "prediction", "pi_lo", "pi_hi", "tree_mean", "tree_std")
+
+
+def _requests(ctx):
+    """Scoring requests: the test hours, with one process reading missing on odd hours."""
+    t = ctx.split().where("split = 'test'")
+    return t.withColumn("hbt", F.when(F.hour("clock") % 2 == 1, F.lit(None)).otherwise(F.col("hbt")))
+
+
+@query("score_regression")
+def q_score_regression(spark, d):
+    """O1: both targets scored for every request, default-filled, with unit/model/R²."""
+    ctx = TR.context(spark, d)
+    out = None
+    for t in TR.TARGETS:
+        f = TR.fit_regression(ctx, t, "Random Forest")
+        r2 = TR.regression_scores(f, t).first()["r2"]
+        s = SC.score_regression(f, _requests(ctx), t, "Random Forest", r2).select(
+            "clock", "target", "unit", "model", "r2_test", "prediction")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("score_classification")
+def q_score_classification(spark, d):
+    """O2: class + probability map per request."""
+    ctx = TR.context(spark, d)
+    f = TR.fit_classification(ctx, "hm_si", "Random Forest")
+    return SC.score_classification(f, _requests(ctx), "Random Forest").select("clock", "pred_label", "probabilities", "model")
+
+
+def _ts_fit(ctx, target):
+    """Next-step model: features + lags of both targets, label = next hour's value."""
+    def run():
+        t = windows.add_lags(ctx.table.withColumn("series_id", F.lit(1)), TR.TARGETS, [1, 2, 3], by="series_id")
+        t = windows.add_diffs(t, TR.TARGETS, by="series_id")
+        t = windows.add_leads(t, [target], 1, by="series_id", fmt="{c}_next")
+        t = windows.chrono_split(t, by="series_id").persist()
+        feats = TR.selection(ctx, target) + [f"{c}_lag{k}" for c in TR.TARGETS for k in (1, 2, 3)]
+        train = t.where(f"split = 'train' and {target}_next is not null")
+        prep = M.Prep.fit(train, feats)
+        pm = M.fit(train, prep, M.gbt_reg(f"{target}_next", 100, 4, 0.08, 0.8))
+        return {"pm": pm, "prep": prep, "split": t, "features": feats}
+    return ctx.memo(("ts", target), run)
+
+
+@query("score_timeseries")
+def q_score_timeseries(spark, d):
+    """O3: next-hour forecast from the latest row of the series."""
+    ctx = TR.context(spark, d)
+    out = None
+    for t in TR.TARGETS:
+        f = _ts_fit(ctx, t)
+        last = f["split"].orderBy(F.col("clock").desc()).limit(1)  # the latest state is the request
+        s = f["pm"].transform(last).select(S.forecast_time("clock", 1).alias("forecast_for"),
+                                           F.lit(t).alias("target"), "prediction")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("score_quality")
+def q_score_quality(spark, d):
+    """Per-target scoring with inference-time guarded ratios, RMSE-t interval and spec status."""
+    ctx = TR.context(spark, d)
+    req = _requests(ctx).withColumns({
+        "ore_coke_ratio": S.guarded_ratio("total_iron_kg", "coke_kg", 1.0),
+        "coal_intensity": S.guarded_ratio("coal_actual", "prod_rate", 1.0)})
+    out = None
+    for t in TR.TARGETS:
+        f = TR.fit_regression(ctx, t, "Random Forest")
+        r = TR.regression_scores(f, t).first()
+        s = SC.score_regression(f, req, t, "Random Forest", r["r2"])
+        s = SC.rmse_interval(s, float(r["rmse"]), f["n_train"], len(f["features"]))
+        s = SC.spec_status(s.select("clock", "target", "prediction", "pi_lo", "pi_hi"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("score_new_tap")
+def q_score_new_tap(spark, d):
+    """Class of a new tap; gaps filled with training medians by the pipeline."""
+    ctx = TR.context(spark, d)
+    f = TR.fit_classification(ctx, "hm_si", "Random Forest")
+    req = _requests(ctx)
+    x = f["pm"].transform(req)  # the pipeline's SQL stage fills gaps with medians
+    return x.select("clock", F.element_at(F.array(*[F.lit(c) for c in TR.CLASS_LABELS]),
+                                          F.col("prediction").cast("int") + 1).alias("pred_label"))
+
+
+@query("score_next_tap")
+def q_score_next_tap(spark, d):
+    """Boosted point forecast + forest interval + spec alert for the test hours."""
+    ctx = TR.context(spark, d)
+    g = TR.fit_regression(ctx, "hm_si", "Gradient Boosting")
+    rf = TR.fit_regression(ctx, "hm_si", "Random Forest")
+    test = g["split"].where("split = 'test'")
+    point = g["pm"].transform(test).select("clock", F.col("prediction").alias("point"))
+    band = M.forest_interval(spark, rf["pm"], test).select("clock", "pi_lo", "pi_hi")
+    x = point.join(band, "clock")
+    ok = S.in_spec("point", *K.SI_SPEC)
+    return x.withColumn("alert", F.when(ok, "OK").otherwise("OFF-SPEC"))
+
+
+@query("classify_tap")
+def q_classify_tap(spark, d):
+    """Both class targets for each request with desirability and alert."""
+    ctx = TR.context(spark, d)
+    out = None
+    for t, name in (("hm_si", "si_class"), ("hm_temp", "temp_class")):
+        f = TR.fit_classification(ctx, t, "Random Forest")
+        s = SC.score_classification(f, _requests(ctx), "Random Forest")
+        s = s.select("clock", F.lit(name).alias("target"), "pred_label")
+        # temperature classes are Low/Normal/High here; desirability keyed like the source's table
+        key = F.when(F.lit(name) == "temp_class",
+                     F.when(F.col("pred_label") == "Low", "Cold").when(F.col("pred_label") == "High", "Hot")
+                     .otherwise(F.col("pred_label"))).otherwise(F.col("pred_label"))
+        s = s.withColumn("desirability", S.desirability(name, key))
+        s = s.withColumn("alert", S.alert_text("desirability"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("contributions")
+def q_contributions(spark, d):
+    """Per-request feature contributions (one feature at request value, others at mean)."""
+    ctx = TR.context(spark, d)
+    f = TR.fit_regression(ctx, "hm_si", "Random Forest")
+    return SC.contributions(f, _requests(ctx), "clock")
+
+
+@query("contributions_classification", W("""select t.clock, t.feature, round(t.v - m.mu, 6) as contribution from
+  (select clock, 'hbt' as feature, hbt as v from feat union all select clock, 'oxygen_flow', oxygen_flow from feat) t
+  join (select 'hbt' as feature, avg(hbt) as mu from feat union all select 'oxygen_flow', avg(oxygen_flow) from feat) m
+  on t.feature = m.feature""", P.FEATURE_CTES))
+def q_contributions_classification(spark, d):
+    """O8 classification variant: contribution = value − mean (no model call)."""
+    f = FT.feature_table(spark, d)
+    feats = ["hbt", "oxygen_flow"]
+    means = f.agg(*[F.avg(c).alias(c) for c in feats]).first()
+    vals = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.lit(means[c])).alias("contribution"))
+                     for c in feats])
+    return f.select("clock", F.explode(vals).alias("x")).select("clock", "x.feature", "x.contribution")
+
+
+def _curves(spark, d):
+    ctx = TR.context(spark, d)
+    fits = {t: TR.fit_regression(ctx, t, "Random Forest") for t in TR.TARGETS}
+    feats = list(dict.fromkeys(fits["hm_si"]["features"] + fits["hm_temp"]["features"]))
+    return ctx.memo(("curves",), lambda: SC.sensitivity_curves(fits, ctx.table, feats).persist())
+
+
+@query("sensitivity_curves")
+def q_sensitivity_curves(spark, d):
+    """25-point sweeps of every top feature, both targets scored."""
+    return _curves(spark, d)
+
+
+@query("sensitivity_summary")
+def q_sensitivity_summary(spark, d):
+    """E13 + I10: min/max/delta of both responses per feature, with guidance text."""
+    from ..operators import aggs
+    s = aggs.sensitivity_summary(_curves(spark, d))
+    return s.withColumn("guidance", S.guidance("pred_si_delta", "pred_temp_delta"))
+
+
+@query("scenario_scoring")
+def q_scenario_scoring(spark, d):
+    """Low / typical / high scenarios of each top feature → both targets → joint window."""
+    ctx = TR.context(spark, d)
+    fits = {t: TR.fit_regression(ctx, t, "Random Forest") for t in TR.TARGETS}
+    feats = list(dict.fromkeys(fits["hm_si"]["features"] + fits["hm_temp"]["features"]))
+    q = ctx.table.agg(*[F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(c) for c in feats])
+    sc = q.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in feats])).alias("x")) \
+        .select("x.feature", F.posexplode("x.v").alias("level_no", "value"))
+    sc = sc.withColumn("scenario", F.concat_ws(":", "feature", F.element_at(
+        F.array(F.lit("low"), F.lit("typical"), F.lit("high")), F.col("level_no") + 1)))
+    sc = sc.withColumns({f: F.when(F.col("feature") == f, F.col("value")) for f in feats})
+    out = sc
+    for t, f in fits.items():
+        out = SC.score_regression(f, out, t, "Random Forest").withColumnRenamed("prediction", f"pred_{t}") \
+            .drop("features", "target", "unit", "model", "r2_test", *f["prep"].zcols())
+    si_ok = S.in_spec("pred_hm_si", *K.SPEC_LIMITS["hm_si"])
+    te_ok = S.in_spec("pred_hm_temp", *K.SPEC_LIMITS["hm_temp"])
+    return out.select("scenario", "pred_hm_si", "pred_hm_temp",
+                      F.when(si_ok & te_ok, "inside").otherwise("outside").alias("window"))
+
+
+@query("equation_table")
+def q_equation_table(spark, d):
+    """Ridge equation per target: intercept, top-8 |coef| terms, CI/PI half-widths."""
+    from ..operators import intervals, rank
+    ctx = TR.context(spark, d)
+    out = None
+    for t in TR.TARGETS:
+        f = TR.fit_regression(ctx, t, "Ridge")
+        lr = f["pm"].stages[-1]
+        r = TR.regression_scores(f, t).first()
+        ci = intervals.ci_vs_pi(float(r["rmse"]), int(r["n"]), len(f["features"]))
+        coefs = spark.createDataFrame([(c, float(v)) for c, v in zip(f["features"], lr.coefficients.toArray())],
+                                      "term string, coef double")
+        top = rank.topk_abs(coefs, 8, "coef", tie="term")
+        top = top.withColumns({"target": F.lit(t), "intercept": F.lit(float(lr.intercept)),
+                               "ci_half": F.lit(ci["ci_half"]), "pi_half": F.lit(ci["pi_half"])})
+        out = top if out is None else out.unionByName(top)
+    return out
