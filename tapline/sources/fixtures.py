@@ -32,8 +32,13 @@ def _events(spark: SparkSession, sf_dir: str, types) -> DataFrame:
 
 def fx_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tap analyses: one row per sample (HM shape)."""
+    return tap_from_events(_events(spark, sf_dir, ["purchase"]))
+
+
+def tap_from_events(ev: DataFrame) -> DataFrame:
+    """Tap projection of (already filtered) event rows; batch or stream."""
     k = _k()
-    return _events(spark, sf_dir, ["purchase"]).select(
+    return ev.select(
         F.col("event_id").alias("tapno"),
         F.col("user_id").alias("unit_id"),
         (F.col("user_id") % 4).alias("taphole"),
@@ -51,8 +56,12 @@ PARA_COLS = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "permeab
 
 def fx_para(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process parameters sampled within the hour (PARA shape)."""
+    return para_from_events(_events(spark, sf_dir, ["click", "view", "signup"]))
+
+
+def para_from_events(ev: DataFrame) -> DataFrame:
     k = _k()
-    return _events(spark, sf_dir, ["click", "view", "signup"]).select(
+    return ev.select(
         F.col("user_id").alias("unit_id"),
         F.col("ts").alias("clock_raw"),
         (F.lit(1100.0) + k).alias("hbt"),
@@ -72,8 +81,12 @@ FIXTURE_BRANDS = [" Coke3Fresh ", "NutCoke", "SmallSinter", "PelletPP2Fresh", "I
 
 def fx_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Burden charge log (long shape)."""
+    return burden_from_events(_events(spark, sf_dir, ["error", "signup"]))
+
+
+def burden_from_events(ev: DataFrame) -> DataFrame:
     brands = F.array(*[F.lit(b) for b in FIXTURE_BRANDS])
-    return _events(spark, sf_dir, ["error", "signup"]).select(
+    return ev.select(
         F.col("user_id").alias("unit_id"),
         F.col("ts").alias("chargetime"),
         F.get(brands, (F.col("user_id") % 10).cast("int")).alias("brandcode"),
@@ -141,3 +154,19 @@ def with_fixtures(body: str, ctes: str = "") -> str:
     if ctes.strip():
         parts.append(ctes.strip().rstrip(","))
     return "with " + ",\n".join(parts) + "\n" + body
+
+
+TAP_TYPES = ["purchase"]
+PARA_TYPES = ["click", "view", "signup"]
+BURDEN_TYPES = ["error", "signup"]
+
+
+def events_stream(spark: SparkSession, sf_dir: str, types=None, max_files: int | None = None) -> DataFrame:
+    """The events table as a file stream (parquet files matching ``events*.parquet``)."""
+    import os
+    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    ev = r.parquet(os.path.join(sf_dir, "events*.parquet")).select(*EV_COLS)
+    return ev.where(F.col("event_type").isin(*types)) if types else ev
