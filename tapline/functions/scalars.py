@@ -37,6 +37,7 @@ def comma_numeric(c) -> Column:
 
 
 DEFAULT_TS_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
