@@ -388,3 +388,39 @@ from fx_pred group by taphole"""))
 def q_interval_coverage(spark, d):
     p = fx.fx_pred(spark, d).withColumns({"lo": F.col("pred_si") - 0.05, "hi": F.col("pred_si") + 0.05})
     return aggs.interval_coverage(p, "hm_si", "lo", "hi", by="taphole")
+
+
+# ---------------------------------------------------------------- bench-scale variant
+
+P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+DAILY_SQL = """bd as (select date_trunc('day', l_shipdate) + interval 1 day as clock, """ + ", ".join(
+    f"coalesce(sum(l_quantity) filter (where trim(p_type) = '{t}'), 0e0) as brd_{t.lower()}" for t in P_TYPES) + """,
+    sum(l_quantity) as total_kg
+  from lineitem join part on l_partkey = p_partkey where l_shipdate is not null group by 1),
+dt as (select date_trunc('day', o_orderdate) as clock, avg(o_totalprice) as target, count(*) as n_orders
+  from orders where o_orderdate is not null group by 1),
+dj as (select * from dt join bd using (clock)),
+df as (select quantile_cont(target, 0.25) as a, quantile_cont(target, 0.75) as b from dj)"""
+
+
+@query("daily_offset_join", W("select clock, n_orders, " + P.r6(["target"] + [f"brd_{t.lower()}" for t in P_TYPES]
+                                                               + ["total_kg", "promo_frac"])
+                              + """ from (select dj.*, brd_promo / nullif(total_kg, 0) as promo_frac from dj, df
+    where target >= a - 3 * (b - a) and target <= b + 3 * (b - a))""", DAILY_SQL))
+def q_daily_offset_join(spark, d):
+    """Bench-scale clock alignment: daily charge pivot (lineitem ⋈ part) one day ahead of
+    daily order totals, IQR-fenced on the target."""
+    b = fx.fx_daily_burden(spark, d).where(F.col("chargetime").isNotNull()).select(
+        S.floor_day("chargetime").alias("clock"), F.trim("brandcode").alias("brand"), "actwt")
+    vals = aggs.distinct_values(b, "brand", limit=1000)
+    names = [f"brd_{v.lower()}" for v in vals]
+    piv = aggs.pivot_sum(b, ["clock"], "brand", "actwt", vals, fill=0.0, names=names)
+    # every brand has a column, so the total is their sum (no second pass over the charges)
+    piv = piv.withColumn("total_kg", sum((F.col(n) for n in names[1:]), F.col(names[0])))
+    piv = piv.withColumn("clock", S.shift_hours("clock", 24))
+    t = fx.fx_daily_tap(spark, d).where(F.col("sampletaken").isNotNull()).groupBy(
+        S.floor_day("sampletaken").alias("clock")).agg(F.avg("target").alias("target"),
+                                                       F.count(F.lit(1)).alias("n_orders"))
+    j = clean.iqr_simultaneous(t.join(piv, "clock"), ["target"], k=3.0)
+    return j.withColumn("promo_frac", S.safe_div("brd_promo", "total_kg")).select(
+        "clock", "n_orders", "target", *[f"brd_{v.lower()}" for v in P_TYPES], "total_kg", "promo_frac")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table  # noqa: F401  (re-exported for plans)
 
 EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
@@ -35,19 +35,24 @@ def fx_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tap_from_events(_events(spark, sf_dir, ["purchase"]))
 
 
+def tap_exprs() -> dict:
+    """Tap columns as expressions over event columns (shared by batch, stream and one-pass plans)."""
+    k = _k()
+    return {
+        "tapno": F.col("event_id"),
+        "unit_id": F.col("user_id"),
+        "taphole": F.col("user_id") % 4,
+        "sampletaken": F.col("ts"),
+        "hm_si": F.col("value") / F.lit(100.0),
+        "hm_temp": F.lit(1450.0) + k,
+        "hm_s": (k % 70) / F.lit(1000.0),
+        "hm_p": (F.col("user_id") % 25) / F.lit(100.0),
+    }
+
+
 def tap_from_events(ev: DataFrame) -> DataFrame:
     """Tap projection of (already filtered) event rows; batch or stream."""
-    k = _k()
-    return ev.select(
-        F.col("event_id").alias("tapno"),
-        F.col("user_id").alias("unit_id"),
-        (F.col("user_id") % 4).alias("taphole"),
-        F.col("ts").alias("sampletaken"),
-        (F.col("value") / F.lit(100.0)).alias("hm_si"),
-        (F.lit(1450.0) + k).alias("hm_temp"),
-        ((k % 70) / F.lit(1000.0)).alias("hm_s"),
-        ((F.col("user_id") % 25) / F.lit(100.0)).alias("hm_p"),
-    )
+    return ev.select(*[c.alias(n) for n, c in tap_exprs().items()])
 
 
 PARA_COLS = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "permeability",
@@ -59,19 +64,23 @@ def fx_para(spark: SparkSession, sf_dir: str) -> DataFrame:
     return para_from_events(_events(spark, sf_dir, ["click", "view", "signup"]))
 
 
-def para_from_events(ev: DataFrame) -> DataFrame:
+def para_exprs() -> dict:
     k = _k()
-    return ev.select(
-        F.col("user_id").alias("unit_id"),
-        F.col("ts").alias("clock_raw"),
-        (F.lit(1100.0) + k).alias("hbt"),
-        (F.lit(8000.0) + F.col("value") * 5).alias("oxygen_flow"),
-        (F.lit(100.0) + F.col("user_id") % 100).alias("coal_actual"),
-        (F.col("user_id") % 50).cast("double").alias("prod_rate"),
-        (F.lit(0.4) + k / F.lit(1000.0)).alias("etaco"),
-        (F.lit(1.0) + (F.col("event_id") % 97) / F.lit(100.0)).alias("permeability"),
-        F.col("value").alias("heat_flow_flux"),
-    )
+    return {
+        "unit_id": F.col("user_id"),
+        "clock_raw": F.col("ts"),
+        "hbt": F.lit(1100.0) + k,
+        "oxygen_flow": F.lit(8000.0) + F.col("value") * 5,
+        "coal_actual": F.lit(100.0) + F.col("user_id") % 100,
+        "prod_rate": (F.col("user_id") % 50).cast("double"),
+        "etaco": F.lit(0.4) + k / F.lit(1000.0),
+        "permeability": F.lit(1.0) + (F.col("event_id") % 97) / F.lit(100.0),
+        "heat_flow_flux": F.col("value"),
+    }
+
+
+def para_from_events(ev: DataFrame) -> DataFrame:
+    return ev.select(*[c.alias(n) for n, c in para_exprs().items()])
 
 
 # FIXED VALUES: brand codes assigned to fixture charges by user_id % 10.
@@ -84,14 +93,18 @@ def fx_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burden_from_events(_events(spark, sf_dir, ["error", "signup"]))
 
 
-def burden_from_events(ev: DataFrame) -> DataFrame:
+def burden_exprs() -> dict:
     brands = F.array(*[F.lit(b) for b in FIXTURE_BRANDS])
-    return ev.select(
-        F.col("user_id").alias("unit_id"),
-        F.col("ts").alias("chargetime"),
-        F.get(brands, (F.col("user_id") % 10).cast("int")).alias("brandcode"),
-        (F.col("value") * F.lit(100.0)).alias("actwt"),
-    )
+    return {
+        "unit_id": F.col("user_id"),
+        "chargetime": F.col("ts"),
+        "brandcode": F.get(brands, (F.col("user_id") % 10).cast("int")),
+        "actwt": F.col("value") * F.lit(100.0),
+    }
+
+
+def burden_from_events(ev: DataFrame) -> DataFrame:
+    return ev.select(*[c.alias(n) for n, c in burden_exprs().items()])
 
 
 def fx_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
