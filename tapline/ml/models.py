@@ -65,9 +65,14 @@ def assemble(prep: Prep, out: str = "features") -> list:
 # --------------------------------------------------------------- estimators
 # Candidate sizes are the source's (regression: RF 200×10, GBM 150×5 lr .08).
 
-def ridge(label: str, alpha: float = 1.0, n: int = 1):
-    """K1: ridge = least squares + α‖β‖²; Spark's regParam is per-row: α / n."""
-    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha / max(n, 1),
+def ridge(label: str, alpha: float = 1.0, n: int = 1, y_std: float = 1.0):
+    """K1: ridge = ‖y − Xβ‖² + α‖β‖².
+
+    Spark's normal-equation solver works on the standardised label and divides
+    the penalty by its (population) std, so the matching per-row parameter is
+    regParam = α·σ_y / n.
+    """
+    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha * y_std / max(n, 1),
                             elasticNetParam=0.0, standardization=False, solver="normal")
 
 

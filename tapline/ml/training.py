@@ -111,7 +111,11 @@ def fit_regression(ctx: Context, target: str, model: str, features: list[str] |
         train = sp.where("split = 'train'")
         prep = M.Prep.fit(train, feats)
         n = train.count()
-        est = REG_CANDIDATES[model](target, n) if model in REG_CANDIDATES else M.ridge(target, 1.0, n)
+        if model in REG_CANDIDATES:
+            est = REG_CANDIDATES[model](target, n)
+        else:
+            y_std = train.agg(F.stddev_pop(target)).first()[0] or 1.0
+            est = M.ridge(target, 1.0, n, y_std)
         pm = M.fit(train, prep, est)
         return {"pm": pm, "prep": prep, "split": sp, "features": feats, "n_train": n}
     return ctx.memo(("reg", target, model, tuple(features or ())), run)

@@ -32,10 +32,16 @@ def instant_to_ntz(c: F.Column) -> F.Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming DataFrame once (availableNow) into parquet; return the table."""
+def run_available_now(df: DataFrame, name: str, mode: str = "append", out: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """Drain a streaming DataFrame once (availableNow) into parquet; return the table.
+
+    Passing the same ``out``/``checkpoint`` again resumes the query: offsets,
+    state and the watermark come back from the checkpoint.
+    """
     spark = df.sparkSession
-    out, ck = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
+    out = out or scratch_path(spark, name)
+    ck = checkpoint or scratch_path(spark, name + "-ckpt")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
