@@ -424,3 +424,29 @@ def q_daily_offset_join(spark, d):
     j = clean.iqr_simultaneous(t.join(piv, "clock"), ["target"], k=3.0)
     return j.withColumn("promo_frac", S.safe_div("brd_promo", "total_kg")).select(
         "clock", "n_orders", "target", *[f"brd_{v.lower()}" for v in P_TYPES], "total_kg", "promo_frac")
+
+
+INTER = ["thermal_idx", "coal_intensity", "gas_eff", "burden_thermal", "flux_thermal"]
+
+
+@query("interaction_features", W(f"select clock, {P.r6(INTER)} from feat", P.FEATURE_CTES))
+def q_interaction_features(spark, d):
+    """Thermal index, coal intensity (zero production → NULL), gas efficiency, burden/flux × HBT."""
+    return FT.feature_table(spark, d).select("clock", *INTER)
+
+
+@query("lag_hours", W("""select t.tapno, round(date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9, 6) as lag_hours
+from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw"""))
+def q_lag_hours(spark, d):
+    """Age in hours of the matched process reading for every tap (NULL when none)."""
+    t = fx.fx_tap(spark, d).select("tapno", "unit_id", "sampletaken")
+    p = fx.fx_para(spark, d).select("unit_id", "clock_raw")
+    return joins.asof_join(t, p, "sampletaken", "clock_raw", by="unit_id", right_cols=[], lag_col="lag_hours") \
+        .select("tapno", "lag_hours")
+
+
+@query("row_guard", W("select count(*) as n_rows from feat", P.FEATURE_CTES))
+def q_row_guard(spark, d):
+    """The modelling table must keep ≥ 100 rows after merge + clean, else the job stops."""
+    f = clean.row_guard(FT.feature_table(spark, d), 100, "rows after merge and clean")
+    return f.agg(F.count(F.lit(1)).alias("n_rows"))
