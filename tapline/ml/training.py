@@ -64,7 +64,11 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
         ft = ft.withColumns({
             "si_class": cut_right_closed("hm_si", K.SI_EDGES, K.SI_LABELS),
             "temp_class": cut_right_closed("hm_temp", K.TEMP_EDGES, K.TEMP_LABELS)})
-        ft = ft.persist(StorageLevel.MEMORY_AND_DISK)
+        # the table is hour-bounded; size its partitions to its rows (≈20k per task) so the
+        # many small jobs of iterative learners do not pay for near-empty tasks
+        n = ft.count()
+        parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 20_000)))
+        ft = ft.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         _CTX[key] = Context(spark, sf_dir, ft, base_features(ft))
     return _CTX[key]
 

@@ -83,47 +83,49 @@ def confusion_matrix(df: DataFrame, actual: str, pred: str, by=None) -> DataFram
     return cc.withColumn("row_share", F.col("n") / F.sum("n").over(w))
 
 
+def _per_score(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
+    """(cls_i, label, s, cnt, npos): one row per (class, distinct score) — every class in one table."""
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("cls_i"), F.lit(c).alias("label"),
+                                         F.col(sc).cast("double").alias("s"),
+                                         (F.col(actual) == F.lit(c)).cast("long").alias("pos"))
+                                for i, (c, sc) in enumerate(scores.items())]))
+    x = df.select(parts.alias("r")).select("r.*")
+    return x.groupBy("cls_i", "label", "s").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pos").alias("npos"))
+
+
 def roc_auc_ovr(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
     """One-vs-rest AUC per class by the Mann-Whitney mid-rank formula + macro row.
 
-    Ranking a score column is a global sort (range-partitioned by Spark);
-    ties get the mid-rank so the AUC equals the trapezoid ROC area.
+    Mid-ranks need a running count over the sorted scores; all classes share
+    one distributed ``prefix_sum`` on the composite key class·4 + score
+    (scores are probabilities in [0, 1]), offset by class·n.
     """
-    parts = []
-    for cls, sc in scores.items():
-        x = df.select((F.col(actual) == F.lit(cls)).cast("int").alias("pos"), F.col(sc).alias("s"))
-        # mid-rank of each distinct score from cumulative counts of a per-score table
-        g = x.groupBy("s").agg(F.count(F.lit(1)).alias("cnt"), F.sum("pos").alias("npos"))
-        g = prefix_sum(g, "s", ["cnt"], inclusive=False, fmt="below")
-        g = g.withColumn("midrank", F.col("below") + (F.col("cnt") + 1) / 2.0)
-        a = g.agg(F.sum(F.col("npos") * F.col("midrank")).alias("rsum"), F.sum("npos").alias("np"),
-                  F.sum("cnt").alias("n"))
-        parts.append(a.select(F.lit(cls).alias("label"),
-                              ((F.col("rsum") - F.col("np") * (F.col("np") + 1) / 2.0)
-                               / (F.col("np") * (F.col("n") - F.col("np")))).alias("auc")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    g = _per_score(df, actual, scores)
+    n = df.count()
+    g = prefix_sum(g.withColumn("__key", F.col("cls_i") * 4.0 + F.col("s")), "__key", ["cnt"],
+                   inclusive=False, fmt="__below")
+    g = g.withColumn("midrank", F.col("__below") - F.col("cls_i") * n + (F.col("cnt") + 1) / 2.0)
+    a = g.groupBy("label").agg(F.sum(F.col("npos") * F.col("midrank")).alias("rsum"),
+                               F.sum("npos").alias("np"), F.sum("cnt").alias("n"))
+    out = a.select("label", ((F.col("rsum") - F.col("np") * (F.col("np") + 1) / 2.0)
+                             / (F.col("np") * (F.col("n") - F.col("np")))).alias("auc"))
     macro = out.agg(F.lit("macro").alias("label"), F.avg("auc").alias("auc"))
     return out.unionByName(macro)
 
 
 def roc_curve(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
-    """Per-class ROC points (threshold, fpr, tpr) at every distinct score."""
-    parts = []
-    for cls, sc in scores.items():
-        x = df.select((F.col(actual) == F.lit(cls)).cast("int").alias("pos"), F.col(sc).alias("s"))
-        g = x.groupBy("s").agg(F.sum("pos").alias("tp_at"), F.sum(1 - F.col("pos")).alias("fp_at"))
-        tot = g.agg(F.sum("tp_at").alias("P"), F.sum("fp_at").alias("N")).first()
-        g = prefix_sum(g, "s", ["tp_at", "fp_at"], desc=True, inclusive=True)
-        g = g.select(F.lit(cls).alias("label"), F.col("s").alias("threshold"),
-                     (F.col("fp_at_cum") / F.lit(float(tot["N"] or 1))).alias("fpr"),
-                     (F.col("tp_at_cum") / F.lit(float(tot["P"] or 1))).alias("tpr"))
-        parts.append(g)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per-class ROC points (threshold, fpr, tpr) at every distinct score, one pass."""
+    g = _per_score(df, actual, scores).withColumn("fp_at", F.col("cnt") - F.col("npos"))
+    tot = g.groupBy("cls_i").agg(F.sum("npos").alias("P"), F.sum("fp_at").alias("N"))
+    w = Window.orderBy("cls_i").rowsBetween(Window.unboundedPreceding, -1)  # over #classes rows
+    off = tot.select("cls_i", "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("__p0"),
+                     F.coalesce(F.sum("N").over(w), F.lit(0)).alias("__n0"))
+    g = prefix_sum(g.withColumn("__key", F.col("cls_i") * 4.0 + (F.lit(1.0) - F.col("s"))), "__key",
+                   ["npos", "fp_at"], inclusive=True)
+    g = g.join(F.broadcast(off), "cls_i")  # one row per class
+    return g.select("label", F.col("s").alias("threshold"),
+                    ((F.col("fp_at_cum") - F.col("__n0")) / F.col("N")).alias("fpr"),
+                    ((F.col("npos_cum") - F.col("__p0")) / F.col("P")).alias("tpr"))
 
 
 def masked_metrics(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
