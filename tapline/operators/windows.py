@@ -117,7 +117,8 @@ def rank_numbers(df: DataFrame, order_col: str, by=None, desc: bool = True,
 
 
 def prefix_sum(df: DataFrame, order_col: str, cols: Sequence[str], desc: bool = False,
-               inclusive: bool = True, buckets: int = 256, fmt: str = "{c}_cum") -> DataFrame:
+               inclusive: bool = True, buckets: int = 256, fmt: str = "{c}_cum",
+               tiebreak: str | None = None) -> DataFrame:
     """Exact running sums over a *global* order without a single-task window.
 
     Rows are range-bucketed on ``order_col`` (edges from one
@@ -139,7 +140,8 @@ def prefix_sum(df: DataFrame, order_col: str, cols: Sequence[str], desc: bool =
     wb = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("__bk", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"__off_{c}") for c in cols])
     hi = 0 if inclusive else -1
-    w = Window.partitionBy("__bk").orderBy("__k").rowsBetween(Window.unboundedPreceding, hi)
+    order = ["__k"] + ([tiebreak] if tiebreak else [])
+    w = Window.partitionBy("__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     y = x.join(F.broadcast(off), "__bk")  # ≤ buckets rows by construction
     y = y.withColumns({fmt.format(c=c): F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
                        for c in cols})

@@ -340,7 +340,11 @@ QPROBS = [0.25, 0.33, 0.5, 0.66, 0.75]
     f"round(quantile_cont({c}, {p}), 6) as {c}_q{aggs._pct(p)}" for c in ["hm_si", "hm_temp"] for p in QPROBS)
     + " from fx_tap group by taphole"))
 def q_exact_quantiles(spark, d):
-    return aggs.exact_quantiles(fx.fx_tap(spark, d), ["hm_si", "hm_temp"], QPROBS, by="taphole")
+    """E5 on raw taps per taphole: distributed exact quantiles (no group in one task)."""
+    t = fx.fx_tap(spark, d)
+    a = aggs.exact_quantiles_distributed(t, "hm_si", QPROBS, by="taphole")
+    b = aggs.exact_quantiles_distributed(t, "hm_temp", QPROBS, by="taphole")
+    return a.join(b, "taphole")
 
 
 RANGE_COLS = ["hbt", "oxygen_flow", "coal_actual", "ore_coke_ratio", "thermal_idx", "hm_si", "hm_temp"]

@@ -119,13 +119,17 @@ def q_kfold_cv(spark, d):
     ctx = TR.context(spark, d)
     feats = TR.selection(ctx, "si_class", classify=True)
     x = MP.kfold_ids(ctx.table.withColumn("label", TR._code("si_class")), 5, ["clock"], label="si_class").persist()
-    rows = []
-    for k in range(5):
+
+    def one(k):
         tr, te = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
         prep = M.Prep.fit(tr, feats)
         pm = M.fit(tr, prep, M.rf_cls("label", 100, 10))
         acc = pm.transform(te).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        rows.append((k, float(acc or 0.0)))
+        return (k, float(acc or 0.0))
+    # the k fits are independent Spark jobs: submit them from a small driver thread pool
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=5) as ex:
+        rows = list(ex.map(one, range(5)))
     return spark.createDataFrame(rows, "fold int, accuracy double")
 
 
@@ -136,17 +140,19 @@ def q_learning_curve(spark, d):
     feats = TR.selection(ctx, "si_class", classify=True)
     x = MP.kfold_ids(ctx.table.withColumn("label", TR._code("si_class")), 3, ["clock"], label="si_class")
     x = x.withColumn("__u", MP.hash_unit(["clock"], 99)).persist()
-    res = []
-    for i in range(8):
+
+    def one(job):
+        i, k = job
         frac = 0.2 + 0.8 * i / 7
-        for k in range(3):
-            tr = x.where((F.col("fold") != k) & (F.col("__u") < frac))
-            te = x.where(F.col("fold") == k)
-            prep = M.Prep.fit(tr, feats)
-            pm = M.fit(tr, prep, M.rf_cls("label", 50, 8))
-            a_tr = pm.transform(tr).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            a_te = pm.transform(te).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            res.append((round(frac, 4), k, float(a_tr or 0), float(a_te or 0)))
+        tr = x.where((F.col("fold") != k) & (F.col("__u") < frac))
+        te = x.where(F.col("fold") == k)
+        prep = M.Prep.fit(tr, feats)
+        pm = M.fit(tr, prep, M.rf_cls("label", 50, 8))
+        acc = lambda d_: pm.transform(d_).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        return (round(frac, 4), k, float(acc(tr) or 0), float(acc(te) or 0))
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=6) as ex:
+        res = list(ex.map(one, [(i, k) for i in range(8) for k in range(3)]))
     df = spark.createDataFrame(res, "train_frac double, fold int, train_acc double, cv_acc double")
     return df.groupBy("train_frac").agg(F.avg("train_acc").alias("train_mean"), F.stddev_pop("train_acc").alias("train_std"),
                                         F.avg("cv_acc").alias("cv_mean"), F.stddev_pop("cv_acc").alias("cv_std"))

@@ -32,7 +32,7 @@ from fx_tap, (select quantile_cont(hm_si, 0.33) as a, quantile_cont(hm_si, 0.66)
 def q_tertile_label(spark, d):
     """Tertile classes from the 33rd/66th percentile (asymmetric edges)."""
     t = fx.fx_tap(spark, d)
-    q = aggs.exact_quantiles(t, ["hm_si"], [0.33, 0.66]).first()
+    q = aggs.exact_quantiles_distributed(t, "hm_si", [0.33, 0.66]).first()  # two scalars
     return t.select("tapno", "hm_si", S.tertile_label("hm_si", F.lit(q[0]), F.lit(q[1])).alias("si_tertile"))
 
 
