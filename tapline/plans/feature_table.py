@@ -56,13 +56,17 @@ def merged_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = fx.read_table(spark, sf_dir, "events", fx.EV_COLS).where(
         F.col("event_type").isin(*(fx.TAP_TYPES + fx.PARA_TYPES + fx.BURDEN_TYPES)))
     is_tap, is_para, is_bur = (F.col("event_type").isin(*t) for t in (fx.TAP_TYPES, fx.PARA_TYPES, fx.BURDEN_TYPES))
-    tap, para, bur = fx.tap_exprs(), fx.para_exprs(), fx.burden_exprs()
+    # parse the props field and normalise the brand once per row (CASE branches and
+    # repeated uses would otherwise evaluate them again)
+    ev = ev.select("*", fx._k().alias("__k"),
+                   F.upper(F.trim(fx.burden_exprs()["brandcode"])).alias("__brand"))
+    tap, para, bur = fx.tap_exprs(F.col("__k")), fx.para_exprs(F.col("__k")), fx.burden_exprs()
     groups = [g for g, _ in K.MATERIAL_RULES] + [K.MATERIAL_DEFAULT]
     # one row per (event, role); a 'signup' event is both a process reading and a charge
     parts = ev.select(
         tap["sampletaken"].alias("t_ts"), tap["hm_si"].alias("t_si"), tap["hm_temp"].alias("t_temp"),
         *[para[c].alias(f"p_{c}") for c in fx.PARA_COLS], para["clock_raw"].alias("p_ts"),
-        bur["chargetime"].alias("b_ts"), classify_material(bur["brandcode"]).alias("b_mat"), bur["actwt"].alias("b_w"),
+        bur["chargetime"].alias("b_ts"), classify_material(F.col("__brand")).alias("b_mat"), bur["actwt"].alias("b_w"),
         is_tap.alias("is_tap"), is_para.alias("is_para"), is_bur.alias("is_bur"))
     roles = F.array(
         F.when(F.col("is_tap") & F.col("t_ts").isNotNull() & F.col("t_si").isNotNull() & F.col("t_temp").isNotNull(),

@@ -35,9 +35,12 @@ def fx_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tap_from_events(_events(spark, sf_dir, ["purchase"]))
 
 
-def tap_exprs() -> dict:
-    """Tap columns as expressions over event columns (shared by batch, stream and one-pass plans)."""
-    k = _k()
+def tap_exprs(k=None) -> dict:
+    """Tap columns as expressions over event columns (shared by batch, stream and one-pass plans).
+
+    ``k`` may be a pre-projected column holding the parsed props field.
+    """
+    k = _k() if k is None else k
     return {
         "tapno": F.col("event_id"),
         "unit_id": F.col("user_id"),
@@ -64,8 +67,8 @@ def fx_para(spark: SparkSession, sf_dir: str) -> DataFrame:
     return para_from_events(_events(spark, sf_dir, ["click", "view", "signup"]))
 
 
-def para_exprs() -> dict:
-    k = _k()
+def para_exprs(k=None) -> dict:
+    k = _k() if k is None else k
     return {
         "unit_id": F.col("user_id"),
         "clock_raw": F.col("ts"),
