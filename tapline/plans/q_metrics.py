@@ -288,9 +288,44 @@ def q_var_forecast(spark, d):
     return f.select("clock", "hm_si", "hm_temp", "var_hm_si", "var_hm_si_lo", "var_hm_si_hi", "var_hm_temp")
 
 
-@query("pi_var")
+def _var1_sql():
+    # two-regressor OLS per equation from centred moments (Cramer's rule), residual
+    # variance with T − 3 degrees of freedom, interval half-width z·σ
+    eq = []
+    for y in ("hm_si", "hm_temp"):
+        eq.append(f"""select '{y}' as equation, b1, b2, (my - b1 * m1 - b2 * m2) as const,
+      (syy - b1 * s1y - b2 * s2y) / (n - 3) as sigma2 from (
+      select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1,
+                (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2 from (
+        select count(*) as n, avg({y}) as my, avg(si1) as m1, avg(t1) as m2,
+          sum((si1 - m1x) * (si1 - m1x)) as s11, sum((t1 - m2x) * (t1 - m2x)) as s22,
+          sum((si1 - m1x) * (t1 - m2x)) as s12, sum((si1 - m1x) * ({y} - myx)) as s1y,
+          sum((t1 - m2x) * ({y} - myx)) as s2y, sum(({y} - myx) * ({y} - myx)) as syy
+        from (select *, avg(si1) over () as m1x, avg(t1) over () as m2x, avg({y}) over () as myx from lagged)))""")
+    return " union all ".join(eq)
+
+
+VAR1_SQL = TS_SQL + """, lagged as (select * from (select hm_si, hm_temp, lag(hm_si) over (order by clock) as si1,
+  lag(hm_temp) over (order by clock) as t1 from ts) where si1 is not null and t1 is not null
+  and hm_si is not null and hm_temp is not null)"""
+
+
+@query("pi_var", W(f"""select equation, round(const, 6) as const, round(b1, 6) as coef_hm_si_l1, round(b2, 6) as coef_hm_temp_l1,
+  round(sqrt(sigma2), 6) as sigma, round(1.959963984540054 * sqrt(sigma2), 6) as pi_half from ({_var1_sql()})""", VAR1_SQL))
 def q_pi_var(spark, d):
-    """M1f: VAR residual-covariance interval and its coverage on the test part."""
+    """M1f: VAR(1) on the hourly (si, temp) series; residual-covariance interval ±z·√Σ_ii."""
+    from ..functions.dist import norm_ppf
+    m = tseries.fit_var(ts_hourly(spark, d), ["hm_si", "hm_temp"], maxlags=1, fixed_p=1)
+    z = norm_ppf(0.975)
+    rows = [(c, float(m["coef"][e, 0]), float(m["coef"][e, 1]), float(m["coef"][e, 2]),
+             float(m["sigma_u"][e, e] ** 0.5), float(z * m["sigma_u"][e, e] ** 0.5)) for e, c in enumerate(m["cols"])]
+    return spark.createDataFrame(rows, "equation string, const double, coef_hm_si_l1 double, coef_hm_temp_l1 double, "
+                                       "sigma double, pi_half double")
+
+
+@query("pi_var_coverage")
+def q_pi_var_coverage(spark, d):
+    """M1f on the test part: coverage of the AIC-chosen VAR's ±z·σ interval."""
     from ..operators import aggs
     f = q_var_forecast(spark, d)
     return aggs.interval_coverage(f, "hm_si", "var_hm_si_lo", "var_hm_si_hi")

@@ -450,9 +450,58 @@ def q_sensitivity_curves(spark, d):
     return _curves(spark, d)
 
 
-@query("sensitivity_summary")
+LIN_FEATS = ["hbt", "oxygen_flow", "coal_actual"]
+
+
+def linear_curves(spark, d):
+    """Deterministic response curves: 25-point sweeps of each feature through the
+    one-feature least-squares line of each target (slopes from one aggregate)."""
+    from ..operators import aggs
+    f = FT.feature_table(spark, d)
+    coef = f.agg(*[F.regr_slope(t, c).alias(f"b_{t}_{c}") for t in ("hm_si", "hm_temp") for c in LIN_FEATS],
+                 *[F.regr_intercept(t, c).alias(f"a_{t}_{c}") for t in ("hm_si", "hm_temp") for c in LIN_FEATS]).first()
+    r = aggs.feature_ranges(f, LIN_FEATS)
+    g = r.select("feature", F.posexplode(S.linspace("p01", "p99", K.SENSITIVITY_POINTS)).alias("point_no", "feature_value"))
+
+    def resp(t):
+        e = None
+        for c in LIN_FEATS:
+            term = F.when(F.col("feature") == c, F.lit(coef[f"a_{t}_{c}"]) + F.lit(coef[f"b_{t}_{c}"]) * F.col("feature_value"))
+            e = term if e is None else F.coalesce(e, term)
+        return e
+    return g.withColumns({"pred_si": resp("hm_si"), "pred_temp": resp("hm_temp")})
+
+
+def _lin_sql():
+    parts = []
+    for c in LIN_FEATS:
+        parts.append(f"""select '{c}' as feature, i as point_no, a + (b - a) * i / 24e0 as x,
+      regr_intercept_si + regr_slope_si * (a + (b - a) * i / 24e0) as pred_si,
+      regr_intercept_t + regr_slope_t * (a + (b - a) * i / 24e0) as pred_temp
+    from (select quantile_cont({c}, 0.01) as a, quantile_cont({c}, 0.99) as b,
+            regr_intercept(hm_si, {c}) as regr_intercept_si, regr_slope(hm_si, {c}) as regr_slope_si,
+            regr_intercept(hm_temp, {c}) as regr_intercept_t, regr_slope(hm_temp, {c}) as regr_slope_t from feat),
+         range(25) t(i)""")
+    return " union all ".join(parts)
+
+
+@query("sensitivity_summary", W(f"""select feature, round(min(x), 6) as x_first, round(max(x), 6) as x_last,
+  round(min(pred_si), 6) as pred_si_min, round(max(pred_si), 6) as pred_si_max,
+  round(max(pred_si) - min(pred_si), 6) as pred_si_range,
+  round(arg_max(pred_si, x) - arg_min(pred_si, x), 6) as pred_si_delta,
+  round(min(pred_temp), 6) as pred_temp_min, round(max(pred_temp), 6) as pred_temp_max,
+  round(max(pred_temp) - min(pred_temp), 6) as pred_temp_range,
+  round(arg_max(pred_temp, x) - arg_min(pred_temp, x), 6) as pred_temp_delta
+from ({_lin_sql()}) group by feature""", P.FEATURE_CTES))
 def q_sensitivity_summary(spark, d):
-    """E13 + I10: min/max/delta of both responses per feature, with guidance text."""
+    """min/max/range and last−first delta of both responses per swept feature."""
+    from ..operators import aggs
+    return aggs.sensitivity_summary(linear_curves(spark, d))
+
+
+@query("sensitivity_guidance")
+def q_sensitivity_guidance(spark, d):
+    """E13 + I10 on the model-based curves: summary per feature with guidance text."""
     from ..operators import aggs
     s = aggs.sensitivity_summary(_curves(spark, d))
     return s.withColumn("guidance", S.guidance("pred_si_delta", "pred_temp_delta"))
