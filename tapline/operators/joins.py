@@ -55,21 +55,48 @@ def offset_join(left: DataFrame, right: DataFrame, hours: int, on: str = "clock"
     return left.join(r, on=on, how=how)
 
 
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _epoch_seconds(col: str):
+    """Seconds since 1970 of a TIMESTAMP_NTZ wall clock (time-zone free)."""
+    return F.expr(f"timestampdiff(SECOND, {EPOCH_NTZ}, `{col}`)")
+
+
+def asof_bucket_seconds(left: DataFrame, right: DataFrame, left_on: str, right_on: str, keys: list[str],
+                        target_rows: int = 1_000_000) -> int:
+    """Bucket width so that no (key, bucket) holds more than ~``target_rows`` rows.
+
+    One cheap aggregate of rows per (key, day) over both sides; a hot key (say a
+    third of all rows in one series) shrinks the width, down to one minute.
+    """
+    day = lambda c: day_number(F.col(c))
+    counts = left.select(*keys, day(left_on).alias("__d")).unionByName(
+        right.select(*keys, day(right_on).alias("__d"))).groupBy(*keys, "__d").count()
+    mx = counts.agg(F.max("count")).first()[0] or 0
+    if mx <= target_rows:
+        return 86_400
+    return max(60, int(86_400 * target_rows / mx))
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
               by: Sequence[str] | str | None = None, right_cols: Sequence[str] | None = None,
-              tolerance_hours: float | None = None, bucket_days: int = 1,
+              tolerance_hours: float | None = None, bucket_seconds: int | None = None,
               lag_col: str | None = None) -> DataFrame:
     """Backward as-of join (latest right row with ``right_on <= left_on``).
 
     Left rows are all kept (``tolerance_hours=None``); with a tolerance,
     unmatched or too-old matches are dropped (D2).  Exact matches count.
+    ``bucket_seconds=None`` sizes the time buckets from the data (see
+    ``asof_bucket_seconds``); any width gives the same result.
     """
     keys = _by(by)
     right_cols = list(right_cols) if right_cols else [
         c for c in right.columns if c not in keys and c != right_on]
     payload = [right_on] + [c for c in right_cols if c != right_on]
+    width = bucket_seconds or asof_bucket_seconds(left, right, left_on, right_on, keys)
 
-    lb = F.floor(day_number(F.col("__t")) / F.lit(bucket_days)).cast("long")
+    lb = F.floor(_epoch_seconds("__t") / F.lit(width)).cast("long")
     L = left.withColumn("__t", F.col(left_on)).withColumn("__b", lb) \
         .withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(
             right.select(F.struct(*payload)).schema[0].dataType))

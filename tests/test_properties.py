@@ -127,3 +127,15 @@ def test_cv_interval_clipped(spark):
     folds = spark.createDataFrame([(i, v) for i, v in enumerate([0.9, 0.95, 0.99, 0.97, 0.98])], "fold int, r2 double")
     r = intervals.cv_ci(folds).first()
     assert 0 <= r.ci_lo <= r.mean <= r.ci_hi <= 1.0
+
+
+def test_asof_result_independent_of_bucket_width(spark):
+    from tapline.operators import joins
+    from tapline.sources import fixtures as fx
+    t = fx.fx_tap(spark, SF_CHECK).select("tapno", "sampletaken")
+    b = fx.fx_burden(spark, SF_CHECK).select("chargetime", "actwt")
+    res = [sorted(map(tuple, joins.asof_join(t, b, "sampletaken", "chargetime", right_cols=["actwt"],
+                                              bucket_seconds=w).select("tapno", "chargetime", "actwt").collect()),
+                  key=lambda r: r[0])
+           for w in (60, 3600, None)]
+    assert res[0] == res[1] == res[2]
