@@ -99,23 +99,28 @@ ASOF_STATE = StructType([StructField("ts", TimestampNTZType()), StructField("hbt
 
 def _asof_state_fn(tolerance_h: float):
     def fn(key, pdfs, state):
-        frames = [p for p in pdfs]
-        if not frames:
+        pdf = pd.concat(list(pdfs))
+        if pdf.empty:
             return
-        pdf = pd.concat(frames).sort_values(["ts", "is_tap"], kind="mergesort")
-        last_ts, last_hbt = (state.get if state.exists else (None, None))
-        out = []
-        for r in pdf.itertuples(index=False):  # rows of ONE unit in ONE micro-batch
-            if not r.is_tap:
-                last_ts, last_hbt = r.ts, r.hbt
-            elif last_ts is not None:
-                lag = (r.ts - last_ts).total_seconds() / 3600.0
-                if lag <= tolerance_h:
-                    out.append((r.tapno, key[0], r.ts, r.hm_si, last_ts, last_hbt, lag))
-        if last_ts is not None:
-            state.update((last_ts, last_hbt))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in ASOF_OUT.fields])
+        para = pdf.loc[~pdf["is_tap"], ["ts", "hbt"]]
+        if state.exists:  # the unit's latest reading from earlier micro-batches
+            last_ts, last_hbt = state.get
+            para = pd.concat([pd.DataFrame({"ts": [last_ts], "hbt": [last_hbt]}), para])
+        para = para.sort_values("ts", kind="mergesort").rename(columns={"ts": "clock_raw"})
+        taps = pdf.loc[pdf["is_tap"], ["tapno", "ts", "hm_si"]].sort_values("ts", kind="mergesort")
+        if not para.empty:
+            state.update((para["clock_raw"].iloc[-1], float(para["hbt"].iloc[-1])))
+        if taps.empty or para.empty:
+            return
+        m = pd.merge_asof(taps, para, left_on="ts", right_on="clock_raw", direction="backward",
+                          allow_exact_matches=True)
+        m = m[m["clock_raw"].notna()]
+        m["lag_hours"] = (m["ts"] - m["clock_raw"]).dt.total_seconds() / 3600.0
+        m = m[m["lag_hours"] <= tolerance_h]
+        if len(m):
+            yield pd.DataFrame({"tapno": m["tapno"].astype("int64"), "unit_id": int(key[0]),
+                                "sampletaken": m["ts"], "hm_si": m["hm_si"], "clock_raw": m["clock_raw"],
+                                "hbt": m["hbt"], "lag_hours": m["lag_hours"]})
     return fn
 
 
@@ -147,19 +152,20 @@ LAG_STATE = StructType([StructField("last", StringType())])
 
 def _lag_state_fn(keep: int = 12):
     def fn(key, pdfs, state):
-        frames = [p for p in pdfs]
-        if not frames:
+        pdf = pd.concat(list(pdfs))
+        if pdf.empty:
             return
-        pdf = pd.concat(frames).sort_values("sampletaken", kind="mergesort")
+        pdf = pdf.sort_values("sampletaken", kind="mergesort")
         hist = [float(v) for v in state.get[0].split(",") if v] if state.exists else []
-        out = []
-        for r in pdf.itertuples(index=False):
-            lags = [hist[-k] if len(hist) >= k else None for k in (1, 2, 3)]
-            diff = (r.hm_si - hist[-1]) if hist and r.hm_si is not None else None
-            out.append((key[0], r.tapno, r.sampletaken, r.hm_si, *lags, diff))
-            hist = (hist + [r.hm_si])[-keep:]
-        state.update((",".join(repr(v) for v in hist),))
-        yield pd.DataFrame(out, columns=[f.name for f in LAG_OUT.fields])
+        vals = pd.Series(hist + pdf["hm_si"].astype(float).tolist())
+        n0 = len(hist)
+        out = pd.DataFrame({"taphole": int(key[0]), "tapno": pdf["tapno"].astype("int64").to_numpy(),
+                            "sampletaken": pdf["sampletaken"].to_numpy(), "hm_si": pdf["hm_si"].to_numpy()})
+        for k in (1, 2, 3):
+            out[f"hm_si_lag{k}"] = vals.shift(k).iloc[n0:].to_numpy()
+        out["hm_si_diff1"] = (vals - vals.shift(1)).iloc[n0:].to_numpy()
+        state.update((",".join(repr(v) for v in vals.iloc[-keep:].tolist()),))
+        yield out
     return fn
 
 

@@ -38,3 +38,25 @@ def test_stream_hourly_equals_batch(spark):
     b = aggs.hourly_mean(spark.read.parquet(os.path.join(d, "b1")), "ts", ["x"])
     closed = b.where(F.col("clock") <= F.lit("2024-01-01 03:00:00").cast("timestamp_ntz"))
     assert sorted(map(tuple, s.select("clock", "x").collect())) == sorted(map(tuple, closed.collect()))
+
+
+def test_stream_asof_equals_batch_tolerance_join(spark):
+    import __spark_entry__ as E
+    from conftest import SF_CHECK
+    q = E.queries()
+    s = q["stream_asof"](spark, SF_CHECK).select("tapno", "clock_raw").collect()
+    b = q["asof_tolerance"](spark, SF_CHECK).select("tapno", "clock_raw").collect()
+    assert sorted(map(tuple, s)) == sorted(map(tuple, b))
+
+
+def test_stream_lags_equal_batch_row_lags(spark):
+    import __spark_entry__ as E
+    from tapline.operators import windows
+    from tapline.sources import fixtures as fx
+    from conftest import SF_CHECK
+    s = E.queries()["stream_lags"](spark, SF_CHECK).select("tapno", "hm_si_lag2")
+    t = fx.fx_tap(spark, SF_CHECK)
+    b = windows.add_lags(t, ["hm_si"], [2], by="taphole", clock="sampletaken").select("tapno", F.col("hm_si_lag2").alias("b"))
+    j = s.join(b, "tapno")
+    assert j.count() == t.count()
+    assert j.where("not (hm_si_lag2 <=> round(b, 6))").count() == 0
