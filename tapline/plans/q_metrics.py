@@ -64,9 +64,9 @@ def q_classification_metrics(spark, d):
 
 @query("class_report", W("""select cls as label, round(precision, 6) as precision, round(recall, 6) as recall,
   round(f1, 6) as f1, support from pcf
-union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) from pcf
+union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from pcf
 union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  round(sum(f1 * support) / sum(support), 6), sum(support) from pcf""", SCORED_SQL + ",\n" + PER_CLASS_SQL))
+  round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from pcf""", SCORED_SQL + ",\n" + PER_CLASS_SQL))
 def q_class_report(spark, d):
     return metrics.class_report(scored(spark, d), "actual", "predicted")
 
@@ -231,7 +231,7 @@ def ts_hourly(spark, d):
 
 
 @query("acf", W("""select a.taphole, a.lag, round(a.num / b.den, 6) as acf, round(1.959963984540054 / sqrt(b.n), 6) as band
-from (select x.taphole, x.rn - y.rn as lag, sum(x.d * y.d) as num from dd x join dd y
+from (select x.taphole, cast(x.rn - y.rn as integer) as lag, sum(x.d * y.d) as num from dd x join dd y
       on x.taphole = y.taphole and x.rn - y.rn between 1 and 40 group by 1, 2) a
 join (select taphole, count(*) as n, sum(d * d) as den from dd group by taphole) b using (taphole)""",
     P.SERIES + """, dd as (select taphole, clock, hm_si - avg(hm_si) over (partition by taphole) as d,

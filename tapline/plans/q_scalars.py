@@ -163,7 +163,7 @@ def q_guidance(spark, d):
 GRID_FEATS = ["hbt", "oxygen_flow", "coal_actual", "ore_coke_ratio"]
 
 
-@query("linspace_grid", W("select feature, i as point_no, round(a + (b - a) * i / 24e0, 6) as feature_value from ("
+@query("linspace_grid", W("select feature, cast(i as integer) as point_no, round(a + (b - a) * i / 24e0, 6) as feature_value from ("
                           + " union all ".join(
                               f"select '{c}' as feature, quantile_cont({c}, 0.01) as a, "
                               f"case when quantile_cont({c}, 0.99) = quantile_cont({c}, 0.01) "

@@ -94,7 +94,7 @@ def q_rolling_std(spark, d):
     return s.select("taphole", "clock", "hm_si_rstd4", "hm_temp_rstd4")
 
 
-@query("chrono_split", W(f"""select taphole, clock, row_number() {WS}) as row_no,
+@query("chrono_split", W(f"""select taphole, clock, cast(row_number() {WS}) as integer) as row_no,
   case when row_number() {WS}) <= floor(count(*) over (partition by taphole) * 0.8) then 'train' else 'test' end as split
 from series""", P.SERIES))
 def q_chrono_split(spark, d):
@@ -112,7 +112,7 @@ def q_union_by_name(spark, d):
     return rank.union_by_name(train, test)
 
 
-@query("lookback_sequences", W(f"""select a.taphole, a.clock, b.rn - a.rn + 24 as step,
+@query("lookback_sequences", W(f"""select a.taphole, a.clock, cast(b.rn - a.rn + 24 as integer) as step,
   round(b.hm_si, 6) as hm_si, round(b.hm_temp, 6) as hm_temp
 from (select *, row_number() {WS}) as rn from series) a
 join (select *, row_number() {WS}) as rn from series) b
@@ -137,7 +137,7 @@ def q_head_n(spark, d):
     return rank.head_n(FT.feature_table(spark, d).select("clock", "hm_si", "hm_temp"), 50, "clock")
 
 
-@query("topk_per_group", W("""select taphole, clock, round(hm_si, 6) as hm_si, rank from (
+@query("topk_per_group", W("""select taphole, clock, round(hm_si, 6) as hm_si, cast(rank as integer) as rank from (
   select *, row_number() over (partition by taphole order by hm_si desc, clock) as rank from series)
 where rank <= 3""", P.SERIES))
 def q_topk_per_group(spark, d):
@@ -160,7 +160,7 @@ def _corr_sql(target):
     return " union all ".join(f"select '{c}' as feature, corr({c}, {target}) as corr from feat" for c in CORR_FEATS)
 
 
-@query("topk_abs", W(f"""select feature, round(corr, 6) as corr, rank from (
+@query("topk_abs", W(f"""select feature, round(corr, 6) as corr, cast(rank as integer) as rank from (
   select *, row_number() over (order by round(abs(corr), 9) desc, feature) as rank from ({_corr_sql('hm_temp')}))
 where rank <= 8""", P.FEATURE_CTES))
 def q_topk_abs(spark, d):
@@ -178,20 +178,20 @@ _IMP_SQL = f"select feature, abs(corr) / sum(abs(corr)) over () as importance fr
 
 
 @query("importance_table", W(f"""select feature, round(importance, 6) as importance,
-  row_number() over (order by round(importance, 9) desc, feature) as rank, round(importance * 100, 2) as score_pct
+  cast(row_number() over (order by round(importance, 9) desc, feature) as integer) as rank, round(importance * 100, 2) as score_pct
 from ({_IMP_SQL})""", P.FEATURE_CTES))
 def q_importance_table(spark, d):
     return rank.importance_table(importance(spark, d), digits=9)
 
 
-@query("rank_features", W(f"""select feature, row_number() over (order by round(importance, 9) desc, feature) as rank
+@query("rank_features", W(f"""select feature, cast(row_number() over (order by round(importance, 9) desc, feature) as integer) as rank
 from ({_IMP_SQL})""", P.FEATURE_CTES))
 def q_rank_features(spark, d):
     """1-based numbering of the importance-ordered feature list."""
     return windows.rank_numbers(importance(spark, d), "importance", tie="feature", digits=9).select("feature", "rank")
 
 
-@query("ordered_union", W(f"""select feature, row_number() over (order by l, p) as order_no from (
+@query("ordered_union", W(f"""select feature, cast(row_number() over (order by l, p) as integer) as order_no from (
   select feature, min(l * 100 + p) // 100 as l, min(l * 100 + p) % 100 as p from (
     select feature, 0 as l, row_number() over (order by round(abs(corr), 9) desc, feature) as p from ({_corr_sql('hm_si')})
     qualify p <= 5
