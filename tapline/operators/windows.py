@@ -4,7 +4,7 @@ Every window is ``partitionBy(series).orderBy(clock)``: the work is
 distributed by series and runs on the hourly (already aggregated) table,
 whose size is bounded by hours × series rather than by raw readings.
 Offsets are *row* offsets (the previous available hour), as in the
-source; ``by_time=True`` variants use ``rangeBetween`` on epoch hours.
+source; the ``add_time_*`` variants use ``rangeBetween`` on epoch hours.
 """
 
 from __future__ import annotations
@@ -146,3 +146,33 @@ def prefix_sum(df: DataFrame, order_col: str, cols: Sequence[str], desc: bool =
     y = y.withColumns({fmt.format(c=c): F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
                        for c in cols})
     return y.drop("__k", "__bk", *[f"__off_{c}" for c in cols])
+
+
+def _epoch_hours(clock: str):
+    return F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{clock}`)")
+
+
+def add_time_lags(df: DataFrame, cols: Sequence[str], hours: Sequence[int], by=None, clock: str = "clock",
+                  fmt: str = "{c}_tlag{k}") -> DataFrame:
+    """F1 with *time* offsets: the value exactly k hours earlier, NULL when that hour is
+    missing (the row-offset variant returns the previous available hour instead).
+    A one-point ``rangeBetween`` frame on epoch hours, partitioned like every window."""
+    keys = _by(by)
+    x = df.withColumn("__eh", _epoch_hours(clock))
+    base = Window.partitionBy(*keys).orderBy("__eh") if keys else Window.orderBy("__eh")
+    return x.withColumns({fmt.format(c=c, k=k): F.first(c).over(base.rangeBetween(-k, -k))
+                          for c in cols for k in hours}).drop("__eh")
+
+
+def add_time_rolling_mean(df: DataFrame, cols: Sequence[str], windows: Sequence[int], by=None,
+                          clock: str = "clock", min_periods: int = 2, fmt: str = "{c}_troll{w}") -> DataFrame:
+    """F5 with a time frame: mean over the last w *hours* (current included), ≥ min_periods values."""
+    keys = _by(by)
+    x = df.withColumn("__eh", _epoch_hours(clock))
+    base = Window.partitionBy(*keys).orderBy("__eh") if keys else Window.orderBy("__eh")
+    out = {}
+    for c in cols:
+        for n in windows:
+            f = base.rangeBetween(-(n - 1), 0)
+            out[fmt.format(c=c, w=n)] = F.when(F.count(c).over(f) >= min_periods, F.avg(c).over(f))
+    return x.withColumns(out).drop("__eh")

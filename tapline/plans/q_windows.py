@@ -221,3 +221,19 @@ def q_distinct_by_key(spark, d):
     p2 = FT.feature_table(spark, d).agg(F.avg("hm_si").alias("hm_si"), F.avg("hm_temp").alias("hm_temp")) \
         .selectExpr("stack(2, 'hm_si', hm_si, 'hm_temp', hm_temp) as (feature, mean)").withColumn("pipeline", F.lit(2))
     return rank.distinct_by_key(p1.unionByName(p2), "feature", "pipeline").select("feature", "pipeline", "mean")
+
+
+@query("time_lags", W("""select s.taphole, s.clock, round(a.hm_si, 6) as hm_si_tlag1, round(b.hm_si, 6) as hm_si_tlag3,
+  round(r.m, 6) as hm_si_troll4
+from series s
+left join series a on a.taphole = s.taphole and a.clock = s.clock - interval 1 hour
+left join series b on b.taphole = s.taphole and b.clock = s.clock - interval 3 hour
+left join (select s1.taphole, s1.clock, case when count(s2.hm_si) >= 2 then avg(s2.hm_si) end as m
+           from series s1 join series s2 on s1.taphole = s2.taphole
+             and s2.clock between s1.clock - interval 3 hour and s1.clock
+           group by 1, 2) r on r.taphole = s.taphole and r.clock = s.clock""", P.SERIES))
+def q_time_lags(spark, d):
+    """F1/F5 by time: value exactly 1 h / 3 h earlier and a 4-hour mean (gaps stay NULL)."""
+    s = windows.add_time_lags(series(spark, d), ["hm_si"], [1, 3], by="taphole")
+    s = windows.add_time_rolling_mean(s, ["hm_si"], [4], by="taphole")
+    return s.select("taphole", "clock", "hm_si_tlag1", "hm_si_tlag3", "hm_si_troll4")

@@ -82,6 +82,8 @@ def test_gap_series_row_offsets(spark):
     df = spark.createDataFrame([(1, datetime(2024, 1, 1, h), float(h)) for h in hours], "s int, clock timestamp_ntz, x double")
     got = [r.x_lag1 for r in windows.add_lags(df, ["x"], [1], by="s").orderBy("clock").collect()]
     assert got == [None, 0.0, 1.0, 2.0, 5.0]  # previous *available* hour
+    tl = [r.x_tlag1 for r in windows.add_time_lags(df, ["x"], [1], by="s").orderBy("clock").collect()]
+    assert tl == [None, 0.0, 1.0, None, 5.0]  # exactly one hour earlier
 
 
 def test_short_rolling_windows(spark):
