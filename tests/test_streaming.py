@@ -60,3 +60,19 @@ def test_stream_lags_equal_batch_row_lags(spark):
     j = s.join(b, "tapno")
     assert j.count() == t.count()
     assert j.where("not (hm_si_lag2 <=> round(b, 6))").count() == 0
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Clock math stays on wall-clock NTZ values: a half-hour-offset zone changes nothing."""
+    import __spark_entry__ as E
+    from conftest import SF_CHECK
+    q = E.queries()
+    keys = ["floor_hour", "stream_hourly_mean", "asof_global"]
+    base = {k: sorted(map(tuple, q[k](spark, SF_CHECK).collect())) for k in keys}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        other = {k: sorted(map(tuple, q[k](spark, SF_CHECK).collect())) for k in keys}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base == other
