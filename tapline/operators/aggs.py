@@ -68,15 +68,19 @@ def distinct_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by=None) -> DataFrame:
+                    by=None, approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """E5: exact linear-interpolated quantiles, one row per group.
 
     Output columns ``<col>_q<pct>`` (pct = prob·100 with '.' → '_').
-    ``percentile`` is exact; it runs on hourly (time-bounded) tables.
+    ``percentile`` is exact and meant for hour-bounded tables (raw-volume
+    inputs: ``exact_quantiles_distributed``).  ``approx=True`` is the flagged
+    fast path: ``percentile_approx`` sketches (rank error ≈ 1/accuracy, no
+    interpolation), one bounded sketch per group.
     """
     keys = _by(by)
+    parr = F.array(*[F.lit(float(p)) for p in probs])
     # one buffer per column serves every requested probability
-    arrs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"__{c}")
+    arrs = [(F.percentile_approx(F.col(c), parr, accuracy) if approx else F.percentile(F.col(c), parr)).alias(f"__{c}")
             for c in cols]
     g = df.groupBy(*keys).agg(*arrs)
     return g.select(*keys, *[F.get(F.col(f"__{c}"), i).alias(f"{c}_q{_pct(p)}")

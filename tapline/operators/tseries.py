@@ -139,8 +139,12 @@ def var_pi(df: DataFrame, model: dict, alpha: float = 0.05, prefix: str = "var_"
 
 def pacf(df: DataFrame, col: str, nlags: int = 40, by=None, clock: str = "clock",
          method: str = "ols") -> list[float]:
-    """Partial autocorrelations. ``ols``: lag-k coefficient of an AR(k) fit on the
-    common sample; ``yw``: Durbin-Levinson on the biased ACF."""
+    """Partial autocorrelations.
+
+    ``ols``: lag-k coefficient of an AR(k) fit on every row with k lags of history;
+    ``ols_common``: all AR(k) fits on the rows with the full history;
+    ``yw``: Durbin-Levinson recursion on the biased ACF.
+    """
     if method == "yw":
         a = [1.0] + [r["acf"] for r in acf(df, col, nlags, by, clock).orderBy("lag").collect()]
         phi_prev, out = [], [1.0]
@@ -151,12 +155,27 @@ def pacf(df: DataFrame, col: str, nlags: int = 40, by=None, clock: str = "clock"
             phi_prev = [phi_prev[j] - pk * phi_prev[k - 2 - j] for j in range(k - 1)] + [pk]
             out.append(pk)
         return out
-    x = lagged(df, [col], nlags, by, clock)
+    x = lagged(df, [col], nlags, by, clock).where(F.col(col).isNotNull())
     regs = [f"{col}_l{j}" for j in range(1, nlags + 1)]
-    m, n = moments(x, [col] + regs)
+    m, n = moments(x, [col] + regs)  # rows with the full nlags history
     out = [1.0]
+    if method == "ols_common":
+        for k in range(1, nlags + 1):
+            b, _, _ = ols_from_moments(m, n, 1, [0] + list(range(2, 2 + k)))
+            out.append(float(b[-1]))
+        return out
+    # per-lag samples (each AR(k) uses every row with k lags of history): the rows
+    # missing lag nlags are the first ≤ nlags rows of each series — collect only those
+    head = x.where(F.col(regs[-1]).isNull()).select(col, *regs).collect()
+    z = np.array([[1.0, r[col]] + [np.nan if r[c] is None else r[c] for c in regs] for r in head]).reshape(-1, nlags + 2)
     for k in range(1, nlags + 1):
-        b, _, _ = ols_from_moments(m, n, 1, [0] + list(range(2, 2 + k)))
+        idx = [0, 1] + list(range(2, 2 + k))
+        mk = m[np.ix_(idx, idx)].copy()
+        rows = z[~np.isnan(z[:, 1 + k])] if len(z) else z
+        if len(rows):
+            v = rows[:, idx]
+            mk += v.T @ v
+        b, _, _ = ols_from_moments(mk, n + len(rows), 1, [0] + list(range(2, 2 + k)))
         out.append(float(b[-1]))
     return out
 

@@ -139,3 +139,19 @@ def test_asof_result_independent_of_bucket_width(spark):
                   key=lambda r: r[0])
            for w in (60, 3600, None)]
     assert res[0] == res[1] == res[2]
+
+
+def test_pacf_per_lag_samples_match_direct_fits(spark):
+    rng = np.random.default_rng(5)
+    n = 300
+    x = np.zeros(n)
+    for t in range(2, n):
+        x[t] = 0.5 * x[t - 1] - 0.3 * x[t - 2] + rng.normal()
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + timedelta(hours=i), float(v)) for i, v in enumerate(x)], "clock timestamp_ntz, a double")
+    got = tseries.pacf(df, "a", 5, method="ols")
+    for k in range(1, 6):
+        y = x[k:]
+        X = np.column_stack([np.ones(n - k)] + [x[k - j:n - j] for j in range(1, k + 1)])
+        want = np.linalg.lstsq(X, y, rcond=None)[0][-1]
+        assert abs(got[k] - want) < 1e-8
