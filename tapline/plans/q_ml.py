@@ -100,7 +100,9 @@ def q_stratified_split(spark, d):
     return TR.context(spark, d).split(stratify="si_class").select("clock", "si_class", "split")
 
 
-@query("smote")
+@query("smote", W("""select si_class, false as synthetic, ntr as n from tr
+union all select si_class, true, m - ntr from tr, (select max(ntr) as m from tr) x where ntr < m""",
+    LABEL_SQL + """, tr as (select si_class, cast(floor(count(*) * 0.8) as bigint) as ntr from lab group by 1)"""))
 def q_smote(spark, d):
     """Minority classes of the scaled training rows oversampled to the majority size."""
     ctx = TR.context(spark, d)

@@ -56,14 +56,22 @@ def q_stream_dedupe(spark, d):
     return out.select("taphole", "clock")
 
 
-@query("stream_asof")
+@query("stream_asof", W("""select tapno, unit_id, sampletaken, round(hm_si, 6) as hm_si, clock_raw, round(hbt, 6) as hbt,
+  round(lag_hours, 6) as lag_hours from (
+  select t.tapno, t.unit_id, t.sampletaken, t.hm_si, p.clock_raw, p.hbt,
+         date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9 as lag_hours
+  from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw)
+where clock_raw is not null and lag_hours <= 4"""))
 def q_stream_asof(spark, d):
     """P4s: stateful as-of: each tap meets its unit's latest process reading ≤ 4 h old."""
     ev = fx.events_stream(spark, d, fx.TAP_TYPES + fx.PARA_TYPES)
     return ST.run_available_now(ST.asof_stream(ev, fx.TAP_TYPES, fx.PARA_TYPES), "p4s")
 
 
-@query("stream_lags")
+@query("stream_lags", W("""select taphole, tapno, sampletaken, round(hm_si, 6) as hm_si,
+  round(lag(hm_si, 1) over w, 6) as hm_si_lag1, round(lag(hm_si, 2) over w, 6) as hm_si_lag2,
+  round(lag(hm_si, 3) over w, 6) as hm_si_lag3, round(hm_si - lag(hm_si, 1) over w, 6) as hm_si_diff1
+from fx_tap window w as (partition by taphole order by sampletaken)"""))
 def q_stream_lags(spark, d):
     """P5s: per-taphole lag-1..3 and first difference from state (last 12 values)."""
     taps = fx.tap_from_events(fx.events_stream(spark, d, fx.TAP_TYPES))
