@@ -107,6 +107,16 @@ def fit_var(df: DataFrame, cols: Sequence[str], maxlags: int = 12, by=None, cloc
         if best is None or aic < best["aic"]:
             best = {"p": p, "coef": B, "sigma_u": su / max(n - (k * p + 1), 1), "aic": float(aic), "n": n,
                     "cols": list(cols)}
+    if best["p"] < maxlags:
+        # the order is chosen on the common sample; the chosen model is refit on every
+        # row that has p lags of history (one more moment aggregate)
+        p = best["p"]
+        x = lagged(df, cols, p, by, clock)
+        regs = [f"{c}_l{j}" for j in range(1, p + 1) for c in cols]
+        m, n = moments(x, list(cols) + regs)
+        idx = {c: i + 1 for i, c in enumerate(list(cols) + regs)}
+        B, su = fit(p)
+        best.update({"coef": B, "sigma_u": su / max(n - (k * p + 1), 1), "n": n})
     return best
 
 
