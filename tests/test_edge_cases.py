@@ -128,3 +128,14 @@ def test_norm_and_dedupe_columns(spark):
     assert ingest.norm_columns(df).columns == ["COAL_INJ_SP", "X", "X"]
     assert ingest.dedupe_columns(df).columns == ["  Coal Inj. SP ", "x"]
     assert ingest.dedupe_columns(df).first()[1] == 2
+
+
+def test_source_choice_and_spark_file_listing(spark):
+    assert R.choose_source(["/x/misc_log", "/x/BF4_para_export", "/x/other"]) == "/x/BF4_para_export"
+    assert R.choose_source(["/x/a", "/x/b"]) == "/x/b"  # no hint → the last one
+    from tapline.session import scratch_path
+    path = scratch_path(spark, "listing")  # a URI under the shared checkpoint folder
+    spark.range(10).repartition(3).write.csv(path)
+    files = R.list_files(spark, path)
+    assert len(files) >= 3 and all(f.endswith(".csv") for f in files)
+    assert R.read_partition(spark, path + "-missing", "id", 1, "id long").count() == 0
