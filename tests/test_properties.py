@@ -155,3 +155,12 @@ def test_pacf_per_lag_samples_match_direct_fits(spark):
         X = np.column_stack([np.ones(n - k)] + [x[k - j:n - j] for j in range(1, k + 1)])
         want = np.linalg.lstsq(X, y, rcond=None)[0][-1]
         assert abs(got[k] - want) < 1e-8
+
+
+def test_one_pass_merge_equals_joined_form(spark):
+    cols = ["clock", "hm_si", "hm_temp", "hbt", "heat_flow_flux", "coke_kg", "other_kg", "ore_coke_ratio"]
+    a = FT.merged_hourly(spark, SF_CHECK).select(*cols)
+    b = FT.merged_hourly_joined(spark, SF_CHECK).select(*cols)
+    ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a.collect())
+    rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b.collect())
+    assert len(ra) > 0 and ra == rb
