@@ -164,3 +164,16 @@ def test_one_pass_merge_equals_joined_form(spark):
     ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a.collect())
     rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b.collect())
     assert len(ra) > 0 and ra == rb
+
+
+def test_distributed_quantiles_equal_percentile_on_skewed_groups(spark):
+    from tapline.operators import aggs
+    # group 0 holds most rows and many duplicate values; group 1 is small
+    df = spark.range(0, 20000).select((F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("g"),
+                                      ((F.col("id") * 7919) % 97 / 7.0).alias("x"))
+    probs = [0.01, 0.25, 0.33, 0.5, 0.9, 0.99]
+    a = aggs.exact_quantiles_distributed(df, "x", probs, by="g").orderBy("g").collect()
+    b = aggs.exact_quantiles(df, ["x"], probs, by="g").orderBy("g").collect()
+    for ra, rb in zip(a, b):
+        for c in ra.asDict():
+            assert abs(ra[c] - rb[c]) < 1e-9, (c, ra[c], rb[c])
