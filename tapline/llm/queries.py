@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, fst_tokens, license_rules, packing, url_trie
+from . import containment, fst_tokens, license_rules, lsh_forest, packing, url_trie
 from .scratch import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,25 @@ select doc_id, item_id, count(*)::bigint n_shared, any_value(n_item)::bigint n_i
 from d join u using (s) group by doc_id, item_id having 100 * count(*) >= 75 * any_value(n_item)"""
 
 
+# -- 3: MinHash near-dedup --------------------------------------------------
+
+@_register
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return lsh_forest.near_duplicates(documents(spark, sf_dir))
+
+
+SQL["op3_minhash_near_dedup"] = f"""
+with recursive t as (select doc_id, {_SHINGLES.format(w='w')} ss from (select doc_id, {_WORDS.format(text='text')} w from documents)),
+s as (select doc_id, len(ss) n, unnest(ss) s from t),
+l as (select a.doc_id a, b.doc_id b from s a join s b on a.s = b.s and a.doc_id <> b.doc_id
+      group by all having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a doc_id, min(b) low from r group by a)
+select doc_id, len(ss)::bigint n_shingles, least(doc_id, coalesce(low, doc_id))::bigint component_id,
+  doc_id = least(doc_id, coalesce(low, doc_id)) kept from t left join c using (doc_id)"""
+
+
 # -- 4: token counts --------------------------------------------------------
 
 @_register
