@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, fst_tokens, license_rules, lsh_forest, packing, url_trie
+from . import containment, fst_tokens, language_mixture, license_rules, lsh_forest, packing, toxic_segments, url_trie
 from .scratch import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.token_counts(documents(spark, sf_dir), vocabulary())
 
 
+# -- 6: toxicity ------------------------------------------------------------
+
+@_register
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; folds other than 0 teach."""
+    docs = documents(spark, sf_dir)
+    model = toxic_segments.train(docs, documents(spark, sf_dir, "labels"))
+    scored = toxic_segments.score(docs, model)
+    return scored.select("doc_id", (language_mixture.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted",
+                         F.size("passages").alias("n_passages"))
+
+
 # -- 7: license scans -------------------------------------------------------
 
 @_register
@@ -138,6 +150,21 @@ from p"""
 SQL["op8_url_filter"] = _url_sql()
 
 
+# -- 9: language ID ---------------------------------------------------------
+
+def _held_language(docs: DataFrame):
+    return language_mixture.fold_of(docs["doc_id"], 4) == 2
+
+
+@_register
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 2 of 4 teaches nothing."""
+    docs = documents(spark, sf_dir)
+    model = language_mixture.train(docs.where(~_held_language(docs)))
+    found = language_mixture.predict(docs, model)
+    return found.select("doc_id", _held_language(found).alias("held_out"), "lang_pred", "score")
+
+
 # -- 10: best-fit packing ---------------------------------------------------
 
 @_register

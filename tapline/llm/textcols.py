@@ -82,14 +82,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[s:e] for every span; equal spans hash alike wherever they stand."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, *many_ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[s:e] for every span; equal spans hash alike wherever they stand.
+
+    With several arrays of ends, one row of hashes for each.
+    """
     if len(starts) == 0:
-        return np.zeros(0, _U)
+        return np.zeros((len(many_ends), 0) if len(many_ends) > 1 else 0, _U)
     up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, dtype=_U)
     np.cumsum((values.astype(_U) + _U(1)) * up[:len(values)], out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    out = [mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)) for ends in many_ends]
+    return np.stack(out) if len(out) > 1 else out[0]
 
 
 def _cut(sep: np.ndarray, is_row: np.ndarray, lo: int, limit: int) -> int:
@@ -121,8 +125,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.
 
 
 def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACES, fold: np.ndarray | None = LOWER,
-          limit: int = STEP_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, word offsets of the rows); whole texts, in pieces of about ``limit`` bytes."""
+          limit: int = STEP_BYTES, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, word offsets of the rows); whole texts, in pieces of about ``limit`` bytes.
+
+    With ``prefixes``, rows of hashes: of the words, then of their first bytes for each length given.
+    """
     n = len(data)
     is_row = np.zeros(n + 2, dtype=bool)
     is_row[offs] = True
@@ -133,12 +140,12 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACES, fold: np
         part = data[lo:hi]
         here = np.flatnonzero(is_row[lo:hi + 1])
         s, e = word_spans(part, here[here <= hi - lo], sep)
-        hashes.append(span_hashes(fold[part] if fold is not None else part, s, e))
+        hashes.append(span_hashes(fold[part] if fold is not None else part, s, e, *[np.minimum(e, s + p) for p in prefixes]))
         firsts.append(s + lo)
         lo = hi
     if not hashes:
-        return np.zeros(0, _U), np.zeros(len(offs), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), offs).astype(np.int64)
+        return np.zeros((1 + len(prefixes), 0) if prefixes else 0, _U), np.zeros(len(offs), np.int64)
+    return np.concatenate(hashes, axis=-1), np.searchsorted(np.concatenate(firsts), offs).astype(np.int64)
 
 
 def row_sets(hashes: np.ndarray, offs: np.ndarray, k: int, keep: Callable[[int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
