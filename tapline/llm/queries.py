@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, fst_tokens, language_mixture, license_rules, lsh_forest, packing, toxic_segments, url_trie
+from . import chat_snapshots, containment, embedding_graph, fst_tokens, language_mixture, license_rules, lsh_forest, packing, toxic_segments, url_trie
 from .scratch import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,26 @@ def _register(fn):
     return fn
 
 
+# -- 1: embedding near-dedup ------------------------------------------------
+
+@_register
+def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors at a cosine of 0.93."""
+    return embedding_graph.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
+SQL["op1_embedding_graph"] = """
+with recursive g as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings where label is not null and embedding is not null),
+u as (select * from g where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+      where list_cosine_similarity(a.v, b.v) >= 0.93),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a vec_id, min(b) low from r group by a),
+k as (select a vec_id, count(*) n from l group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(low, vec_id))::bigint component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) kept from embeddings left join c using (vec_id) left join k using (vec_id)"""
+
+
 # -- 2: benchmark decontamination ------------------------------------------
 
 @_register
@@ -74,6 +94,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.token_counts(documents(spark, sf_dir), vocabulary())
 
 
+# -- 5: chat formatting -----------------------------------------------------
+
+@_register
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, as digests of their rendered texts."""
+    return chat_snapshots.digest(documents(spark, sf_dir, "conversations"))
+
+
+SQL["op5_chat_snapshots"] = """
+with t as (select distinct conv_id, turn, coalesce(role, 'unknown') role, coalesce(text, '') text from conversations where conv_id is not null),
+h as (select *, md5(role || chr(31) || text) h from t),
+p as (select *, row_number() over w pos, count(*) over (partition by conv_id) n from h window w as (partition by conv_id order by turn nulls first, h)),
+r as (select *, string_agg(h, '') over (partition by conv_id order by pos rows unbounded preceding) k from p),
+m as (select n, k, min(conv_id) conv_id, count(*) n_copies from r where pos = n group by n, k),
+x as (select * from m where not exists (select 1 from r where r.pos < r.n and r.pos = m.n and r.k = m.k)),
+s as (select conv_id, pos, '<' || role || '>' || chr(10) || text || chr(10) segment from p)
+select conv_id, any_value(n)::bigint n_turns, any_value(n_copies)::bigint n_copies, sum(length(segment))::bigint n_chars,
+  sum(('0x' || substr(md5(pos::varchar || chr(31) || segment), 1, 8))::bigint)::bigint text_sum
+from x join s using (conv_id) group by conv_id"""
+
+
 # -- 6: toxicity ------------------------------------------------------------
 
 @_register
