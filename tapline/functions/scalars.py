@@ -95,11 +95,6 @@ def forecast_time(c, hours: int = 1) -> Column:
     return F.date_format(shift_hours(c, hours), "yyyy-MM-dd HH:mm")
 
 
-def day_number(c) -> Column:
-    """Days since 1970-01-01 from the wall-clock date (time-zone free)."""
-    return F.datediff(F.to_date(_c(c)), F.lit("1970-01-01").cast("date"))
-
-
 # --- B12 / B13: material rules ---------------------------------------------
 
 def classify_material(brand, rules=None, default: str = K.MATERIAL_DEFAULT) -> Column:
@@ -215,15 +210,3 @@ def linspace(a, b, n: int = K.SENSITIVITY_POINTS) -> Column:
     a, b = _c(a), _c(b)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                        lambda i: a + (b - a) * i.cast("double") / F.lit(float(n - 1)))
-
-
-def round_all(df, digits: int = 6, cols: Sequence[str] | None = None):
-    """Round every double column (used before comparing two engines)."""
-    cols = set(cols) if cols else None
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "double" and (cols is None or f.name in cols):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)

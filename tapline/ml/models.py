@@ -240,10 +240,5 @@ def probability_map(df: DataFrame, labels: Sequence[str], prob_col: str = "proba
     return df.withColumn(out, F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), vector_to_array(prob_col)))
 
 
-def index_labels(label: str, out: str):
-    """J6 as a Spark ML stage (alphabetical order, like the source's encoder)."""
-    return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep")
-
-
 def poly_stage():
     return PolynomialExpansion(degree=2, inputCol="features", outputCol="poly")

@@ -2,7 +2,7 @@
 
 Splits are deterministic functions of a row key (xxhash64), so they are
 stable under repartitioning and executor loss.  Exact per-class counts use
-the distributed ``prefix_sum`` (range-bucketed running counts) instead of
+the distributed ``prefix_sum`` (range-partitioned running counts) instead of
 a per-class window, so one dominant class never lands in a single task.
 """
 
@@ -19,7 +19,18 @@ from ..operators.windows import prefix_sum
 def hash_unit(key_cols: Sequence[str], seed: int = 42) -> F.Column:
     """Uniform [0, 1) from a 64-bit hash of the key (deterministic per row)."""
     h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+
+
+def _by_class(df: DataFrame, label: str, order: Sequence, out: str, total: str | None = None) -> DataFrame:
+    """0-based position of each row in its class (a NULL label is a class) and, if asked, the class size; distributed."""
+    x = prefix_sum(df.withColumn("__one", F.lit(1)), order[0], ["__one"], by=label, inclusive=False, fmt=out, total_fmt=total, tiebreak=order[1:])
+    return x.drop("__one")
+
+
+def _hash_order(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
+    """``__h``: all 64 bits of the key's hash; callers order by it, then by the key."""
+    return df.withColumn("__h", F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)))
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None, labels: Sequence[str] | None = None) -> DataFrame:
@@ -36,7 +47,9 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     w = counts.withColumn(out, F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).drop("__nc")
-    return df.join(F.broadcast(w), label)  # one row per class
+    w = w.withColumnRenamed(label, "__label")
+    # one row per class; adaptive execution broadcasts it when it is small
+    return df.join(w, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
 
 
 def random_split(df: DataFrame, key_cols: Sequence[str], train_frac: float = 0.8, seed: int = 42,
@@ -48,16 +61,9 @@ def random_split(df: DataFrame, key_cols: Sequence[str], train_frac: float = 0.8
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], train_frac: float = 0.8,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """Exactly floor(frac·n_c) rows of every class go to train (hash order inside a class)."""
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())  # label set only
-    cmap = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    x = df.withColumn("__ord", F.try_element_at(cmap, F.col(label)).cast("double") * 2.0 + hash_unit(key_cols, seed)) \
-        .withColumn("__one", F.lit(1))
-    x = prefix_sum(x, "__ord", ["__one"], inclusive=False, fmt="__g")
-    start = x.groupBy(label).agg(F.min("__g").alias("__s"), F.count(F.lit(1)).alias("__nc"))
-    x = x.join(F.broadcast(start), label)  # one row per class
-    local = F.col("__g") - F.col("__s")
-    return x.withColumn(out, F.when(local < F.floor(F.col("__nc") * train_frac), "train").otherwise("test")) \
-        .drop("__ord", "__one", "__g", "__s", "__nc")
+    x = _by_class(_hash_order(df, key_cols, seed), label, ["__h", *key_cols], "__g", "__nc")
+    return x.withColumn(out, F.when(F.col("__g") < F.floor(F.col("__nc") * train_frac), "train").otherwise("test")) \
+        .drop("__h", "__g", "__nc")
 
 
 def kfold_ids(df: DataFrame, k: int, key_cols: Sequence[str], label: str | None = None, seed: int = 42,
@@ -65,14 +71,8 @@ def kfold_ids(df: DataFrame, k: int, key_cols: Sequence[str], label: str | None
     """Shuffled (optionally stratified) fold ids 0..k-1 from hash order."""
     if label is None:
         return df.withColumn(out, F.floor(hash_unit(key_cols, seed) * k).cast("int"))
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
-    cmap = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    x = df.withColumn("__ord", F.try_element_at(cmap, F.col(label)).cast("double") * 2.0 + hash_unit(key_cols, seed)) \
-        .withColumn("__one", F.lit(1))
-    x = prefix_sum(x, "__ord", ["__one"], inclusive=False, fmt="__g")
-    start = x.groupBy(label).agg(F.min("__g").alias("__s"))
-    x = x.join(F.broadcast(start), label)
-    return x.withColumn(out, ((F.col("__g") - F.col("__s")) % k).cast("int")).drop("__ord", "__one", "__g", "__s")
+    x = _by_class(_hash_order(df, key_cols, seed), label, ["__h", *key_cols], "__g")
+    return x.withColumn(out, (F.col("__g") % k).cast("int")).drop("__h", "__g")
 
 
 # --------------------------------------------------------------------- SMOTE
@@ -95,16 +95,17 @@ def _knn_within_class(df: DataFrame, label: str, key: str, feats: Sequence[str],
     norm = sum(v * v for v in u) ** 0.5
     u = [v / norm for v in u]
     proj = sum((F.col(f) * F.lit(u[i]) for i, f in enumerate(feats)), F.lit(0.0))
-    pts = df.select(label, key, *feats).withColumn("__p", proj)
-    sizes = pts.groupBy(label).agg(F.count(F.lit(1)).alias("__ncls"))
-    pts = pts.join(F.broadcast(sizes), label).persist()  # one row per class
+    # a row without a label or with a missing feature has no place in the space
+    pts = df.select(label, key, *feats).dropna(subset=[label, *feats]).withColumn("__p", proj)
+    sizes = pts.groupBy(label).agg(F.count(F.lit(1)).alias("__ncls")).where("__ncls > 1")
+    pts = pts.join(sizes, label).checkpoint()
     st = pts.agg(F.stddev_pop("__p").alias("s"), F.min("__ncls").alias("n")).first()
     # start near the expected k-th neighbour distance in d dimensions
     dim = max(len(feats), 1)
     w = max((st["s"] or 1.0) * (dim ** 0.5) * (k / max(st["n"], 1)) ** (1.0 / dim), 1e-9)
     pending = pts
     done = None
-    for _ in range(60):
+    while True:  # ends at the latest when the band holds the whole class
         q = pending.withColumn("__b", F.floor(F.col("__p") / w).cast("long"))
         c = pts.withColumn("__b0", F.floor(F.col("__p") / w).cast("long")) \
             .withColumn("__b", F.explode(F.array(F.col("__b0") - 1, F.col("__b0"), F.col("__b0") + 1)))
@@ -128,9 +129,6 @@ def _knn_within_class(df: DataFrame, label: str, key: str, feats: Sequence[str],
         if pending.limit(1).count() == 0:
             break
         w *= 2.0
-        if w > 1e12:
-            done = done.unionByName(top.join(pending.select(F.col(key).alias("__q")), "__q", "left_semi"))
-            break
     return done.drop("__ncls").withColumnRenamed("__q", key)
 
 
@@ -140,11 +138,19 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
 
     Output = original rows (``synthetic=false``) + synthetic rows.  Each
     minority row gets floor(need/n_c) children, and the first need % n_c
-    rows in hash order one more, so the class sizes come out exact.
+    rows in hash order one more, so the class sizes come out exact.  A minority
+    class with one complete row has no neighbour to move towards: ValueError.
+    Rows with a NULL label pass through and are no class.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # label set only
-    n_max = max(counts.values())
+    counted = df.where(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(sum((F.col(f).isNull().cast("int") for f in feats), F.lit(0)).cast("boolean").cast("int")).alias("bad"))
+    rows = list(counted.toLocalIterator())  # the label set
+    counts = {r[0]: r["n"] for r in rows}
+    n_max = max(counts.values(), default=0)
     need = {c: n_max - n for c, n in counts.items() if n < n_max}
+    lone = [r[0] for r in rows if r[0] in need and r["n"] - r["bad"] < 2]
+    if lone:
+        raise ValueError(f"SMOTE needs at least two complete rows of every minority class; too few of {lone}")
     base = df.select(key, label, *feats).withColumn("synthetic", F.lit(False))
     if not need:
         return base
@@ -152,7 +158,7 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     nn = _knn_within_class(minority, label, key, feats, k)
     # per-row child counts with exact class totals
     x = minority.withColumn("__u", hash_unit([key], seed))
-    rk = stratified_rank(x, label, "__u")
+    rk = stratified_rank(x, label, "__u", key)
     cnt_map = F.create_map(*[v for c, n in counts.items() if c in need for v in (F.lit(c), F.lit(n))])
     need_map = F.create_map(*[v for c, n in need.items() for v in (F.lit(c), F.lit(n))])
     nc, nd = F.try_element_at(cnt_map, F.col(label)), F.try_element_at(need_map, F.col(label))
@@ -170,13 +176,6 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     return base.withColumn(key, F.col(key).cast("string")).unionByName(syn)
 
 
-def stratified_rank(df: DataFrame, label: str, order_col: str, out: str = "__r") -> DataFrame:
-    """0-based rank of each row inside its class by ``order_col`` (distributed)."""
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
-    cmap = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    x = df.withColumn("__ord", F.try_element_at(cmap, F.col(label)).cast("double") * 2.0 + F.col(order_col)) \
-        .withColumn("__one", F.lit(1))
-    x = prefix_sum(x, "__ord", ["__one"], inclusive=False, fmt="__g")
-    start = x.groupBy(label).agg(F.min("__g").alias("__s"))
-    return x.join(F.broadcast(start), label).withColumn(out, F.col("__g") - F.col("__s")) \
-        .drop("__ord", "__one", "__g", "__s")
+def stratified_rank(df: DataFrame, label: str, order_col: str, key: str, out: str = "__r") -> DataFrame:
+    """0-based rank of each row inside its class by ``order_col``, ties by ``key`` (distributed)."""
+    return _by_class(df, label, [order_col, key], out)

@@ -59,12 +59,9 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: str
     return df.groupBy(*keys).agg(*aggs)
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Distinct pivot values for a dynamic pivot; refuses unbounded lists."""
-    vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"pivot column {col} has more than {limit} distinct values")
-    return sorted(v for v in vals if v is not None)
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Distinct values of a pivot column, which become columns (so the driver holds them in the schema anyway)."""
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).toLocalIterator()]
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -91,43 +88,24 @@ def exact_quantiles_distributed(df: DataFrame, col: str, probs: Sequence[float],
     """E5 for raw-volume inputs: exact linear-interpolated quantiles, no group buffered in one task.
 
     Distinct values are counted per group and ranked by a distributed running
-    count (``prefix_sum`` on the key group·2 + normalised value, ties broken by
-    the value itself); the values at ranks floor/ceil(p·(n−1)) are then picked
-    with range predicates inside one aggregate.  Output: one row per group with
-    ``<col>_q<pct>`` columns (same names as ``exact_quantiles``).
+    count (``prefix_sum`` by group); the values at ranks floor/ceil(p·(n−1)) are
+    then picked with range predicates inside one aggregate.  Output: one row per
+    group with ``<col>_q<pct>`` columns (same names as ``exact_quantiles``);
+    groups without a value, and an empty input, give no row.
     """
-    from pyspark.sql import Window
-
     from .windows import prefix_sum
     keys = _by(by)
     x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
     g = x.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    st = g.groupBy(*keys).agg(F.min("__v").alias("__mn"), F.max("__v").alias("__mx"), F.sum("__c").alias("__n"))
-    if keys:
-        # dense group number from the per-group table (one row per group)
-        st = st.withColumn("__gi", F.dense_rank().over(Window.orderBy(*keys)) - 1)
-        g = g.join(st, keys)
-    else:
-        r = st.first()
-        if r is None:
-            return df.sparkSession.createDataFrame([], ", ".join(f"{col}_q{_pct(p)} double" for p in probs))
-        g = g.withColumns({"__mn": F.lit(r["__mn"]), "__mx": F.lit(r["__mx"]), "__n": F.lit(r["__n"]),
-                           "__gi": F.lit(0)})
-    span = F.col("__mx") - F.col("__mn")
-    norm = F.when(span > 0, (F.col("__v") - F.col("__mn")) / span * F.lit(0.999999)).otherwise(F.lit(0.0))
-    g = g.withColumn("__key", F.col("__gi") * 2.0 + norm)
-    g = prefix_sum(g, "__key", ["__c"], inclusive=False, fmt="__below", tiebreak="__v")
-    start = g.groupBy(*keys).agg(F.min("__below").alias("__s")) if keys else None
-    g = g.join(start, keys) if keys else g.withColumn("__s", F.lit(0))
-    lb = F.col("__below") - F.col("__s")
+    g = prefix_sum(g, "__v", ["__c"], by=keys, inclusive=False, fmt="__below", total_fmt="__n")
     aggs = []
     for p in probs:
         pos = (F.col("__n") - 1) * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda r: F.max(F.when((lb <= r) & (r < lb + F.col("__c")), F.col("__v")))
+        at = lambda r: F.max(F.when((F.col("__below") <= r) & (r < F.col("__below") + F.col("__c")), F.col("__v")))
         aggs += [at(lo).alias(f"__lo{_pct(p)}"), at(hi).alias(f"__hi{_pct(p)}"),
                  F.first(pos - lo).alias(f"__f{_pct(p)}")]
-    r = g.groupBy(*keys).agg(*aggs)
+    r = (g.groupBy(*keys) if keys else g.groupBy(F.lit(1).alias("__g"))).agg(*aggs)
     return r.select(*keys, *[(F.col(f"__lo{_pct(p)}") + F.col(f"__f{_pct(p)}")
                               * (F.col(f"__hi{_pct(p)}") - F.col(f"__lo{_pct(p)}"))).alias(f"{col}_q{_pct(p)}")
                              for p in probs])

@@ -99,14 +99,6 @@ def iqr_sequential(df: DataFrame, cols: Sequence[str], k: float = 3.0,
     return cur
 
 
-def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    ex = set(exclude)
-    num = {"double", "float", "int", "bigint", "smallint", "tinyint"}
-    return [f.name for f in df.schema.fields
-            if f.dataType.simpleString() in num or f.dataType.simpleString().startswith("decimal")
-            if f.name not in ex]
-
-
 def row_guard(df: DataFrame, min_rows: int, what: str = "rows") -> DataFrame:
     """Raise in the driver when fewer than ``min_rows`` rows survive."""
     n = df.count()

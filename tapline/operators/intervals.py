@@ -52,15 +52,9 @@ def kfold_index(df: DataFrame, k: int, order: str, out: str = "fold") -> DataFra
     """Contiguous K-fold ids in ``order`` (unshuffled KFold: first n % k folds one larger)."""
     from .windows import prefix_sum
     x = df.withColumn("__one", F.lit(1))
-    x = prefix_sum(x, order, ["__one"], inclusive=False, fmt="__r")  # 0-based row index, distributed
-    n = F.lit(df.count())
+    x = prefix_sum(x, order, ["__one"], inclusive=False, fmt="__r", total_fmt="__n")  # 0-based row index, distributed
+    n, r = F.col("__n"), F.col("__r")
     big = F.floor(n / k) + 1
     nbig = n % k
-    r = F.col("__r")
-    fold = F.when(r < nbig * big, F.floor(r / big)).otherwise(nbig + F.floor((r - nbig * big) / F.floor(n / k)))
-    return x.withColumn(out, fold.cast("int")).drop("__one", "__r")
-
-
-def normal_band(n: int, alpha: float = 0.05) -> float:
-    """±z/√n band for autocorrelations."""
-    return norm_ppf(1 - alpha / 2) / math.sqrt(n)
+    fold = F.when(r < nbig * big, F.floor(r / big)).otherwise(nbig + F.floor(F.try_divide(r - nbig * big, F.floor(n / k))))
+    return x.withColumn(out, fold.cast("int")).drop("__one", "__r", "__n")

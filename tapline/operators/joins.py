@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import day_number, lag_hours, shift_hours
+from ..functions.scalars import lag_hours, shift_hours
 from .aggs import _by
 
 
@@ -55,77 +55,43 @@ def offset_join(left: DataFrame, right: DataFrame, hours: int, on: str = "clock"
     return left.join(r, on=on, how=how)
 
 
-EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-
-
-def _epoch_seconds(col: str):
-    """Seconds since 1970 of a TIMESTAMP_NTZ wall clock (time-zone free)."""
-    return F.expr(f"timestampdiff(SECOND, {EPOCH_NTZ}, `{col}`)")
-
-
-def asof_bucket_seconds(left: DataFrame, right: DataFrame, left_on: str, right_on: str, keys: list[str],
-                        target_rows: int = 1_000_000) -> int:
-    """Bucket width so that no (key, bucket) holds more than ~``target_rows`` rows.
-
-    One cheap aggregate of rows per (key, day) over both sides; a hot key (say a
-    third of all rows in one series) shrinks the width, down to one minute.
-    """
-    day = lambda c: day_number(F.col(c))
-    counts = left.select(*keys, day(left_on).alias("__d")).unionByName(
-        right.select(*keys, day(right_on).alias("__d"))).groupBy(*keys, "__d").count()
-    mx = counts.agg(F.max("count")).first()[0] or 0
-    if mx <= target_rows:
-        return 86_400
-    return max(60, int(86_400 * target_rows / mx))
-
-
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
               by: Sequence[str] | str | None = None, right_cols: Sequence[str] | None = None,
-              tolerance_hours: float | None = None, bucket_seconds: int | None = None,
-              lag_col: str | None = None) -> DataFrame:
+              tolerance_hours: float | None = None, lag_col: str | None = None) -> DataFrame:
     """Backward as-of join (latest right row with ``right_on <= left_on``).
 
     Left rows are all kept (``tolerance_hours=None``); with a tolerance,
-    unmatched or too-old matches are dropped (D2).  Exact matches count.
-    ``bucket_seconds=None`` sizes the time buckets from the data (see
-    ``asof_bucket_seconds``); any width gives the same result.
+    unmatched or too-old matches are dropped (D2).  Exact matches count; of
+    right rows at the same time the one with the greatest payload matches.
+
+    Both sides are one table, range-partitioned on (series, time); a match in
+    the row's own bucket comes from a window inside it, an older one from the
+    (bucket, series) table of last right rows.  A hot series, or a burst inside
+    a minute, spreads over as many buckets as its rows need.
     """
+    from .windows import ranged, with_groups
     keys = _by(by)
     right_cols = list(right_cols) if right_cols else [
         c for c in right.columns if c not in keys and c != right_on]
     payload = [right_on] + [c for c in right_cols if c != right_on]
-    width = bucket_seconds or asof_bucket_seconds(left, right, left_on, right_on, keys)
-
-    lb = F.floor(_epoch_seconds("__t") / F.lit(width)).cast("long")
-    L = left.withColumn("__t", F.col(left_on)).withColumn("__b", lb) \
-        .withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(
-            right.select(F.struct(*payload)).schema[0].dataType))
-    R = right.select(*keys, F.col(right_on).alias("__t"), F.struct(*payload).alias("__r")) \
-        .where(F.col("__t").isNotNull()) \
-        .withColumn("__b", lb).withColumn("__side", F.lit(0))
-
-    # 1) in-bucket match: right rows sort before left rows at equal time
-    lcols = [c for c in L.columns if c not in ("__r",)]
-    U = L.unionByName(R, allowMissingColumns=True)
-    w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__side")
+    rtype = right.select(F.struct(*payload)).schema[0].dataType
+    L = left.withColumns({"__t": F.col(left_on), "__side": F.lit(1), "__r": F.lit(None).cast(rtype)})
+    R = right.select(*keys, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.struct(*payload).alias("__r")) \
+        .where(F.col("__t").isNotNull())
+    # right rows sort before left rows at equal time, so an exact match counts
+    sort = [F.col("__t").asc_nulls_first(), F.col("__side"), F.col("__r")]
+    U = ranged(L.unionByName(R, allowMissingColumns=True), keys, sort)
+    w = (Window.partitionBy("__bk", *keys).orderBy(*sort)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     M = U.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
-
-    # 2) carry: latest right row of any earlier bucket (tiny table: keys × buckets)
-    last_per_bucket = R.groupBy(*keys, "__b").agg(F.max_by("__r", "__t").alias("__r")) \
-        .withColumn("__side", F.lit(1))
-    need = L.select(*keys, "__b").distinct().withColumn("__side", F.lit(0)) \
-        .withColumn("__r", F.lit(None).cast(R.schema["__r"].dataType))
-    wb = (Window.partitionBy(*keys).orderBy("__b", "__side")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = need.unionByName(last_per_bucket).withColumn(
-        "__c", F.last("__r", ignorenulls=True).over(wb)).where(F.col("__side") == 0) \
-        .select(*keys, "__b", "__c")
-
-    out = M.join(carry, on=[*keys, "__b"], how="left") \
-        .withColumn("__m", F.coalesce(F.col("__m"), F.col("__c")))
-    sel = [c for c in lcols if not c.startswith("__")]
-    res = out.select(*sel, *[F.col("__m")[c].alias(c) for c in payload])
+    # last right row of every (bucket, series), carried over the buckets behind it
+    last = U.groupBy("__bk", *keys).agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__r"))).alias("__last"))
+    wb = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("__bk", *keys, F.last("__last.__r", ignorenulls=True).over(wb).alias("__c"))
+    out = with_groups(M, carry, keys)
+    # a row without a time matches nothing
+    match = F.when(F.col("__t").isNotNull(), F.coalesce("__m", "__c"))
+    res = out.withColumn("__m", match).select(*left.columns, *[F.col("__m")[c].alias(c) for c in payload])
     if tolerance_hours is not None or lag_col:
         res = res.withColumn(lag_col or "lag_hours", lag_hours(left_on, right_on))
     if tolerance_hours is not None:

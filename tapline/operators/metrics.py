@@ -96,19 +96,16 @@ def _per_score(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
 def roc_auc_ovr(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
     """One-vs-rest AUC per class by the Mann-Whitney mid-rank formula + macro row.
 
-    Mid-ranks need a running count over the sorted scores; all classes share
-    one distributed ``prefix_sum`` on the composite key class·4 + score
-    (scores are probabilities in [0, 1]), offset by class·n.
+    Mid-ranks need a running count over the sorted scores: one distributed
+    ``prefix_sum`` by class.
     """
     g = _per_score(df, actual, scores)
-    n = df.count()
-    g = prefix_sum(g.withColumn("__key", F.col("cls_i") * 4.0 + F.col("s")), "__key", ["cnt"],
-                   inclusive=False, fmt="__below")
-    g = g.withColumn("midrank", F.col("__below") - F.col("cls_i") * n + (F.col("cnt") + 1) / 2.0)
+    g = prefix_sum(g, "s", ["cnt"], by="cls_i", inclusive=False, fmt="__below")
+    g = g.withColumn("midrank", F.col("__below") + (F.col("cnt") + 1) / 2.0)
     a = g.groupBy("label").agg(F.sum(F.col("npos") * F.col("midrank")).alias("rsum"),
                                F.sum("npos").alias("np"), F.sum("cnt").alias("n"))
-    out = a.select("label", ((F.col("rsum") - F.col("np") * (F.col("np") + 1) / 2.0)
-                             / (F.col("np") * (F.col("n") - F.col("np")))).alias("auc"))
+    out = a.select("label", F.try_divide(F.col("rsum") - F.col("np") * (F.col("np") + 1) / 2.0,
+                                         F.col("np") * (F.col("n") - F.col("np"))).alias("auc"))
     macro = out.agg(F.lit("macro").alias("label"), F.avg("auc").alias("auc"))
     return out.unionByName(macro)
 
@@ -116,16 +113,9 @@ def roc_auc_ovr(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame
 def roc_curve(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
     """Per-class ROC points (threshold, fpr, tpr) at every distinct score, one pass."""
     g = _per_score(df, actual, scores).withColumn("fp_at", F.col("cnt") - F.col("npos"))
-    tot = g.groupBy("cls_i").agg(F.sum("npos").alias("P"), F.sum("fp_at").alias("N"))
-    w = Window.orderBy("cls_i").rowsBetween(Window.unboundedPreceding, -1)  # over #classes rows
-    off = tot.select("cls_i", "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("__p0"),
-                     F.coalesce(F.sum("N").over(w), F.lit(0)).alias("__n0"))
-    g = prefix_sum(g.withColumn("__key", F.col("cls_i") * 4.0 + (F.lit(1.0) - F.col("s"))), "__key",
-                   ["npos", "fp_at"], inclusive=True)
-    g = g.join(F.broadcast(off), "cls_i")  # one row per class
-    return g.select("label", F.col("s").alias("threshold"),
-                    ((F.col("fp_at_cum") - F.col("__n0")) / F.col("N")).alias("fpr"),
-                    ((F.col("npos_cum") - F.col("__p0")) / F.col("P")).alias("tpr"))
+    g = prefix_sum(g, "s", ["npos", "fp_at"], by="cls_i", desc=True, total_fmt="{c}_all")
+    return g.select("label", F.col("s").alias("threshold"), F.try_divide("fp_at_cum", "fp_at_all").alias("fpr"),
+                    F.try_divide("npos_cum", "npos_all").alias("tpr"))
 
 
 def masked_metrics(df: DataFrame, y: str, p: str, by=None) -> DataFrame:

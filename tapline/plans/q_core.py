@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggs, clean, ingest, joins
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures as W
+from ..sources.tables import read_table
 from . import feature_table as FT
 from . import sqlparts as P
 from .registry import query
@@ -21,7 +22,7 @@ FEAT_COLS = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "permeab
 # ---------------------------------------------------------------- flagship
 
 
-@query("class_distribution", W("""select target, class, n, round(n * 100e0 / sum(n) over (partition by target), 6) as pct
+@query("class_distribution", W("""select target, class, n, (n * 100e0 / sum(n) over (partition by target)) as pct
 from (select target, class, count(*) as n from (
    select 'hm_si' as target, case when hm_si is null then 'nan' when hm_si <= 0.25 then 'Low'
           when hm_si <= 0.80 then 'Normal' else 'High' end as class from feat
@@ -39,7 +40,7 @@ ALL_FEAT = ["clock"] + P.PARA + P.GROUPS + ["total_iron_kg", "total_flux_kg", "o
                                             "burden_thermal", "flux_thermal"]
 
 
-@query("feature_table", W(f"select clock, {P.r6(ALL_FEAT[1:])} from feat", P.FEATURE_CTES))
+@query("feature_table", W(f"select clock, {P.named(ALL_FEAT[1:])} from feat", P.FEATURE_CTES))
 def q_feature_table(spark, d):
     return FT.feature_table(spark, d).select(*ALL_FEAT)
 
@@ -103,23 +104,23 @@ def q_distinct_materials(spark, d):
 
 # ---------------------------------------------------------------- hourly aggregates
 
-@query("hourly_mean", W("select clock, " + P.r6(P.PARA) + " from (select date_trunc('hour', clock_raw) as clock, "
+@query("hourly_mean", W("select clock, " + P.named(P.PARA) + " from (select date_trunc('hour', clock_raw) as clock, "
                         + ", ".join(f"avg({c}) as {c}" for c in P.PARA) + " from fx_para group by 1)"))
 def q_hourly_mean(spark, d):
     return aggs.hourly_mean(fx.fx_para(spark, d), "clock_raw", fx.PARA_COLS)
 
 
-@query("sensor_fault_filter", W("select clock, " + P.r6(P.PARA) + " from para_h", P.PARA_H))
+@query("sensor_fault_filter", W("select clock, " + P.named(P.PARA) + " from para_h", P.PARA_H))
 def q_sensor_fault_filter(spark, d):
     return FT.para_hourly(spark, d)
 
 
-@query("pivot_group_sum", W("select clock, " + P.r6(P.GROUPS) + " from bpiv", P.BURDEN_PIV))
+@query("pivot_group_sum", W("select clock, " + P.named(P.GROUPS) + " from bpiv", P.BURDEN_PIV))
 def q_pivot_group_sum(spark, d):
     return ingest.burden_groups_hourly(fx.fx_burden(spark, d))
 
 
-@query("ensure_columns", W("select clock, " + P.r6(P.GROUPS) + ", 0e0 as scrap_kg from bpiv", P.BURDEN_PIV))
+@query("ensure_columns", W("select clock, " + P.named(P.GROUPS) + ", 0e0 as scrap_kg from bpiv", P.BURDEN_PIV))
 def q_ensure_columns(spark, d):
     """Expected groups that never occur (scrap) appear as 0."""
     return ingest.ensure_columns(ingest.burden_groups_hourly(fx.fx_burden(spark, d)),
@@ -130,13 +131,13 @@ RATIO_COLS = ["total_iron_kg", "total_flux_kg", "ore_coke_ratio", "sinter_frac",
               "flux_iron_ratio", "total_charge_kg"]
 
 
-@query("burden_ratios", W("select clock, " + P.r6(P.GROUPS + RATIO_COLS) + " from brat",
+@query("burden_ratios", W("select clock, " + P.named(P.GROUPS + RATIO_COLS) + " from brat",
                           P.BURDEN_PIV + ",\n" + P.BURDEN_RAT))
 def q_burden_ratios(spark, d):
     return FT.burden_hourly(spark, d, shift=False)
 
 
-@query("shift_clock", W("select clock, " + P.r6(P.GROUPS + RATIO_COLS) + " from bshift",
+@query("shift_clock", W("select clock, " + P.named(P.GROUPS + RATIO_COLS) + " from bshift",
                         ",\n".join([P.BURDEN_PIV, P.BURDEN_RAT, P.BURDEN_SHIFT])))
 def q_shift_clock(spark, d):
     return FT.burden_hourly(spark, d, shift=True)
@@ -146,13 +147,13 @@ BRANDS = sorted({b.strip() for b in fx.FIXTURE_BRANDS})
 
 
 @query("pivot_brand_sum", W("select clock, " + ", ".join(
-    f"round(sum(actwt) filter (where trim(brandcode) = '{b}'), 6) as brd_{b.lower()}" for b in BRANDS)
+    f"(sum(actwt) filter (where trim(brandcode) = '{b}')) as brd_{b.lower()}" for b in BRANDS)
     + " from (select date_trunc('hour', chargetime) as clock, brandcode, actwt from fx_burden) group by 1"))
 def q_pivot_brand_sum(spark, d):
     """Dynamic brand pivot, absent cell stays missing, BRD_ prefix."""
     b = fx.fx_burden(spark, d).select(S.floor_hour("chargetime").alias("clock"),
                                       F.trim("brandcode").alias("brand"), "actwt")
-    vals = aggs.distinct_values(b, "brand", limit=1000)
+    vals = aggs.distinct_values(b, "brand")
     return aggs.pivot_sum(b, ["clock"], "brand", "actwt", vals, fill=None,
                           names=[f"brd_{v.lower()}" for v in vals])
 
@@ -160,7 +161,7 @@ def q_pivot_brand_sum(spark, d):
 KW = [g for g, _ in K.KEYWORD_GROUPS]
 
 
-@query("keyword_weights", W("select clock, " + ", ".join(f"round(sum({g}), 6) as {g}" for g in KW)
+@query("keyword_weights", W("select clock, " + ", ".join(f"sum({g}) as {g}" for g in KW)
                             + f" from (select date_trunc('hour', chargetime) as clock, {P.keyword_cols()}"
                             " from fx_burden) group by 1"))
 def q_keyword_weights(spark, d):
@@ -168,7 +169,7 @@ def q_keyword_weights(spark, d):
     return ingest.keyword_weights(fx.fx_burden(spark, d))
 
 
-@query("hourly_sum", W("""select clock, round(coalesce(sum(actwt), 0e0), 6) as actwt
+@query("hourly_sum", W("""select clock, (coalesce(sum(actwt), 0e0)) as actwt
 from (select date_trunc('hour', chargetime) as clock, case when actwt > 30000 then null else actwt end as actwt
       from fx_burden) group by 1"""))
 def q_hourly_sum(spark, d):
@@ -180,13 +181,13 @@ def q_hourly_sum(spark, d):
 
 # ---------------------------------------------------------------- joins
 
-@query("join3_inner", W("select clock, " + P.r6(P.PARA + ["coke_kg", "ore_coke_ratio", "hm_si", "hm_temp"])
+@query("join3_inner", W("select clock, " + P.named(P.PARA + ["coke_kg", "ore_coke_ratio", "hm_si", "hm_temp"])
                         + " from merged", P.FEATURE_CTES))
 def q_join3_inner(spark, d):
     return FT.merged_hourly(spark, d).select("clock", *P.PARA, "coke_kg", "ore_coke_ratio", "hm_si", "hm_temp")
 
 
-@query("offset_join", W("""select t.clock, round(t.hm_si, 6) as hm_si, round(b.coke_kg, 6) as coke_kg_8h_before
+@query("offset_join", W("""select t.clock, t.hm_si as hm_si, b.coke_kg as coke_kg_8h_before
 from tap_h t join bpiv b on t.clock = b.clock + interval 8 hour""", P.TAP_H + ",\n" + P.BURDEN_PIV))
 def q_offset_join(spark, d):
     """Charge at t meets tap at t + 8 h."""
@@ -212,21 +213,21 @@ def _left_fill(spark, d):
     return joins.join_left_fill(hp, kw, "clock", 0.0)
 
 
-@query("join_left_fill", W("select clock, " + P.r6(["hm_si", "hm_temp"] + P.PARA + KW) + " from lf", LEFT_SQL))
+@query("join_left_fill", W("select clock, " + P.named(["hm_si", "hm_temp"] + P.PARA + KW) + " from lf", LEFT_SQL))
 def q_join_left_fill(spark, d):
     return _left_fill(spark, d)
 
 
-@query("burden_ratios_alt", W("""select clock, round(ore_kg / nullif(coke_kg, 0), 6) as ore_coke_ratio,
-  round(flux_kg / nullif(ore_kg + sinter_kg + pellet_kg, 0), 6) as flux_iron_ratio,
-  round(ore_kg / nullif(ore_kg + sinter_kg + pellet_kg, 0), 6) as ore_frac from lf""", LEFT_SQL))
+@query("burden_ratios_alt", W("""select clock, (ore_kg / nullif(coke_kg, 0)) as ore_coke_ratio,
+  (flux_kg / nullif(ore_kg + sinter_kg + pellet_kg, 0)) as flux_iron_ratio,
+  (ore_kg / nullif(ore_kg + sinter_kg + pellet_kg, 0)) as ore_frac from lf""", LEFT_SQL))
 def q_burden_ratios_alt(spark, d):
     return ingest.burden_ratios_alt(_left_fill(spark, d)).select(
         "clock", "ore_coke_ratio", "flux_iron_ratio", "ore_frac")
 
 
-@query("join_suffix", W("""select t.clock, round(t.hm_si, 6) as hm_si, round(s.hm_si, 6) as hm_si_p,
-  round(s.hm_temp, 6) as hm_temp_p from tap_h t join (select date_trunc('hour', sampletaken) as clock,
+@query("join_suffix", W("""select t.clock, t.hm_si as hm_si, s.hm_si as hm_si_p,
+  s.hm_temp as hm_temp_p from tap_h t join (select date_trunc('hour', sampletaken) as clock,
   avg(hm_si) as hm_si, avg(hm_temp) as hm_temp from fx_tap where taphole = 0 group by 1) s using (clock)""", P.TAP_H))
 def q_join_suffix(spark, d):
     """Colliding right-side names get the ``_p`` suffix."""
@@ -238,7 +239,7 @@ def q_join_suffix(spark, d):
     return left.join(right, "clock")
 
 
-ASOF_SQL = """select t.tapno, t.unit_id, t.sampletaken, round(t.hm_si, 6) as hm_si, p.clock_raw, round(p.hbt, 6) as hbt
+ASOF_SQL = """select t.tapno, t.unit_id, t.sampletaken, t.hm_si as hm_si, p.clock_raw, p.hbt as hbt
 from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw"""
 
 
@@ -255,14 +256,14 @@ def q_asof_backward(spark, d):
     return _asof(spark, d)
 
 
-@query("asof_tolerance", W(f"""select *, round(date_diff('microsecond', clock_raw, sampletaken) / 3.6e9, 6) as lag_hours
+@query("asof_tolerance", W(f"""select *, (date_diff('microsecond', clock_raw, sampletaken) / 3.6e9) as lag_hours
 from ({ASOF_SQL}) where clock_raw is not null and date_diff('microsecond', clock_raw, sampletaken) / 3.6e9 <= 4"""))
 def q_asof_tolerance(spark, d):
     """As-of within 4 h, unmatched dropped; lag in hours kept."""
     return _asof(spark, d, tol=K.ASOF_TOLERANCE_HOURS)
 
 
-@query("asof_global", W("""select t.tapno, t.sampletaken, b.chargetime, b.brandcode, round(b.actwt, 6) as actwt
+@query("asof_global", W("""select t.tapno, t.sampletaken, b.chargetime, b.brandcode, b.actwt as actwt
 from fx_tap t asof left join fx_burden b on t.sampletaken >= b.chargetime"""))
 def q_asof_global(spark, d):
     """D1 without a series key: one long series, bucketed by day with carry-forward."""
@@ -273,7 +274,7 @@ def q_asof_global(spark, d):
 
 # ---------------------------------------------------------------- filters / fences
 
-@query("iqr_simultaneous", W("select clock, " + P.r6(["hm_si", "hm_temp", "hbt"]) + """ from merged m, fence f
+@query("iqr_simultaneous", W("select clock, " + P.named(["hm_si", "hm_temp", "hbt"]) + """ from merged m, fence f
   where m.hm_si >= f.s1 - 3 * (f.s3 - f.s1) and m.hm_si <= f.s3 + 3 * (f.s3 - f.s1)
     and m.hm_temp >= f.t1 - 3 * (f.t3 - f.t1) and m.hm_temp <= f.t3 + 3 * (f.t3 - f.t1)""", P.FEATURE_CTES))
 def q_iqr_simultaneous(spark, d):
@@ -295,7 +296,7 @@ def _seq_sql(src: str, cols, k: float, guard: bool) -> str:
 _SEQ_CTES, _SEQ_LAST = _seq_sql("merged", ["hm_si", "hm_temp"], 3.0, False)
 
 
-@query("iqr_sequential", W(f"select clock, {P.r6(['hm_si', 'hm_temp'])} from {_SEQ_LAST}",
+@query("iqr_sequential", W(f"select clock, {P.named(['hm_si', 'hm_temp'])} from {_SEQ_LAST}",
                            P.FEATURE_CTES + ",\n" + _SEQ_CTES))
 def q_iqr_sequential(spark, d):
     """Second fence computed on the survivors of the first."""
@@ -307,7 +308,7 @@ _ALLNUM = ["hm_si", "hm_temp"] + P.PARA
 _ALL_CTES, _ALL_LAST = _seq_sql("lf", _ALLNUM, 3.5, True)
 
 
-@query("iqr_all_numeric", W(f"select clock, {P.r6(_ALLNUM)} from {_ALL_LAST}", LEFT_SQL + ",\n" + _ALL_CTES))
+@query("iqr_all_numeric", W(f"select clock, {P.named(_ALLNUM)} from {_ALL_LAST}", LEFT_SQL + ",\n" + _ALL_CTES))
 def q_iqr_all_numeric(spark, d):
     """Every numeric column in order, k=3.5, burden weights exempt, iqr ≤ 0 skipped."""
     lf = _left_fill(spark, d)
@@ -315,7 +316,7 @@ def q_iqr_all_numeric(spark, d):
     return out.select("clock", *_ALLNUM)
 
 
-@query("dropna_subset", W("""select tapno, round(hm_si, 6) as hm_si from (select tapno,
+@query("dropna_subset", W("""select tapno, hm_si as hm_si from (select tapno,
   case when tapno % 9 = 0 then null else hm_si end as hm_si from fx_tap) where hm_si is not null"""))
 def q_dropna_subset(spark, d):
     t = fx.fx_tap(spark, d).select("tapno", F.when(F.col("tapno") % 9 == 0, None)
@@ -323,7 +324,7 @@ def q_dropna_subset(spark, d):
     return clean.dropna_subset(t, ["hm_si"])
 
 
-@query("dropna_any", W("select clock, " + P.r6(["hm_si", "hm_temp", "hbt"]) + """ from (select t.clock, t.hm_si, t.hm_temp, p.hbt
+@query("dropna_any", W("select clock, " + P.named(["hm_si", "hm_temp", "hbt"]) + """ from (select t.clock, t.hm_si, t.hm_temp, p.hbt
   from tap_h t left join para_h p using (clock)) where hbt is not null""", P.TAP_H + ",\n" + P.PARA_H))
 def q_dropna_any(spark, d):
     t = FT.tap_hourly(spark, d)
@@ -337,7 +338,7 @@ QPROBS = [0.25, 0.33, 0.5, 0.66, 0.75]
 
 
 @query("exact_quantiles", W("select taphole, " + ", ".join(
-    f"round(quantile_cont({c}, {p}), 6) as {c}_q{aggs._pct(p)}" for c in ["hm_si", "hm_temp"] for p in QPROBS)
+    f"quantile_cont({c}, {p}) as {c}_q{aggs._pct(p)}" for c in ["hm_si", "hm_temp"] for p in QPROBS)
     + " from fx_tap group by taphole"))
 def q_exact_quantiles(spark, d):
     """E5 on raw taps per taphole: distributed exact quantiles (no group in one task)."""
@@ -351,15 +352,15 @@ RANGE_COLS = ["hbt", "oxygen_flow", "coal_actual", "ore_coke_ratio", "thermal_id
 
 
 @query("feature_ranges", W("select * from (" + " union all ".join(
-    f"select '{c}' as feature, round(quantile_cont({c}, 0.01), 6) as p01, round(quantile_cont({c}, 0.99), 6) as p99, "
-    f"round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std from feat" for c in RANGE_COLS) + ")",
+    f"select '{c}' as feature, quantile_cont({c}, 0.01) as p01, quantile_cont({c}, 0.99) as p99, "
+    f"avg({c}) as mean, stddev_samp({c}) as std from feat" for c in RANGE_COLS) + ")",
     P.FEATURE_CTES))
 def q_feature_ranges(spark, d):
     return aggs.feature_ranges(FT.feature_table(spark, d), RANGE_COLS)
 
 
 @query("data_summary", W("""select count(*) as n_records, strftime(min(clock), '%Y-%m-%d') as date_start,
-  strftime(max(clock), '%Y-%m-%d') as date_end, round(avg(hm_si), 6) as hm_si_mean, round(avg(hm_temp), 6) as hm_temp_mean
+  strftime(max(clock), '%Y-%m-%d') as date_end, avg(hm_si) as hm_si_mean, avg(hm_temp) as hm_temp_mean
 from feat""", P.FEATURE_CTES))
 def q_data_summary(spark, d):
     return aggs.data_summary(FT.feature_table(spark, d), "clock", ["hm_si", "hm_temp"])
@@ -370,15 +371,15 @@ CORR_COLS = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "ore_cok
 
 
 @query("correlation_matrix", W("select * from (" + " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 6) as corr from feat"
+    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as corr from feat"
     for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i:]) + ")", P.FEATURE_CTES))
 def q_correlation_matrix(spark, d):
     return aggs.correlation_pairs(FT.feature_table(spark, d), CORR_COLS)
 
 
-@query("histogram", W("""select bin, n, round(mn + (mx - mn) * bin / 40e0, 6) as bin_lo,
-  round(mn + (mx - mn) * (bin + 1) / 40e0, 6) as bin_hi,
-  round(n / (sum(n) over () * (mx - mn) / 40e0), 6) as density from (
+@query("histogram", W("""select bin, n, (mn + (mx - mn) * bin / 40e0) as bin_lo,
+  (mn + (mx - mn) * (bin + 1) / 40e0) as bin_hi,
+  (n / (sum(n) over () * (mx - mn) / 40e0)) as density from (
   select least(cast(floor((hm_si - mn) / ((mx - mn) / 40e0)) as int), 39) as bin, mn, mx,
          count(*) as n from fx_tap, (select min(hm_si) as mn, max(hm_si) as mx from fx_tap)
   where hm_si is not null group by 1, 2, 3) x"""))
@@ -386,8 +387,8 @@ def q_histogram(spark, d):
     return aggs.histogram(fx.fx_tap(spark, d), "hm_si", bins=40)
 
 
-@query("interval_coverage", W("""select taphole, round(avg(case when coalesce(hm_si >= pred_si - 0.05
-  and hm_si <= pred_si + 0.05, false) then 1e0 else 0e0 end), 6) as coverage, count(*) as n
+@query("interval_coverage", W("""select taphole, (avg(case when coalesce(hm_si >= pred_si - 0.05
+  and hm_si <= pred_si + 0.05, false) then 1e0 else 0e0 end)) as coverage, count(*) as n
 from fx_pred group by taphole"""))
 def q_interval_coverage(spark, d):
     p = fx.fx_pred(spark, d).withColumns({"lo": F.col("pred_si") - 0.05, "hi": F.col("pred_si") + 0.05})
@@ -407,7 +408,7 @@ dj as (select * from dt join bd using (clock)),
 df as (select quantile_cont(target, 0.25) as a, quantile_cont(target, 0.75) as b from dj)"""
 
 
-@query("daily_offset_join", W("select clock, n_orders, " + P.r6(["target"] + [f"brd_{t.lower()}" for t in P_TYPES]
+@query("daily_offset_join", W("select clock, n_orders, " + P.named(["target"] + [f"brd_{t.lower()}" for t in P_TYPES]
                                                                + ["total_kg", "promo_frac"])
                               + """ from (select dj.*, brd_promo / nullif(total_kg, 0) as promo_frac from dj, df
     where target >= a - 3 * (b - a) and target <= b + 3 * (b - a))""", DAILY_SQL))
@@ -416,7 +417,8 @@ def q_daily_offset_join(spark, d):
     daily order totals, IQR-fenced on the target."""
     b = fx.fx_daily_burden(spark, d).where(F.col("chargetime").isNotNull()).select(
         S.floor_day("chargetime").alias("clock"), F.trim("brandcode").alias("brand"), "actwt")
-    vals = aggs.distinct_values(b, "brand", limit=1000)
+    # the charges are scanned once: brands come from part, and a brand that never occurs is a column of zeros
+    vals = aggs.distinct_values(read_table(spark, d, "part", ["p_type"]).select(F.trim("p_type").alias("brand")), "brand")
     names = [f"brd_{v.lower()}" for v in vals]
     piv = aggs.pivot_sum(b, ["clock"], "brand", "actwt", vals, fill=0.0, names=names)
     # every brand has a column, so the total is their sum (no second pass over the charges)
@@ -425,21 +427,23 @@ def q_daily_offset_join(spark, d):
     t = fx.fx_daily_tap(spark, d).where(F.col("sampletaken").isNotNull()).groupBy(
         S.floor_day("sampletaken").alias("clock")).agg(F.avg("target").alias("target"),
                                                        F.count(F.lit(1)).alias("n_orders"))
-    j = clean.iqr_simultaneous(t.join(piv, "clock"), ["target"], k=3.0)
-    return j.withColumn("promo_frac", S.safe_div("brd_promo", "total_kg")).select(
-        "clock", "n_orders", "target", *[f"brd_{v.lower()}" for v in P_TYPES], "total_kg", "promo_frac")
+    # one row per day; checkpointed, so the fence statistics do not scan the charges again
+    j = clean.iqr_simultaneous(t.join(piv, "clock").checkpoint(), ["target"], k=3.0)
+    promo = F.col("brd_promo") if "brd_promo" in names else F.lit(0.0)
+    return j.withColumn("promo_frac", F.try_divide(promo, "total_kg")).select(
+        "clock", "n_orders", "target", *names, "total_kg", "promo_frac")
 
 
 INTER = ["thermal_idx", "coal_intensity", "gas_eff", "burden_thermal", "flux_thermal"]
 
 
-@query("interaction_features", W(f"select clock, {P.r6(INTER)} from feat", P.FEATURE_CTES))
+@query("interaction_features", W(f"select clock, {P.named(INTER)} from feat", P.FEATURE_CTES))
 def q_interaction_features(spark, d):
     """Thermal index, coal intensity (zero production → NULL), gas efficiency, burden/flux × HBT."""
     return FT.feature_table(spark, d).select("clock", *INTER)
 
 
-@query("lag_hours", W("""select t.tapno, round(date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9, 6) as lag_hours
+@query("lag_hours", W("""select t.tapno, (date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9) as lag_hours
 from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw"""))
 def q_lag_hours(spark, d):
     """Age in hours of the matched process reading for every tap (NULL when none)."""

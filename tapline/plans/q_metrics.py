@@ -23,15 +23,15 @@ def scored(spark, d):
     p = fx.fx_pred(spark, d)
     p = p.withColumns({"actual": S.cut_right_closed("hm_si", K.SI_EDGES, K.SI_LABELS),
                        "predicted": S.cut_right_closed("pred_si", K.SI_EDGES, K.SI_LABELS)})
-    raw = {c: F.exp(-F.abs(F.col("pred_si") - F.lit(v)) * 10) for c, v in CENTERS.items()}
+    # sums and quotients only: both engines round those alike, so they see the same distinct thresholds
+    raw = {c: F.lit(1.0) / (F.abs(F.col("pred_si") - F.lit(v)) * 10 + 1) for c, v in CENTERS.items()}
     tot = raw["Low"] + raw["Normal"] + raw["High"]
-    # scores rounded to 9 digits so both engines see the same distinct thresholds
-    return p.withColumns({f"p_{c.lower()}": F.round(raw[c] / tot, 9) for c in CLS})
+    return p.withColumns({f"p_{c.lower()}": raw[c] / tot for c in CLS})
 
 
-SCORED_SQL = """scored as (select *, round(exp(-abs(pred_si - 0.15) * 10) / t, 9) as p_low,
-   round(exp(-abs(pred_si - 0.5) * 10) / t, 9) as p_normal, round(exp(-abs(pred_si - 1.2) * 10) / t, 9) as p_high from (select *,
-   exp(-abs(pred_si - 0.15) * 10) + exp(-abs(pred_si - 0.5) * 10) + exp(-abs(pred_si - 1.2) * 10) as t,
+SCORED_SQL = """scored as (select *, ((1e0 / (abs(pred_si - 0.15) * 10 + 1)) / t) as p_low,
+   ((1e0 / (abs(pred_si - 0.5) * 10 + 1)) / t) as p_normal, ((1e0 / (abs(pred_si - 1.2) * 10 + 1)) / t) as p_high from (select *,
+   (1e0 / (abs(pred_si - 0.15) * 10 + 1)) + (1e0 / (abs(pred_si - 0.5) * 10 + 1)) + (1e0 / (abs(pred_si - 1.2) * 10 + 1)) as t,
    case when hm_si is null then 'nan' when hm_si <= 0.25 then 'Low' when hm_si <= 0.8 then 'Normal' else 'High' end as actual,
    case when pred_si is null then 'nan' when pred_si <= 0.25 then 'Low' when pred_si <= 0.8 then 'Normal' else 'High' end as predicted
    from fx_pred))"""
@@ -46,32 +46,32 @@ pcf as (select *, case when precision + recall > 0 then 2 * precision * recall /
 
 
 @query("regression_metrics", W("""select taphole, count(*) as n,
-  round(1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*)), 6) as r2,
-  round(avg(abs(hm_si - pred_si)), 6) as mae, round(sqrt(sum((hm_si - pred_si) ^ 2) / count(*)), 6) as rmse
+  (1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*))) as r2,
+  (avg(abs(hm_si - pred_si))) as mae, (sqrt(sum((hm_si - pred_si) ^ 2) / count(*))) as rmse
 from fx_pred where hm_si is not null and pred_si is not null group by taphole"""))
 def q_regression_metrics(spark, d):
     """L1: R², MAE, RMSE per taphole (SST = n·var_pop, not squared correlation)."""
     return metrics.regression_metrics(fx.fx_pred(spark, d), "hm_si", "pred_si", by="taphole")
 
 
-@query("classification_metrics", W("""select round(sum(tp) / sum(support), 6) as accuracy,
-  round(avg(precision), 6) as precision_macro, round(avg(recall), 6) as recall_macro, round(avg(f1), 6) as f1_macro
+@query("classification_metrics", W("""select (sum(tp) / sum(support)) as accuracy,
+  avg(precision) as precision_macro, avg(recall) as recall_macro, avg(f1) as f1_macro
 from pcf""", SCORED_SQL + ",\n" + PER_CLASS_SQL))
 def q_classification_metrics(spark, d):
     """L2: accuracy and macro scores with zero division → 0."""
     return metrics.classification_metrics(scored(spark, d), "actual", "predicted")
 
 
-@query("class_report", W("""select cls as label, round(precision, 6) as precision, round(recall, 6) as recall,
-  round(f1, 6) as f1, support from pcf
-union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from pcf
-union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from pcf""", SCORED_SQL + ",\n" + PER_CLASS_SQL))
+@query("class_report", W("""select cls as label, precision as precision, recall as recall,
+  f1 as f1, support from pcf
+union all select 'macro avg', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint) from pcf
+union all select 'weighted avg', (sum(precision * support) / sum(support)), (sum(recall * support) / sum(support)),
+  (sum(f1 * support) / sum(support)), cast(sum(support) as bigint) from pcf""", SCORED_SQL + ",\n" + PER_CLASS_SQL))
 def q_class_report(spark, d):
     return metrics.class_report(scored(spark, d), "actual", "predicted")
 
 
-@query("confusion_matrix", W("""select actual, predicted, n, round(n / sum(n) over (partition by actual), 6) as row_share
+@query("confusion_matrix", W("""select actual, predicted, n, (n / sum(n) over (partition by actual)) as row_share
 from (select actual, predicted, count(*) as n from scored group by 1, 2)""", SCORED_SQL))
 def q_confusion_matrix(spark, d):
     return metrics.confusion_matrix(scored(spark, d), "actual", "predicted")
@@ -88,17 +88,17 @@ def _auc_sql(cls, col):
 AUC_SQL = " union all ".join(_auc_sql(c, f"p_{c.lower()}") for c in CLS)
 
 
-@query("roc_auc_ovr", W(f"""select label, round(auc, 6) as auc from ({AUC_SQL})
-union all select 'macro', round(avg(auc), 6) from ({AUC_SQL})""", SCORED_SQL))
+@query("roc_auc_ovr", W(f"""select label, auc as auc from ({AUC_SQL})
+union all select 'macro', avg(auc) from ({AUC_SQL})""", SCORED_SQL))
 def q_roc_auc_ovr(spark, d):
     """One-vs-rest AUC via mid-ranks (distributed prefix sums), macro row."""
     return metrics.roc_auc_ovr(scored(spark, d), "actual", {c: f"p_{c.lower()}" for c in CLS})
 
 
 def _roc_sql(cls, col):
-    return f"""select '{cls}' as label, round(s, 6) as threshold,
-  round(sum(fp) over (order by s desc rows between unbounded preceding and current row) / sum(fp) over (), 6) as fpr,
-  round(sum(tp) over (order by s desc rows between unbounded preceding and current row) / sum(tp) over (), 6) as tpr
+    return f"""select '{cls}' as label, s as threshold,
+  (sum(fp) over (order by s desc rows between unbounded preceding and current row) / sum(fp) over ()) as fpr,
+  (sum(tp) over (order by s desc rows between unbounded preceding and current row) / sum(tp) over ()) as tpr
 from (select {col} as s, sum(case when actual = '{cls}' then 1 else 0 end) as tp,
   sum(case when actual = '{cls}' then 0 else 1 end) as fp from scored group by 1)"""
 
@@ -110,10 +110,10 @@ def q_roc_curve(spark, d):
 
 
 @query("masked_metrics", W("""select taphole, count(*) as n_rows, count(case when p is not null then 1 end) as n,
-  round(1 - sum(case when p is not null then (hm_si - p) ^ 2 end)
-        / (var_pop(case when p is not null then hm_si end) * count(case when p is not null then hm_si end)), 6) as r2,
-  round(avg(case when p is not null then abs(hm_si - p) end), 6) as mae,
-  round(sqrt(sum(case when p is not null then (hm_si - p) ^ 2 end) / count(case when p is not null then 1 end)), 6) as rmse
+  (1 - sum(case when p is not null then (hm_si - p) ^ 2 end)
+        / (var_pop(case when p is not null then hm_si end) * count(case when p is not null then hm_si end))) as r2,
+  (avg(case when p is not null then abs(hm_si - p) end)) as mae,
+  (sqrt(sum(case when p is not null then (hm_si - p) ^ 2 end) / count(case when p is not null then 1 end))) as rmse
 from (select *, case when hm_temp = 1450 + 70 or hm_temp = 1450 then null else pred_si end as p from fx_pred)
 group by taphole"""))
 def q_masked_metrics(spark, d):
@@ -123,16 +123,16 @@ def q_masked_metrics(spark, d):
     return metrics.masked_metrics(p, "hm_si", "p", by="taphole")
 
 
-@query("residual_stats", W("""select taphole, round(avg(hm_si - pred_si), 6) as bias,
-  round(stddev_pop(hm_si - pred_si), 6) as resid_std, count(*) as n from fx_pred
+@query("residual_stats", W("""select taphole, avg(hm_si - pred_si) as bias,
+  stddev_pop(hm_si - pred_si) as resid_std, count(*) as n from fx_pred
 where hm_si - pred_si is not null group by taphole"""))
 def q_residual_stats(spark, d):
     return metrics.residual_stats(fx.fx_pred(spark, d), "hm_si", "pred_si", by="taphole")
 
 
-@query("scorecard", W("""select target, round(coalesce(max(acc) filter (where model = 'noisy'), 0e0), 6) as noisy,
-  round(coalesce(max(acc) filter (where model = 'always_normal'), 0e0), 6) as always_normal,
-  round(coalesce(max(acc) filter (where model = 'unscored'), 0e0), 6) as unscored from (
+@query("scorecard", W("""select target, (coalesce(max(acc) filter (where model = 'noisy'), 0e0)) as noisy,
+  (coalesce(max(acc) filter (where model = 'always_normal'), 0e0)) as always_normal,
+  (coalesce(max(acc) filter (where model = 'unscored'), 0e0)) as unscored from (
   select 'si_class' as target, 'noisy' as model, avg(case when actual = predicted then 1e0 else 0e0 end) as acc from scored
   union all select 'si_class', 'always_normal', avg(case when actual = 'Normal' then 1e0 else 0e0 end) from scored
   union all select 'temp_class', 'noisy', avg(case when (case when hm_temp <= 1480 then 'Low' when hm_temp <= 1535 then 'Normal' else 'High' end)
@@ -151,7 +151,7 @@ def q_scorecard(spark, d):
     return metrics.scorecard(acc, "target", "model", "acc", ["noisy", "always_normal", "unscored"])
 
 
-@query("best_model", W("""select taphole, model as best_model, round(r2, 6) as r2 from (
+@query("best_model", W("""select taphole, model as best_model, r2 as r2 from (
   select *, row_number() over (partition by taphole order by r2 desc, model_order) as rn from (
     select taphole, 'noisy' as model, 1 as model_order, 1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*)) as r2
       from fx_pred group by taphole
@@ -180,7 +180,7 @@ ht as (select {t_ppf_sql(0.975, 'greatest(n - 2, 1)')} * rmse * sqrt(1 + 1e0 / n
               {t_ppf_sql(0.975, 'greatest(n - 2, 1)')} as t_crit from st)"""
 
 
-@query("pi_rmse", W("""select tapno, round(pred_si - half, 6) as pi_lo, round(pred_si + half, 6) as pi_hi,
+@query("pi_rmse", W("""select tapno, (pred_si - half) as pi_lo, (pred_si + half) as pi_hi,
   coalesce(hm_si between pred_si - half and pred_si + half, false) as in_pi from fx_pred, ht""", PI_SQL))
 def q_pi_rmse(spark, d):
     """ŷ ± t·RMSE·√(1+1/n) for every scored row, plus the in-interval flag."""
@@ -190,7 +190,7 @@ def q_pi_rmse(spark, d):
     return x.select("tapno", "pi_lo", "pi_hi", S.in_spec("hm_si", F.col("pi_lo"), F.col("pi_hi")).alias("in_pi"))
 
 
-@query("ci_vs_pi", W("""select round(t_crit, 6) as t_crit, round(ci_half, 6) as ci_half, round(half, 6) as pi_half
+@query("ci_vs_pi", W("""select t_crit as t_crit, ci_half as ci_half, half as pi_half
 from ht""", PI_SQL))
 def q_ci_vs_pi(spark, d):
     """M1d: mean-response CI against observation PI (half-widths)."""
@@ -205,8 +205,8 @@ def q_ci_vs_pi(spark, d):
 _T4 = t_ppf(0.975, 4)
 
 
-@query("cv_ci", W(f"""select k, round(mean, 6) as mean, round(std, 6) as std,
-  round(greatest(0e0, mean - {_T4!r} * std / sqrt(k)), 6) as ci_lo, round(least(1e0, mean + {_T4!r} * std / sqrt(k)), 6) as ci_hi
+@query("cv_ci", W(f"""select k, mean as mean, std as std,
+  (greatest(0e0, mean - {_T4!r} * std / sqrt(k))) as ci_lo, (least(1e0, mean + {_T4!r} * std / sqrt(k))) as ci_hi
 from (select count(*) as k, avg(r2) as mean, stddev_samp(r2) as std from (
   select fold, 1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*)) as r2 from (
     select *, case when r < (n % 5) * (n // 5 + 1) then r // (n // 5 + 1)
@@ -230,7 +230,7 @@ def ts_hourly(spark, d):
     return aggs.hourly_mean(fx.fx_tap(spark, d), "sampletaken", ["hm_si", "hm_temp"])
 
 
-@query("acf", W("""select a.taphole, a.lag, round(a.num / b.den, 6) as acf, round(1.959963984540054 / sqrt(b.n), 6) as band
+@query("acf", W("""select a.taphole, a.lag, (a.num / b.den) as acf, (1.959963984540054 / sqrt(b.n)) as band
 from (select x.taphole, cast(x.rn - y.rn as integer) as lag, sum(x.d * y.d) as num from dd x join dd y
       on x.taphole = y.taphole and x.rn - y.rn between 1 and 40 group by 1, 2) a
 join (select taphole, count(*) as n, sum(d * d) as den from dd group by taphole) b using (taphole)""",
@@ -242,7 +242,7 @@ def q_acf(spark, d):
     return tseries.acf(series(spark, d), "hm_si", 40, by="taphole")
 
 
-@query("naive_mean", W(f"""select s.taphole, s.clock, round(s.hm_si, 6) as hm_si, round(m.naive, 6) as naive from (
+@query("naive_mean", W(f"""select s.taphole, s.clock, s.hm_si as hm_si, m.naive as naive from (
   select *, row_number() over (partition by taphole order by clock) as rn, count(*) over (partition by taphole) as n
   from series) s join (select taphole, avg(hm_si) as naive from (select *, row_number() over (partition by taphole order by clock) as rn,
   count(*) over (partition by taphole) as n from series) where rn <= floor(n * 0.8) group by taphole) m using (taphole)
@@ -255,8 +255,8 @@ def q_naive_mean(spark, d):
         .select("taphole", "clock", "hm_si", "naive")
 
 
-@query("var1_moments", W("""select round(regr_slope(hm_si, si1), 6) as slope_si_on_si1, round(regr_intercept(hm_si, si1), 6) as icpt_si,
-  round(regr_slope(hm_temp, t1), 6) as slope_temp_on_t1, round(regr_intercept(hm_temp, t1), 6) as icpt_temp, count(*) as n from (
+@query("var1_moments", W("""select regr_slope(hm_si, si1) as slope_si_on_si1, regr_intercept(hm_si, si1) as icpt_si,
+  regr_slope(hm_temp, t1) as slope_temp_on_t1, regr_intercept(hm_temp, t1) as icpt_temp, count(*) as n from (
   select *, lag(hm_si) over (order by clock) as si1, lag(hm_temp) over (order by clock) as t1 from ts)
 where si1 is not null and t1 is not null and hm_si is not null and hm_temp is not null""", TS_SQL))
 def q_var1_moments(spark, d):
@@ -310,8 +310,8 @@ VAR1_SQL = TS_SQL + """, lagged as (select * from (select hm_si, hm_temp, lag(hm
   and hm_si is not null and hm_temp is not null)"""
 
 
-@query("pi_var", W(f"""select equation, round(const, 6) as const, round(b1, 6) as coef_hm_si_l1, round(b2, 6) as coef_hm_temp_l1,
-  round(sqrt(sigma2), 6) as sigma, round(1.959963984540054 * sqrt(sigma2), 6) as pi_half from ({_var1_sql()})""", VAR1_SQL))
+@query("pi_var", W(f"""select equation, const as const, b1 as coef_hm_si_l1, b2 as coef_hm_temp_l1,
+  sqrt(sigma2) as sigma, (1.959963984540054 * sqrt(sigma2)) as pi_half from ({_var1_sql()})""", VAR1_SQL))
 def q_pi_var(spark, d):
     """M1f: VAR(1) on the hourly (si, temp) series; residual-covariance interval ±z·√Σ_ii."""
     from ..functions.dist import norm_ppf

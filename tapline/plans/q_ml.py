@@ -27,20 +27,20 @@ def gap_table(spark, d):
 
 
 @query("impute_median", W("select clock, " + ", ".join(
-    f"round(coalesce({c}, (select median({c}) from gap)), 6) as {c}" for c in PCOLS) + " from gap", GAP_SQL))
+    f"(coalesce({c}, (select median({c}) from gap))) as {c}" for c in PCOLS) + " from gap", GAP_SQL))
 def q_impute_median(spark, d):
     """Exact median fill (the ML Imputer's median is approximate)."""
     return clean.impute_median(gap_table(spark, d), PCOLS).select("clock", *PCOLS)
 
 
-@query("fill_zero", W("select clock, " + ", ".join(f"round(coalesce({c}, 0e0), 6) as {c}" for c in PCOLS)
+@query("fill_zero", W("select clock, " + ", ".join(f"coalesce({c}, 0e0) as {c}" for c in PCOLS)
                       + " from gap", GAP_SQL))
 def q_fill_zero(spark, d):
     return clean.fill_zero(gap_table(spark, d), PCOLS).select("clock", *PCOLS)
 
 
 @query("scale_standard", W("select clock, " + ", ".join(
-    f"round(({c} - (select avg({c}) from para_h)) / (select stddev_pop({c}) from para_h), 6) as {c}" for c in PCOLS)
+    f"(({c} - (select avg({c}) from para_h)) / (select stddev_pop({c}) from para_h)) as {c}" for c in PCOLS)
     + " from para_h", P.PARA_H))
 def q_scale_standard(spark, d):
     """Population-std scaling (Spark ML's scaler uses the sample std)."""
@@ -48,15 +48,15 @@ def q_scale_standard(spark, d):
 
 
 @query("scale_robust", W("select clock, " + ", ".join(
-    f"round(({c} - (select median({c}) from para_h)) / (select quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) from para_h), 6) as {c}"
+    f"(({c} - (select median({c}) from para_h)) / (select quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) from para_h)) as {c}"
     for c in PCOLS) + " from para_h", P.PARA_H))
 def q_scale_robust(spark, d):
     """(x − median) / IQR with exact quantiles."""
     return clean.scale_robust(FT.para_hourly(spark, d), PCOLS).select("clock", *PCOLS)
 
 
-@query("scale_minmax", W("""select clock, round((hm_si - mn) / (mx - mn), 6) as hm_si_scaled,
-  round(((hm_si - mn) / (mx - mn)) * (mx - mn) + mn, 6) as hm_si_back
+@query("scale_minmax", W("""select clock, ((hm_si - mn) / (mx - mn)) as hm_si_scaled,
+  (((hm_si - mn) / (mx - mn)) * (mx - mn) + mn) as hm_si_back
 from tap_h, (select min(hm_si) as mn, max(hm_si) as mx from tap_h)""", P.TAP_H))
 def q_scale_minmax(spark, d):
     """Min-max scaling of the target and its inverse."""
@@ -80,8 +80,8 @@ def q_label_encode(spark, d):
     return MP.label_encode(f, "si_class")
 
 
-@query("class_weights", W("""select clock, si_class, round(count(*) over () / ((select count(distinct si_class) from lab)
-  * count(*) over (partition by si_class)), 6) as weight from lab""", LABEL_SQL))
+@query("class_weights", W("""select clock, si_class, (count(*) over () / ((select count(distinct si_class) from lab)
+  * count(*) over (partition by si_class))) as weight from lab""", LABEL_SQL))
 def q_class_weights(spark, d):
     """Balanced class weights n / (k · n_c)."""
     f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class")
@@ -425,7 +425,7 @@ def q_contributions(spark, d):
     return SC.contributions(f, _requests(ctx), "clock")
 
 
-@query("contributions_classification", W("""select t.clock, t.feature, round(t.v - m.mu, 6) as contribution from
+@query("contributions_classification", W("""select t.clock, t.feature, (t.v - m.mu) as contribution from
   (select clock, 'hbt' as feature, hbt as v from feat union all select clock, 'oxygen_flow', oxygen_flow from feat) t
   join (select 'hbt' as feature, avg(hbt) as mu from feat union all select 'oxygen_flow', avg(oxygen_flow) from feat) m
   on t.feature = m.feature""", P.FEATURE_CTES))
@@ -487,13 +487,13 @@ def _lin_sql():
     return " union all ".join(parts)
 
 
-@query("sensitivity_summary", W(f"""select feature, round(min(x), 6) as x_first, round(max(x), 6) as x_last,
-  round(min(pred_si), 6) as pred_si_min, round(max(pred_si), 6) as pred_si_max,
-  round(max(pred_si) - min(pred_si), 6) as pred_si_range,
-  round(arg_max(pred_si, x) - arg_min(pred_si, x), 6) as pred_si_delta,
-  round(min(pred_temp), 6) as pred_temp_min, round(max(pred_temp), 6) as pred_temp_max,
-  round(max(pred_temp) - min(pred_temp), 6) as pred_temp_range,
-  round(arg_max(pred_temp, x) - arg_min(pred_temp, x), 6) as pred_temp_delta
+@query("sensitivity_summary", W(f"""select feature, min(x) as x_first, max(x) as x_last,
+  min(pred_si) as pred_si_min, max(pred_si) as pred_si_max,
+  (max(pred_si) - min(pred_si)) as pred_si_range,
+  (arg_max(pred_si, x) - arg_min(pred_si, x)) as pred_si_delta,
+  min(pred_temp) as pred_temp_min, max(pred_temp) as pred_temp_max,
+  (max(pred_temp) - min(pred_temp)) as pred_temp_range,
+  (arg_max(pred_temp, x) - arg_min(pred_temp, x)) as pred_temp_delta
 from ({_lin_sql()}) group by feature""", P.FEATURE_CTES))
 def q_sensitivity_summary(spark, d):
     """min/max/range and last−first delta of both responses per swept feature."""

@@ -25,7 +25,7 @@ SPEC_SQL = "spec as (select * from (values " + ", ".join(
     f"('{k}', {lo}e0, {hi}e0)" for k, (lo, hi) in K.SPEC_LIMITS.items()) + ") t(target, spec_lo, spec_hi))"
 
 
-@query("tertile_label", W("""select tapno, round(hm_si, 6) as hm_si, case when hm_si is null then null
+@query("tertile_label", W("""select tapno, hm_si as hm_si, case when hm_si is null then null
   when hm_si < q.a then 0 when hm_si <= q.b then 1 else 2 end as si_tertile
 from fx_tap, (select quantile_cont(hm_si, 0.33) as a, quantile_cont(hm_si, 0.66) as b from fx_tap) q"""))
 def q_tertile_label(spark, d):
@@ -78,7 +78,7 @@ def tap_long(spark, d, cols=("hm_si", "hm_temp", "hm_s", "hm_p")):
     return t.selectExpr("tapno", f"stack({len(cols)}, {stack}) as (target, value)")
 
 
-@query("spec_check", W("""select t.tapno, t.target, round(t.value, 6) as value, s.spec_lo, s.spec_hi,
+@query("spec_check", W("""select t.tapno, t.target, t.value as value, s.spec_lo, s.spec_hi,
   coalesce(t.value between s.spec_lo and s.spec_hi, false) as in_spec,
   case when coalesce(t.value between s.spec_lo and s.spec_hi, false) then 'in spec' else 'out of spec' end as status
 from (select tapno, 'hm_si' as target, hm_si as value from fx_tap union all select tapno, 'hm_temp', hm_temp from fx_tap
@@ -105,9 +105,9 @@ def q_operating_window(spark, d):
                     F.when(si & te, "inside").otherwise("outside").alias("window"))
 
 
-@query("guarded_ratio", W("""select clock, round(total_iron_kg / greatest(coke_kg, 1e0), 6) as ore_coke_guarded,
-  round(coal_actual / greatest(prod_rate, 1e0), 6) as coal_intensity_guarded,
-  round(total_flux_kg / greatest(total_iron_kg, 1e0), 6) as flux_iron_guarded from feat""", P.FEATURE_CTES))
+@query("guarded_ratio", W("""select clock, (total_iron_kg / greatest(coke_kg, 1e0)) as ore_coke_guarded,
+  (coal_actual / greatest(prod_rate, 1e0)) as coal_intensity_guarded,
+  (total_flux_kg / greatest(total_iron_kg, 1e0)) as flux_iron_guarded from feat""", P.FEATURE_CTES))
 def q_guarded_ratio(spark, d):
     """Inference-time ratios with max(den, 1) (differs from B16 on zeros)."""
     f = FT.feature_table(spark, d)
@@ -120,7 +120,7 @@ DEF_COLS = ["hbt", "oxygen_flow", "etaco"]
 
 
 @query("default_inputs", W("select t.clock, " + ", ".join(
-    f"round(coalesce(p.{c}, m.{c}), 6) as {c}" for c in DEF_COLS)
+    f"coalesce(p.{c}, m.{c}) as {c}" for c in DEF_COLS)
     + " from tap_h t left join para_h p using (clock), (select " + ", ".join(f"avg({c}) as {c}" for c in DEF_COLS)
     + " from para_h) m", P.TAP_H + ",\n" + P.PARA_H))
 def q_default_inputs(spark, d):
@@ -142,7 +142,7 @@ def q_feature_family(spark, d):
     return b.unionByName(p).select("feature", S.feature_family("feature").alias("family"))
 
 
-@query("guidance", W("""select taphole, round(d_si, 6) as delta_si, round(d_temp, 6) as delta_temp,
+@query("guidance", W("""select taphole, d_si as delta_si, d_temp as delta_temp,
   case when d_si > 0 and d_temp > 0 then 'raises both silicon and temperature'
        when d_si < 0 and d_temp < 0 then 'lowers both silicon and temperature'
        when d_si > 0 and d_temp <= 0 then 'raises silicon, not temperature'
@@ -162,7 +162,7 @@ def q_guidance(spark, d):
 GRID_FEATS = ["hbt", "oxygen_flow", "coal_actual", "ore_coke_ratio"]
 
 
-@query("linspace_grid", W("select feature, cast(i as integer) as point_no, round(a + (b - a) * i / 24e0, 6) as feature_value from ("
+@query("linspace_grid", W("select feature, cast(i as integer) as point_no, (a + (b - a) * i / 24e0) as feature_value from ("
                           + " union all ".join(
                               f"select '{c}' as feature, quantile_cont({c}, 0.01) as a, "
                               f"case when quantile_cont({c}, 0.99) = quantile_cont({c}, 0.01) "
@@ -186,7 +186,7 @@ def q_forecast_time(spark, d):
 # ------------------------------------------------------------------ lookups
 
 
-@query("lookup_fallback", W(f"""select k.material, round(coalesce(a.w, b.w, 0e0), 6) as weight from
+@query("lookup_fallback", W(f"""select k.material, coalesce(a.w, b.w, 0e0) as weight from
   (select distinct {P.material_case()} as material from fx_burden union select 'scrap_kg') k
   left join (select {P.material_case()} as material, sum(actwt) as w from fx_burden
              where chargetime < timestamp '2024-01-08' group by 1) a using (material)
@@ -202,9 +202,9 @@ def q_lookup_fallback(spark, d):
     return joins.lookup_fallback(keys, "material", [t1, t2], "weight", default=0.0)
 
 
-@query("map_overlay", W("""select t.clock, f.feature, round(coalesce(case f.feature when 'hbt' then p.hbt
+@query("map_overlay", W("""select t.clock, f.feature, coalesce(case f.feature when 'hbt' then p.hbt
   when 'oxygen_flow' then p.oxygen_flow else p.etaco end, case f.feature when 'hbt' then m.hbt
-  when 'oxygen_flow' then m.oxygen_flow else m.etaco end), 6) as value
+  when 'oxygen_flow' then m.oxygen_flow else m.etaco end) as value
 from tap_h t left join para_h p using (clock),
   (select avg(hbt) as hbt, avg(oxygen_flow) as oxygen_flow, avg(etaco) as etaco from para_h) m,
   (values ('hbt'), ('oxygen_flow'), ('etaco')) f(feature)""", P.TAP_H + ",\n" + P.PARA_H))
@@ -236,15 +236,15 @@ def q_lookup_ci(spark, d):
 MESSY = {"hbt": "  HBT ", "oxygen_flow": "Oxygen  Flow", "coal_actual": "Coal Inj. SP", "etaco": "ETACO"}
 
 
-@query("norm_columns", W("""select unit_id as UNIT_ID, round(hbt, 6) as HBT, round(oxygen_flow, 6) as OXYGEN_FLOW,
-  round(coal_actual, 6) as COAL_INJ_SP, round(etaco, 6) as ETACO from fx_para"""))
+@query("norm_columns", W("""select unit_id as UNIT_ID, hbt as HBT, oxygen_flow as OXYGEN_FLOW,
+  coal_actual as COAL_INJ_SP, etaco as ETACO from fx_para"""))
 def q_norm_columns(spark, d):
     """B1: trim → upper → whitespace to '_' → drop other characters."""
     p = fx.fx_para(spark, d).select("unit_id", *[F.col(k).alias(v) for k, v in MESSY.items()])
     return ingest.norm_columns(p)
 
 
-@query("dedupe_columns", W("select unit_id, round(hbt, 6) as hbt, round(etaco, 6) as etaco from fx_para"))
+@query("dedupe_columns", W("select unit_id, hbt as hbt, etaco as etaco from fx_para"))
 def q_dedupe_columns(spark, d):
     """Duplicate-named columns, the first one is kept."""
     p = fx.fx_para(spark, d).select("unit_id", "hbt", "etaco", (F.col("hbt") * 2).alias("x"))
@@ -254,8 +254,8 @@ def q_dedupe_columns(spark, d):
 ALIAS_RULES = [("oxygen", "o_flow_act"), ("coal", "coal_act"), ("perm", "perm_index")]
 
 
-@query("alias_rename", W("""select unit_id, round(oxygen_flow, 6) as o_flow_act, round(coal_actual, 6) as coal_act,
-  round(permeability, 6) as perm_index from fx_para"""))
+@query("alias_rename", W("""select unit_id, oxygen_flow as o_flow_act, coal_actual as coal_act,
+  permeability as perm_index from fx_para"""))
 def q_alias_rename(spark, d):
     """Substring alias rules, first match per column."""
     p = fx.fx_para(spark, d).select("unit_id", "oxygen_flow", "coal_actual", "permeability")
@@ -277,8 +277,8 @@ def q_detect_time_column(spark, d):
     return ingest.parse_rates(_events_text(spark, d))
 
 
-@query("drop_sparse_columns", W("""select tapno, round(hm_si, 6) as hm_si,
-  case when tapno % 50 = 0 then round(hm_temp, 6) end as temp_2pct from fx_tap"""))
+@query("drop_sparse_columns", W("""select tapno, hm_si as hm_si,
+  case when tapno % 50 = 0 then hm_temp end as temp_2pct from fx_tap"""))
 def q_drop_sparse_columns(spark, d):
     """A column below 1 % non-null share is dropped (0.5 %), 2 % survives."""
     t = fx.fx_tap(spark, d).select(
@@ -288,7 +288,7 @@ def q_drop_sparse_columns(spark, d):
     return ingest.drop_sparse_columns(t, 0.01)
 
 
-@query("select_features", W("select clock, " + P.r6(["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco",
+@query("select_features", W("select clock, " + P.named(["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco",
                                                       "permeability", "heat_flow_flux", "ore_coke_ratio",
                                                       "thermal_idx", "coal_intensity", "gas_eff"])
                             + " from feat", P.FEATURE_CTES))

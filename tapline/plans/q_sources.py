@@ -19,14 +19,13 @@ from . import sqlparts as P
 from .registry import query
 
 HDR_COLS = ["clock_raw", "hbt", "oxygen_flow", "coal_actual", "prod_rate", "heat_flow_flux"]
-HDR_NAMES = ["CLOCK", "HBT", "Oxygen Flow", "Coal Actual", "", "Heat Flow Flux"]
 
 
 HDR_NAMES = ["CLOCK", "HBT", "Oxygen Flow", "Coal Actual", "PROD_RATE", "Heat Flow Flux"]
 
 
-@query("scan_multirow_header", W("""select clock_raw as CLOCK, round(hbt, 6) as HBT, round(oxygen_flow, 6) as "Oxygen Flow",
-  round(coal_actual, 6) as "Coal Actual", round(prod_rate, 6) as PROD_RATE, round(heat_flow_flux, 6) as "Heat Flow Flux"
+@query("scan_multirow_header", W("""select clock_raw as CLOCK, hbt as HBT, oxygen_flow as "Oxygen Flow",
+  coal_actual as "Coal Actual", prod_rate as PROD_RATE, heat_flow_flux as "Heat Flow Flux"
 from fx_para"""))
 def q_scan_multirow_header(spark, d):
     """A1: headerless read of a multi-file export whose names line heads every file;
@@ -36,7 +35,7 @@ def q_scan_multirow_header(spark, d):
     return R.read_multirow_header(spark, path, names_row=0)
 
 
-@query("scan_single_header", W("select unit_id, round(hbt, 6) as hbt from fx_para"))
+@query("scan_single_header", W("select unit_id, hbt as hbt from fx_para"))
 def q_scan_single_header(spark, d):
     """A2: among several exports, the one whose name says PARA/DATA/BF is read."""
     p = fx.fx_para(spark, d)
@@ -47,7 +46,7 @@ def q_scan_single_header(spark, d):
 
 
 @query("scan_burden_csv", W("""select unit_id as UNIT_ID, chargetime as CHARGETIME, trim(brandcode) as BRANDCODE,
-  round(actwt, 6) as ACTWT from fx_burden"""))
+  actwt as ACTWT from fx_burden"""))
 def q_scan_burden_csv(spark, d):
     """A4: padded header names and padded values, trimmed and normalised on read."""
     b = fx.fx_burden(spark, d)
@@ -66,7 +65,7 @@ MCOLS = ["hbt", "oxygen_flow", "coal_actual", "hm_si", "hm_temp"]
 
 
 @query("scan_matrix_unpivot", W("select * from (" + " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 6) as value from feat"
+    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as value from feat"
     for a in MCOLS for b in MCOLS) + ")", P.FEATURE_CTES))
 def q_scan_matrix_unpivot(spark, d):
     """Labelled correlation matrix written as CSV, read back as long pairs."""
@@ -79,8 +78,8 @@ def q_scan_matrix_unpivot(spark, d):
 
 
 @query("sink_model_summary", W("""select taphole, 'noisy' as model, count(*) as n,
-  round(1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*)), 6) as r2,
-  round(avg(abs(hm_si - pred_si)), 6) as mae, round(sqrt(sum((hm_si - pred_si) ^ 2) / count(*)), 6) as rmse
+  (1 - sum((hm_si - pred_si) ^ 2) / (var_pop(hm_si) * count(*))) as r2,
+  (avg(abs(hm_si - pred_si))) as mae, (sqrt(sum((hm_si - pred_si) ^ 2) / count(*))) as rmse
 from fx_pred where hm_si is not null and pred_si is not null group by taphole"""))
 def q_sink_model_summary(spark, d):
     """Model × group metric summary written as CSV and read back."""
@@ -91,9 +90,9 @@ def q_sink_model_summary(spark, d):
     return r.select("taphole", "model", "n", "r2", "mae", "rmse")
 
 
-@query("sink_labels", W("""select sampletaken, round(hm_si, 6) as hm_si, case when hm_si is null then 'nan'
+@query("sink_labels", W("""select sampletaken, hm_si as hm_si, case when hm_si is null then 'nan'
   when hm_si <= 0.25 then 'Low' when hm_si <= 0.8 then 'Normal' else 'High' end as si_class,
-  round(hm_temp, 6) as hm_temp, case when hm_temp is null then 'nan' when hm_temp <= 1480 then 'Low'
+  hm_temp as hm_temp, case when hm_temp is null then 'nan' when hm_temp <= 1480 then 'Low'
   when hm_temp <= 1535 then 'Normal' else 'High' end as temp_class from fx_tap"""))
 def q_sink_labels(spark, d):
     """Timestamp, targets and class labels written as parquet and read back."""
@@ -103,7 +102,7 @@ def q_sink_labels(spark, d):
     return spark.read.parquet(SK.write_table(t, scratch_path(spark, "labels")))
 
 
-@query("sink_predictions", W("""select tapno, 'hm_si' as target, round(hm_si, 6) as actual, round(pred_si, 6) as predicted,
+@query("sink_predictions", W("""select tapno, 'hm_si' as target, hm_si as actual, pred_si as predicted,
   coalesce(hm_si between 0.25 and 0.8, false) as in_spec from fx_pred"""))
 def q_sink_predictions(spark, d):
     """A10: actual, prediction and spec flag per target, partitioned by target on write."""
@@ -114,7 +113,7 @@ def q_sink_predictions(spark, d):
     return spark.read.parquet(path).select("tapno", "target", "actual", "predicted", "in_spec")
 
 
-@query("sink_importance", W("""select feature, round(importance, 6) as importance from (
+@query("sink_importance", W("""select feature, importance as importance from (
   select feature, abs(c) / sum(abs(c)) over () as importance from (""" + " union all ".join(
     f"select '{c}' as feature, corr({c}, hm_si) as c from feat" for c in ["hbt", "oxygen_flow", "coal_actual", "etaco"])
     + "))", P.FEATURE_CTES))
@@ -130,8 +129,8 @@ def q_sink_importance(spark, d):
 
 
 @query("sink_feature_meta", W("select * from (" + " union all ".join(
-    f"select '{c}' as feature, round(quantile_cont({c}, 0.01), 6) as p01, round(quantile_cont({c}, 0.99), 6) as p99, "
-    f"round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std from feat" for c in ["hbt", "hm_si", "hm_temp"])
+    f"select '{c}' as feature, quantile_cont({c}, 0.01) as p01, quantile_cont({c}, 0.99) as p99, "
+    f"avg({c}) as mean, stddev_samp({c}) as std from feat" for c in ["hbt", "hm_si", "hm_temp"])
     + ")", P.FEATURE_CTES))
 def q_sink_feature_meta(spark, d):
     """Feature-range metadata table written as parquet and read back."""

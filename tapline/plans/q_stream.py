@@ -16,7 +16,7 @@ def _para_stream(spark, d):
     return fx.para_from_events(fx.events_stream(spark, d, fx.PARA_TYPES))
 
 
-@query("stream_hourly_mean", W("select clock, " + ", ".join(f"round({c}, 6) as {c}" for c in SCOLS) + """, n from (
+@query("stream_hourly_mean", W("select clock, " + ", ".join(f"{c} as {c}" for c in SCOLS) + """, n from (
   select date_trunc('hour', clock_raw) as clock, """ + ", ".join(f"avg({c}) as {c}" for c in SCOLS) + """, count(*) as n
   from fx_para group by 1) where clock + interval 1 hour <= (select max(clock_raw) from fx_para) - interval 1 hour"""))
 def q_stream_hourly_mean(spark, d):
@@ -24,7 +24,7 @@ def q_stream_hourly_mean(spark, d):
     return ST.run_available_now(ST.hourly_mean_stream(_para_stream(spark, d), "clock_raw", SCOLS), "p1s")
 
 
-@query("stream_sliding_mean", W("""select clock, round(avg(hbt), 6) as hbt, count(*) as n from (
+@query("stream_sliding_mean", W("""select clock, avg(hbt) as hbt, count(*) as n from (
   select date_trunc('hour', clock_raw) - to_hours(k) as clock, hbt from fx_para, range(0, 4) t(k))
 group by clock having clock + interval 4 hour <= (select max(clock_raw) from fx_para) - interval 1 hour"""))
 def q_stream_sliding_mean(spark, d):
@@ -33,7 +33,7 @@ def q_stream_sliding_mean(spark, d):
     return ST.run_available_now(s, "p2s")
 
 
-@query("stream_offset_join", W("""select t.clock, round(t.hm_si, 6) as hm_si, round(b.actwt, 6) as actwt_8h_before,
+@query("stream_offset_join", W("""select t.clock, t.hm_si as hm_si, b.actwt as actwt_8h_before,
   t.n as n_tap, b.n as n_burden
 from (select date_trunc('hour', sampletaken) as clock, avg(hm_si) as hm_si, count(*) as n from fx_tap group by 1) t
 join (select date_trunc('hour', chargetime) + interval 8 hour as clock, sum(actwt) as actwt, count(*) as n
@@ -56,8 +56,8 @@ def q_stream_dedupe(spark, d):
     return out.select("taphole", "clock")
 
 
-@query("stream_asof", W("""select tapno, unit_id, sampletaken, round(hm_si, 6) as hm_si, clock_raw, round(hbt, 6) as hbt,
-  round(lag_hours, 6) as lag_hours from (
+@query("stream_asof", W("""select tapno, unit_id, sampletaken, hm_si as hm_si, clock_raw, hbt as hbt,
+  lag_hours as lag_hours from (
   select t.tapno, t.unit_id, t.sampletaken, t.hm_si, p.clock_raw, p.hbt,
          date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9 as lag_hours
   from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw)
@@ -68,9 +68,9 @@ def q_stream_asof(spark, d):
     return ST.run_available_now(ST.asof_stream(ev, fx.TAP_TYPES, fx.PARA_TYPES), "p4s")
 
 
-@query("stream_lags", W("""select taphole, tapno, sampletaken, round(hm_si, 6) as hm_si,
-  round(lag(hm_si, 1) over w, 6) as hm_si_lag1, round(lag(hm_si, 2) over w, 6) as hm_si_lag2,
-  round(lag(hm_si, 3) over w, 6) as hm_si_lag3, round(hm_si - lag(hm_si, 1) over w, 6) as hm_si_diff1
+@query("stream_lags", W("""select taphole, tapno, sampletaken, hm_si as hm_si,
+  (lag(hm_si, 1) over w) as hm_si_lag1, (lag(hm_si, 2) over w) as hm_si_lag2,
+  (lag(hm_si, 3) over w) as hm_si_lag3, (hm_si - lag(hm_si, 1) over w) as hm_si_diff1
 from fx_tap window w as (partition by taphole order by sampletaken)"""))
 def q_stream_lags(spark, d):
     """P5s: per-taphole lag-1..3 and first difference from state (last 12 values)."""

@@ -26,7 +26,7 @@ def _sel(cols):
 
 
 @query("target_lags", W("select taphole, clock, " + ", ".join(
-    f"round(lag({c}, {k}) {WS}), 6) as {c}_lag{k}" for c in T for k in (1, 2, 3)) + " from series", P.SERIES))
+    f"lag({c}, {k}) {WS}) as {c}_lag{k}" for c in T for k in (1, 2, 3)) + " from series", P.SERIES))
 def q_target_lags(spark, d):
     s = windows.add_lags(series(spark, d), T, [1, 2, 3], by="taphole")
     return s.select("taphole", "clock", *[f"{c}_lag{k}" for c in T for k in (1, 2, 3)])
@@ -36,7 +36,7 @@ PROC = ["hbt", "oxygen_flow", "coal_actual"]
 
 
 @query("process_lags", W("select clock, " + ", ".join(
-    f"round(lag({c}, {k}) over (order by clock), 6) as {c}_lag{k}" for c in PROC for k in (2, 4, 8))
+    f"(lag({c}, {k}) over (order by clock)) as {c}_lag{k}" for c in PROC for k in (2, 4, 8))
     + " from feat", P.FEATURE_CTES))
 def q_process_lags(spark, d):
     """F2 on the single-furnace feature table (hour-bounded, one ordered series)."""
@@ -44,15 +44,15 @@ def q_process_lags(spark, d):
     return f.select("clock", *[f"{c}_lag{k}" for c in PROC for k in (2, 4, 8)])
 
 
-@query("future_target", W(f"select taphole, clock, round(lead(hm_si, 1) {WS}), 6) as hm_si_next, "
-                          f"round(lead(hm_temp, 1) {WS}), 6) as hm_temp_next from series", P.SERIES))
+@query("future_target", W(f"select taphole, clock, lead(hm_si, 1) {WS}) as hm_si_next, "
+                          f"lead(hm_temp, 1) {WS}) as hm_temp_next from series", P.SERIES))
 def q_future_target(spark, d):
     return windows.add_leads(series(spark, d), T, 1, by="taphole").select(
         "taphole", "clock", "hm_si_next", "hm_temp_next")
 
 
-@query("first_diff", W(f"select taphole, clock, round(hm_si - lag(hm_si, 1) {WS}), 6) as hm_si_diff1, "
-                       f"round(hm_temp - lag(hm_temp, 1) {WS}), 6) as hm_temp_diff1 from series", P.SERIES))
+@query("first_diff", W(f"select taphole, clock, hm_si - lag(hm_si, 1) {WS}) as hm_si_diff1, "
+                       f"hm_temp - lag(hm_temp, 1) {WS}) as hm_temp_diff1 from series", P.SERIES))
 def q_first_diff(spark, d):
     return windows.add_diffs(series(spark, d), T, by="taphole").select(
         "taphole", "clock", "hm_si_diff1", "hm_temp_diff1")
@@ -60,7 +60,7 @@ def q_first_diff(spark, d):
 
 def _roll_sql(c, w):
     f = f"{WS} rows between {w - 1} preceding and current row)"
-    return f"round(case when count({c}) {f} >= 2 then avg({c}) {f} end, 6) as {c}_roll{w}"
+    return f"(case when count({c}) {f} >= 2 then avg({c}) {f} end) as {c}_roll{w}"
 
 
 @query("rolling_mean", W("select taphole, clock, " + ", ".join(_roll_sql(c, w) for c in T for w in (4, 8))
@@ -72,7 +72,7 @@ def q_rolling_mean(spark, d):
 
 def _proll_sql(c, w):
     f = f"{WS} rows between {w} preceding and 1 preceding)"
-    return f"round(case when count({c}) {f} = {w} then avg({c}) {f} end, 6) as {c}_proll{w}"
+    return f"(case when count({c}) {f} = {w} then avg({c}) {f} end) as {c}_proll{w}"
 
 
 @query("rolling_mean_prior", W("select taphole, clock, " + ", ".join(_proll_sql(c, w) for c in T for w in (4, 8))
@@ -84,7 +84,7 @@ def q_rolling_mean_prior(spark, d):
 
 def _rstd_sql(c):
     f = f"{WS} rows between 3 preceding and current row)"
-    return f"round(coalesce(case when count({c}) {f} >= 2 then stddev_samp({c}) {f} end, 0e0), 6) as {c}_rstd4"
+    return f"(coalesce(case when count({c}) {f} >= 2 then stddev_samp({c}) {f} end, 0e0)) as {c}_rstd4"
 
 
 @query("rolling_std", W("select taphole, clock, " + ", ".join(_rstd_sql(c) for c in T) + " from series",
@@ -101,7 +101,7 @@ def q_chrono_split(spark, d):
     return windows.chrono_split(series(spark, d), by="taphole").select("taphole", "clock", "row_no", "split")
 
 
-@query("union_by_name", W(f"""select taphole, clock, round(hm_si, 6) as hm_si, split from (
+@query("union_by_name", W(f"""select taphole, clock, hm_si as hm_si, split from (
   select *, case when row_number() {WS}) <= floor(count(*) over (partition by taphole) * 0.8)
     then 'train' else 'test' end as split from series)""", P.SERIES))
 def q_union_by_name(spark, d):
@@ -113,7 +113,7 @@ def q_union_by_name(spark, d):
 
 
 @query("lookback_sequences", W(f"""select a.taphole, a.clock, cast(b.rn - a.rn + 24 as integer) as step,
-  round(b.hm_si, 6) as hm_si, round(b.hm_temp, 6) as hm_temp
+  b.hm_si as hm_si, b.hm_temp as hm_temp
 from (select *, row_number() {WS}) as rn from series) a
 join (select *, row_number() {WS}) as rn from series) b
   on a.taphole = b.taphole and b.rn between a.rn - 24 and a.rn - 1
@@ -125,19 +125,19 @@ def q_lookback_sequences(spark, d):
     return x.select("taphole", "clock", "step", F.col("v")[0].alias("hm_si"), F.col("v")[1].alias("hm_temp"))
 
 
-@query("sort_clock", W("select taphole, clock, round(hm_si, 6) as hm_si from series", P.SERIES))
+@query("sort_clock", W("select taphole, clock, hm_si as hm_si from series", P.SERIES))
 def q_sort_clock(spark, d):
     return rank.sort_clock(series(spark, d).select("taphole", "clock", "hm_si"))
 
 
-@query("head_n", W("select clock, round(hm_si, 6) as hm_si, round(hm_temp, 6) as hm_temp from feat "
+@query("head_n", W("select clock, hm_si as hm_si, hm_temp as hm_temp from feat "
                    "order by clock limit 50", P.FEATURE_CTES))
 def q_head_n(spark, d):
     """First 50 rows of the ordered table (the limit is the feature)."""
     return rank.head_n(FT.feature_table(spark, d).select("clock", "hm_si", "hm_temp"), 50, "clock")
 
 
-@query("topk_per_group", W("""select taphole, clock, round(hm_si, 6) as hm_si, cast(rank as integer) as rank from (
+@query("topk_per_group", W("""select taphole, clock, hm_si as hm_si, cast(rank as integer) as rank from (
   select *, row_number() over (partition by taphole order by hm_si desc, clock) as rank from series)
 where rank <= 3""", P.SERIES))
 def q_topk_per_group(spark, d):
@@ -160,7 +160,7 @@ def _corr_sql(target):
     return " union all ".join(f"select '{c}' as feature, corr({c}, {target}) as corr from feat" for c in CORR_FEATS)
 
 
-@query("topk_abs", W(f"""select feature, round(corr, 6) as corr, cast(rank as integer) as rank from (
+@query("topk_abs", W(f"""select feature, corr as corr, cast(rank as integer) as rank from (
   select *, row_number() over (order by round(abs(corr), 9) desc, feature) as rank from ({_corr_sql('hm_temp')}))
 where rank <= 8""", P.FEATURE_CTES))
 def q_topk_abs(spark, d):
@@ -177,7 +177,7 @@ def importance(spark, d, target="hm_si"):
 _IMP_SQL = f"select feature, abs(corr) / sum(abs(corr)) over () as importance from ({_corr_sql('hm_si')})"
 
 
-@query("importance_table", W(f"""select feature, round(importance, 6) as importance,
+@query("importance_table", W(f"""select feature, importance as importance,
   cast(row_number() over (order by round(importance, 9) desc, feature) as integer) as rank, round(importance * 100, 2) as score_pct
 from ({_IMP_SQL})""", P.FEATURE_CTES))
 def q_importance_table(spark, d):
@@ -205,7 +205,7 @@ def q_ordered_union(spark, d):
     return rank.ordered_union([a, b])
 
 
-@query("distinct_by_key", W("""select feature, pipeline, round(mean, 6) as mean from (
+@query("distinct_by_key", W("""select feature, pipeline, mean as mean from (
   select *, row_number() over (partition by feature order by pipeline desc) as rn from (
     select 1 as pipeline, 'hm_si' as feature, avg(hm_si) as mean from fx_tap
     union all select 1, 'hm_temp', avg(hm_temp) from fx_tap
@@ -223,8 +223,8 @@ def q_distinct_by_key(spark, d):
     return rank.distinct_by_key(p1.unionByName(p2), "feature", "pipeline").select("feature", "pipeline", "mean")
 
 
-@query("time_lags", W("""select s.taphole, s.clock, round(a.hm_si, 6) as hm_si_tlag1, round(b.hm_si, 6) as hm_si_tlag3,
-  round(r.m, 6) as hm_si_troll4
+@query("time_lags", W("""select s.taphole, s.clock, a.hm_si as hm_si_tlag1, b.hm_si as hm_si_tlag3,
+  r.m as hm_si_troll4
 from series s
 left join series a on a.taphole = s.taphole and a.clock = s.clock - interval 1 hour
 left join series b on b.taphole = s.taphole and b.clock = s.clock - interval 3 hour

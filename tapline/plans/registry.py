@@ -6,26 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.scalars import round_all
-
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(key: str, sql: str | None = None, digits: int | None = 6):
-    """Register ``fn(spark, sf_dir) -> DataFrame``; doubles rounded to ``digits``."""
+def query(key: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` and its DuckDB twin."""
     def deco(fn):
         if key in _QUERIES:
             raise KeyError(f"duplicate query key {key}")
-
-        def run(spark, sf_dir, _fn=fn):
-            df = _fn(spark, sf_dir)
-            return round_all(df, digits) if digits is not None else df
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        _QUERIES[key] = run
+        _QUERIES[key] = fn
         if sql is not None:
             _SQL[key] = sql
         return fn

@@ -12,8 +12,8 @@ PARA = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "permeability
 GROUPS = [g for g, _ in K.MATERIAL_RULES] + [K.MATERIAL_DEFAULT]
 
 
-def r6(cols, digits=6, prefix=""):
-    return ", ".join(f"round({prefix}{c}, {digits}) as {c}" for c in cols)
+def named(cols, prefix=""):
+    return ", ".join(f"{prefix}{c} as {c}" for c in cols)
 
 
 def material_case(col="brandcode", rules=None, default=K.MATERIAL_DEFAULT):

@@ -43,8 +43,9 @@ def get_spark(master: str | None = None, app: str = "tapline",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (unit tests on a laptop) a private temporary folder is created.
+    ``spark.checkpoint.dir`` is read from the session.  Only a local master
+    (tests on one machine) may leave it unset and gets a private temporary
+    folder; a cluster without it is refused.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tapline-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

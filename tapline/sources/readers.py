@@ -23,7 +23,7 @@ def list_files(spark: SparkSession, path: str, glob_pattern: str = "*.csv") -> l
     The ``binaryFile`` source prunes the content column, so only paths are read.
     """
     rows = (spark.read.format("binaryFile").option("pathGlobFilter", glob_pattern).load(path)
-            .select("path").orderBy("path").limit(10_000).collect())
+            .select("path").orderBy("path").toLocalIterator())
     return [r[0] for r in rows]
 
 

@@ -18,10 +18,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cols=None) -> DataFr
     """Parquet scan; selecting ``cols`` here lets Catalyst prune the ReadSchema."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        p = table_path(sf_dir, n)
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(n)

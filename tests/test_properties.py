@@ -25,7 +25,7 @@ def ft(spark):
 def test_prefix_sum_matches_window(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).cast("double").alias("k"), F.lit(1).alias("one"))
     df = df.dropDuplicates(["k"])
-    got = windows.prefix_sum(df, "k", ["one"], buckets=16).select("k", "one_cum")
+    got = windows.prefix_sum(df, "k", ["one"]).select("k", "one_cum")
     ref = df.withColumn("ref", F.sum("one").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     assert got.join(ref, "k").where("one_cum != ref").count() == 0
 
@@ -129,18 +129,99 @@ def test_cv_interval_clipped(spark):
     assert 0 <= r.ci_lo <= r.mean <= r.ci_hi <= 1.0
 
 
-def test_asof_result_independent_of_bucket_width(spark):
+def test_asof_result_independent_of_partitions(spark):
     from tapline.operators import joins
     from tapline.sources import fixtures as fx
     t = fx.fx_tap(spark, SF_CHECK).select("tapno", "sampletaken")
     b = fx.fx_burden(spark, SF_CHECK).select("chargetime", "actwt")
-    res = [sorted(map(tuple, joins.asof_join(t, b, "sampletaken", "chargetime", right_cols=["actwt"],
-                                              bucket_seconds=w).select("tapno", "chargetime", "actwt").collect()),
-                  key=lambda r: r[0])
-           for w in (60, 3600, None)]
+    res, old = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in ("1", "3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = joins.asof_join(t, b, "sampletaken", "chargetime", right_cols=["actwt"])
+            res.append(sorted(map(tuple, got.select("tapno", "chargetime", "actwt").collect()), key=lambda r: r[0]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert res[0] == res[1] == res[2]
 
 
+def test_asof_burst_ties_and_missing_times(spark):
+    from tapline.operators import joins
+    t0 = datetime(2024, 1, 1)
+    # 500 right rows inside one second; the greatest payload of the latest time matches
+    right = spark.createDataFrame([(t0 + timedelta(microseconds=i // 2), float(i)) for i in range(500)], "rt timestamp_ntz, v double")
+    left = spark.createDataFrame([(1, t0 + timedelta(seconds=1)), (2, t0), (3, t0 - timedelta(seconds=1)), (4, None)], "i int, lt timestamp_ntz")
+    got = {r.i: r.v for r in joins.asof_join(left, right, "lt", "rt").collect()}
+    assert got == {1: 499.0, 2: 1.0, 3: None, 4: None}
+
+
+def test_prefix_sum_null_empty_and_groups(spark):
+    df = spark.createDataFrame([(None, 1), (1.0, 1), (2.0, 1)], "k double, one int")
+    got = {r.k: r.one_cum for r in windows.prefix_sum(df, "k", ["one"]).collect()}
+    assert got == {None: 1, 1.0: 2, 2.0: 3}
+    assert windows.prefix_sum(df.where("one > 1"), "k", ["one"]).collect() == []
+    nulls = windows.prefix_sum(df.withColumn("k", F.lit(None).cast("double")), "k", ["one"]).collect()
+    assert sorted(r.one_cum for r in nulls) == [1, 2, 3]
+    by = spark.createDataFrame([(None, 1.0, 5), ("a", 1.0, 1), ("a", 2.0, 2), (None, 0.0, 7)], "g string, k double, v int")
+    got = {(r.g, r.k): (r.v_cum, r.v_all) for r in windows.prefix_sum(by, "k", ["v"], by="g", desc=True, total_fmt="{c}_all").collect()}
+    assert got == {(None, 1.0): (5, 12), (None, 0.0): (12, 12), ("a", 2.0): (2, 3), ("a", 1.0): (3, 3)}
+
+
+def test_keyless_windows_are_blocked_and_equal_plain_ones(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("clock"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    w = Window.orderBy("clock")
+    frame = windows._Frame(df, None, "clock", before=5, after=2, block_rows=64)
+    got = frame.add({"a": F.lag("x", 5).over(frame.window), "b": F.lead("x", 2).over(frame.window),
+                     "c": F.avg("x").over(frame.window.rowsBetween(-4, 0))})
+    want = df.withColumns({"a": F.lag("x", 5).over(w), "b": F.lead("x", 2).over(w), "c": F.avg("x").over(w.rowsBetween(-4, 0))})
+    assert sorted(map(tuple, got.select("clock", "x", "a", "b", "c").collect())) == sorted(map(tuple, want.select("clock", "x", "a", "b", "c").collect()))
+    plan = windows.add_lags(df, ["x"], [1])._jdf.queryExecution().executedPlan().toString()
+    # the only exchange to one task carries one row per bucket
+    below = [plan.splitlines()[i + 1] for i, x in enumerate(plan.splitlines()) if "SinglePartition" in x]
+    assert all("HashAggregate(keys=[__bk" in x for x in below)
+
+
+def test_splits_with_null_labels_and_tiny_classes(spark):
+    df = spark.range(0, 100).select(F.col("id").alias("k"), F.when(F.col("id") < 60, "a").when(F.col("id") < 61, "b").alias("y"))
+    s = MP.stratified_split(df, "y", ["k"])
+    got = {(r.y, r.split): r["count"] for r in s.groupBy("y", "split").count().collect()}
+    assert got == {("a", "train"): 48, ("a", "test"): 12, ("b", "test"): 1, (None, "train"): 31, (None, "test"): 8}
+    folds = MP.kfold_ids(df, 3, ["k"], label="y").groupBy("y", "fold").count()
+    assert {r["count"] for r in folds.where("y = 'a'").collect()} == {20}
+    with pytest.raises(ValueError):
+        MP.smote(df.where("y is not null").withColumn("f", F.col("k").cast("double")), "y", "k", ["f"])
+
+
+def test_dynamic_pivot_has_no_value_limit(spark):
+    from tapline.operators import aggs
+    df = spark.range(0, 3000).select((F.col("id") % 2).alias("clock"), F.format_string("b%04d", F.col("id") % 1200).alias("b"), F.lit(1.0).alias("w"))
+    vals = aggs.distinct_values(df, "b")
+    assert len(vals) == 1200
+    assert len(aggs.pivot_sum(df, ["clock"], "b", "w", vals[:1100], fill=None).columns) == 1101
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from tapline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_pacf_per_lag_samples_match_direct_fits(spark):
     rng = np.random.default_rng(5)
     n = 300
