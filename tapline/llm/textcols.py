@@ -104,7 +104,7 @@ def _cut(sep: np.ndarray, is_row: np.ndarray, lo: int, limit: int) -> int:
     ok = np.flatnonzero(sep[lo:lo + limit] | is_row[lo + 1:lo + 1 + limit])
     if len(ok):
         return lo + 1 + int(ok[-1])
-    far = np.flatnonzero(sep[lo + limit:] | is_row[lo + limit + 1:])
+    far = np.flatnonzero(sep[lo + limit:] | is_row[lo + limit + 1:n + 1])
     return lo + limit + 1 + int(far[0]) if len(far) else n
 
 
