@@ -202,6 +202,8 @@ def guidance(delta_si, delta_temp) -> Column:
             .when((a < 0) & (b < 0), "lowers both silicon and temperature")
             .when((a > 0) & (b <= 0), "raises silicon, not temperature")
             .when((a <= 0) & (b > 0), "raises temperature, not silicon")
+            .when((a == 0) & (b < 0), "lowers temperature, not silicon")
+            .when((a < 0) & (b == 0), "lowers silicon, not temperature")
             .otherwise("little effect on either target"))
 
 

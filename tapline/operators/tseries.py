@@ -17,21 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import norm_cdf, norm_ppf
+from . import windows
 from .aggs import _by
 
 
-def _w(by, clock):
-    keys = _by(by)
-    return Window.partitionBy(*keys).orderBy(clock) if keys else Window.orderBy(clock)
-
-
 def acf(df: DataFrame, col: str, nlags: int = 40, by=None, clock: str = "clock") -> DataFrame:
     """Biased sample ACF per series (global mean), long form + ±1.96/√n band."""
     keys = _by(by)
-    wp = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    x = df.where(F.col(col).isNotNull()).withColumn("__d", F.col(col) - F.avg(col).over(wp))
-    w = _w(by, clock)
-    x = x.withColumns({f"__l{k}": F.lag("__d", k).over(w) for k in range(1, nlags + 1)})
+    x = df.where(F.col(col).isNotNull())
+    mean = F.avg(col).over(Window.partitionBy(*keys)) if keys else F.lit(x.agg(F.avg(col)).first()[0])
+    x = windows.add_lags(x.withColumn("__d", F.col(col) - mean), ["__d"], range(1, nlags + 1), by, clock, fmt="__l{k}")
     g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__d") ** 2).alias("__den"),
                              *[F.sum(F.col("__d") * F.col(f"__l{k}")).alias(f"__s{k}")
                                for k in range(1, nlags + 1)])
@@ -67,12 +62,11 @@ def ols_from_moments(m: np.ndarray, n: int, yi: int, xi: Sequence[int]):
 
 def lagged(df: DataFrame, cols: Sequence[str], p: int, by=None, clock: str = "clock",
            diff: bool = False) -> DataFrame:
-    w = _w(by, clock)
-    out = df
+    """Lags 1..p of the columns (or of their first differences ``d_<c>``); blocked where the series has no key."""
     if diff:
-        out = out.withColumns({f"d_{c}": F.col(c) - F.lag(c, 1).over(w) for c in cols})
+        df = windows.add_diffs(df, cols, by, clock, fmt="d_{c}")
         cols = [f"d_{c}" for c in cols]
-    return out.withColumns({f"{c}_l{k}": F.lag(c, k).over(w) for c in cols for k in range(1, p + 1)})
+    return windows.add_lags(df, cols, range(1, p + 1), by, clock, fmt="{c}_l{k}") if p else df
 
 
 def fit_var(df: DataFrame, cols: Sequence[str], maxlags: int = 12, by=None, clock: str = "clock",
@@ -153,10 +147,14 @@ def pacf(df: DataFrame, col: str, nlags: int = 40, by=None, clock: str = "clock"
 
     ``ols``: lag-k coefficient of an AR(k) fit on every row with k lags of history;
     ``ols_common``: all AR(k) fits on the rows with the full history;
-    ``yw``: Durbin-Levinson recursion on the biased ACF.
+    ``yw``: Yule-Walker by Durbin-Levinson on the adjusted ACF (denominator n − k);
+    ``ywm``: the same on the biased ACF (denominator n).
     """
-    if method == "yw":
+    if method in ("yw", "ywm"):
         a = [1.0] + [r["acf"] for r in acf(df, col, nlags, by, clock).orderBy("lag").collect()]
+        if method == "yw":
+            n = df.where(F.col(col).isNotNull()).count()
+            a = [v * n / (n - k) for k, v in enumerate(a)]
         phi_prev, out = [], [1.0]
         for k in range(1, nlags + 1):
             num = a[k] - sum(phi_prev[j] * a[k - 1 - j] for j in range(k - 1))
@@ -210,30 +208,35 @@ def _mackinnon_p(stat: float) -> float:
 
 
 def adf_test(df: DataFrame, col: str, maxlag: int | None = None, by=None, clock: str = "clock") -> dict:
-    """Augmented Dickey-Fuller with constant, lag order by AIC."""
+    """Augmented Dickey-Fuller with constant, lag order by AIC, refit at the chosen order."""
     n_all = df.where(F.col(col).isNotNull()).count()
     if n_all < 40:
         return {"stat": None, "pvalue": None, "lags": None, "verdict": "too few rows"}
     if maxlag is None:
         maxlag = int(math.ceil(12.0 * (n_all / 100.0) ** 0.25))
-    w = _w(by, clock)
-    x = df.withColumn("__y1", F.lag(col, 1).over(w)).withColumn("__dy", F.col(col) - F.col("__y1"))
-    x = x.withColumns({f"__dl{k}": F.lag("__dy", k).over(w) for k in range(1, maxlag + 1)})
-    names = ["__dy", "__y1"] + [f"__dl{k}" for k in range(1, maxlag + 1)]
-    m, n = moments(x, names)
+    def sample(p):
+        """Moments of (1, dy, y lag 1, dy lags 1..p) over the rows that have them all."""
+        x = windows.add_lags(df.where(F.col(col).isNotNull()), [col], [1], by, clock, fmt="__y1")
+        x = lagged(x.withColumn("__dy", F.col(col) - F.col("__y1")), ["__dy"], p, by, clock)
+        return moments(x, ["__dy", "__y1"] + [f"__dy_l{k}" for k in range(1, p + 1)])
+
+    m, n = sample(maxlag)
     if n < 10 or m[1, 1] == 0:
         return {"stat": None, "pvalue": None, "lags": None, "verdict": "constant series"}
     best = None
     for p in range(0, maxlag + 1):
         xi = [0, 2] + list(range(3, 3 + p))
-        b, ssr, xx = ols_from_moments(m, n, 1, xi)
-        kreg = len(xi)
+        _, ssr, _ = ols_from_moments(m, n, 1, xi)
         llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-        aic = -2 * llf + 2 * kreg
+        aic = -2 * llf + 2 * len(xi)
         if best is None or aic < best[0]:
-            best = (aic, p, b, ssr, xx, kreg)
-    _, p, b, ssr, xx, kreg = best
-    s2 = ssr / (n - kreg)
+            best = (aic, p)
+    # the order is chosen on the common sample, the statistic comes from all rows that the chosen order can use
+    p = best[1]
+    m, n = sample(p)
+    xi = [0, 2] + list(range(3, 3 + p))
+    b, ssr, xx = ols_from_moments(m, n, 1, xi)
+    s2 = ssr / (n - len(xi))
     se = math.sqrt(s2 * np.linalg.inv(xx)[1, 1])
     stat = float(b[1] / se)
     crit = {k: v[0] + v[1] / n + v[2] / n ** 2 + v[3] / n ** 3 for k, v in _TAU_C_CRIT.items()}
@@ -251,30 +254,58 @@ def arimax_fit(df: DataFrame, y: str, exog: Sequence[str], by=None, clock: str =
     u = F.col(y) - F.lit(float(beta[0]))
     for i, c in enumerate(exog):
         u = u - F.lit(float(beta[i + 1])) * F.col(c)
-    w = _w(by, clock)
-    x = df.withColumn("__u", u)
-    x = x.withColumns({f"__ul{k}": F.lag("__u", k).over(w) for k in range(1, long_ar + 1)})
+    x = windows.add_lags(df.withColumn("__u", u), ["__u"], range(1, long_ar + 1), by, clock, fmt="__ul{k}")
     m1, n1 = moments(x, ["__u"] + [f"__ul{k}" for k in range(1, long_ar + 1)])
     a, _, _ = ols_from_moments(m1, n1, 1, [0] + list(range(2, 2 + long_ar)))
     e = F.col("__u") - F.lit(float(a[0]))
     for k in range(1, long_ar + 1):
         e = e - F.lit(float(a[k])) * F.col(f"__ul{k}")
-    x = x.withColumn("__e", e).withColumn("__el1", F.lag("__e", 1).over(w))
+    x = windows.add_lags(x.withColumn("__e", e), ["__e"], [1], by, clock, fmt="__el1")
     m2, n2 = moments(x, ["__u", "__ul1", "__el1"])
     b2, ssr, _ = ols_from_moments(m2, n2, 1, [2, 3])
-    return {"const": float(beta[0]), "beta": {c: float(beta[i + 1]) for i, c in enumerate(exog)},
-            "phi": float(b2[0]), "theta": float(b2[1]), "sigma2": ssr / max(n2 - 2, 1), "n": n2}
+    last = x.where(F.col("__u").isNotNull()).agg(F.max_by(F.struct("__u", "__e"), clock).alias("r")).first()["r"]
+    return {"y": y, "const": float(beta[0]), "beta": {c: float(beta[i + 1]) for i, c in enumerate(exog)},
+            "phi": float(b2[0]), "theta": float(b2[1]), "sigma2": ssr / max(n2 - 2, 1), "n": n2,
+            "u_T": float(last["__u"]), "e_T": float(last["__e"] or 0.0)}
 
 
-def arimax_forecast(test: DataFrame, model: dict, last_u: float, last_e: float, clock: str = "clock",
-                    by=None, out: str = "arimax") -> DataFrame:
-    """Multi-step mean forecast: c + xβ + φ^{h-1}(φ u_T + θ e_T), h = row number in test."""
-    h = F.row_number().over(_w(by, clock))
-    u1 = model["phi"] * last_u + model["theta"] * last_e
-    expr = F.lit(model["const"]) + F.pow(F.lit(model["phi"]), h - 1) * F.lit(u1)
+def _mean_part(model: dict):
+    """c + xβ as a column."""
+    expr = F.lit(model["const"])
     for c, b in model["beta"].items():
         expr = expr + F.lit(b) * F.col(c)
-    return test.withColumn(out, expr)
+    return expr
+
+
+def arimax_forecast(test: DataFrame, model: dict, clock: str = "clock", by=None, out: str = "arimax") -> DataFrame:
+    """Multi-step mean forecast: c + xβ + φ^{h-1}(φ u_T + θ e_T), h = row number in test."""
+    u1 = model["phi"] * model["u_T"] + model["theta"] * model["e_T"]
+    x = windows.numbered(test, clock, by=by, out="__h")
+    return x.withColumn(out, _mean_part(model) + F.pow(F.lit(model["phi"]), F.col("__h")) * F.lit(u1)).drop("__h")
+
+
+def arimax_one_step(df: DataFrame, model: dict, clock: str = "clock", by=None, out: str = "arimax_1") -> DataFrame:
+    """One-step filter: c + xβ + φ u_{t−1} + θ e_{t−1}, from actual history.
+
+    e is unrolled to Σ (−θ)^j (u_{t−1−j} − φ u_{t−2−j}) until θ^j is below 1e-12, so
+    the filter is a linear expression over lags (a lag before the series' start
+    counts as 0); θ must be invertible (|θ| < 1).
+    """
+    phi, theta = model["phi"], model["theta"]
+    if abs(theta) >= 1:
+        raise ValueError(f"moving-average part is not invertible: theta = {theta}")
+    depth = 1 if theta == 0 else max(1, math.ceil(math.log(1e-12) / math.log(abs(theta))))
+    weight = np.zeros(depth + 3)  # of u_{t-k}
+    weight[1] += phi
+    for j in range(depth + 1):
+        weight[1 + j] += theta * (-theta) ** j
+        weight[2 + j] -= theta * (-theta) ** j * phi
+    x = df.withColumn("__u", F.col(model["y"]) - _mean_part(model))
+    x = windows.add_lags(x, ["__u"], range(1, len(weight)), by, clock, fmt="__ul{k}")
+    expr = _mean_part(model)
+    for k in range(1, len(weight)):
+        expr = expr + F.lit(float(weight[k])) * F.coalesce(F.col(f"__ul{k}"), F.lit(0.0))
+    return x.withColumn(out, expr).drop("__u", *[f"__ul{k}" for k in range(1, len(weight))])
 
 
 def naive_mean(train: DataFrame, test: DataFrame, col: str, by=None, out: str = "naive") -> DataFrame:

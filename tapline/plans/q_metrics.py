@@ -160,8 +160,9 @@ def q_scorecard(spark, d):
     union all select taphole, 'mean', 3, 0e0 from fx_pred group by taphole)) where rn = 1"""))
 def q_best_model(spark, d):
     """Arg-max R² per taphole over candidate predictors; the first listed wins ties."""
-    from pyspark.sql import Window
-    p = fx.fx_pred(spark, d).withColumn("m", F.avg("hm_si").over(Window.partitionBy("taphole")))
+    p = fx.fx_pred(spark, d)
+    # the group mean is an aggregate of one row per group, joined back; no group is gathered
+    p = p.join(p.groupBy("taphole").agg(F.avg("hm_si").alias("m")), "taphole")
     p = p.withColumn("shrunk", 0.5 * F.col("pred_si") + 0.5 * F.col("m"))
     a = metrics.regression_metrics(p, "hm_si", "pred_si", by="taphole").select(
         "taphole", F.lit("noisy").alias("model"), F.lit(1).alias("model_order"), "r2")
@@ -281,7 +282,7 @@ def q_fit_var(spark, d):
 @query("var_forecast")
 def q_var_forecast(spark, d):
     """N5 + M1f: one-step VAR forecasts over the test part with ±z·σ intervals."""
-    s = windows.chrono_split(ts_hourly(spark, d).withColumn("series_id", F.lit(1)), by="series_id")
+    s = windows.chrono_split(ts_hourly(spark, d))
     m = tseries.fit_var(s.where("split = 'train'"), ["hm_si", "hm_temp"], maxlags=12)
     f = tseries.var_forecast(s, m)
     f = tseries.var_pi(f, m).where("split = 'test'")
@@ -354,15 +355,17 @@ def q_adf_test(spark, d):
 
 @query("arimax")
 def q_arimax(spark, d):
-    """Regression with ARMA(1,1) errors (Hannan-Rissanen), multi-step test forecast."""
+    """Regression with ARMA(1,1) errors (Hannan-Rissanen), multi-step and one-step forecasts of the test part, both targets."""
     from ..operators import clean
-    f = windows.chrono_split(FT.feature_table(spark, d).withColumn("series_id", F.lit(1)), by="series_id")
+    f = windows.chrono_split(FT.feature_table(spark, d))
     ex = ["hbt", "oxygen_flow", "coal_actual"]
     tr = f.where("split = 'train'")
-    f = clean.scale_minmax(clean.scale_minmax(clean.scale_minmax(f, ex[0], tr), ex[1], tr), ex[2], tr)
-    tr = f.where("split = 'train'")
-    m = tseries.arimax_fit(tr, "hm_si", ex)
-    last = tr.orderBy(F.col("clock").desc()).select("hm_si", *ex).first()
-    u_t = last["hm_si"] - m["const"] - sum(m["beta"][c] * last[c] for c in ex)
-    out = tseries.arimax_forecast(f.where("split = 'test'"), m, u_t, 0.0, by="series_id")
-    return out.select("clock", "hm_si", "arimax", F.lit(m["phi"]).alias("phi"), F.lit(m["theta"]).alias("theta"))
+    f = clean.scale_minmax(clean.scale_minmax(clean.scale_minmax(f, ex[0], tr), ex[1], tr), ex[2], tr).checkpoint()
+    out = None
+    for t in ["hm_si", "hm_temp"]:
+        m = tseries.arimax_fit(f.where("split = 'train'"), t, ex)
+        g = tseries.arimax_one_step(f, m).where("split = 'test'")
+        g = tseries.arimax_forecast(g, m).select("clock", F.lit(t).alias("target"), F.col(t).alias("actual"), "arimax", "arimax_1",
+                                                 F.lit(m["phi"]).alias("phi"), F.lit(m["theta"]).alias("theta"))
+        out = g if out is None else out.unionByName(g)
+    return out

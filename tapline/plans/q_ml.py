@@ -329,10 +329,10 @@ def q_score_classification(spark, d):
 def _ts_fit(ctx, target):
     """Next-step model: features + lags of both targets, label = next hour's value."""
     def run():
-        t = windows.add_lags(ctx.table.withColumn("series_id", F.lit(1)), TR.TARGETS, [1, 2, 3], by="series_id")
-        t = windows.add_diffs(t, TR.TARGETS, by="series_id")
-        t = windows.add_leads(t, [target], 1, by="series_id", fmt="{c}_next")
-        t = windows.chrono_split(t, by="series_id").persist()
+        t = windows.add_lags(ctx.table, TR.TARGETS, [1, 2, 3])
+        t = windows.add_diffs(t, TR.TARGETS)
+        t = windows.add_leads(t, [target], 1, fmt="{c}_next")
+        t = windows.chrono_split(t).checkpoint()
         feats = TR.selection(ctx, target) + [f"{c}_lag{k}" for c in TR.TARGETS for k in (1, 2, 3)]
         train = t.where(f"split = 'train' and {target}_next is not null")
         prep = M.Prep.fit(train, feats)

@@ -147,6 +147,7 @@ def q_feature_family(spark, d):
        when d_si < 0 and d_temp < 0 then 'lowers both silicon and temperature'
        when d_si > 0 and d_temp <= 0 then 'raises silicon, not temperature'
        when d_si <= 0 and d_temp > 0 then 'raises temperature, not silicon'
+       when d_si < 0 then 'lowers silicon, not temperature' when d_temp < 0 then 'lowers temperature, not silicon'
        else 'little effect on either target' end as guidance
 from (select taphole, arg_max(hm_si, clock) - arg_min(hm_si, clock) as d_si,
              arg_max(hm_temp, clock) - arg_min(hm_temp, clock) as d_temp from series group by taphole)""", P.SERIES))

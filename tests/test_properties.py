@@ -258,3 +258,56 @@ def test_distributed_quantiles_equal_percentile_on_skewed_groups(spark):
     for ra, rb in zip(a, b):
         for c in ra.asDict():
             assert abs(ra[c] - rb[c]) < 1e-9, (c, ra[c], rb[c])
+
+
+def test_adjusted_yule_walker_and_adf_refit(spark):
+    rng = np.random.default_rng(11)
+    n = 400
+    x = np.zeros(n)
+    for t in range(2, n):
+        x[t] = 0.6 * x[t - 1] - 0.2 * x[t - 2] + rng.normal()
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + timedelta(hours=i), float(v)) for i, v in enumerate(x)], "clock timestamp_ntz, a double")
+    d = x - x.mean()
+    r = np.array([d[:n - k] @ d[k:] / (n - k) for k in range(7)])
+    got = tseries.pacf(df, "a", 6, method="yw")
+    for k in range(1, 7):
+        toeplitz = r[np.abs(np.subtract.outer(np.arange(k), np.arange(k)))]
+        assert abs(got[k] - np.linalg.solve(toeplitz, r[1:k + 1])[-1]) < 1e-9
+    res = tseries.adf_test(df, "a", maxlag=8)
+    p, dy = res["lags"], np.diff(x)
+    X = np.column_stack([np.ones(n - 1 - p), x[p:-1]] + [dy[p - k:n - 1 - k] for k in range(1, p + 1)])
+    y = dy[p:]
+    beta = np.linalg.lstsq(X, y, rcond=None)[0]
+    e = y - X @ beta
+    se = math.sqrt(e @ e / (len(y) - X.shape[1]) * np.linalg.inv(X.T @ X)[1, 1])
+    assert res["nobs"] == len(y) and abs(res["stat"] - beta[1] / se) < 1e-6
+
+
+def test_arimax_uses_the_last_shock(spark):
+    rng = np.random.default_rng(12)
+    n, u, e = 600, np.zeros(600), rng.normal(size=600) * 0.1
+    for t in range(1, n):
+        u[t] = 0.5 * u[t - 1] + e[t] + 0.4 * e[t - 1]
+    z = rng.normal(size=n)
+    y = 2.0 + 1.5 * z + u
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + timedelta(hours=i), float(a), float(b)) for i, (a, b) in enumerate(zip(y, z))], "clock timestamp_ntz, y double, z double")
+    train = df.where(F.col("clock") < t0 + timedelta(hours=500))
+    m = tseries.arimax_fit(train, "y", ["z"])
+    assert abs(m["phi"] - 0.5) < 0.15 and abs(m["theta"] - 0.4) < 0.15 and abs(m["e_T"] - e[499]) < 0.05
+    test = df.where(F.col("clock") >= t0 + timedelta(hours=500))
+    first = tseries.arimax_forecast(test, m).orderBy("clock").first()
+    assert abs(first.arimax - (m["const"] + m["beta"]["z"] * z[500] + m["phi"] * m["u_T"] + m["theta"] * m["e_T"])) < 1e-9
+    one = np.array([r.arimax_1 for r in tseries.arimax_one_step(df, m).orderBy("clock").collect()])
+    ue, ee = y - m["const"] - m["beta"]["z"] * z, np.zeros(n)
+    for t in range(1, n):
+        want = m["const"] + m["beta"]["z"] * z[t] + m["phi"] * ue[t - 1] + m["theta"] * ee[t - 1]
+        ee[t] = y[t] - want
+        assert t < 60 or abs(one[t] - want) < 1e-6
+
+
+def test_guidance_of_single_drops(spark):
+    from tapline.functions import scalars as S
+    rows = spark.createDataFrame([(0.0, -1.0), (-1.0, 0.0), (0.0, 0.0)], "a double, b double").select(S.guidance("a", "b").alias("g")).collect()
+    assert [r.g for r in rows] == ["lowers temperature, not silicon", "lowers silicon, not temperature", "little effect on either target"]
