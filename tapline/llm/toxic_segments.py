@@ -51,8 +51,8 @@ PREFIXES = (4, 5)
 EXPECTED = 0.5
 #: Evidence is binned for calibration: this many bins of this width.
 BINS, WIDTH = 200, 0.5
-#: Labels up to this many rows (16 bytes each) are broadcast, more are joined by a shuffle; the result is the same.
-BROADCAST_LABELS = 4_000_000
+#: Labels up to this many rows (about 60 MB) are broadcast, more are joined by a shuffle; the result is the same.
+BROADCAST_LABELS = 1_000_000
 
 _SEP = np.ones(256, bool)
 _SEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
