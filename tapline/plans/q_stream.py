@@ -33,6 +33,15 @@ def q_stream_sliding_mean(spark, d):
     return ST.run_available_now(s, "p2s")
 
 
+@query("stream_sliding_mean_8h", W("""select clock, avg(hbt) as hbt, count(*) as n from (
+  select date_trunc('hour', clock_raw) - to_hours(k) as clock, hbt from fx_para, range(0, 8) t(k))
+group by clock having clock + interval 8 hour <= (select max(clock_raw) from fx_para) - interval 1 hour"""))
+def q_stream_sliding_mean_8h(spark, d):
+    """P2s: 8-hour windows sliding by 1 hour."""
+    s = ST.hourly_mean_stream(_para_stream(spark, d), "clock_raw", ["hbt"], size="8 hours", slide="1 hour")
+    return ST.run_available_now(s, "p2s-8h")
+
+
 @query("stream_offset_join", W("""select t.clock, t.hm_si as hm_si, b.actwt as actwt_8h_before,
   t.n as n_tap, b.n as n_burden
 from (select date_trunc('hour', sampletaken) as clock, avg(hm_si) as hm_si, count(*) as n from fx_tap group by 1) t
@@ -61,17 +70,19 @@ def q_stream_dedupe(spark, d):
   select t.tapno, t.unit_id, t.sampletaken, t.hm_si, p.clock_raw, p.hbt,
          date_diff('microsecond', p.clock_raw, t.sampletaken) / 3.6e9 as lag_hours
   from fx_tap t asof left join fx_para p on t.unit_id = p.unit_id and t.sampletaken >= p.clock_raw)
-where clock_raw is not null and lag_hours <= 4"""))
+where clock_raw is not null and lag_hours <= 4 and sampletaken < (
+  select date_trunc('milliseconds', max(ts)) - interval 1 hour from events where event_type in ('purchase', 'click', 'view', 'signup'))"""))
 def q_stream_asof(spark, d):
-    """P4s: stateful as-of: each tap meets its unit's latest process reading ≤ 4 h old."""
+    """P4s: stateful as-of: each tap the watermark has passed meets its unit's latest process reading ≤ 4 h old."""
     ev = fx.events_stream(spark, d, fx.TAP_TYPES + fx.PARA_TYPES)
     return ST.run_available_now(ST.asof_stream(ev, fx.TAP_TYPES, fx.PARA_TYPES), "p4s")
 
 
-@query("stream_lags", W("""select taphole, tapno, sampletaken, hm_si as hm_si,
+@query("stream_lags", W("""select * from (select taphole, tapno, sampletaken, hm_si as hm_si,
   (lag(hm_si, 1) over w) as hm_si_lag1, (lag(hm_si, 2) over w) as hm_si_lag2,
   (lag(hm_si, 3) over w) as hm_si_lag3, (hm_si - lag(hm_si, 1) over w) as hm_si_diff1
-from fx_tap window w as (partition by taphole order by sampletaken)"""))
+from fx_tap window w as (partition by taphole order by sampletaken, tapno))
+where sampletaken < (select date_trunc('milliseconds', max(sampletaken)) - interval 1 hour from fx_tap)"""))
 def q_stream_lags(spark, d):
     """P5s: per-taphole lag-1..3 and first difference from state (last 12 values)."""
     taps = fx.tap_from_events(fx.events_stream(spark, d, fx.TAP_TYPES))

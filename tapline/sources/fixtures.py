@@ -177,12 +177,17 @@ PARA_TYPES = ["click", "view", "signup"]
 BURDEN_TYPES = ["error", "signup"]
 
 
+#: Bytes of input files that one micro-batch may hold (at least one file).
+MAX_BATCH_BYTES = 1 << 30
+
+
 def events_stream(spark: SparkSession, sf_dir: str, types=None, max_files: int | None = None) -> DataFrame:
     """The events table as a file stream (parquet files matching ``events*.parquet``)."""
     import os
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    r = spark.readStream.schema(schema)
+    # a first run over a long history is taken in batches of bounded size
+    r = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(MAX_BATCH_BYTES))
     if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
+        r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     ev = r.parquet(os.path.join(sf_dir, "events*.parquet")).select(*EV_COLS)
     return ev.where(F.col("event_type").isin(*types)) if types else ev

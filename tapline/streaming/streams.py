@@ -10,12 +10,13 @@ restartable after executor or driver loss).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType, TimestampNTZType
 
 from .. import constants as K
 from ..functions import scalars as S
@@ -94,41 +95,61 @@ ASOF_OUT = StructType([StructField("tapno", LongType()), StructField("unit_id",
                        StructField("sampletaken", TimestampNTZType()), StructField("hm_si", DoubleType()),
                        StructField("clock_raw", TimestampNTZType()), StructField("hbt", DoubleType()),
                        StructField("lag_hours", DoubleType())])
-ASOF_STATE = StructType([StructField("ts", TimestampNTZType()), StructField("hbt", DoubleType())])
+BUFFER = StructType([StructField("rows", BinaryType())])
+
+
+def _millis(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[ms]").astype("int64")
+
+
+def _watermark(state) -> pd.Timestamp:
+    return pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+
+
+def _joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """One event-time ordered frame of the buffered and the new rows (frames without rows are left out)."""
+    some = [f for f in frames if len(f)]
+    return pd.concat(some, ignore_index=True) if some else frames[0]
 
 
 def _asof_state_fn(tolerance_h: float):
+    tolerance = pd.Timedelta(hours=tolerance_h)
+    para_cols, tap_cols = ["clock_raw", "hbt"], ["ts", "tapno", "hm_si"]
+
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs))
-        if pdf.empty:
-            return
-        para = pdf.loc[~pdf["is_tap"], ["ts", "hbt"]]
-        if state.exists:  # the unit's latest reading from earlier micro-batches
-            last_ts, last_hbt = state.get
-            para = pd.concat([pd.DataFrame({"ts": [last_ts], "hbt": [last_hbt]}), para])
-        para = para.sort_values("ts", kind="mergesort").rename(columns={"ts": "clock_raw"})
-        taps = pdf.loc[pdf["is_tap"], ["tapno", "ts", "hm_si"]].sort_values("ts", kind="mergesort")
-        if not para.empty:
-            state.update((para["clock_raw"].iloc[-1], float(para["hbt"].iloc[-1])))
-        if taps.empty or para.empty:
-            return
-        m = pd.merge_asof(taps, para, left_on="ts", right_on="clock_raw", direction="backward",
-                          allow_exact_matches=True)
-        m = m[m["clock_raw"].notna()]
-        m["lag_hours"] = (m["ts"] - m["clock_raw"]).dt.total_seconds() / 3600.0
-        m = m[m["lag_hours"] <= tolerance_h]
-        if len(m):
-            yield pd.DataFrame({"tapno": m["tapno"].astype("int64"), "unit_id": int(key[0]),
-                                "sampletaken": m["ts"], "hm_si": m["hm_si"], "clock_raw": m["clock_raw"],
-                                "hbt": m["hbt"], "lag_hours": m["lag_hours"]})
+        """Buffers readings and taps; a tap is matched once the watermark has passed it, so arrival order does not matter."""
+        para, taps = pickle.loads(state.get[0]) if state.exists else (pd.DataFrame(columns=para_cols), pd.DataFrame(columns=tap_cols))
+        for pdf in pdfs:
+            para = _joined([para, pdf.loc[~pdf["is_tap"], ["ts", "hbt"]].rename(columns={"ts": "clock_raw"})])
+            taps = _joined([taps, pdf.loc[pdf["is_tap"], tap_cols]])
+        now = _watermark(state)
+        para = para.sort_values(para_cols, kind="mergesort")
+        due, taps = taps[taps["ts"] < now].sort_values("ts", kind="mergesort"), taps[taps["ts"] >= now]
+        if len(due) and len(para):
+            m = pd.merge_asof(due.astype({"ts": "datetime64[us]"}), para.astype({"clock_raw": "datetime64[us]"}), left_on="ts",
+                              right_on="clock_raw", direction="backward", allow_exact_matches=True)
+            m["lag_hours"] = (m["ts"] - m["clock_raw"]).dt.total_seconds() / 3600.0
+            m = m[m["lag_hours"] <= tolerance_h]
+            if len(m):
+                yield pd.DataFrame({"tapno": m["tapno"].astype("int64"), "unit_id": int(key[0]), "sampletaken": m["ts"], "hm_si": m["hm_si"],
+                                    "clock_raw": m["clock_raw"], "hbt": m["hbt"], "lag_hours": m["lag_hours"]})
+        # later taps are newer than the watermark: older readings than the tolerance before it can match no more
+        para = para[para["clock_raw"] >= now - tolerance]
+        if len(para) or len(taps):
+            state.update((pickle.dumps((para, taps)),))
+            wake = [int(_millis(taps["ts"]).min())] if len(taps) else [int(_millis(para["clock_raw"]).max() + tolerance.value // 10 ** 6)]
+            state.setTimeoutTimestamp(max(wake[0], state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
     return fn
 
 
-def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASOF_TOLERANCE_HOURS) -> DataFrame:
+def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASOF_TOLERANCE_HOURS, delay: str = "1 hour") -> DataFrame:
     """P4s: each tap meets the unit's latest process reading within ``tolerance_h``.
 
-    State per unit = one (ts, hbt) row, so state size is bounded by the
-    number of units, not by the stream length.
+    Taps wait until the watermark passes them; readings stay for the tolerance
+    behind it.  So state per unit is bounded by tolerance + delay, rows may
+    arrive in any order within the delay, and idle units expire.
     """
     from ..sources.fixtures import para_from_events, tap_from_events
     none = F.lit(None)
@@ -138,41 +159,51 @@ def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASO
     para = para_from_events(ev.where(F.col("event_type").isin(*para_types))).select(
         "unit_id", F.col("clock_raw").alias("ts"), none.cast("long").alias("tapno"), F.lit(False).alias("is_tap"),
         none.cast("double").alias("hm_si"), "hbt")
-    x = taps.unionByName(para)
+    x = taps.unionByName(para).withColumn("__et", ntz_to_instant("ts")).withWatermark("__et", delay)
     return x.groupBy("unit_id").applyInPandasWithState(
-        _asof_state_fn(tolerance_h), ASOF_OUT, ASOF_STATE, "append", "NoTimeout")
+        _asof_state_fn(tolerance_h), ASOF_OUT, BUFFER, "append", "EventTimeTimeout")
 
 
 LAG_OUT = StructType([StructField("taphole", LongType()), StructField("tapno", LongType()),
                       StructField("sampletaken", TimestampNTZType()), StructField("hm_si", DoubleType()),
                       StructField("hm_si_lag1", DoubleType()), StructField("hm_si_lag2", DoubleType()),
                       StructField("hm_si_lag3", DoubleType()), StructField("hm_si_diff1", DoubleType())])
-LAG_STATE = StructType([StructField("last", StringType())])
 
 
 def _lag_state_fn(keep: int = 12):
+    cols = ["sampletaken", "tapno", "hm_si"]
+
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs))
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values("sampletaken", kind="mergesort")
-        hist = [float(v) for v in state.get[0].split(",") if v] if state.exists else []
-        vals = pd.Series(hist + pdf["hm_si"].astype(float).tolist())
-        n0 = len(hist)
-        out = pd.DataFrame({"taphole": int(key[0]), "tapno": pdf["tapno"].astype("int64").to_numpy(),
-                            "sampletaken": pdf["sampletaken"].to_numpy(), "hm_si": pdf["hm_si"].to_numpy()})
-        for k in (1, 2, 3):
-            out[f"hm_si_lag{k}"] = vals.shift(k).iloc[n0:].to_numpy()
-        out["hm_si_diff1"] = (vals - vals.shift(1)).iloc[n0:].to_numpy()
-        state.update((",".join(repr(v) for v in vals.iloc[-keep:].tolist()),))
-        yield out
+        """Buffers rows until the watermark passes them, then emits them in event-time order."""
+        hist, rows = pickle.loads(state.get[0]) if state.exists else ([], pd.DataFrame(columns=cols))
+        for pdf in pdfs:
+            rows = _joined([rows, pdf[cols]])
+        now = _watermark(state)
+        due, rows = rows[rows["sampletaken"] < now].sort_values(["sampletaken", "tapno"], kind="mergesort"), rows[rows["sampletaken"] >= now]
+        if len(due):
+            vals = pd.Series(hist + due["hm_si"].astype(float).tolist())
+            n0 = len(hist)
+            out = pd.DataFrame({"taphole": int(key[0]), "tapno": due["tapno"].astype("int64").to_numpy(),
+                                "sampletaken": due["sampletaken"].astype("datetime64[us]").to_numpy(), "hm_si": due["hm_si"].to_numpy()})
+            for k in (1, 2, 3):
+                out[f"hm_si_lag{k}"] = vals.shift(k).iloc[n0:].to_numpy()
+            out["hm_si_diff1"] = (vals - vals.shift(1)).iloc[n0:].to_numpy()
+            hist = vals.iloc[-keep:].tolist()
+            yield out
+        state.update((pickle.dumps((hist, rows)),))
+        if len(rows):
+            state.setTimeoutTimestamp(max(int(_millis(rows["sampletaken"]).min()), state.getCurrentWatermarkMs() + 1))
     return fn
 
 
-def lags_stream(taps: DataFrame, keep: int = 12) -> DataFrame:
-    """P5s: per-series lag/diff features from the last ``keep`` values kept in state."""
-    return taps.select("taphole", "tapno", "sampletaken", "hm_si").groupBy("taphole").applyInPandasWithState(
-        _lag_state_fn(keep), LAG_OUT, LAG_STATE, "append", "NoTimeout")
+def lags_stream(taps: DataFrame, keep: int = 12, delay: str = "1 hour") -> DataFrame:
+    """P5s: per-series lag/diff features in event-time order.
+
+    State per series: the last ``keep`` values and the rows the watermark has
+    not passed yet.
+    """
+    x = taps.select("taphole", "tapno", "sampletaken", "hm_si").withColumn("__et", ntz_to_instant("sampletaken")).withWatermark("__et", delay)
+    return x.groupBy("taphole").applyInPandasWithState(_lag_state_fn(keep), LAG_OUT, BUFFER, "append", "EventTimeTimeout")
 
 
 def score_stream(s: DataFrame, pipeline_model, means: dict, target: str = "hm_si") -> DataFrame:

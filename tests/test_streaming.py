@@ -2,7 +2,7 @@
 
 import os
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -40,26 +40,42 @@ def test_stream_hourly_equals_batch(spark):
     assert sorted(map(tuple, s.select("clock", "x").collect())) == sorted(map(tuple, closed.collect()))
 
 
-def test_stream_asof_equals_batch_tolerance_join(spark):
-    import __spark_entry__ as E
-    from conftest import SF_CHECK
-    q = E.queries()
-    s = q["stream_asof"](spark, SF_CHECK).select("tapno", "clock_raw").collect()
-    b = q["asof_tolerance"](spark, SF_CHECK).select("tapno", "clock_raw").collect()
-    assert sorted(map(tuple, s)) == sorted(map(tuple, b))
+def _two_batches(spark, rows_1, rows_2, build):
+    """The stream's result over two arrivals of (event_id, ts, user_id, event_type, value, props) rows."""
+    d = tempfile.mkdtemp(prefix="tapline-stream-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    out, ck = os.path.join(d, "out"), os.path.join(d, "ck")
+    for i, rows in enumerate((rows_1, rows_2)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, "src", f"b{i}"))
+        src = spark.readStream.schema(schema).parquet(os.path.join(d, "src", "b*"))
+        got = ST.run_available_now(build(src), "two", out=out, checkpoint=ck)
+    return got
 
 
-def test_stream_lags_equal_batch_row_lags(spark):
-    import __spark_entry__ as E
-    from tapline.operators import windows
+def _event(i, hour, kind, value=1.0, user=4):
+    return (i, datetime(2024, 1, 1) + timedelta(hours=hour), user, kind, value, '{"k": 5}')
+
+
+END = 40  # hours; far ahead of the rest, so that the watermark passes everything
+
+
+def test_stream_asof_over_batches_out_of_order(spark):
     from tapline.sources import fixtures as fx
-    from conftest import SF_CHECK
-    s = E.queries()["stream_lags"](spark, SF_CHECK).select("tapno", "hm_si_lag2")
-    t = fx.fx_tap(spark, SF_CHECK)
-    b = windows.add_lags(t, ["hm_si"], [2], by="taphole", clock="sampletaken").select("tapno", F.col("hm_si_lag2").alias("b"))
-    j = s.join(b, "tapno")
-    assert j.count() == t.count()
-    assert j.where("not (hm_si_lag2 <=> b)").count() == 0
+    one = [_event(1, 1, "click"), _event(2, 6, "view"), _event(3, 6.2, "purchase")]
+    two = [_event(4, 5.5, "purchase"), _event(5, 5.4, "click"), _event(6, 2, "purchase"), _event(7, END, "click")]
+    got = _two_batches(spark, one, two, lambda s: ST.asof_stream(s, fx.TAP_TYPES, fx.PARA_TYPES, delay="5 hours"))
+    match = {r.tapno: r.clock_raw.hour + r.clock_raw.minute / 60 for r in got.collect()}
+    # tap 4 meets the reading that came with it, tap 6 the old one, tap 3 the one in order
+    assert match == {3: 6.0, 4: 5.4, 6: 1.0}
+
+
+def test_stream_lags_over_batches_out_of_order(spark):
+    from tapline.sources import fixtures as fx
+    one = [_event(1, 1, "purchase", 100.0), _event(3, 3, "purchase", 300.0)]
+    two = [_event(2, 2, "purchase", 200.0), _event(4, 4, "purchase", 400.0), _event(5, END, "purchase", 0.0)]
+    got = _two_batches(spark, one, two, lambda s: ST.lags_stream(fx.tap_from_events(s.where("event_type = 'purchase'")), delay="5 hours"))
+    lags = {r.tapno: (r.hm_si_lag1, r.hm_si_lag2, r.hm_si_diff1) for r in got.collect()}
+    assert lags == {1: (None, None, None), 2: (1.0, None, 1.0), 3: (2.0, 1.0, 1.0), 4: (3.0, 2.0, 1.0)}
 
 
 def test_results_do_not_depend_on_session_time_zone(spark):
