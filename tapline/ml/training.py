@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.scalars import cut_right_closed
-from ..operators import metrics
+from ..operators import metrics, windows
 from ..plans import feature_table as FT
 from . import models as M
 from .prep import random_split, stratified_split
@@ -58,19 +58,20 @@ _CTX: dict = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
+    ft = FT.feature_table(spark, sf_dir)
+    ft = ft.withColumns({
+        "si_class": cut_right_closed("hm_si", K.SI_EDGES, K.SI_LABELS),
+        "temp_class": cut_right_closed("hm_temp", K.TEMP_EDGES, K.TEMP_LABELS)})
+    # keyed on content: fits of a table that has changed since are not used again, and its memory is given back
+    state = ft.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in ft.columns)}))")).first()
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CTX:
-        ft = FT.feature_table(spark, sf_dir)
-        ft = ft.withColumns({
-            "si_class": cut_right_closed("hm_si", K.SI_EDGES, K.SI_LABELS),
-            "temp_class": cut_right_closed("hm_temp", K.TEMP_EDGES, K.TEMP_LABELS)})
-        # the table is hour-bounded; size its partitions to its rows (≈20k per task) so the
-        # many small jobs of iterative learners do not pay for near-empty tasks
-        n = ft.count()
-        parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 20_000)))
-        ft = ft.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-        _CTX[key] = Context(spark, sf_dir, ft, base_features(ft))
-    return _CTX[key]
+    if key not in _CTX or _CTX[key][0] != tuple(state):
+        if key in _CTX:
+            _CTX[key][1].table.unpersist()
+        # adaptive execution sizes the partitions; iterative learners then scan the cached table
+        ft = ft.repartition("clock").persist(StorageLevel.MEMORY_AND_DISK)
+        _CTX[key] = tuple(state), Context(spark, sf_dir, ft, base_features(ft))
+    return _CTX[key][1]
 
 
 # ------------------------------------------------------------------ regression
@@ -179,3 +180,52 @@ def bakeoff(ctx: Context, kind: str = "regression", parallelism: int = 3) -> Dat
     from ..operators.rank import best_model
     best = best_model(df, "target", names[0]).select("target", "best_model")
     return df.join(best, "target").withColumn("best", F.col("model") == F.col("best_model")).drop("best_model")
+
+
+def winner(ctx: Context, target: str, kind: str = "regression") -> dict:
+    """The bake-off's best candidate of a target: its fit, with ``model`` and the hold-out ``score`` (R² or accuracy)."""
+    def run():
+        metric = "r2" if kind == "regression" else "accuracy"
+        rows = ctx.memo(("bakeoff", kind), lambda: bakeoff(ctx, kind).collect())
+        best = next(r for r in rows if r["target"] == target and r["best"])
+        fit = (fit_regression if kind == "regression" else fit_classification)(ctx, target, best["model"])
+        return fit | {"model": best["model"], "score": float(best[metric])}
+    return ctx.memo(("winner", kind, target), run)
+
+
+# ------------------------------------------------------------------ time series
+
+TS_LAGS = [1, 2, 3]
+
+
+def ts_table(ctx: Context) -> DataFrame:
+    """Base features, 3 lags and the first difference of both targets, and each target one hour ahead."""
+    t = windows.add_lags(ctx.table, TARGETS, TS_LAGS)
+    t = windows.add_diffs(t, TARGETS)
+    return ctx.memo(("ts table",), lambda: windows.add_leads(t, TARGETS, 1, fmt="{c}_next").checkpoint())
+
+
+def ts_pool(ctx: Context) -> list[str]:
+    """Candidate inputs of the next-step models: base features, 6 lags, 2 differences."""
+    return ctx.features + [f"{c}_lag{k}" for c in TARGETS for k in TS_LAGS] + [f"{c}_diff1" for c in TARGETS]
+
+
+def fit_timeseries(ctx: Context, target: str, k: int = K.TOP_K_FEATURES) -> dict:
+    """Next-step trainer: rows with all lags and the lead, top-k inputs by importance for the *future* target,
+    chronological 80/20 split, all regression candidates, the best by hold-out R²."""
+    def run():
+        label, lags = f"{target}_next", [f"{c}_lag{j}" for c in TARGETS for j in TS_LAGS]
+        sp = windows.chrono_split(ts_table(ctx).dropna(subset=[label, *lags]))
+        sp = sp.persist()
+        train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
+        prep = M.Prep.fit(train, ts_pool(ctx), scale=False)
+        feats = M.top_features(M.fit(train, prep, M.rf_reg(label, trees=50, depth=8)), prep, k)
+        prep, n, scored = M.Prep.fit(train, feats), train.count(), []
+        for i, (name, make) in enumerate(REG_CANDIDATES.items()):
+            pm = M.fit(train, prep, make(label, n))
+            r = metrics.regression_metrics(pm.transform(test), label, "prediction").first()
+            scored.append((float(r["r2"]), -i, name, pm, float(r["rmse"]), float(r["mae"])))
+        best = max(scored, key=lambda x: x[:2])
+        return {"pm": best[3], "prep": prep, "split": sp, "features": feats, "n_train": n, "model": best[2], "score": best[0],
+                "candidates": [(target, name, -i, r2, rmse, mae, name == best[2]) for r2, i, name, _, rmse, mae in scored]}
+    return ctx.memo(("ts", target), run)

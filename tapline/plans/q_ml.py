@@ -292,10 +292,19 @@ def q_bakeoff_classification(spark, d):
 def q_pi_forest(spark, d):
     """Forest percentile interval from per-tree leaf values, for every test row."""
     ctx = TR.context(spark, d)
-    f = TR.fit_regression(ctx, "hm_si", "Random Forest")
-    test = f["split"].where("split = 'test'")
-    out = M.forest_interval(spark, f["pm"], test)
-    return out.select("clock", "hm_si", "prediction", "pi_lo", "pi_hi", "tree_mean", "tree_std")
+
+    def one(t):
+        f = TR.fit_regression(ctx, t, "Random Forest")
+        out = M.forest_interval(spark, f["pm"], f["split"].where("split = 'test'"))
+        return out.select("clock", F.lit(t).alias("target"), F.col(t).alias("actual"), "prediction", "pi_lo", "pi_hi", "tree_mean", "tree_std")
+    return _union(map(one, TR.TARGETS))
+
+
+def _union(parts):
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def _requests(ctx):
@@ -306,53 +315,48 @@ def _requests(ctx):
 
 @query("score_regression")
 def q_score_regression(spark, d):
-    """O1: both targets scored for every request, default-filled, with unit/model/R²."""
+    """O1: both targets scored by the bake-off's winner for every request, default-filled, with unit/model/R²."""
     ctx = TR.context(spark, d)
-    out = None
-    for t in TR.TARGETS:
-        f = TR.fit_regression(ctx, t, "Random Forest")
-        r2 = TR.regression_scores(f, t).first()["r2"]
-        s = SC.score_regression(f, _requests(ctx), t, "Random Forest", r2).select(
+
+    def one(t):
+        f = TR.winner(ctx, t)
+        return SC.score_regression(f, _requests(ctx), t, f["model"], f["score"]).select(
             "clock", "target", "unit", "model", "r2_test", "prediction")
-        out = s if out is None else out.unionByName(s)
-    return out
+    return _union(map(one, TR.TARGETS))
 
 
 @query("score_classification")
 def q_score_classification(spark, d):
-    """O2: class + probability map per request."""
+    """O2: class + probability map per request and target, by the bake-off's winner."""
     ctx = TR.context(spark, d)
-    f = TR.fit_classification(ctx, "hm_si", "Random Forest")
-    return SC.score_classification(f, _requests(ctx), "Random Forest").select("clock", "pred_label", "probabilities", "model")
+
+    def one(t):
+        f = TR.winner(ctx, t, "classification")
+        return SC.score_classification(f, _requests(ctx), f["model"]).select(
+            "clock", F.lit(t).alias("target"), "pred_label", "probabilities", "model")
+    return _union(map(one, TR.TARGETS))
 
 
-def _ts_fit(ctx, target):
-    """Next-step model: features + lags of both targets, label = next hour's value."""
-    def run():
-        t = windows.add_lags(ctx.table, TR.TARGETS, [1, 2, 3])
-        t = windows.add_diffs(t, TR.TARGETS)
-        t = windows.add_leads(t, [target], 1, fmt="{c}_next")
-        t = windows.chrono_split(t).checkpoint()
-        feats = TR.selection(ctx, target) + [f"{c}_lag{k}" for c in TR.TARGETS for k in (1, 2, 3)]
-        train = t.where(f"split = 'train' and {target}_next is not null")
-        prep = M.Prep.fit(train, feats)
-        pm = M.fit(train, prep, M.gbt_reg(f"{target}_next", 100, 4, 0.08, 0.8))
-        return {"pm": pm, "prep": prep, "split": t, "features": feats}
-    return ctx.memo(("ts", target), run)
+@query("bakeoff_timeseries")
+def q_bakeoff_timeseries(spark, d):
+    """K10 for the next-step models: candidates × targets on the chronological hold-out, the best flagged."""
+    ctx = TR.context(spark, d)
+    rows = [r for t in TR.TARGETS for r in TR.fit_timeseries(ctx, t)["candidates"]]
+    return spark.createDataFrame(rows, "target string, model string, model_order int, r2 double, rmse double, mae double, best boolean")
 
 
 @query("score_timeseries")
 def q_score_timeseries(spark, d):
-    """O3: next-hour forecast from the latest row of the series."""
+    """O3: next-hour forecast of both targets from the latest row of the series, by the best next-step model."""
     ctx = TR.context(spark, d)
-    out = None
-    for t in TR.TARGETS:
-        f = _ts_fit(ctx, t)
-        last = f["split"].orderBy(F.col("clock").desc()).limit(1)  # the latest state is the request
-        s = f["pm"].transform(last).select(S.forecast_time("clock", 1).alias("forecast_for"),
-                                           F.lit(t).alias("target"), "prediction")
-        out = s if out is None else out.unionByName(s)
-    return out
+
+    def one(t):
+        f = TR.fit_timeseries(ctx, t)
+        last = TR.ts_table(ctx).orderBy(F.col("clock").desc()).limit(1)  # the latest state is the request
+        return f["pm"].transform(SC.default_fill(last, SC.train_means(f))).select(
+            S.forecast_time("clock", 1).alias("forecast_for"), F.lit(t).alias("target"), F.lit(f["model"]).alias("model"),
+            F.lit(f["score"]).alias("r2_test"), "prediction")
+    return _union(map(one, TR.TARGETS))
 
 
 @query("score_quality")
@@ -362,67 +366,87 @@ def q_score_quality(spark, d):
     req = _requests(ctx).withColumns({
         "ore_coke_ratio": S.guarded_ratio("total_iron_kg", "coke_kg", 1.0),
         "coal_intensity": S.guarded_ratio("coal_actual", "prod_rate", 1.0)})
-    out = None
-    for t in TR.TARGETS:
-        f = TR.fit_regression(ctx, t, "Random Forest")
-        r = TR.regression_scores(f, t).first()
-        s = SC.score_regression(f, req, t, "Random Forest", r["r2"])
-        s = SC.rmse_interval(s, float(r["rmse"]), f["n_train"], len(f["features"]))
-        s = SC.spec_status(s.select("clock", "target", "prediction", "pi_lo", "pi_hi"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    def one(t):
+        f = TR.winner(ctx, t)
+        if f["model"] == "Random Forest":  # a forest has its own per-tree interval, others the RMSE-t one
+            x = SC.default_fill(req, SC.train_means(f))
+            s = M.forest_interval(spark, f["pm"], x).withColumn("target", F.lit(t))
+        else:
+            r = TR.regression_scores(f, t).first()
+            s = SC.rmse_interval(SC.score_regression(f, req, t, f["model"], f["score"]), float(r["rmse"]), f["n_train"], len(f["features"]))
+        return SC.spec_status(s.select("clock", "target", F.lit(f["model"]).alias("model"), "prediction", "pi_lo", "pi_hi"))
+    return _union(map(one, TR.TARGETS))
 
 
 @query("score_new_tap")
 def q_score_new_tap(spark, d):
-    """Class of a new tap; gaps filled with training medians by the pipeline."""
+    """Class of a new tap for both targets by the winner; gaps filled with training medians by the pipeline."""
     ctx = TR.context(spark, d)
-    f = TR.fit_classification(ctx, "hm_si", "Random Forest")
     req = _requests(ctx)
-    x = f["pm"].transform(req)  # the pipeline's SQL stage fills gaps with medians
-    return x.select("clock", F.element_at(F.array(*[F.lit(c) for c in TR.CLASS_LABELS]),
-                                          F.col("prediction").cast("int") + 1).alias("pred_label"))
+
+    def one(t):
+        f = TR.winner(ctx, t, "classification")
+        return f["pm"].transform(req).select("clock", F.lit(t).alias("target"), F.lit(f["model"]).alias("model"), F.element_at(
+            F.array(*[F.lit(c) for c in TR.CLASS_LABELS]), F.col("prediction").cast("int") + 1).alias("pred_label"))
+    return _union(map(one, TR.TARGETS))
 
 
 @query("score_next_tap")
 def q_score_next_tap(spark, d):
-    """Boosted point forecast + forest interval + spec alert for the test hours."""
+    """Boosted point forecast + forest interval + spec alert for the test hours, both targets."""
     ctx = TR.context(spark, d)
-    g = TR.fit_regression(ctx, "hm_si", "Gradient Boosting")
-    rf = TR.fit_regression(ctx, "hm_si", "Random Forest")
-    test = g["split"].where("split = 'test'")
-    point = g["pm"].transform(test).select("clock", F.col("prediction").alias("point"))
-    band = M.forest_interval(spark, rf["pm"], test).select("clock", "pi_lo", "pi_hi")
-    x = point.join(band, "clock")
-    ok = S.in_spec("point", *K.SI_SPEC)
-    return x.withColumn("alert", F.when(ok, "OK").otherwise("OFF-SPEC"))
+
+    def one(t):
+        g, rf = TR.fit_regression(ctx, t, "Gradient Boosting"), TR.fit_regression(ctx, t, "Random Forest")
+        test = g["split"].where("split = 'test'")
+        point = g["pm"].transform(test).select("clock", F.col("prediction").alias("point"))
+        band = M.forest_interval(spark, rf["pm"], test).select("clock", "pi_lo", "pi_hi")
+        limits = K.SI_SPEC if t == "hm_si" else K.SPEC_LIMITS[t]
+        return point.join(band, "clock").withColumns({
+            "target": F.lit(t), "alert": F.when(S.in_spec("point", *limits), "OK").otherwise("OFF-SPEC")})
+    return _union(map(one, TR.TARGETS))
 
 
 @query("classify_tap")
 def q_classify_tap(spark, d):
-    """Both class targets for each request with desirability and alert."""
+    """Both class targets for each request: class, probabilities, model, desirability, alert, and the quality grade."""
     ctx = TR.context(spark, d)
-    out = None
-    for t, name in (("hm_si", "si_class"), ("hm_temp", "temp_class")):
-        f = TR.fit_classification(ctx, t, "Random Forest")
-        s = SC.score_classification(f, _requests(ctx), "Random Forest")
-        s = s.select("clock", F.lit(name).alias("target"), "pred_label")
+
+    def one(t):
+        name = "si_class" if t == "hm_si" else "temp_class"
+        f = TR.winner(ctx, t, "classification")
+        s = SC.score_classification(f, _requests(ctx), f["model"])
+        s = s.select("clock", F.lit(name).alias("target"), "pred_label", "probabilities", "model")
         # temperature classes are Low/Normal/High here; desirability keyed like the source's table
         key = F.when(F.lit(name) == "temp_class",
                      F.when(F.col("pred_label") == "Low", "Cold").when(F.col("pred_label") == "High", "Hot")
                      .otherwise(F.col("pred_label"))).otherwise(F.col("pred_label"))
         s = s.withColumn("desirability", S.desirability(name, key))
-        s = s.withColumn("alert", S.alert_text("desirability"))
-        out = s if out is None else out.unionByName(s)
-    return out
+        return s.withColumn("alert", S.alert_text("desirability"))
+    return _union(map(one, TR.TARGETS))
 
 
 @query("contributions")
 def q_contributions(spark, d):
-    """Per-request feature contributions (one feature at request value, others at mean)."""
+    """Per-request feature contributions (one feature at request value, others at mean), both targets, by the winner."""
+    ctx = TR.context(spark, d)
+
+    def one(t):
+        f = TR.winner(ctx, t)
+        return SC.contributions(f, _requests(ctx), "clock").withColumns({"target": F.lit(t), "model": F.lit(f["model"])})
+    return _union(map(one, TR.TARGETS))
+
+
+@query("contributions_timeseries")
+def q_contributions_timeseries(spark, d):
+    """O8 for the next-step models: contributions of the latest row's inputs, both targets."""
     ctx = TR.context(spark, d)
-    f = TR.fit_regression(ctx, "hm_si", "Random Forest")
-    return SC.contributions(f, _requests(ctx), "clock")
+
+    def one(t):
+        f = TR.fit_timeseries(ctx, t)
+        last = TR.ts_table(ctx).orderBy(F.col("clock").desc()).limit(1)
+        return SC.contributions(f, last, "clock").withColumns({"target": F.lit(t), "model": F.lit(f["model"])})
+    return _union(map(one, TR.TARGETS))
 
 
 @query("contributions_classification", W("""select t.clock, t.feature, (t.v - m.mu) as contribution from
@@ -441,7 +465,7 @@ def q_contributions_classification(spark, d):
 
 def _curves(spark, d):
     ctx = TR.context(spark, d)
-    fits = {t: TR.fit_regression(ctx, t, "Random Forest") for t in TR.TARGETS}
+    fits = {t: TR.winner(ctx, t) for t in TR.TARGETS}
     feats = list(dict.fromkeys(fits["hm_si"]["features"] + fits["hm_temp"]["features"]))
     return ctx.memo(("curves",), lambda: SC.sensitivity_curves(fits, ctx.table, feats).persist())
 
@@ -513,7 +537,7 @@ def q_sensitivity_guidance(spark, d):
 def q_scenario_scoring(spark, d):
     """Low / typical / high scenarios of each top feature → both targets → joint window."""
     ctx = TR.context(spark, d)
-    fits = {t: TR.fit_regression(ctx, t, "Random Forest") for t in TR.TARGETS}
+    fits = {t: TR.winner(ctx, t) for t in TR.TARGETS}
     feats = list(dict.fromkeys(fits["hm_si"]["features"] + fits["hm_temp"]["features"]))
     q = ctx.table.agg(*[F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(c) for c in feats])
     sc = q.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in feats])).alias("x")) \
@@ -523,7 +547,7 @@ def q_scenario_scoring(spark, d):
     sc = sc.withColumns({f: F.when(F.col("feature") == f, F.col("value")) for f in feats})
     out = sc
     for t, f in fits.items():
-        out = SC.score_regression(f, out, t, "Random Forest").withColumnRenamed("prediction", f"pred_{t}") \
+        out = SC.score_regression(f, out, t, f["model"]).withColumnRenamed("prediction", f"pred_{t}") \
             .drop("features", "target", "unit", "model", "r2_test", *f["prep"].zcols())
     si_ok = S.in_spec("pred_hm_si", *K.SPEC_LIMITS["hm_si"])
     te_ok = S.in_spec("pred_hm_temp", *K.SPEC_LIMITS["hm_temp"])
@@ -545,7 +569,7 @@ def q_equation_table(spark, d):
         coefs = spark.createDataFrame([(c, float(v)) for c, v in zip(f["features"], lr.coefficients.toArray())],
                                       "term string, coef double")
         top = rank.topk_abs(coefs, 8, "coef", tie="term")
-        top = top.withColumns({"target": F.lit(t), "intercept": F.lit(float(lr.intercept)),
+        top = top.withColumns({"target": F.lit(t), "best_model": F.lit(TR.winner(ctx, t)["model"]), "intercept": F.lit(float(lr.intercept)),
                                "ci_half": F.lit(ci["ci_half"]), "pi_half": F.lit(ci["pi_half"])})
         out = top if out is None else out.unionByName(top)
     return out
