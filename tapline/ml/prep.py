@@ -1,6 +1,6 @@
 """Training-set preparation (J6-J12): encoding, splits, class weights, SMOTE.
 
-Splits are deterministic functions of a row key (xxhash64), so they are
+Splits are deterministic functions of a row key (md5), so they are
 stable under repartitioning and executor loss.  Exact per-class counts use
 the distributed ``prefix_sum`` (range-partitioned running counts) instead of
 a per-class window, so one dominant class never lands in a single task.
@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from ..operators.windows import prefix_sum
 
 
+def key_hash(key_cols: Sequence[str], seed: int = 42) -> F.Column:
+    """md5 of the key's text and the seed: an order any engine can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
+
+
 def hash_unit(key_cols: Sequence[str], seed: int = 42) -> F.Column:
-    """Uniform [0, 1) from a 64-bit hash of the key (deterministic per row)."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    """Uniform [0, 1): the first 52 bits of ``key_hash``."""
+    return F.conv(F.substring(key_hash(key_cols, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _by_class(df: DataFrame, label: str, order: Sequence, out: str, total: str | None = None) -> DataFrame:
@@ -29,8 +33,8 @@ def _by_class(df: DataFrame, label: str, order: Sequence, out: str, total: str |
 
 
 def _hash_order(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
-    """``__h``: all 64 bits of the key's hash; callers order by it, then by the key."""
-    return df.withColumn("__h", F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)))
+    """``__h``: the whole hash of the key; callers order by it, then by the key."""
+    return df.withColumn("__h", key_hash(key_cols, seed))
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None, labels: Sequence[str] | None = None) -> DataFrame:
@@ -42,6 +46,13 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, labels: Sequen
     return df.withColumn(out, F.try_element_at(m, F.col(col)))
 
 
+def label_decode(df: DataFrame, col: str, labels: Sequence[str], out: str) -> DataFrame:
+    """J6 inverse: alphabetical code → label; a code without a label → NULL."""
+    names = F.array(*[F.lit(x) for x in sorted(labels)])
+    code = F.col(col).cast("int")
+    return df.withColumn(out, F.when(code >= 0, F.get(names, code)))
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k · n_c) attached to every row."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))

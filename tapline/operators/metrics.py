@@ -118,6 +118,29 @@ def roc_curve(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
                     F.try_divide("npos_cum", "npos_all").alias("tpr"))
 
 
+def macro_roc(points: DataFrame, grid: int = 200) -> DataFrame:
+    """Macro-average ROC: every class's curve from (0, 0), linearly interpolated at ``grid`` equal steps of fpr, averaged.
+
+    Points are first reduced to the first and last of every grid cell per class
+    (a plain aggregate), so the windows run over at most ``grid`` rows a class.
+    Where a curve is vertical the upper end counts at its fpr.
+    """
+    step = float(grid - 1)
+    start = points.select("label", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
+    x = points.select("label", "fpr", "tpr").unionByName(start)
+    cells = x.groupBy("label", F.ceil(F.col("fpr") * step).cast("int").alias("i")).agg(
+        F.min(F.struct("fpr", "tpr")).alias("first"), F.max(F.struct("fpr", "tpr")).alias("last"))
+    frame = cells.select("label").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    w = Window.partitionBy("label").orderBy("i")
+    y = frame.join(cells, ["label", "i"], "left").select(
+        "label", "i", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"),
+        F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    g = F.col("i") / step
+    slope = (F.col("b.tpr") - F.col("a.tpr")) / (F.col("b.fpr") - F.col("a.fpr"))
+    tpr = F.when(F.col("b").isNull(), F.col("a.tpr")).otherwise(F.col("a.tpr") + slope * (g - F.col("a.fpr")))
+    return y.groupBy("i").agg(F.avg(tpr).alias("tpr")).select(F.col("i").alias("point_no"), (F.col("i") / step).alias("fpr"), "tpr")
+
+
 def masked_metrics(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
     """Metrics only over rows where a prediction exists, plus the row count.
 

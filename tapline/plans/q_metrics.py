@@ -109,6 +109,20 @@ def q_roc_curve(spark, d):
     return metrics.roc_curve(scored(spark, d), "actual", {c: f"p_{c.lower()}" for c in CLS})
 
 
+ROC_SQL = " union all ".join(_roc_sql(c, f"p_{c.lower()}") for c in CLS)
+
+
+@query("roc_macro", W("""select i as point_no, i / 199e0 as fpr, avg(case when b.x is null then a.y
+    else a.y + (b.y - a.y) / (b.x - a.x) * (i / 199e0 - a.x) end) as tpr from (
+  select label, i, (select max({'x': fpr, 'y': tpr}) from pts p where p.label = l.label and ceil(p.fpr * 199e0) <= i) as a,
+    (select min({'x': fpr, 'y': tpr}) from pts p where p.label = l.label and ceil(p.fpr * 199e0) > i) as b
+  from (select distinct label from pts) l, (select cast(range as integer) as i from range(200))) group by i""",
+    SCORED_SQL + f", pts as (select label, fpr, tpr from ({ROC_SQL}) union all select unnest(['Low', 'Normal', 'High']), 0e0, 0e0)"))
+def q_roc_macro(spark, d):
+    """Macro-average ROC on the 200-point grid."""
+    return metrics.macro_roc(metrics.roc_curve(scored(spark, d), "actual", {c: f"p_{c.lower()}" for c in CLS}))
+
+
 @query("masked_metrics", W("""select taphole, count(*) as n_rows, count(case when p is not null then 1 end) as n,
   (1 - sum(case when p is not null then (hm_si - p) ^ 2 end)
         / (var_pop(case when p is not null then hm_si end) * count(case when p is not null then hm_si end))) as r2,
@@ -130,6 +144,24 @@ def q_residual_stats(spark, d):
     return metrics.residual_stats(fx.fx_pred(spark, d), "hm_si", "pred_si", by="taphole")
 
 
+@query("residual_rows", W("""select tapno, hm_si as actual, pred_si as predicted, hm_si - pred_si as residual from fx_pred"""))
+def q_residual_rows(spark, d):
+    """One residual per scored row."""
+    return fx.fx_pred(spark, d).select("tapno", F.col("hm_si").alias("actual"), F.col("pred_si").alias("predicted"),
+                                       (F.col("hm_si") - F.col("pred_si")).alias("residual"))
+
+
+@query("residual_histogram", W("""select bin, n, mn + (mx - mn) * bin / 40e0 as bin_lo, mn + (mx - mn) * (bin + 1) / 40e0 as bin_hi,
+  n / (sum(n) over () * (mx - mn) / 40e0) as density from (
+  select cast(least(floor((r - mn) / ((mx - mn) / 40e0)), 39) as integer) as bin, mn, mx, count(*) as n
+  from (select tapno, hm_temp - pred_temp as r from fx_pred), (select min(hm_temp - pred_temp) as mn, max(hm_temp - pred_temp) as mx from fx_pred)
+  where r is not null group by all)"""))
+def q_residual_histogram(spark, d):
+    """Histogram and density of the residuals."""
+    from ..operators import aggs
+    return aggs.histogram(fx.fx_pred(spark, d).select((F.col("hm_temp") - F.col("pred_temp")).alias("r")), "r", 40)
+
+
 @query("scorecard", W("""select target, (coalesce(max(acc) filter (where model = 'noisy'), 0e0)) as noisy,
   (coalesce(max(acc) filter (where model = 'always_normal'), 0e0)) as always_normal,
   (coalesce(max(acc) filter (where model = 'unscored'), 0e0)) as unscored from (

@@ -88,13 +88,26 @@ def q_class_weights(spark, d):
     return MP.class_weights(f, "si_class")
 
 
-@query("random_split")
+def _md5_sql(key="clock", seed=42):
+    return f"md5(cast({key} as varchar) || '|{seed}')"
+
+
+@query("label_decode", W("select clock, si_class, si_class as si_class_back from lab", LABEL_SQL))
+def q_label_decode(spark, d):
+    """Codes and back again."""
+    f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class")
+    return MP.label_decode(MP.label_encode(f, "si_class", out="code"), "code", TR.CLASS_LABELS, "si_class_back").drop("code")
+
+
+@query("random_split", W(f"""select clock, case when ('0x' || substr({_md5_sql()}, 1, 13))::bigint / 4503599627370496e0 < 0.8
+  then 'train' else 'test' end as split from lab""", LABEL_SQL))
 def q_random_split(spark, d):
     """80/20 hash split keyed by the clock (stable under repartitioning)."""
     return TR.context(spark, d).split().select("clock", "split")
 
 
-@query("stratified_split")
+@query("stratified_split", W(f"""select clock, si_class, case when row_number() over (partition by si_class order by {_md5_sql()}, clock) - 1
+  < floor(count(*) over (partition by si_class) * 0.8) then 'train' else 'test' end as split from lab""", LABEL_SQL))
 def q_stratified_split(spark, d):
     """Per-class exact 80/20 split."""
     return TR.context(spark, d).split(stratify="si_class").select("clock", "si_class", "split")
@@ -115,6 +128,14 @@ def q_smote(spark, d):
     return out.groupBy("si_class", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kfold_ids", W(f"""select clock, si_class, cast((row_number() over (partition by si_class order by {_md5_sql()}, clock) - 1) % 5 as int) as fold
+from lab""", LABEL_SQL))
+def q_kfold_ids(spark, d):
+    """Stratified fold ids."""
+    f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class")
+    return MP.kfold_ids(f, 5, ["clock"], label="si_class")
+
+
 @query("kfold_cv")
 def q_kfold_cv(spark, d):
     """5-fold stratified CV accuracy of a forest on the tap classes."""

@@ -278,6 +278,14 @@ def q_detect_time_column(spark, d):
     return ingest.parse_rates(_events_text(spark, d))
 
 
+@query("time_column_choice", W("""select case when avg(case when try_strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') is not null
+  then 1e0 else 0e0 end) > 0.7 then 'ts' else 'event_id' end as time_column, count(*) as n_rows from events"""))
+def q_time_column_choice(spark, d):
+    """B2: the column taken as the clock."""
+    t = _events_text(spark, d)
+    return t.agg(F.lit(ingest.detect_time_column(t)).alias("time_column"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("drop_sparse_columns", W("""select tapno, hm_si as hm_si,
   case when tapno % 50 = 0 then hm_temp end as temp_2pct from fx_tap"""))
 def q_drop_sparse_columns(spark, d):

@@ -102,15 +102,39 @@ def q_sink_labels(spark, d):
     return spark.read.parquet(SK.write_table(t, scratch_path(spark, "labels")))
 
 
-@query("sink_predictions", W("""select tapno, 'hm_si' as target, hm_si as actual, pred_si as predicted,
-  coalesce(hm_si between 0.25 and 0.8, false) as in_spec from fx_pred"""))
+@query("sink_predictions", W("""select tapno, target, actual, predicted, shrunk, predicted - 2 * s as pi_lo, predicted + 2 * s as pi_hi,
+  coalesce(actual between predicted - 2 * s and predicted + 2 * s, false) as in_pi, coalesce(predicted between lo and hi, false) as in_spec from (
+  select tapno, 'hm_si' as target, hm_si as actual, pred_si as predicted, 0.5 * pred_si + 0.5 * (select avg(hm_si) from fx_pred) as shrunk,
+    (select sqrt(avg((hm_si - pred_si) * (hm_si - pred_si))) from fx_pred) as s, 0.25e0 as lo, 0.8e0 as hi from fx_pred
+  union all select tapno, 'hm_temp', hm_temp, pred_temp, 0.5 * pred_temp + 0.5 * (select avg(hm_temp) from fx_pred),
+    (select sqrt(avg((hm_temp - pred_temp) * (hm_temp - pred_temp))) from fx_pred), 1470e0, 1540e0 from fx_pred)"""))
 def q_sink_predictions(spark, d):
-    """A10: actual, prediction and spec flag per target, partitioned by target on write."""
-    p = fx.fx_pred(spark, d).select("tapno", F.lit("hm_si").alias("target"), F.col("hm_si").alias("actual"),
-                                    F.col("pred_si").alias("predicted"))
-    p = p.withColumn("in_spec", S.in_spec("actual", *K.SPEC_LIMITS["hm_si"]))
-    path = SK.write_table(p, scratch_path(spark, "predictions"), partition_by=["target"])
-    return spark.read.parquet(path).select("tapno", "target", "actual", "predicted", "in_spec")
+    """A10: per target the actual, a column per model, interval bounds and the spec flag of the *prediction*, partitioned by target on write."""
+    p = fx.fx_pred(spark, d)
+    pairs = {"hm_si": "pred_si", "hm_temp": "pred_temp"}
+    st = p.agg(*[F.avg(y).alias(y) for y in pairs], *[F.sqrt(F.avg((F.col(y) - F.col(q)) * (F.col(y) - F.col(q)))).alias(q) for y, q in pairs.items()]).first()
+    rows = F.explode(F.array(*[F.struct(F.lit(y).alias("target"), F.col(y).alias("actual"), F.col(q).alias("predicted"),
+                                        (0.5 * F.col(q) + 0.5 * F.lit(st[y])).alias("shrunk"), F.lit(2 * st[q]).alias("w"),
+                                        F.lit(float(K.SPEC_LIMITS[y][0])).alias("lo"), F.lit(float(K.SPEC_LIMITS[y][1])).alias("hi"))
+                               for y, q in pairs.items()]))
+    x = p.select("tapno", rows.alias("r")).select("tapno", "r.*")
+    lo, hi = F.col("predicted") - F.col("w"), F.col("predicted") + F.col("w")
+    x = x.select("tapno", "target", "actual", "predicted", "shrunk", lo.alias("pi_lo"), hi.alias("pi_hi"),
+                 S.in_spec("actual", lo, hi).alias("in_pi"), S.in_spec("predicted", F.col("lo"), F.col("hi")).alias("in_spec"))
+    path = SK.write_table(x, scratch_path(spark, "predictions"), partition_by=["target"])
+    return spark.read.parquet(path).select(*x.columns)
+
+
+@query("source_ranges", W("""select 'tap' as source, count(*) as n, min(sampletaken) as first_time, max(sampletaken) as last_time from fx_tap
+union all select 'process', count(*), min(clock_raw), max(clock_raw) from fx_para
+union all select 'burden', count(*), min(chargetime), max(chargetime) from fx_burden"""))
+def q_source_ranges(spark, d):
+    """Row count and time range of every source."""
+    out = None
+    for name, t, c in (("tap", fx.fx_tap(spark, d), "sampletaken"), ("process", fx.fx_para(spark, d), "clock_raw"), ("burden", fx.fx_burden(spark, d), "chargetime")):
+        r = t.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.min(c).alias("first_time"), F.max(c).alias("last_time"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @query("sink_importance", W("""select feature, importance as importance from (
