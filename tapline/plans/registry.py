@@ -25,7 +25,7 @@ def query(key: str, sql: str | None = None):
 
 
 def _load_all():
-    from . import q_core, q_windows, q_scalars, q_metrics, q_ml, q_stream, q_sources  # noqa: F401
+    from . import q_asof_class, q_core, q_windows, q_scalars, q_metrics, q_ml, q_stream, q_sources  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
