@@ -15,7 +15,7 @@ five-word shingles.
    blocks of ids.  Every part keeps a candidate towards its whole region's
    smallest document, so a split never separates what the region joins.
 4. Candidates are first each document and the hub (smallest document of a
-   region) it shares most trees with; once those links are merged, the neighbours with the longest common
+   region) it shares most trees with, at least STAR_TREES; once those links are merged, the neighbours with the longest common
    prefixes (``NEAR`` either way in the sorted order of each region part) that
    still lie in different components.  A family of n copies costs about n
    candidates, not n*n.
@@ -43,6 +43,8 @@ from .scratch import stored
 
 TREES, DEPTH = 40, 4
 REGION, NEAR = 512, 16
+#: Trees a document must share with a hub to be its first candidate (the others come up as neighbours); salts of a class of copies.
+STAR_TREES, SALTS = 3, 16
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -92,37 +94,43 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def regions(heads: DataFrame) -> DataFrame:
-    """Rows (region, deep, doc, n, hub) of the trees' region parts with at least two documents.
+    """Rows (region, deep, doc, n, hub, hub_n, size) of the trees' region parts with at least two documents.
 
     ``region`` identifies the part, ``deep`` is the next key, ``hub`` the
-    smallest document of the whole region.
+    smallest document of the whole region, ``size`` the whole region's.
     """
     rows = heads.select(
         F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"),
         F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(keys[t] as region, keys[(t + 1) % {TREES}] as deep))")).alias("x"),
     ).select("doc", "n", "x.region", "x.deep")
-    counted = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
-    joined = rows.join(counted, "region")
+    counted = rows.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("h")).where("size > 1")
+    joined = rows.join(counted.select("region", "size", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n")), "region")
     joined = stored(joined, "regions")
     crowded = joined.where(F.col("size") > REGION)
     deep = crowded.groupBy("region", "deep").agg(F.count("*").alias("part_size"))
     split = crowded.join(deep, ["region", "deep"])
     blocks = F.ceil(F.col("part_size") / REGION)
-    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("doc"), blocks)).alias("region"), "deep", "doc", "n", "hub")
-    return joined.where(F.col("size") <= REGION).select("region", "deep", "doc", "n", "hub").unionByName(split)
+    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("doc"), blocks)).alias("region"), "deep", "doc", "n", "hub", "hub_n", "size")
+    return joined.where(F.col("size") <= REGION).select("region", "deep", "doc", "n", "hub", "hub_n", "size").unionByName(split)
 
 
 def neighbours(parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) at most NEAR apart in a part's sorted order, of documents in different components and of sizes that allow a link."""
+    """Pairs (a, b) at most NEAR apart in a part's sorted order, of documents in different components and of sizes that allow a link.
+
+    Regions of up to NEAR + 1 documents show all their pairs.  A pair that meets
+    once only, and only in such regions, shares one tree of all: documents of
+    similarity 0.75 do so with probability 5e-6, most such pairs are strangers
+    that share a passage, and they are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            got = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            got = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
             rows = got if tail is None else np.concatenate([tail, got], axis=1)
             fresh = 0 if tail is None else tail.shape[1]
-            region, doc, n, comp = rows
-            a, b = [], []
+            region, doc, n, comp, size = rows
+            a, b, crowded = [], [], []
             for gap in range(1, NEAR + 1):
                 second = np.arange(max(fresh, gap), rows.shape[1])
                 if not len(second):
@@ -133,12 +141,14 @@ def neighbours(parts: DataFrame) -> DataFrame:
                 ok &= 100 * small >= PERCENT * large
                 a.append(np.minimum(doc[first], doc[second])[ok])
                 b.append(np.maximum(doc[first], doc[second])[ok])
+                crowded.append((size[second] > NEAR + 1)[ok])
             tail = rows[:, -NEAR:]
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, crowded)], names=["a", "b", "crowded"])
 
-    return (parts.repartition("region").sortWithinPartitions("region", "deep", "doc")
-            .select("region", "doc", "n", "component").mapInArrow(run, "a long, b long").distinct())
+    met = (parts.repartition("region").sortWithinPartitions("region", "deep", "doc")
+           .select("region", "doc", "n", "component", "size").mapInArrow(run, "a long, b long, crowded boolean"))
+    return met.groupBy("a", "b").agg((F.count("*") + 2 * F.max(F.col("crowded").cast("int"))).alias("met")).where("met > 1").select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -174,14 +184,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketch = stored(sketches(docs, id_column, text_column), "sketches")
     thin = sketch.select("doc_id", "n_shingles", "fp1", "fp2")
     full = thin.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("head"))
+    classes = full.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     heads = sketch.where("doc_id is not null and n_shingles > 0").join(classes.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
     heads = heads.dropDuplicates(["doc_id"])
     parts = stored(regions(heads), "parts")
 
     # a document whose head has another text shares its doc_id, so both sets' classes join there
-    same = full.join(classes, ["n_shingles", "fp1", "fp2"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    shared = parts.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("trees"))
+    copied = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a class of copies may be huge
+    same = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copied, ["n_shingles", "fp1", "fp2", "salt"])
+    same = same.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    fits = F.lit(100) * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
+    shared = parts.where((F.col("doc") != F.col("hub")) & fits).groupBy("doc", "hub").agg(F.count("*").alias("trees")).where(F.col("trees") >= STAR_TREES)
     star = shared.groupBy("doc").agg(F.max(F.struct("trees", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("doc").alias("b"))
     links = stored(confirmed(star, docs, id_column, text_column), "links")
     merged = components(links)
