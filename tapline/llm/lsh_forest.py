@@ -45,6 +45,8 @@ TREES, DEPTH = 40, 4
 REGION, NEAR = 512, 16
 #: Trees a document must share with a hub to be its first candidate (the others come up as neighbours); salts of a class of copies.
 STAR_TREES, SALTS = 3, 16
+#: Ids of candidates (about 32 MB of them) that are broadcast to select their texts; beyond, a shuffle does it.
+BROADCAST_IDS = 2_000_000
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -94,7 +96,7 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def regions(heads: DataFrame) -> DataFrame:
-    """Rows (region, deep, doc, n, hub, hub_n, size) of the trees' region parts with at least two documents.
+    """Rows (region, deep, doc, n, hub, size) of the trees' region parts with at least two documents.
 
     ``region`` identifies the part, ``deep`` is the next key, ``hub`` the
     smallest document of the whole region, ``size`` the whole region's.
@@ -103,15 +105,15 @@ def regions(heads: DataFrame) -> DataFrame:
         F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"),
         F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(keys[t] as region, keys[(t + 1) % {TREES}] as deep))")).alias("x"),
     ).select("doc", "n", "x.region", "x.deep")
-    counted = rows.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("h")).where("size > 1")
-    joined = rows.join(counted.select("region", "size", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n")), "region")
+    counted = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
+    joined = rows.join(counted, "region")
     joined = stored(joined, "regions")
     crowded = joined.where(F.col("size") > REGION)
     deep = crowded.groupBy("region", "deep").agg(F.count("*").alias("part_size"))
     split = crowded.join(deep, ["region", "deep"])
     blocks = F.ceil(F.col("part_size") / REGION)
-    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("doc"), blocks)).alias("region"), "deep", "doc", "n", "hub", "hub_n", "size")
-    return joined.where(F.col("size") <= REGION).select("region", "deep", "doc", "n", "hub", "hub_n", "size").unionByName(split)
+    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("doc"), blocks)).alias("region"), "deep", "doc", "n", "hub", "size")
+    return joined.where(F.col("size") <= REGION).select("region", "deep", "doc", "n", "hub", "size").unionByName(split)
 
 
 def neighbours(parts: DataFrame) -> DataFrame:
@@ -152,10 +154,11 @@ def neighbours(parts: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    """The pairs (a, b) whose full shingle sets reach the similarity; ``pairs`` is read several times, so pass a stored table."""
     text = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t")).where("id is not null")
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = text.join(need, "id", "left_semi")
+    # only texts of candidates are shuffled: by a broadcast of their ids if those are few, else by a join
+    text = text.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id", "left_semi")
     both = (pairs.join(text.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
             .join(text.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
@@ -193,10 +196,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copied = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a class of copies may be huge
     same = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copied, ["n_shingles", "fp1", "fp2", "salt"])
     same = same.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    fits = F.lit(100) * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
-    shared = parts.where((F.col("doc") != F.col("hub")) & fits).groupBy("doc", "hub").agg(F.count("*").alias("trees")).where(F.col("trees") >= STAR_TREES)
+    shared = parts.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("trees")).where(F.col("trees") >= STAR_TREES)
     star = shared.groupBy("doc").agg(F.max(F.struct("trees", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("doc").alias("b"))
-    links = stored(confirmed(star, docs, id_column, text_column), "links")
+    links = stored(confirmed(stored(star, "pairs"), docs, id_column, text_column), "links")
     merged = components(links)
     labelled = parts.join(merged.withColumnRenamed("node", "doc"), "doc", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
