@@ -242,22 +242,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
     good = usable(embeddings, id_column, vector, label).dropDuplicates(["vec_id"])
     good = stored(good.select("vec_id", "label", F.size("v").alias("dim"), "v"), "vectors")
     classes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.min("dim").alias("dim")), "classes")
-    sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
     sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("label", "dim", "v").toPandas()
-    fitted = centroids(sample, sizes)
+    # sizes of the labels in the sample only, at most SAMPLE of them; a label it misses is one shard, named by a hash
+    sampled = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("label", "dim").distinct()
+    counted = classes.join(F.broadcast(sampled), ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.count("*").alias("n"))
+    fitted = centroids(sample, {(r["label"], r["dim"]): r["n"] for r in counted.collect()})
     first = dict(zip(fitted, np.cumsum([0, *map(len, fitted.values())])[:-1].tolist()))
-    rest = sum(map(len, fitted.values()))
-    others = {k: rest + i for i, k in enumerate(sorted((k for k in sizes if k not in fitted), key=str))}  # labels the sample missed: one shard each
-    shipped = spark.sparkContext.broadcast((fitted, first, others))
+    shipped = spark.sparkContext.broadcast((fitted, first))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fitted, first, others = shipped.value
+        fitted, first = shipped.value
         for pdf in batches:
             homes = [None] * len(pdf)
             for key, at in pdf.groupby(["label", "dim"]).indices.items():
                 if key not in fitted:
                     for i in at:
-                        homes[i] = [others[key]] * OVERLAP
+                        homes[i] = [pdf["other"].iloc[i]] * OVERLAP
                     continue
                 c = fitted[key]
                 sim = unit(np.stack(pdf["v"].to_numpy()[at])) @ c.T
@@ -268,7 +268,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
                     homes[i] = t
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "weight": pdf["weight"], "v": pdf["v"], "homes": homes})
 
-    members = classes.select("vec_id", "weight", "v", "label", "dim").mapInPandas(assign, "vec_id long, weight long, v array<double>, homes array<long>")
+    other = -1 - F.shiftrightunsigned(F.xxhash64("label", "dim"), 1)
+    members = classes.select("vec_id", "weight", "v", "label", "dim", other.alias("other")).mapInPandas(assign, "vec_id long, weight long, v array<double>, homes array<long>")
     members = stored(members, "members")
     sharded = members.select("vec_id", "v", F.explode(F.array_distinct("homes")).alias("shard"))
     near = sharded.groupBy("shard").applyInPandas(_build, "vec_id long, near array<long>")
