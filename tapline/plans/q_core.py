@@ -170,13 +170,10 @@ def q_keyword_weights(spark, d):
 
 
 @query("hourly_sum", W("""select clock, (coalesce(sum(actwt), 0e0)) as actwt
-from (select date_trunc('hour', chargetime) as clock, case when actwt > 30000 then null else actwt end as actwt
-      from fx_burden) group by 1"""))
+from (select date_trunc('hour', chargetime) as clock, actwt from fx_burden) group by 1"""))
 def q_hourly_sum(spark, d):
-    """An hour whose weights are all missing sums to 0."""
-    b = fx.fx_burden(spark, d).withColumn(
-        "actwt", F.when(F.col("actwt") > 30000, F.lit(None)).otherwise(F.col("actwt")))
-    return aggs.hourly_sum(b, "chargetime", ["actwt"])
+    """Charge weight per hour (an hour whose weights are all missing sums to 0)."""
+    return aggs.hourly_sum(fx.fx_burden(spark, d), "chargetime", ["actwt"])
 
 
 # ---------------------------------------------------------------- joins
@@ -228,12 +225,12 @@ def q_burden_ratios_alt(spark, d):
 
 @query("join_suffix", W("""select t.clock, t.hm_si as hm_si, s.hm_si as hm_si_p,
   s.hm_temp as hm_temp_p from tap_h t join (select date_trunc('hour', sampletaken) as clock,
-  avg(hm_si) as hm_si, avg(hm_temp) as hm_temp from fx_tap where taphole = 0 group by 1) s using (clock)""", P.TAP_H))
+  avg(pred_si) as hm_si, avg(pred_temp) as hm_temp from fx_pred group by 1) s using (clock)""", P.TAP_H))
 def q_join_suffix(spark, d):
     """Colliding right-side names get the ``_p`` suffix."""
     left = FT.tap_hourly(spark, d).select("clock", "hm_si")
-    t0 = fx.fx_tap(spark, d).where("taphole = 0")
-    right = aggs.hourly_mean(t0, "sampletaken", ["hm_si", "hm_temp"])
+    p = fx.fx_pred(spark, d).select("sampletaken", F.col("pred_si").alias("hm_si"), F.col("pred_temp").alias("hm_temp"))
+    right = aggs.hourly_mean(p, "sampletaken", ["hm_si", "hm_temp"])
     right = joins.suffix_overlaps(left, right, ["clock"], "_p")
     right = right.withColumnsRenamed({"hm_temp": "hm_temp_p"})
     return left.join(right, "clock")
@@ -316,12 +313,12 @@ def q_iqr_all_numeric(spark, d):
     return out.select("clock", *_ALLNUM)
 
 
-@query("dropna_subset", W("""select tapno, hm_si as hm_si from (select tapno,
-  case when tapno % 9 = 0 then null else hm_si end as hm_si from fx_tap) where hm_si is not null"""))
+@query("dropna_subset", W("""select t.clock, t.hm_si, p.hbt from tap_h t left join para_h p using (clock)
+where hbt is not null""", P.TAP_H + ",\n" + P.PARA_H))
 def q_dropna_subset(spark, d):
-    t = fx.fx_tap(spark, d).select("tapno", F.when(F.col("tapno") % 9 == 0, None)
-                                   .otherwise(F.col("hm_si")).alias("hm_si"))
-    return clean.dropna_subset(t, ["hm_si"])
+    """Tap hours whose process hour is absent are dropped."""
+    t = FT.tap_hourly(spark, d).select("clock", "hm_si").join(FT.para_hourly(spark, d).select("clock", "hbt"), "clock", "left")
+    return clean.dropna_subset(t, ["hbt"])
 
 
 @query("dropna_any", W("select clock, " + P.named(["hm_si", "hm_temp", "hbt"]) + """ from (select t.clock, t.hm_si, t.hm_temp, p.hbt

@@ -128,13 +128,13 @@ def q_roc_macro(spark, d):
         / (var_pop(case when p is not null then hm_si end) * count(case when p is not null then hm_si end))) as r2,
   (avg(case when p is not null then abs(hm_si - p) end)) as mae,
   (sqrt(sum(case when p is not null then (hm_si - p) ^ 2 end) / count(case when p is not null then 1 end))) as rmse
-from (select *, case when hm_temp = 1450 + 70 or hm_temp = 1450 then null else pred_si end as p from fx_pred)
-group by taphole"""))
+from (select *, lag(hm_si) over (partition by taphole order by clock) as p from series)
+group by taphole""", P.SERIES))
 def q_masked_metrics(spark, d):
-    """Metrics over rows that have a prediction (analyser-gap rows carry none)."""
-    p = fx.fx_pred(spark, d).withColumn(
-        "p", F.when(F.col("hm_temp").isin(1450.0, 1520.0), F.lit(None)).otherwise(F.col("pred_si")))
-    return metrics.masked_metrics(p, "hm_si", "p", by="taphole")
+    """Metrics of the persistence forecast over the hours that have one (a series' first hour has none)."""
+    from .q_windows import series
+    x = windows.add_lags(series(spark, d), ["hm_si"], [1], by="taphole", fmt="p")
+    return metrics.masked_metrics(x, "hm_si", "p", by="taphole")
 
 
 @query("residual_stats", W("""select taphole, avg(hm_si - pred_si) as bias,
@@ -227,12 +227,9 @@ def q_pi_rmse(spark, d):
 from ht""", PI_SQL))
 def q_ci_vs_pi(spark, d):
     """M1d: mean-response CI against observation PI (half-widths)."""
-    p = fx.fx_pred(spark, d)
-    rmse, n = intervals.rmse_scalars(p, "hm_si", "pred_si")
+    rmse, n = intervals.rmse_scalars(fx.fx_pred(spark, d), "hm_si", "pred_si")
     r = intervals.ci_vs_pi(rmse, n, 1)
-    # scalars derived from the data, returned as a one-row frame
-    return p.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.lit(r["t_crit"]).alias("t_crit"), F.lit(r["ci_half"]).alias("ci_half"), F.lit(r["pi_half"]).alias("pi_half"))
+    return spark.createDataFrame([(r["t_crit"], r["ci_half"], r["pi_half"])], "t_crit double, ci_half double, pi_half double")
 
 
 _T4 = t_ppf(0.975, 4)

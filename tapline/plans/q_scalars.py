@@ -131,15 +131,18 @@ def q_default_inputs(spark, d):
     return x.select("clock", *[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in DEF_COLS])
 
 
-@query("feature_family", W("""select feature, case when starts_with(upper(feature), 'BRD_') then 'Burden'
-  else 'Process' end as family from (select distinct 'BRD_' || upper(trim(brandcode)) as feature from fx_burden
-  union all select distinct 'coal_intensity' from fx_para union all select distinct 'thermal_idx' from fx_para)"""))
+FAMILY_COLS = ["hbt", "oxygen_flow", "coal_actual", "prod_rate", "etaco", "permeability", "heat_flow_flux"]
+
+
+@query("feature_family", W("""select feature, case when starts_with(upper(feature), 'BRD_') then 'Burden' else 'Process' end as family, n from (
+  select 'BRD_' || upper(trim(brandcode)) as feature, count(actwt) as n from fx_burden group by 1 union all """ + " union all ".join(
+    f"select '{c}', count({c}) from fx_para" for c in FAMILY_COLS) + ")"))
 def q_feature_family(spark, d):
-    """Family tag by name prefix over the data-derived feature list."""
-    b = fx.fx_burden(spark, d).select(F.concat(F.lit("BRD_"), F.upper(F.trim("brandcode"))).alias("feature")).distinct()
-    p = fx.fx_para(spark, d).select(F.lit("coal_intensity").alias("feature")).distinct() \
-        .unionByName(fx.fx_para(spark, d).select(F.lit("thermal_idx").alias("feature")).distinct())
-    return b.unionByName(p).select("feature", S.feature_family("feature").alias("family"))
+    """Family tag by name prefix over the data-derived feature list, with the values each has."""
+    b = fx.fx_burden(spark, d).groupBy(F.concat(F.lit("BRD_"), F.upper(F.trim("brandcode"))).alias("feature")).agg(F.count("actwt").alias("n"))
+    p = fx.fx_para(spark, d).agg(*[F.count(c).alias(c) for c in FAMILY_COLS])
+    p = p.selectExpr(f"stack({len(FAMILY_COLS)}, " + ", ".join(f"'{c}', `{c}`" for c in FAMILY_COLS) + ") as (feature, n)")
+    return b.unionByName(p).select("feature", S.feature_family("feature").alias("family"), "n")
 
 
 @query("guidance", W("""select taphole, d_si as delta_si, d_temp as delta_temp,
@@ -190,14 +193,15 @@ def q_forecast_time(spark, d):
 @query("lookup_fallback", W(f"""select k.material, coalesce(a.w, b.w, 0e0) as weight from
   (select distinct {P.material_case()} as material from fx_burden union select 'scrap_kg') k
   left join (select {P.material_case()} as material, sum(actwt) as w from fx_burden
-             where chargetime < timestamp '2024-01-08' group by 1) a using (material)
+             where chargetime < (select min(chargetime) from fx_burden) + interval 7 day group by 1) a using (material)
   left join (select {P.material_case()} as material, sum(actwt) as w from fx_burden group by 1) b using (material)"""))
 def q_lookup_fallback(spark, d):
     """First-week weight, else whole-period weight, else 0."""
     b = fx.fx_burden(spark, d).withColumn("material", S.classify_material("brandcode"))
     keys = b.select("material").distinct().unionByName(
         spark.range(1).select(F.lit("scrap_kg").alias("material"))).distinct()
-    t1 = b.where(F.col("chargetime") < F.lit("2024-01-08").cast("timestamp_ntz")) \
+    first = b.agg(F.min("chargetime")).first()[0]
+    t1 = b.where(F.col("chargetime") < F.lit(first) + F.expr("interval 7 days")) \
         .groupBy("material").agg(F.sum("actwt").alias("weight"))
     t2 = b.groupBy("material").agg(F.sum("actwt").alias("weight"))
     return joins.lookup_fallback(keys, "material", [t1, t2], "weight", default=0.0)
