@@ -7,8 +7,10 @@
    documents of either label.  A distributed sum; the model has a fixed size.
 2. A unit's weight is its log-odds ratio between toxic and clean text under the
    informative prior, less CAUTION standard errors.  A word scores the largest
-   weight of its units if that is at least FLOOR; every other word scores
-   -DRIFT, so the expected score of clean text is negative.
+   weight of its units if that is at least the floor; every other word scores
+   -DRIFT, so the expected score of clean text is negative.  The floor is the
+   one of FLOORS under which the calibration documents are likeliest: few labels
+   need a lower one than many.
 3. A linear scan (Ruzzo-Tompa) finds all maximal scoring segments of a text.
    lambda, the positive root of E[exp(lambda * score)] = 1 under clean word
    frequencies, turns a segment's score S in a text of N words into its expected
@@ -43,8 +45,10 @@ from .language_mixture import fold_of
 from .scratch import stored
 
 BUCKETS = 1 << 20
-#: Prior strength in documents, standard errors taken off a weight, cost of an ordinary word, least and largest weight.
-PRIOR, CAUTION, DRIFT, FLOOR, CEILING = 500.0, 2.5, 0.05, 3.0, 6.0
+#: Prior strength in documents, standard errors taken off a weight, cost of an ordinary word, largest weight.
+PRIOR, CAUTION, DRIFT, CEILING = 500.0, 2.0, 0.05, 8.0
+#: Least weights that are tried; the calibration documents choose.
+FLOORS = (1.5, 2.0, 2.5, 3.0, 4.0)
 #: Lengths in bytes of the word beginnings that count as units beside the words.
 PREFIXES = (4, 5)
 #: A segment is significant if fewer than so many are expected by chance.
@@ -119,13 +123,15 @@ class Model:
 
 
 def _log_odds(counts: np.ndarray) -> np.ndarray:
-    """Scores from counts (all, toxic, clean) per bucket."""
+    """Weights from counts (all, toxic, clean) per bucket; -inf where no toxic text has the unit."""
     every, toxic, clean = counts
-    prior = PRIOR * (every + 0.01) / (every.sum() + 0.01 * len(every))
+    # half an observation more keeps the error of a unit that one side never shows finite
+    prior = 0.5 + PRIOR * every / max(1.0, every.sum())
     t, c = toxic + prior, clean + prior
-    ratio = np.log(t / (toxic.sum() + PRIOR - t)) - np.log(c / (clean.sum() + PRIOR - c))
+    total = PRIOR + 0.5 * np.count_nonzero(every)
+    ratio = np.log(t / (toxic.sum() + total - t)) - np.log(c / (clean.sum() + total - c))
     weight = np.minimum(ratio - CAUTION * np.sqrt(1 / t + 1 / c), CEILING)
-    return np.where((weight >= FLOOR) & (toxic > 0), weight, -DRIFT)
+    return np.where(toxic > 0, weight, -np.inf)
 
 
 def _root(score: np.ndarray, frequency: np.ndarray) -> float:
@@ -182,13 +188,19 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         counts[i, at] = found[name].to_numpy()
     if not counts[1].sum() or not counts[2].sum():
         return Model(np.full(BUCKETS, -DRIFT, np.float32), 1.0)
-    score = _log_odds(counts).astype(np.float32)
-    model = Model(score, _root(score, counts[2]))
-    return calibrated(model, rows.where("fold = 4 and toxic is not null").select("text", "toxic"))
-
-
-def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Fit K on the clean rows and the logistic curve on all, from sums and binned counts only."""
+    weight = _log_odds(counts)
+    held = stored(rows.where("fold = 4 and toxic is not null").select("text", "toxic"), "calibration")
+    best = None
+    for floor in FLOORS:
+        score = np.where(weight >= floor, weight, -DRIFT).astype(np.float32)
+        found = calibrated(Model(score, _root(score, counts[2])), held)
+        if best is None or found[1] >= best[1]:
+            best = found
+    return best[0]
+
+
+def calibrated(model: Model, rows: DataFrame) -> tuple[Model, float]:
+    """Fit K on the clean rows and the logistic curve on all, from sums and binned counts only; with the log-likelihood of the rows."""
     sc = rows.sparkSession.sparkContext
     raw = sc.broadcast(model)
 
@@ -212,7 +224,7 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     y = np.array([float(r["toxic"] > 0) for r in binned])
     w = np.array([r["count"] for r in binned], float)
     if not len(x) or y.min() == y.max():
-        return Model(model.score, model.lam, log_k, 30.0 if len(y) and y[0] else -30.0, 0.0)
+        return Model(model.score, model.lam, log_k, 30.0 if len(y) and y[0] else -30.0, 0.0), 0.0
     x = np.minimum(x, BINS * WIDTH)
     a, b = 0.0, 0.1
     for _ in range(200):  # Newton steps of a two-parameter logistic fit with a small ridge
@@ -224,7 +236,9 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return Model(model.score, model.lam, log_k, float(a), float(max(b, 0.0)))
+    p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+    likelihood = float(np.dot(w, np.where(y > 0, np.log(p), np.log(1 - p))))
+    return Model(model.score, model.lam, log_k, float(a), float(max(b, 0.0))), likelihood
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
