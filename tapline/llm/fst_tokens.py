@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import textcols as T
 
 #: Distinct pre-tokens and compiled states kept per worker; a full cache is emptied, results do not change.
-WORD_CACHE, STATE_CACHE, PAIR_CACHE = 400_000, 120_000, 400_000
+WORD_CACHE, STATE_CACHE, PAIR_CACHE = 250_000, 120_000, 300_000
 #: Characters of a chunk whose state map is computed alone; after so many its entry states have mostly met.
 CHUNK, MEET = 128, 8
 #: Largest vocabulary file that is sent to the executors whole.

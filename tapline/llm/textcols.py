@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one step of work hold at most so many bytes together (a longer text goes alone).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C55)
