@@ -17,9 +17,13 @@ five-word shingles.
 4. Candidates are first each document and the hub (smallest document of a
    region) it shares most trees with, at least STAR_TREES; once those links are merged, the neighbours with the longest common
    prefixes (``NEAR`` either way in the sorted order of each region part) that
-   still lie in different components.  A family of n copies costs about n
-   candidates, not n*n.
-5. Every candidate is confirmed on the full sets of both texts; components are
+   still lie in different components.  Every tree has its own order and blocks.
+   A family of n copies costs about n candidates, not n*n.
+5. What crowded regions (more than NEAR + 1 documents) still hold in different
+   components is joined exactly: a pair of the similarity shares a shingle among
+   the first quarter of both sets, in any common order of shingles (here the
+   rarest first), and what lies behind the first common one bounds the overlap.
+6. Every candidate is confirmed on the full sets of both texts; components are
    the connected components of the confirmed links.
 
 Rows: null, empty and all-space texts have an empty set and link with nothing;
@@ -45,6 +49,8 @@ TREES, DEPTH = 40, 4
 REGION, NEAR = 512, 16
 #: Trees a document must share with a hub to be its first candidate (the others come up as neighbours); salts of a class of copies.
 STAR_TREES, SALTS = 3, 16
+#: Counters of shingles (16 MB) that order them by rarity; rows of a shingle from which the exact join deals its pairs to a grid of tasks.
+COUNTERS, HOT_ROWS = 1 << 22, 512
 #: Ids of candidates (about 32 MB of them) that are broadcast to select their texts; beyond, a shuffle does it.
 BROADCAST_IDS = 2_000_000
 WORDS = 5
@@ -112,7 +118,7 @@ def regions(heads: DataFrame) -> DataFrame:
     deep = crowded.groupBy("region", "deep").agg(F.count("*").alias("part_size"))
     split = crowded.join(deep, ["region", "deep"])
     blocks = F.ceil(F.col("part_size") / REGION)
-    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("doc"), blocks)).alias("region"), "deep", "doc", "n", "hub", "size")
+    split = split.select(F.xxhash64("region", "deep", F.pmod(F.xxhash64("region", "doc"), blocks)).alias("region"), "deep", "doc", "n", "hub", "size")
     return joined.where(F.col("size") <= REGION).select("region", "deep", "doc", "n", "hub", "size").unionByName(split)
 
 
@@ -122,7 +128,8 @@ def neighbours(parts: DataFrame) -> DataFrame:
     Regions of up to NEAR + 1 documents show all their pairs.  A pair that meets
     once only, and only in such regions, shares one tree of all: documents of
     similarity 0.75 do so with probability 5e-6, most such pairs are strangers
-    that share a passage, and they are left out.
+    that share a passage, and they are left out.  Documents of larger regions
+    also go through ``apart``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +155,70 @@ def neighbours(parts: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, crowded)], names=["a", "b", "crowded"])
 
-    met = (parts.repartition("region").sortWithinPartitions("region", "deep", "doc")
+    met = (parts.repartition("region").sortWithinPartitions("region", "deep", F.xxhash64("region", "doc"), "doc")
            .select("region", "doc", "n", "component", "size").mapInArrow(run, "a long, b long, crowded boolean"))
     return met.groupBy("a", "b").agg((F.count("*") + 2 * F.max(F.col("crowded").cast("int"))).alias("met")).where("met > 1").select("a", "b")
 
 
+def crowd(labelled: DataFrame) -> DataFrame:
+    """(doc, component) of the documents in crowded regions of several components; regions with the same hub count as one."""
+    crowded = labelled.where(F.col("size") > NEAR + 1)
+    mixed = crowded.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub")
+    mixed = stored(mixed, "mixed")
+    return crowded.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "hub", "left_semi").select("doc", "component").distinct()
+
+
+def apart(members: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Pairs (a, b) of members (doc, component) in different components, among them all that reach the similarity."""
+    members = stored(members, "crowd")
+    text = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("t")).where("doc is not null")
+    text = text.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "doc").select("doc", "component", "t")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for lo, hi in T.steps(batch.column(2)):
+                flat, _ = T.shingle_sets(batch.column(2).slice(lo, hi - lo), WORDS)
+                np.add.at(seen, (flat & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seen[slots])], names=["slot", "n"])
+
+    # a slot that one shingle of one document fills is no shared shingle and stays 1
+    table = text.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    often = np.ones(COUNTERS, np.int32)
+    often[table.column("slot").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+    shipped = docs.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shipped.value
+        for batch in batches:
+            doc, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, hi in T.steps(batch.column(2)):
+                flat, offs = T.shingle_sets(batch.column(2).slice(lo, hi - lo), WORDS)
+                n = np.diff(offs)
+                row = np.repeat(np.arange(hi - lo), n)
+                count = often[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((flat, count, row))  # rows stay in place
+                at = np.arange(len(flat)) - offs[row]
+                keep = (at <= n[row] - -(-PERCENT * n[row] // 100)) & (count[order] > 1)
+                r = row[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (flat[order][keep].view(np.int64), at[keep], n[r], doc[lo + r], component[lo + r])],
+                    names=["shingle", "at", "n", "doc", "component"])
+
+    rows = stored(text.mapInArrow(prefixes, "shingle long, at long, n long, doc long, component long"), "prefixes")
+    keys = rows.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    sides = F.ceil(F.sqrt(F.col("rows") / HOT_ROWS)).alias("sides")
+    rows = stored(rows.join(keys.select("shingle", sides), "shingle"), "shared")
+    # a row has one place on its side of the grid and meets all places of the other: every pair meets in one cell
+    place, others = F.pmod(F.xxhash64("doc"), F.col("sides")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))
+    left = rows.withColumn("i", place).withColumn("j", others).alias("l")
+    right = rows.withColumn("j", place).withColumn("i", others).alias("r")
+    near = F.expr("l.shingle = r.shingle and l.i = r.i and l.j = r.j and l.component < r.component "
+                  f"and {100 + PERCENT} * least(l.n - l.at, r.n - r.at) >= {PERCENT} * (l.n + r.n)")
+    return left.join(right, near).select(F.expr("least(l.doc, r.doc)").alias("a"), F.expr("greatest(l.doc, r.doc)").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity; ``pairs`` is read several times, so pass a stored table."""
     text = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t")).where("id is not null")
@@ -200,10 +266,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     star = shared.groupBy("doc").agg(F.max(F.struct("trees", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("doc").alias("b"))
     links = stored(confirmed(stored(star, "pairs"), docs, id_column, text_column), "links")
     merged = components(links)
-    labelled = parts.join(merged.withColumnRenamed("node", "doc"), "doc", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
-    more = stored(neighbours(labelled), "pairs")
-    links = links.unionByName(confirmed(more, docs, id_column, text_column)).unionByName(same)
+
+    def labelled() -> DataFrame:
+        rows = parts.join(merged.withColumnRenamed("node", "doc"), "doc", "left")
+        return rows.withColumn("component", F.coalesce("component", "doc"))
+
+    more = stored(neighbours(labelled()), "pairs")
+    links = stored(links.unionByName(confirmed(more, docs, id_column, text_column)), "links")
+    merged = components(links)
+    rest = stored(apart(crowd(labelled()), docs, id_column, text_column), "pairs")
+    links = links.unionByName(confirmed(rest, docs, id_column, text_column)).unionByName(same)
     found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = thin.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

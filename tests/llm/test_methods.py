@@ -132,6 +132,29 @@ def test_forest_equals_all_pairs(spark):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
+def test_pairs_in_a_template_crowd(spark):
+    """Documents of one template, most of them strangers near 0.7; the ids of linked ones are far apart."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template, n = [word() for _ in range(100)], 1_200
+    rows = [template + [word() for _ in range(20)] for _ in range(n)]
+    for i in range(0, n // 2, 6):  # the partner keeps two of its own words: near 0.75
+        rows[i + n // 2] = rows[i][:103 + i // 6 % 3] + [word() for _ in range(17 - i // 6 % 3)]
+    sets = [shingles(" ".join(r)) for r in rows]
+    place = {s: k for k, s in enumerate(sorted({s for x in sets for s in x}))}
+    held = np.zeros((n, len(place)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [place[s] for s in x]] = 1
+    common = held @ held.T
+    size = held.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * common >= 75 * (size[:, None] + size - common), 1))
+    root = dict(graph.spanning(np.stack([a, b], axis=1)).tolist())
+    assert len(root) > 50
+    df = spark.createDataFrame(list(enumerate(map(" ".join, rows))), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df).collect()}
+    assert got == {i: root.get(i, i) for i in range(n)}
+
+
 # -- 4 and 10
 
 ODD = ["", "  ", " a", "a  b", "a\n\nb", "a \n b\t\tc", "don't they're I'll 'tis 's's 're' 'r 'v'l'll ''s '\n's \n'd x'S", "<|endoftext|>",
