@@ -10,10 +10,11 @@ double precision, is at least ``THRESHOLD``.
    clusters, so shards overlap.
 3. Per shard, every node's nearest members are robustly pruned (a candidate that
    a kept neighbour is ALPHA times closer to is dropped) to ``DEGREE`` edges,
-   and edges go both ways.  The adjacency lists of all shards are then united
-   per vector.
+   and edges go both ways.  Parts of the graph that hang together only inside
+   (families larger than POOL) are joined by edges to the nearest members
+   outside.  The adjacency lists of all shards are then united per vector.
 4. Per shard, every member searches the united graph: greedy beam search from
-   the shard's medoids, then a range expansion that follows every node within
+   its own node and the shard's medoids, then a range expansion that follows every node within
    ``SLACK`` of the threshold until no new one turns up.  Found pairs are
    verified in double precision.  A pair counts in the smallest shard that
    holds both, so overlapping shards count no link twice.
@@ -122,7 +123,34 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL) -> list[
     for i, b in enumerate(both):
         ids = np.fromiter(b, np.int64, len(b))
         out.append(ids if len(ids) <= 2 * degree else ids[np.argsort(-(x[ids] @ x[i]), kind="stable")[:2 * degree]])
-    return out
+    return joined(x, out)
+
+
+def joined(x: np.ndarray, near: list[np.ndarray]) -> list[np.ndarray]:
+    """The graph with one component: every row in range gets an edge to its nearest row of another component, each component one at least."""
+    m = len(x)
+    while True:
+        edges = np.stack([np.repeat(np.arange(m), [len(n) for n in near]), np.concatenate(near)], axis=1)
+        part = np.arange(m)
+        tree = spanning(edges)
+        part[tree[:, 0]] = tree[:, 1]
+        if not part.any():
+            return near
+        best, to = np.empty(m), np.empty(m, np.int64)
+        for lo in range(0, m, 512):
+            sim = x[lo:lo + 512] @ x.T
+            sim[part[lo:lo + 512, None] == part[None, :]] = -2
+            to[lo:lo + 512] = sim.argmax(axis=1)
+            best[lo:lo + 512] = sim.max(axis=1)
+        order = np.lexsort((-best, part))
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0]))]
+        more: dict[int, list[int]] = {}
+        for i in np.union1d(np.flatnonzero(best >= THRESHOLD - SLACK), first).tolist():
+            more.setdefault(i, []).append(int(to[i]))
+            more.setdefault(int(to[i]), []).append(i)
+        near = list(near)
+        for i, js in more.items():
+            near[i] = np.union1d(near[i], js).astype(np.int64)
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -144,10 +172,13 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, quer
     target = x[queries]
     seen = np.zeros((q, m), bool)
     seen[:, entries] = True
-    ids = np.broadcast_to(entries, (q, len(entries))).copy()
-    sims = target @ x[entries].T
-    done = np.zeros(ids.shape, bool)
     rows = np.arange(q)
+    own = ~seen[rows, queries]  # an entry is no second start
+    seen[rows, queries] = True
+    ids = np.concatenate([np.broadcast_to(entries, (q, len(entries))), queries[:, None]], axis=1)
+    sims = np.concatenate([target @ x[entries].T, np.where(own, 1.0, -4.0)[:, None]], axis=1)
+    done = np.zeros(ids.shape, bool)
+    done[:, -1] = ~own
     near_q, near_n = [], []
     level = threshold - SLACK
     for _ in range(m):
@@ -226,11 +257,11 @@ def _search(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         a = some[q]
         ok = (a != n) & (np.einsum("ij,ij->i", x[a], x[n]) >= threshold)
         a, n = a[ok], n[ok]
+        forest = spanning(np.concatenate([forest, np.stack([ids[a], ids[n]], axis=1)]))  # whichever shard finds it
         common = (homes[a][:, :, None] == homes[n][:, None, :]).any(axis=2)
         first = np.where(common, homes[a], np.iinfo(np.int64).max).min(axis=1)
         a, n = a[first == shard], n[first == shard]
         np.add.at(links, a, weight[n])
-        forest = spanning(np.concatenate([forest, np.stack([ids[a], ids[n]], axis=1)]))
     return pd.DataFrame({"vec_id": np.concatenate([ids[mine], forest[:, 0]]), "links": np.concatenate([links[mine], np.zeros(len(forest), np.int64)]),
                          "root": np.concatenate([ids[mine], forest[:, 1]])})
 

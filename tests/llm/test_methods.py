@@ -89,6 +89,24 @@ def test_search_finds_all_of_a_dense_family():
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_search_reaches_all_large_families():
+    rng = np.random.default_rng(12)
+    base = embedding_graph.unit(rng.normal(size=(20, 64)))
+    base[1] = embedding_graph.unit(base[:1] + 0.3 * base[1:2])[0]  # linked with the first, nearer to its own
+    x = embedding_graph.unit(np.repeat(base, 100, axis=0) + 0.02 / 8 * rng.normal(size=(2_000, 64)))
+    lists = embedding_graph.robust_prune(x)
+    adjacency = np.full((len(x), max(map(len, lists))), -1)
+    for i, n in enumerate(lists):
+        adjacency[i, :len(n)] = n
+    got = set()
+    for lo in range(0, len(x), 128):
+        some = np.arange(lo, min(lo + 128, len(x)))
+        q, n = embedding_graph.range_search(x, adjacency, embedding_graph.medoids(x), some, 0.93)
+        got |= {(a, b) for a, b in zip(some[q].tolist(), n.tolist()) if a != b and x[a] @ x[b] >= 0.93}
+    want = {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93))) if a != b}
+    assert got <= want and len(got) >= 0.99 * len(want) > 200_000
+
+
 # -- 3
 
 def near_copies(rng):
