@@ -7,7 +7,9 @@ double precision, is at least ``THRESHOLD``.
    its size is the weight it adds to others' link counts.
 2. Spherical k-means centroids per label are fitted on a bounded sample
    (``SAMPLE`` rows by hash order); every vector goes to its ``OVERLAP`` nearest
-   clusters, so shards overlap.
+   clusters, so shards overlap.  Clusters whose centroids are in link range of
+   each other (a large family draws many) are one dense shard, whose members are
+   compared with all of it by block products, without a graph.
 3. Per shard, every node's nearest members are robustly pruned (a candidate that
    a kept neighbour is ALPHA times closer to is dropped) to ``DEGREE`` edges,
    and edges go both ways.  Parts of the graph that hang together only inside
@@ -52,6 +54,8 @@ SAMPLE, TARGET, OVERLAP, MOST_CLUSTERS = 20_000, 500, 4, 2_000
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 BEAM, ENTRIES, SLACK = 24, 8, 0.06
 BLOCK, LOCKSTEP = 4_096, 128
+#: Added to the number of a dense shard; cells of one block product.
+DENSE, CELLS = 1 << 40, 1 << 19
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -85,6 +89,16 @@ def centroids(sample: pd.DataFrame, sizes: dict) -> dict:
     return out
 
 
+def shards(c: np.ndarray, first: int, threshold: float) -> np.ndarray:
+    """Shard of every centroid of a label: its own, or the dense one of the centroids that hang together in link range."""
+    out = first + np.arange(len(c))
+    a, b = np.nonzero(np.triu(unit(c) @ unit(c).T >= threshold, 1))
+    tree = spanning(np.stack([a, b], axis=1))
+    out[tree[:, 0]] = DENSE + first + tree[:, 1]
+    out[tree[:, 1]] = DENSE + first + tree[:, 1]
+    return out
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL) -> list[np.ndarray]:
     """Neighbours of every row of a shard (unit vectors): nearest candidates, robustly pruned, edges both ways."""
     m = len(x)
@@ -242,18 +256,23 @@ def _search(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     ids, weight = pdf["vec_id"].to_numpy(), pdf["weight"].to_numpy()
     x = unit(np.stack(pdf["v"].to_numpy()))
     shard, block, blocks = (int(pdf[c].iloc[0]) for c in ("shard", "block", "blocks"))
-    place = {v: i for i, v in enumerate(ids.tolist())}
-    lists = [[place[j] for j in n if j in place] for n in pdf["near"]]
-    adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-    for i, n in enumerate(lists):
-        adjacency[i, :len(n)] = n
     homes = np.stack(pdf["homes"].to_numpy())
-    entries = medoids(x)
+    step = LOCKSTEP if shard < DENSE else max(1, CELLS // len(ids))
+    if shard < DENSE:
+        place = {v: i for i, v in enumerate(ids.tolist())}
+        lists = [[place[j] for j in n if j in place] for n in pdf["near"]]
+        adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
+        for i, n in enumerate(lists):
+            adjacency[i, :len(n)] = n
+        entries = medoids(x)
     mine = np.flatnonzero(np.arange(len(ids)) % blocks == block)
     links, forest = np.zeros(len(ids), np.int64), np.zeros((0, 2), np.int64)
-    for lo in range(0, len(mine), LOCKSTEP):
-        some = mine[lo:lo + LOCKSTEP]
-        q, n = range_search(x, adjacency, entries, some, threshold)
+    for lo in range(0, len(mine), step):
+        some = mine[lo:lo + step]
+        if shard < DENSE:
+            q, n = range_search(x, adjacency, entries, some, threshold)
+        else:
+            q, n = np.nonzero(x[some] @ x.T >= threshold - 1e-9)
         a = some[q]
         ok = (a != n) & (np.einsum("ij,ij->i", x[a], x[n]) >= threshold)
         a, n = a[ok], n[ok]
@@ -279,10 +298,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
     counted = classes.join(F.broadcast(sampled), ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.count("*").alias("n"))
     fitted = centroids(sample, {(r["label"], r["dim"]): r["n"] for r in counted.collect()})
     first = dict(zip(fitted, np.cumsum([0, *map(len, fitted.values())])[:-1].tolist()))
-    shipped = spark.sparkContext.broadcast((fitted, first))
+    shard = {key: shards(c, first[key], threshold) for key, c in fitted.items()}
+    shipped = spark.sparkContext.broadcast((fitted, shard))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fitted, first = shipped.value
+        fitted, shard = shipped.value
         for pdf in batches:
             homes = [None] * len(pdf)
             for key, at in pdf.groupby(["label", "dim"]).indices.items():
@@ -292,7 +312,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
                     continue
                 c = fitted[key]
                 sim = unit(np.stack(pdf["v"].to_numpy()[at])) @ c.T
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP] + first[key]
+                top = shard[key][np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]]
                 if top.shape[1] < OVERLAP:  # fewer clusters than homes: the last one repeats
                     top = np.concatenate([top, np.repeat(top[:, -1:], OVERLAP - top.shape[1], axis=1)], axis=1)
                 for i, t in zip(at, top):
@@ -303,9 +323,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
     members = classes.select("vec_id", "weight", "v", "label", "dim", other.alias("other")).mapInPandas(assign, "vec_id long, weight long, v array<double>, homes array<long>")
     members = stored(members, "members")
     sharded = members.select("vec_id", "v", F.explode(F.array_distinct("homes")).alias("shard"))
-    near = sharded.groupBy("shard").applyInPandas(_build, "vec_id long, near array<long>")
+    near = sharded.where(F.col("shard") < DENSE).groupBy("shard").applyInPandas(_build, "vec_id long, near array<long>")
     near = near.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = stored(members.join(near, "vec_id").withColumn("shard", F.explode(F.array_distinct("homes"))), "graph")
+    near = members.join(near, "vec_id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    graph = stored(near.withColumn("shard", F.explode(F.array_distinct("homes"))), "graph")
     blocks = graph.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tasks = graph.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = stored(tasks.groupBy("shard", "block").applyInPandas(lambda pdf: _search(pdf, threshold), "vec_id long, links long, root long"), "found")

@@ -107,6 +107,20 @@ def test_search_reaches_all_large_families():
     assert got <= want and len(got) >= 0.99 * len(want) > 200_000
 
 
+def test_links_of_a_family_of_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "TARGET", 40)
+    rng = np.random.default_rng(13)
+    base = embedding_graph.unit(rng.normal(size=(2_501, 64)))
+    x = np.concatenate([base[1:], embedding_graph.unit(base[:1] + 0.2 / 8 * rng.normal(size=(1_500, 64)))])
+    df = spark.createDataFrame([(i, v, "a") for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label string").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_graph.near_duplicates(df).collect()}
+    x = embedding_graph.unit(x)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    links = np.array([got[i][0] for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum() > 1_000_000
+    assert {got[i][1] for i in range(2_500, 4_000)} == {2_500}
+
+
 # -- 3
 
 def near_copies(rng):
