@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, containment, embedding_graph, fst_tokens, language_mixture, license_rules, lsh_forest, packing, toxic_segments, url_trie
+from . import chat_snapshots, containment, embedding_graph, fst_tokens, heap_clusters, language_mixture, license_rules, lsh_forest, packing, toxic_segments, url_trie
 from .scratch import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,33 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 1024 tokens."""
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
+
+
+# -- 12: centroid clustering ------------------------------------------------
+
+@_register
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all usable vectors after ten rounds."""
+    return heap_clusters.clusters(documents(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, seed="3")
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dim: int = 64, seed: str = "3") -> str:
+    steps = [f"""c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id), x) - 1 no, v from g where vec_id is not null
+  qualify row_number() over (order by sha256('{seed}:' || vec_id), x) <= {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select rid, min({{'d': list_sum(list_transform(list_zip(g.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'no': no}}) b
+  from g, c{i} group by rid)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select no, pos, sum(x) s, count(*) n from (select b.no no, unnest(v) x, unnest(range({dim})) pos from a{i} join g using (rid)) group by no, pos),
+c{i + 1} as materialized (select no, coalesce(m, v) v from c{i} left join (select no, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) m from s{i} group by no) using (no))""")
+    return f"""
+with f as (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: x::double) x from embeddings where len(embedding) = {dim}
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+g as materialized (select rid, vec_id, x, list_transform(x, lambda y: greatest(least(floor({heap_clusters.SCALE} * y), {heap_clusters.BOUND}), -{heap_clusters.BOUND})::bigint) v from f),
+{",".join(steps)},
+t as (select rid, b.no no, b.d d, sum(b.d) over (partition by b.no) own, sum(b.d) over () whole from a{rounds})
+select vec_id, no::int cluster, d::bigint distance, own::bigint cluster_inertia, whole::bigint inertia, sha256(array_to_string(c{rounds}.v, ',')) centroid_sha256
+from t join g using (rid) join c{rounds} using (no)"""
+
+
+SQL["op12_heap_clusters"] = _clusters_sql()
