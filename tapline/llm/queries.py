@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +14,11 @@ from .scratch import documents
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Folder of the vocabulary files; a parameter, the files are never copied.
-TOKENIZERS = os.environ.get("TAPLINE_TOKENIZERS", "/opt/tokenizers")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Place of a public vocabulary file; the files are never copied."""
+    return public_tokenizers.path(name)
 
 
 def _register(fn):

@@ -82,17 +82,53 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+_P = _U((1 << 31) - 1)
+_PRIME_BASE = 1_221_740_719
+_PRIME_POWERS = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, up to one multiple of it."""
+    x = (x & _P) + (x >> _U(31))
+    return (x & _P) + (x >> _U(31))
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**31 - 1 for i < n at least."""
+    if len(_PRIME_POWERS[0]) < n:
+        p = int(_P)
+        for k, b in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, p))):
+            full = np.ones(1, _U)
+            while len(full) < max(n, 1 << 16):  # each round doubles the table
+                full = np.concatenate([full, _mod(full * _U(pow(b, len(full), p)))])
+            _PRIME_POWERS[k] = full
+    return _PRIME_POWERS[0], _PRIME_POWERS[1]
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, *many_ends: np.ndarray) -> np.ndarray:
     """64-bit hash of values[s:e] for every span; equal spans hash alike wherever they stand.
 
+    Two polynomials go into it: one modulo 2**64, which spreads well but repeats on
+    self-similar patterns, and one modulo the prime 2**31 - 1, which does not.
     With several arrays of ends, one row of hashes for each.
     """
     if len(starts) == 0:
         return np.zeros((len(many_ends), 0) if len(many_ends) > 1 else 0, _U)
     up, down = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum((values.astype(_U) + _U(1)) * up[:len(values)], out=acc[1:])
-    out = [mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)) for ends in many_ends]
+    wide = values.astype(_U) + _U(1)
+    np.cumsum(wide * up[:len(values)], out=acc[1:])
+    p_up, p_down = prime_powers(len(values) + 1)
+    p_acc = np.zeros(len(values) + 1, dtype=_U)
+    t = wide * p_up[:len(values)]
+    np.cumsum((t & _P) + (t >> _U(31)), out=p_acc[1:])
+
+    def one(ends: np.ndarray) -> np.ndarray:
+        rest = _mod(_mod(p_acc[ends] - p_acc[starts]) * p_down[starts])
+        rest = np.where(rest >= _P, rest - _P, rest)
+        return mix((acc[ends] - acc[starts]) * down[starts] + mix(rest + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)))
+
+    out = [one(ends) for ends in many_ends]
     return np.stack(out) if len(out) > 1 else out[0]
 
 
