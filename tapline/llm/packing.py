@@ -37,15 +37,20 @@ _ENCODERS: dict[int, "WordIds"] = {}
 
 
 class WordIds:
-    """Token ids of pre-tokens by the library, kept per worker; a full cache is emptied, results do not change."""
+    """Token ids of pre-tokens by the library, kept per worker; a full cache is emptied, results do not change.
 
-    def __init__(self, vocabulary: bytes):
+    With ``plain``, the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, vocabulary: bytes, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.tokenizer.encode_special_tokens = plain
+        self.plain = plain
         self.clear()
 
     def clear(self) -> None:
@@ -53,28 +58,32 @@ class WordIds:
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.offs = np.zeros(1, np.int64)
 
+    def flat_ids(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets of the rows); one step of work."""
+        pre = Pretokens(array, b"") if self.plain else Pretokens(array)
+        hashes, at, codes = pre.distinct()
+        if len(self.slot) >= WORD_CACHE:
+            self.clear()
+        slot, known = self.slot, hashes.tolist()
+        new = [i for i, h in enumerate(known) if h not in slot]
+        if new:
+            got = self.tokenizer.encode_batch_fast([pre.text(int(at[i])) for i in new], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            for i in new:
+                slot[known[i]] = len(slot)
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32)])
+            self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
+        slots = np.fromiter(map(slot.__getitem__, known), np.int64, len(known))[codes]
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offs[slots] - (ends - sizes), sizes)]
+        return flat, np.concatenate([[0], ends])[pre.row_offs]
+
     def rows(self, array: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """Ids of every row, the end id last."""
         for lo, hi in T.steps(array):
-            pre = Pretokens(array.slice(lo, hi - lo))
-            hashes, at, codes = pre.distinct()
-            if len(self.slot) >= WORD_CACHE:
-                self.clear()
-            slot, known = self.slot, hashes.tolist()
-            new = [i for i, h in enumerate(known) if h not in slot]
-            if new:
-                got = self.tokenizer.encode_batch_fast([pre.text(int(at[i])) for i in new], add_special_tokens=False)
-                ids = [e.ids for e in got]
-                for i in new:
-                    slot[known[i]] = len(slot)
-                self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-                self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32)])
-                self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
-            slots = np.fromiter(map(slot.__getitem__, known), np.int64, len(known))[codes]
-            sizes = self.sizes[slots]
-            ends = np.cumsum(sizes)
-            flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offs[slots] - (ends - sizes), sizes)]
-            cuts = np.concatenate([[0], ends])[pre.row_offs]
+            flat, cuts = self.flat_ids(array.slice(lo, hi - lo))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 row = np.empty(b - a + 1, dtype="<u4")
                 row[:-1] = flat[a:b]
