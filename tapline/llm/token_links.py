@@ -26,6 +26,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,11 +41,13 @@ from .packing import WordIds
 from .scratch import stored
 
 #: Windows and token ids kept per worker.
-WINDOWS, WINDOW_IDS = 200_000, 4_000_000
+WINDOWS, WINDOW_IDS = 600_000, 8_000_000
 #: The pair counts are broadcast up to this many rows (about 60 MB), joined by a shuffle beyond.
 BROADCAST_PAIRS = 1_500_000
-#: A group of at most so many links is spelled out by a loop, a larger one by array products.
-FEW_LINKS = 64
+#: Groups of at most so many links are multiplied out together, a larger one by its distinct ids.
+FEW_LINKS = 1024
+#: Above every pair code (the product of both vocabularies' sizes).
+SPAN = 1 << 40
 
 
 class Spelling:
@@ -78,32 +81,66 @@ def pieces_of(model) -> Spelling:
                      for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))])
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int], width: int) -> tuple[str, int, int, dict[int, int]]:
-    """(digest text, groups, links, {a * width + b: links}) of one window."""
-    text, n_groups, n_links, pairs = [], 0, 0, {}
-    i = j = at_a = at_b = first_a = first_b = 0
-    while i < len(a):
-        at_a += size_a[i]
-        i += 1
-        while at_b < at_a:
-            at_b += size_b[j]
-            j += 1
-        if at_a != at_b:
-            continue
-        ga, gb = a[first_a:i], b[first_b:j]
-        first_a, first_b = i, j
-        n_groups += 1
-        n_links += len(ga) * len(gb)
-        text.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-        if len(ga) * len(gb) <= FEW_LINKS:
-            for x in ga:
-                for y in gb:
-                    pairs[x * width + y] = pairs.get(x * width + y, 0) + 1
-        else:
-            (xs, nx), (ys, ny) = np.unique(ga, return_counts=True), np.unique(gb, return_counts=True)
-            for code, n in zip((xs[:, None].astype(np.int64) * width + ys).ravel().tolist(), (nx[:, None] * ny).ravel().tolist()):
-                pairs[code] = pairs.get(code, 0) + n
-    return ";".join(text), n_groups, n_links, pairs
+def _expand(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (n[0] numbers), starts[1], ..."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+def _before(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)])
+
+
+class Aligned:
+    """Alignments of some windows laid end to end, a, b: ids; cut_a, cut_b: offsets of the windows."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, width: int):
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        end_a, end_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
+        shared = end_a[np.isin(end_a, end_b, assume_unique=True)]
+        of_a, of_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)  # group of every token
+        n_a, n_b = np.bincount(of_a, minlength=len(shared)), np.bincount(of_b, minlength=len(shared))
+        at_b = _before(n_b)
+        window = np.searchsorted(end_a[cut_a[1:] - 1], shared)  # a window's last token ends it
+        m = len(cut_a) - 1
+        self.groups = np.bincount(window, minlength=m)
+        self.links = np.zeros(m, np.int64)
+        np.add.at(self.links, window, n_a * n_b)
+        # pairs: small groups by one product of all, larger ones by their distinct ids
+        small = n_a * n_b <= FEW_LINKS
+        x = np.flatnonzero(small[of_a])
+        reps = n_b[of_a[x]]
+        key = [np.repeat(window[of_a[x]] * SPAN + a[x] * width, reps) + b[_expand(at_b[of_a[x]], reps)]]
+        times = [np.ones(len(key[0]), np.int64)]
+        at_a = _before(n_a)
+        for g in np.flatnonzero(~small):
+            (xs, nx), (ys, ny) = np.unique(a[at_a[g]:at_a[g + 1]], return_counts=True), np.unique(b[at_b[g]:at_b[g + 1]], return_counts=True)
+            key.append((window[g] * SPAN + xs[:, None] * width + ys).ravel())
+            times.append((nx[:, None] * ny).ravel())
+        cell, where = np.unique(np.concatenate(key), return_inverse=True)
+        self.times = np.zeros(len(cell), np.int64)
+        np.add.at(self.times, where, np.concatenate(times))
+        self.codes, self.pair_cut = cell % SPAN, np.searchsorted(cell, np.arange(m + 1) * SPAN)
+        # digest text: every id in decimal, then its separator; a group's A ids stand before its B ids
+        n = len(a) + len(b)
+        ids, sep = np.empty(n, np.int64), np.empty(n, np.uint8)
+        place_a, place_b = np.arange(len(a)) + at_b[of_a], np.arange(len(b)) + at_a[of_b + 1]
+        ids[place_a], ids[place_b] = a, b
+        sep[place_a] = np.where(np.diff(of_a, append=-1) != 0, ord("|"), ord(","))
+        sep[place_b] = np.where(np.diff(of_b, append=-1) != 0, ord(";"), ord(","))
+        size = 1 + sum((ids >= 10 ** k).astype(np.int64) for k in range(1, 7))
+        ends = np.cumsum(size + 1)
+        out = np.empty(ends[-1] if n else 0, np.uint8)
+        out[ends - 1] = sep
+        rest = ids
+        for k in range(7):
+            here = size > k
+            out[ends[here] - 2 - k] = rest[here] % 10 + ord("0")
+            rest = rest // 10
+        self.text, self.text_cut = out.tobytes(), np.concatenate([[0], ends])[cut_a + cut_b]
+
+    def digest_text(self, w: int) -> bytes:
+        """Groups of window w, each with a closing semicolon."""
+        return self.text[self.text_cut[w]:self.text_cut[w + 1]]
 
 
 class Aligner:
@@ -124,20 +161,18 @@ class Aligner:
         self.groups, self.links, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
         self.codes, self.times, self.offs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def _learn(self, windows: list[tuple[bytes, bytes]]) -> None:
-        size_a, size_b = self.a.sizes, self.b.sizes
-        found = []
-        for x, y in windows:
-            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            found.append(align(a.tolist(), b.tolist(), size_a[a].tolist(), size_b[b].tolist(), self.width))
-            self.known[x, y] = len(self.texts)
-            self.texts.append(found[-1][0])
-            self.n_ids += len(a) + len(b)
-        grow = lambda old, new: np.concatenate([old, np.fromiter(new, np.int64)])
-        self.groups, self.links = grow(self.groups, (f[1] for f in found)), grow(self.links, (f[2] for f in found))
-        self.sizes = grow(self.sizes, (len(f[3]) for f in found))
-        self.codes, self.times = grow(self.codes, (c for f in found for c in f[3])), grow(self.times, (n for f in found for n in f[3].values()))
-        self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
+    def _learn(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, new: np.ndarray, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align the windows numbered ``new``."""
+        n_a, n_b = np.diff(cut_a)[new], np.diff(cut_b)[new]
+        made = Aligned(a[_expand(cut_a[new], n_a)], b[_expand(cut_b[new], n_b)], _before(n_a), _before(n_b), self.a.sizes, self.b.sizes, self.width)
+        for i, key in enumerate(keys):
+            self.known[key] = len(self.texts)
+            self.texts.append(made.digest_text(i))
+        self.n_ids += int(n_a.sum() + n_b.sum())
+        self.groups, self.links = np.concatenate([self.groups, made.groups]), np.concatenate([self.links, made.links])
+        self.sizes = np.concatenate([self.sizes, np.diff(made.pair_cut)])
+        self.codes, self.times = np.concatenate([self.codes, made.codes]), np.concatenate([self.times, made.times])
+        self.offs = _before(self.sizes)
 
     def _windows(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
         """Number of every window's alignment; equal windows of the step are looked up once."""
@@ -145,71 +180,72 @@ class Aligner:
         codes, distinct = pd.factorize(h)
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        key = lambda w: (raw_a[4 * cut_a[w]:4 * cut_a[w + 1]], raw_b[4 * cut_b[w]:4 * cut_b[w + 1]])
         for ids, cut in ((a, cut_a), (b, cut_b)):  # equal hashes must stand for equal ids
-            n, like = np.diff(cut), cut[first[codes]]
-            same = np.array_equal(n, n[first[codes]]) and np.array_equal(ids, ids[np.arange(len(ids)) + np.repeat(like - cut[:-1], n)])
-            if not same:
-                first, codes = np.arange(len(h)), np.arange(len(h))
+            n = np.diff(cut)
+            if not (np.array_equal(n, n[first[codes]]) and np.array_equal(ids, ids[_expand(cut[first[codes]], n)])):
+                first = codes = np.arange(len(h))
                 break
-        keys = [key(w) for w in first.tolist()]
+        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        x, y = (4 * cut_a).tolist(), (4 * cut_b).tolist()
+        keys = [(raw_a[x[w]:x[w + 1]], raw_b[y[w]:y[w + 1]]) for w in first.tolist()]
         if len(self.known) >= WINDOWS or self.n_ids >= WINDOW_IDS:
             self.clear()
-        self._learn(list(dict.fromkeys(k for k in keys if k not in self.known)))
+        new = {k: w for k, w in zip(keys, first.tolist()) if k not in self.known}
+        if new:
+            self._learn(a, b, cut_a, cut_b, np.fromiter(new.values(), np.int64, len(new)), list(new))
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[codes]
 
-    def step(self, array: pa.Array) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, digest, codes, times) of every row."""
-        texts = array.to_pylist()
-        out = [(0, 0, 0, 0, "", (), ())] * len(texts)
-        spaced = pc.binary_join_element_wise(" ", pc.fill_null(array, ""), "")
+    def step(self, array: pa.Array) -> list[pa.Array]:
+        """Columns n_a, n_b, n_groups, n_links, digest, codes, times of some rows."""
+        n_rows = len(array)
+        array = pc.fill_null(array, "")
+        spaced = pc.binary_join_element_wise(" ", array, "")
         a, off_a = self.encode_a.flat_ids(spaced)
-        lists = self.encode_b.encode([t or "" for t in texts], num_threads=1)
-        b = np.fromiter((x for ids in lists for x in ids), np.uint32)
-        off_b = np.concatenate([[0], np.cumsum([len(ids) for ids in lists], dtype=np.int64)])
+        lists = self.encode_b.encode(array.to_pylist(), num_threads=1)
+        b = np.fromiter(chain.from_iterable(lists), np.uint32)
+        off_b = _before(np.fromiter(map(len, lists), np.int64, n_rows))
         # rows that both sides spell
         data, offs = T.buffer_of(spaced)
         (bytes_a, end_a), (bytes_b, end_b) = self.a(a), self.b(b)
         at_a, at_b = np.concatenate([[0], end_a])[off_a], np.concatenate([[0], end_b])[off_b]
-        good = [r for r in range(len(texts)) if texts[r] and
-                np.array_equal(bytes_a[at_a[r]:at_a[r + 1]], data[offs[r]:offs[r + 1]]) and np.array_equal(bytes_b[at_b[r]:at_b[r + 1]], data[offs[r]:offs[r + 1]])]
-        if not good:
-            return out
-        pick = lambda values, off: np.concatenate([values[off[r]:off[r + 1]] for r in good])
-        a, b, data = pick(a, off_a), pick(b, off_b), pick(data, offs)
-        row_end = np.cumsum([offs[r + 1] - offs[r] for r in good])
-        end_a, end_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
-        # shared ends before a space, and the rows' own ends
-        ends = np.zeros(len(data) + 1, np.int8)
-        ends[end_a] += 1
-        ends[end_b] += 1
-        anchor = ends == 2
-        anchor[:-1] &= data == 0x20
-        anchor[row_end] = True
-        anchors = np.flatnonzero(anchor)
-        anchors = anchors[anchors > 0]
-        cut = lambda e: np.concatenate([[0], np.searchsorted(e, anchors, side="right")])
-        window = self._windows(a, b, cut(end_a), cut(end_b))
-        last = np.searchsorted(anchors, row_end, side="right")
-        row = np.repeat(np.arange(len(good)), np.diff(np.concatenate([[0], last])))
-        # links of a row: the pairs of its windows, added up
-        n = self.sizes[window]
-        at = np.arange(n.sum()) + np.repeat(self.offs[window] - (np.cumsum(n) - n), n)
-        cell, where = np.unique(np.repeat(row, n) * (1 << 40) + self.codes[at], return_inverse=True)
-        times = np.zeros(len(cell), np.int64)
-        np.add.at(times, where, self.times[at])
-        cuts = np.searchsorted(cell, np.arange(len(good) + 1) * (1 << 40))
-        n_groups, n_links = np.zeros(len(good), np.int64), np.zeros(len(good), np.int64)
-        np.add.at(n_groups, row, self.groups[window])
-        np.add.at(n_links, row, self.links[window])
-        names = list(map(self.texts.__getitem__, window.tolist()))
-        for i, r in enumerate(good):
-            digest = hashlib.sha256(";".join(names[last[i - 1] if i else 0:last[i]]).encode()).hexdigest()
-            mine = slice(cuts[i], cuts[i + 1])
-            out[r] = (int(off_a[r + 1] - off_a[r]), int(off_b[r + 1] - off_b[r]), int(n_groups[i]), int(n_links[i]), digest,
-                      cell[mine] & ((1 << 40) - 1), times[mine])
-        return out
+        good = np.array([r for r in range(n_rows) if offs[r + 1] - offs[r] > 1 and
+                         np.array_equal(bytes_a[at_a[r]:at_a[r + 1]], data[offs[r]:offs[r + 1]]) and
+                         np.array_equal(bytes_b[at_b[r]:at_b[r + 1]], data[offs[r]:offs[r + 1]])], np.int64)
+        counts, digests = np.zeros((4, n_rows), np.int64), [""] * n_rows
+        codes = times = np.zeros(0, np.int64)
+        pair_cut = np.zeros(n_rows + 1, np.int64)
+        if len(good):
+            pick = lambda values, off: values[_expand(off[good], off[good + 1] - off[good])]
+            a, b, data = pick(a, off_a), pick(b, off_b), pick(data, offs)
+            row_end = np.cumsum(offs[good + 1] - offs[good])
+            end_a, end_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+            # anchors: shared ends before a space, and the rows' own ends
+            ends = np.zeros(len(data) + 1, np.int8)
+            ends[end_a] += 1
+            ends[end_b] += 1
+            anchor = ends == 2
+            anchor[:-1] &= data == 0x20
+            anchor[row_end] = True
+            anchors = np.flatnonzero(anchor)
+            cut = lambda e: np.concatenate([[0], np.searchsorted(e, anchors, side="right")])
+            window = self._windows(a, b, cut(end_a), cut(end_b))
+            last = np.searchsorted(anchors, row_end, side="right")
+            row = np.repeat(good, np.diff(last, prepend=0))
+            # links of a row: the pairs of its windows, added up
+            n = self.sizes[window]
+            at = _expand(self.offs[window], n)
+            cell, where = np.unique(np.repeat(row, n) * SPAN + self.codes[at], return_inverse=True)
+            codes, times = cell % SPAN, np.zeros(len(cell), np.int64)
+            np.add.at(times, where, self.times[at])
+            pair_cut = np.searchsorted(cell, np.arange(n_rows + 1) * SPAN)
+            counts[0, good], counts[1, good] = (off_a[good + 1] - off_a[good]), (off_b[good + 1] - off_b[good])
+            np.add.at(counts[2], row, self.groups[window])
+            np.add.at(counts[3], row, self.links[window])
+            texts = list(map(self.texts.__getitem__, window.tolist()))
+            for r, lo, hi in zip(good.tolist(), [0, *last.tolist()], last.tolist()):
+                digests[r] = hashlib.sha256(b"".join(texts[lo:hi])[:-1]).hexdigest()
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(pair_cut, pa.int32()), pa.array(values, pa.int64()))
+        return [*[pa.array(c) for c in counts], pa.array(digests, pa.string()), listed(codes), listed(times)]
 
 
 _ALIGNERS: dict[int, Aligner] = {}
@@ -232,10 +268,8 @@ def aligned(docs: DataFrame, vocabulary_path: str, model_path: str, id_column: s
         aligner = _aligner(*shipped.value)
         for batch in batches:
             for lo, hi in T.steps(batch.column(2)):
-                rows = list(zip(*aligner.step(batch.column(2).slice(lo, hi - lo))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in rows[:4]],
-                     pa.array(rows[4], pa.string()), *[pa.array(c, pa.list_(pa.int64())) for c in rows[5:]]], names=names)
+                columns = aligner.step(batch.column(2).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=names)
 
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column), F.col(text_column))
