@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, containment, embedding_graph, fst_tokens, heap_clusters, language_mixture, license_rules, lsh_forest, packing, token_links, toxic_segments, url_trie
+from . import chat_snapshots, containment, embedding_graph, fst_tokens, heap_clusters, language_mixture, license_rules, lsh_forest, packing, secret_formats, token_links, toxic_segments, url_trie
 from .scratch import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,12 @@ SQL["op12_heap_clusters"] = _clusters_sql()
 def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the tokens of byte_bpe_50k and piece_bpe_32k in every document, with corpus-wide pair counts."""
     return token_links.links(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+# -- 11: secret scans -------------------------------------------------------
+
+@_register
+def op11_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every document, and candidates in the inferred formats."""
+    docs = documents(spark, sf_dir)
+    return secret_formats.scan(docs, secret_formats.train(docs))

@@ -19,7 +19,7 @@ def test_query_matches_duckdb(spark, duck, key):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language ID", "MinHash near-dedup", "benchmark decontamination", "best-fit packing"]
 
