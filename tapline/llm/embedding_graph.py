@@ -49,7 +49,7 @@ from .graph import components, spanning
 from .scratch import stored
 
 THRESHOLD = 0.93
-#: Rows the centroids are fitted on; vectors of a cluster, clusters of a vector, most clusters of a label.
+#: Rows the centroids are fitted on; members of a shard, clusters of a vector, most clusters of a label.
 SAMPLE, TARGET, OVERLAP, MOST_CLUSTERS = 20_000, 500, 4, 2_000
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 BEAM, ENTRIES, SLACK = 24, 8, 0.06
@@ -72,11 +72,12 @@ def usable(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embe
 
 
 def centroids(sample: pd.DataFrame, sizes: dict) -> dict:
-    """Spherical k-means centroids per (label, dimension); about TARGET vectors to a cluster."""
+    """Spherical k-means centroids per (label, dimension); with OVERLAP homes a vector, about TARGET members to a shard."""
     out = {}
     for key, rows in sample.groupby(["label", "dim"], sort=True):
         x = unit(np.stack(rows["v"].to_numpy()).astype(np.float64))
-        k = int(min(max(1, round(sizes[key] / TARGET)), MOST_CLUSTERS, len(x)))
+        k = round(OVERLAP * sizes[key] / TARGET)
+        k = int(min(k if k > OVERLAP else 1, MOST_CLUSTERS, len(x)))  # with few clusters every shard would hold the whole label
         rng = np.random.default_rng(7)
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(8):

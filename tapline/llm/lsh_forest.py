@@ -15,10 +15,10 @@ five-word shingles.
    blocks of ids.  Every part keeps a candidate towards its whole region's
    smallest document, so a split never separates what the region joins.
 4. Candidates are first each document and the hub (smallest document of a
-   region) it shares most trees with, at least STAR_TREES; once those links are merged, the neighbours with the longest common
-   prefixes (``NEAR`` either way in the sorted order of each region part) that
-   still lie in different components.  Every tree has its own order and blocks.
-   A family of n copies costs about n candidates, not n*n.
+   region) it shares most trees with, at least STAR_TREES; once those links are
+   merged, all pairs of small regions and, in the sorted order of larger ones,
+   neighbours that still lie in different components.  Every tree has its own
+   order and blocks.  A family of n copies costs about n candidates, not n*n.
 5. What crowded regions (more than NEAR + 1 documents) still hold in different
    components is joined exactly: a pair of the similarity shares a shingle among
    the first quarter of both sets, in any common order of shingles (here the
@@ -123,13 +123,11 @@ def regions(heads: DataFrame) -> DataFrame:
 
 
 def neighbours(parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) at most NEAR apart in a part's sorted order, of documents in different components and of sizes that allow a link.
+    """Pairs (a, b) of a part's sorted order, of documents in different components and of sizes that allow a link.
 
-    Regions of up to NEAR + 1 documents show all their pairs.  A pair that meets
-    once only, and only in such regions, shares one tree of all: documents of
-    similarity 0.75 do so with probability 5e-6, most such pairs are strangers
-    that share a passage, and they are left out.  Documents of larger regions
-    also go through ``apart``.
+    Regions of up to NEAR + 1 documents show all their pairs.  In larger ones
+    each document shows the one before it only, where the component changes:
+    that merges most of a family before ``apart`` joins what is left exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +137,7 @@ def neighbours(parts: DataFrame) -> DataFrame:
             rows = got if tail is None else np.concatenate([tail, got], axis=1)
             fresh = 0 if tail is None else tail.shape[1]
             region, doc, n, comp, size = rows
-            a, b, crowded = [], [], []
+            pairs = []
             for gap in range(1, NEAR + 1):
                 second = np.arange(max(fresh, gap), rows.shape[1])
                 if not len(second):
@@ -147,17 +145,15 @@ def neighbours(parts: DataFrame) -> DataFrame:
                 first = second - gap
                 ok = (region[first] == region[second]) & (comp[first] != comp[second]) & (doc[first] != doc[second])
                 small, large = np.minimum(n[first], n[second]), np.maximum(n[first], n[second])
-                ok &= 100 * small >= PERCENT * large
-                a.append(np.minimum(doc[first], doc[second])[ok])
-                b.append(np.maximum(doc[first], doc[second])[ok])
-                crowded.append((size[second] > NEAR + 1)[ok])
+                ok &= (100 * small >= PERCENT * large) & ((gap == 1) | (size[second] <= NEAR + 1))
+                pairs.append(np.stack([np.minimum(doc[first], doc[second])[ok], np.maximum(doc[first], doc[second])[ok]]))
             tail = rows[:, -NEAR:]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, crowded)], names=["a", "b", "crowded"])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(pairs, axis=1), axis=1)], names=["a", "b"])
 
     met = (parts.repartition("region").sortWithinPartitions("region", "deep", F.xxhash64("region", "doc"), "doc")
-           .select("region", "doc", "n", "component", "size").mapInArrow(run, "a long, b long, crowded boolean"))
-    return met.groupBy("a", "b").agg((F.count("*") + 2 * F.max(F.col("crowded").cast("int"))).alias("met")).where("met > 1").select("a", "b")
+           .select("region", "doc", "n", "component", "size").mapInArrow(run, "a long, b long"))
+    return met.distinct()
 
 
 def crowd(labelled: DataFrame) -> DataFrame:
@@ -254,8 +250,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     thin = sketch.select("doc_id", "n_shingles", "fp1", "fp2")
     full = thin.where("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    heads = sketch.where("doc_id is not null and n_shingles > 0").join(classes.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
-    heads = heads.dropDuplicates(["doc_id"])
+    key = ["doc_id", "n_shingles", "fp1", "fp2"]  # an id that stands for two sets keeps both signatures
+    heads = sketch.where("doc_id is not null and n_shingles > 0").join(classes.withColumnRenamed("head", "doc_id").select(*key), key, "left_semi")
+    heads = heads.dropDuplicates(key)
     parts = stored(regions(heads), "parts")
 
     # a document whose head has another text shares its doc_id, so both sets' classes join there
@@ -283,8 +280,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; rows that repeat a doc_id go too, rows without a doc_id stay."""
+    """One document of each group, with all its columns.
+
+    Rows that repeat a doc_id and its text go too; different texts under one
+    doc_id all stay if the id does; rows without a doc_id stay.
+    """
     kept = near_duplicates(docs, id_column, text_column).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where(F.col(id_column).isNotNull())
-    first = named.join(kept, named[id_column] == kept["_kept"], "left_semi").dropDuplicates([id_column])
+    digest = max(docs.columns, key=len) + "_digest"  # longer than any column's name, so it clashes with none
+    first = named.join(kept, named[id_column] == kept["_kept"], "left_semi").withColumn(digest, F.sha2(text_column, 256))
+    first = first.dropDuplicates([id_column, digest]).drop(digest)
     return first.unionByName(docs.where(F.col(id_column).isNull()))

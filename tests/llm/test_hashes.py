@@ -50,3 +50,17 @@ def test_operators_tell_patterns_apart(spark, n):
     assert all(r.kept for r in lsh_forest.near_duplicates(docs).collect())
     items = spark.createDataFrame([(9, b)], "item_id long, text string")
     assert [r.doc_id for r in containment.leaks(docs, items).collect()] == [2]
+
+
+def test_a_pair_that_shares_one_tree_is_a_candidate(spark):
+    parts = spark.createDataFrame([(7, 1, 10, 100, 1, 2, 10), (7, 2, 11, 100, 1, 2, 11), (8, 1, 12, 100, 1, 2, 12), (9, 1, 13, 60, 1, 2, 13), (9, 1, 14, 100, 1, 2, 14)],
+                                  "region long, deep long, doc long, n long, hub long, size long, component long")
+    assert [tuple(r) for r in lsh_forest.neighbours(parts).collect()] == [(10, 11)]
+
+
+def test_different_texts_under_one_id(spark):
+    one, two = ("alpha beta gamma delta epsilon zeta eta theta " * 3).strip(), "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    docs = spark.createDataFrame([(1, one), (1, two), (1, one), (2, two), (3, one + " iota")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in lsh_forest.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+    assert sorted((r.doc_id, r.text) for r in lsh_forest.survivors(docs).collect()) == sorted([(1, one), (1, two)])

@@ -68,10 +68,29 @@ def test_spanning_forest_and_components(spark):
 # -- 1
 
 def test_graph_recall(spark):
-    vecs = documents(spark, "/root/testdata/check_s", "embeddings")
+    """Four labels of different sizes, with pairs, chains and families of near copies among strangers."""
+    rng = np.random.default_rng(4)
+    rows, at = [], 0
+    for label, n in enumerate([300, 900, 2_000, 5_000]):
+        x = embedding_graph.unit(rng.normal(size=(n, 64)))
+        for lo, size, noise in [(0, 2, 0.03), (10, 3, 0.035), (20, 40, 0.03), (100, 150, 0.03)] + [(i, 2, 0.032) for i in range(260, n - 2, 9)]:
+            x[lo:lo + size] = embedding_graph.unit(x[lo] + noise * rng.normal(size=(size, 64)))
+        rows += [(at + i, [float(c) for c in v], label) for i, v in enumerate(x)]
+        at += n
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8).checkpoint()
     found = embedding_graph.near_duplicates(vecs)
-    seen = embedding_graph.audit(vecs, found).agg(F.sum("n_true").alias("t"), F.sum("n_links").alias("f"), F.max(F.col("n_links") - F.col("n_true")).alias("over")).first()
-    assert seen.over <= 0 and seen.f >= 0.9 * seen.t > 0
+    seen = embedding_graph.audit(vecs, found, every=5).agg(F.sum("n_true").alias("t"), F.sum("n_links").alias("f"), F.max(F.col("n_links") - F.col("n_true")).alias("over")).first()
+    assert seen.over <= 0 and seen.t > 2_000 and seen.f >= 0.99 * seen.t
+
+
+def test_shards_do_not_grow_with_the_label():
+    import pandas as pd
+
+    x = np.random.default_rng(1).normal(size=(4_000, 16))
+    sample = pd.DataFrame({"label": 0, "dim": 16, "v": list(x)})
+    for n in (2_000, 8_000, 32_000):
+        k = len(embedding_graph.centroids(sample, {(0, 16): n})[0, 16])
+        assert embedding_graph.OVERLAP * n / k == pytest.approx(embedding_graph.TARGET, rel=0.05)
 
 
 def test_search_finds_all_of_a_dense_family():
@@ -277,13 +296,13 @@ def test_segments_are_the_maximal_ones():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/check_s"
+    sf = "/root/testdata/sf0.1"
     docs = documents(spark, sf).join(documents(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     labels = documents(spark, sf, "labels")
     scored = toxic_segments.score(docs, toxic_segments.train(docs, labels)).where(queries.language_mixture.fold_of(F.col("doc_id"), 5) == 0)
     got = scored.join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     share = {r.toxic: r.p for r in got}
-    assert share[1] > 0.75 and share[0] < 0.02
+    assert share[1] >= 0.55 and share[0] < 0.01
 
 
 # -- 7
