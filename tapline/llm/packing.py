@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ class WordIds:
             for i in new:
                 slot[known[i]] = len(slot)
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
             self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
         slots = np.fromiter(map(slot.__getitem__, known), np.int64, len(known))[codes]
         sizes = self.sizes[slots]

@@ -41,7 +41,9 @@ from .packing import WordIds
 from .scratch import stored
 
 #: Windows and token ids kept per worker.
-WINDOWS, WINDOW_IDS = 600_000, 8_000_000
+WINDOWS, WINDOW_IDS = 250_000, 4_000_000
+#: Bytes of text in a step: equal windows of a step are looked up once.
+STEP = 1 << 20
 #: The pair counts are broadcast up to this many rows (about 60 MB), joined by a shuffle beyond.
 BROADCAST_PAIRS = 1_500_000
 #: Groups of at most so many links are multiplied out together, a larger one by its distinct ids.
@@ -267,7 +269,7 @@ def aligned(docs: DataFrame, vocabulary_path: str, model_path: str, id_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*shipped.value)
         for batch in batches:
-            for lo, hi in T.steps(batch.column(2)):
+            for lo, hi in T.steps(batch.column(2), STEP):
                 columns = aligner.step(batch.column(2).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=names)
 
