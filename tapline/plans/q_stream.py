@@ -55,6 +55,17 @@ def q_stream_offset_join(spark, d):
     return ST.run_available_now(ST.offset_join_stream(ev, fx.TAP_TYPES, fx.BURDEN_TYPES), "p3s")
 
 
+@query("stream_offset_left_join", W("""select t.clock, t.hm_si as hm_si, b.actwt as actwt_8h_before, t.n as n_tap, b.n as n_burden
+from (select date_trunc('hour', sampletaken) as clock, avg(hm_si) as hm_si, count(*) as n from fx_tap group by 1) t
+left join (select date_trunc('hour', chargetime) + interval 8 hour as clock, sum(actwt) as actwt, count(*) as n
+      from fx_burden group by 1) b using (clock)
+where t.clock + interval 1 hour <= least((select max(sampletaken) from fx_tap), (select max(chargetime) from fx_burden)) - interval 1 hour"""))
+def q_stream_offset_left_join(spark, d):
+    """P3s: stream-stream join of hourly taps and charges behind two watermarks; taps without charges stay."""
+    ev = fx.events_stream(spark, d, fx.TAP_TYPES + fx.BURDEN_TYPES)
+    return ST.run_available_now(ST.offset_left_join_stream(ev, fx.TAP_TYPES, fx.BURDEN_TYPES), "p3s-join")
+
+
 @query("stream_dedupe", W("""select distinct taphole, date_trunc('hour', sampletaken) as clock from fx_tap"""))
 def q_stream_dedupe(spark, d):
     """P7s: one tap per (taphole, hour) within the watermark."""

@@ -10,13 +10,12 @@ restartable after executor or driver loss).
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as K
 from ..functions import scalars as S
@@ -89,121 +88,243 @@ def dedupe_stream(s: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 ho
     return x.dropDuplicatesWithinWatermark(list(keys)).drop("__et")
 
 
+def offset_left_join_stream(ev: DataFrame, tap_types: Sequence[str], burden_types: Sequence[str],
+                            hours: int = K.BURDEN_DESCENT_HOURS, delay: str = "1 hour") -> DataFrame:
+    """P3s as a stream-stream join: hourly taps LEFT JOIN hourly charges of ``hours`` before.
+
+    Either side is reduced to closed hours behind its own watermark, so a hot
+    hour never pairs events.  The interval condition on the two event times
+    bounds the join's state: a charge hour is evicted once no tap hour can meet
+    it, and a tap hour without charges comes out with NULLs once the watermark
+    has passed the hour it waits for.
+    """
+    from ..sources.fixtures import burden_from_events, tap_from_events
+
+    def hourly(rows: DataFrame, ts: str, *aggs: F.Column) -> DataFrame:
+        x = rows.withColumn("__et", ntz_to_instant(ts)).withWatermark("__et", delay)
+        g = x.groupBy(F.window("__et", "1 hour").alias("w")).agg(*aggs)
+        return g.withColumn("et", F.window_time("w")).withColumn("clock", instant_to_ntz(F.col("w.start"))).drop("w")
+
+    tap = hourly(tap_from_events(ev.where(F.col("event_type").isin(*tap_types))), "sampletaken",
+                 F.avg("hm_si").alias("hm_si"), F.count(F.lit(1)).alias("n_tap"))
+    bur = hourly(burden_from_events(ev.where(F.col("event_type").isin(*burden_types))), "chargetime",
+                 F.sum("actwt").alias("actwt_8h_before"), F.count(F.lit(1)).alias("n_burden"))
+    bur = bur.withColumn("aligned", S.shift_hours("clock", hours)).withColumnRenamed("et", "bur_et").drop("clock")
+    gap = F.expr(f"INTERVAL {hours} HOURS")
+    met = (F.col("clock") == F.col("aligned")) & (F.col("et") >= F.col("bur_et") + gap) & (F.col("et") <= F.col("bur_et") + gap)
+    return tap.join(bur, met, "left_outer").select("clock", "hm_si", "actwt_8h_before", "n_tap", "n_burden")
+
+
 # ---------------------------------------------------------------- stateful
 
-ASOF_OUT = StructType([StructField("tapno", LongType()), StructField("unit_id", LongType()),
-                       StructField("sampletaken", TimestampNTZType()), StructField("hm_si", DoubleType()),
-                       StructField("clock_raw", TimestampNTZType()), StructField("hbt", DoubleType()),
-                       StructField("lag_hours", DoubleType())])
-BUFFER = StructType([StructField("rows", BinaryType())])
-
-
-def _millis(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[ms]").astype("int64")
-
-
-def _watermark(state) -> pd.Timestamp:
-    return pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-
-
-def _joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    """One event-time ordered frame of the buffered and the new rows (frames without rows are left out)."""
-    some = [f for f in frames if len(f)]
-    return pd.concat(some, ignore_index=True) if some else frames[0]
-
-
-def _asof_state_fn(tolerance_h: float):
-    tolerance = pd.Timedelta(hours=tolerance_h)
-    para_cols, tap_cols = ["clock_raw", "hbt"], ["ts", "tapno", "hm_si"]
-
-    def fn(key, pdfs, state):
-        """Buffers readings and taps; a tap is matched once the watermark has passed it, so arrival order does not matter."""
-        para, taps = pickle.loads(state.get[0]) if state.exists else (pd.DataFrame(columns=para_cols), pd.DataFrame(columns=tap_cols))
-        for pdf in pdfs:
-            para = _joined([para, pdf.loc[~pdf["is_tap"], ["ts", "hbt"]].rename(columns={"ts": "clock_raw"})])
-            taps = _joined([taps, pdf.loc[pdf["is_tap"], tap_cols]])
-        now = _watermark(state)
-        para = para.sort_values(para_cols, kind="mergesort")
-        due, taps = taps[taps["ts"] < now].sort_values("ts", kind="mergesort"), taps[taps["ts"] >= now]
-        if len(due) and len(para):
-            m = pd.merge_asof(due.astype({"ts": "datetime64[us]"}), para.astype({"clock_raw": "datetime64[us]"}), left_on="ts",
-                              right_on="clock_raw", direction="backward", allow_exact_matches=True)
-            m["lag_hours"] = (m["ts"] - m["clock_raw"]).dt.total_seconds() / 3600.0
-            m = m[m["lag_hours"] <= tolerance_h]
-            if len(m):
-                yield pd.DataFrame({"tapno": m["tapno"].astype("int64"), "unit_id": int(key[0]), "sampletaken": m["ts"], "hm_si": m["hm_si"],
-                                    "clock_raw": m["clock_raw"], "hbt": m["hbt"], "lag_hours": m["lag_hours"]})
-        # later taps are newer than the watermark: older readings than the tolerance before it can match no more
-        para = para[para["clock_raw"] >= now - tolerance]
-        if len(para) or len(taps):
-            state.update((pickle.dumps((para, taps)),))
-            wake = [int(_millis(taps["ts"]).min())] if len(taps) else [int(_millis(para["clock_raw"]).max() + tolerance.value // 10 ** 6)]
-            state.setTimeoutTimestamp(max(wake[0], state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-    return fn
+MICROS_H = 3_600_000_000
+#: Rows of one emitted frame.
+EMIT_ROWS = 10_000
+#: A unit's events are dealt to spans of so many tolerances, each a state key of its own.
+SPAN_TOLERANCES = 4
+
+
+def _entry_state(df: DataFrame) -> DataFrame:
+    """Keyed entry state lives in RocksDB: a key's list is appended to, never rewritten as one value."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df
+
+
+def _micros(col: str) -> F.Column:
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{col}`)")
+
+
+def _ntz(col: str) -> F.Column:
+    return instant_to_ntz(F.timestamp_micros(F.col(col)))
+
+
+class _EventTimeBuffer(StatefulProcessor):
+    """Pending rows of a key in list state, released in event-time order once the watermark has passed them.
+
+    One timer a key wakes it for its earliest pending row (or for its end, where
+    the key's state goes); new rows are appended frame by frame.
+    """
+
+    pending_schema: str
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.pending_schema)
+        self.wake = handle.getValueState("wake", "ms long")
+
+    def take(self, pdf: pd.DataFrame) -> list[tuple]:
+        """Pending rows (time in microseconds first) of a frame; other rows go to the key's own state."""
+        raise NotImplementedError
+
+    def release(self, key, due: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Results of the rows the watermark has passed, which come sorted."""
+        raise NotImplementedError
+
+    def end_ms(self, key) -> int | None:
+        """When the key can meet no more rows."""
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            new = self.take(pdf)
+            if new:
+                self.pending.appendList(new)
+                low = min(new)[0]
+                first = low if first is None else min(first, low)
+        at = [x for x in (None if first is None else first // 1000, self.end_ms(key)) if x is not None]
+        held = self.wake.get()
+        if at and (held is None or min(at) < held[0]):
+            self._set_wake(held, min(at))
+        yield from self._settle(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues)
+
+    def _set_wake(self, held, ms: int | None) -> None:
+        if held is not None:
+            self.handle.deleteTimer(held[0])
+        if ms is None:
+            self.wake.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.wake.update((ms,))
+
+    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        now, held = timerValues.getCurrentWatermarkInMs(), self.wake.get()
+        if held is None or held[0] >= now:
+            return
+        due, rest = [], []
+        for row in self.pending.get():
+            (due if row[0] < now * 1000 else rest).append(tuple(row))
+        if due:
+            yield from self.release(key, sorted(due, key=lambda r: r[:2]))
+            self.pending.put(rest) if rest else self.pending.clear()
+        end = self.end_ms(key)
+        if end is not None and end < now and not rest:
+            self._set_wake(held, None)
+            self.finish()
+            return
+        times = [min(rest)[0] // 1000] if rest else []
+        times += [end] if end is not None else []
+        self._set_wake(held, max(min(times), now) if times else None)
+
+    def finish(self) -> None:
+        """Drop the key's own state."""
+
+    def close(self) -> None:
+        pass
+
+
+class _Asof(_EventTimeBuffer):
+    """Taps of one (unit, span) against its readings."""
+
+    pending_schema = "us long, tapno long, hm_si double"
+
+    def __init__(self, tolerance_us: int, span_us: int):
+        self.tolerance, self.span = tolerance_us, span_us
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.readings = handle.getListState("readings", "us long, hbt double")
+
+    def take(self, pdf):
+        tap = pdf["is_tap"].to_numpy(bool)
+        para = pdf[~tap]
+        if len(para):
+            self.readings.appendList(list(zip(para["us"].tolist(), para["hbt"].astype(float).tolist())))
+        some = pdf[tap]
+        return list(zip(some["us"].tolist(), some["tapno"].astype("int64").tolist(), some["hm_si"].astype(float).tolist()))
+
+    def end_ms(self, key):
+        return (int(key[1]) + 1) * self.span // 1000
+
+    def release(self, key, due):
+        para = pd.DataFrame([tuple(r) for r in self.readings.get()], columns=["para_us", "hbt"]).astype({"para_us": "int64", "hbt": "float64"})
+        if not len(para):
+            return
+        para = para.sort_values(["para_us", "hbt"], kind="mergesort")
+        taps = pd.DataFrame(due, columns=["us", "tapno", "hm_si"])
+        m = pd.merge_asof(taps, para, left_on="us", right_on="para_us", direction="backward", tolerance=self.tolerance)
+        m = m[m["para_us"].notna()].astype({"para_us": "int64"})
+        for lo in range(0, len(m), EMIT_ROWS):
+            yield m.iloc[lo:lo + EMIT_ROWS].assign(unit_id=int(key[0]))[["tapno", "unit_id", "us", "hm_si", "para_us", "hbt"]]
+
+    def finish(self) -> None:
+        self.readings.clear()
 
 
 def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASOF_TOLERANCE_HOURS, delay: str = "1 hour") -> DataFrame:
     """P4s: each tap meets the unit's latest process reading within ``tolerance_h``.
 
-    Taps wait until the watermark passes them; readings stay for the tolerance
-    behind it.  So state per unit is bounded by tolerance + delay, rows may
-    arrive in any order within the delay, and idle units expire.
+    A unit's events are dealt to time spans of SPAN_TOLERANCES tolerances; the
+    readings of a span's last tolerance also go to the next span, which is all a
+    tap there can reach back to.  So every (unit, span) is a key of its own and a
+    hot unit spreads over its spans.  Taps wait until the watermark passes them,
+    a span's state goes once the watermark has passed its end, and rows may
+    arrive in any order within the delay.
     """
     from ..sources.fixtures import para_from_events, tap_from_events
     none = F.lit(None)
+    tolerance_us = int(tolerance_h * MICROS_H)
+    span_us = SPAN_TOLERANCES * tolerance_us
     taps = tap_from_events(ev.where(F.col("event_type").isin(*tap_types))).select(
         "unit_id", F.col("sampletaken").alias("ts"), "tapno", F.lit(True).alias("is_tap"), "hm_si",
         none.cast("double").alias("hbt"))
     para = para_from_events(ev.where(F.col("event_type").isin(*para_types))).select(
         "unit_id", F.col("clock_raw").alias("ts"), none.cast("long").alias("tapno"), F.lit(False).alias("is_tap"),
         none.cast("double").alias("hm_si"), "hbt")
-    x = taps.unionByName(para).withColumn("__et", ntz_to_instant("ts")).withWatermark("__et", delay)
-    return x.groupBy("unit_id").applyInPandasWithState(
-        _asof_state_fn(tolerance_h), ASOF_OUT, BUFFER, "append", "EventTimeTimeout")
-
-
-LAG_OUT = StructType([StructField("taphole", LongType()), StructField("tapno", LongType()),
-                      StructField("sampletaken", TimestampNTZType()), StructField("hm_si", DoubleType()),
-                      StructField("hm_si_lag1", DoubleType()), StructField("hm_si_lag2", DoubleType()),
-                      StructField("hm_si_lag3", DoubleType()), StructField("hm_si_diff1", DoubleType())])
-
-
-def _lag_state_fn(keep: int = 12):
-    cols = ["sampletaken", "tapno", "hm_si"]
-
-    def fn(key, pdfs, state):
-        """Buffers rows until the watermark passes them, then emits them in event-time order."""
-        hist, rows = pickle.loads(state.get[0]) if state.exists else ([], pd.DataFrame(columns=cols))
-        for pdf in pdfs:
-            rows = _joined([rows, pdf[cols]])
-        now = _watermark(state)
-        due, rows = rows[rows["sampletaken"] < now].sort_values(["sampletaken", "tapno"], kind="mergesort"), rows[rows["sampletaken"] >= now]
-        if len(due):
-            vals = pd.Series(hist + due["hm_si"].astype(float).tolist())
-            n0 = len(hist)
-            out = pd.DataFrame({"taphole": int(key[0]), "tapno": due["tapno"].astype("int64").to_numpy(),
-                                "sampletaken": due["sampletaken"].astype("datetime64[us]").to_numpy(), "hm_si": due["hm_si"].to_numpy()})
+    x = taps.unionByName(para).withColumn("__et", ntz_to_instant("ts")).withWatermark("__et", delay).withColumn("us", _micros("ts"))
+    span = F.floor(F.col("us") / F.lit(span_us)).cast("long")
+    carried = ~F.col("is_tap") & (F.pmod("us", F.lit(span_us)) >= span_us - tolerance_us)
+    x = x.withColumn("span", F.explode(F.when(carried, F.array(span, span + 1)).otherwise(F.array(span))))
+    out = _entry_state(x.drop("ts")).groupBy("unit_id", "span").transformWithStateInPandas(
+        _Asof(tolerance_us, span_us), "tapno long, unit_id long, us long, hm_si double, para_us long, hbt double", "append", "EventTime")
+    return out.select("tapno", "unit_id", _ntz("us").alias("sampletaken"), "hm_si", _ntz("para_us").alias("clock_raw"), "hbt",
+                      ((F.col("us") - F.col("para_us")) / F.lit(float(MICROS_H))).alias("lag_hours"))
+
+
+class _Lags(_EventTimeBuffer):
+    """Rows of one series with the values before them."""
+
+    pending_schema = "us long, tapno long, hm_si double"
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getListState("last", "hm_si double")
+
+    def take(self, pdf):
+        return list(zip(pdf["us"].tolist(), pdf["tapno"].astype("int64").tolist(), pdf["hm_si"].astype(float).tolist()))
+
+    def release(self, key, due):
+        values = [r[0] for r in self.last.get()]
+        for lo in range(0, len(due), EMIT_ROWS):
+            out = pd.DataFrame(due[lo:lo + EMIT_ROWS], columns=["us", "tapno", "hm_si"])
+            n, series = len(values), pd.Series(values + out["hm_si"].tolist(), dtype="float64")
             for k in (1, 2, 3):
-                out[f"hm_si_lag{k}"] = vals.shift(k).iloc[n0:].to_numpy()
-            out["hm_si_diff1"] = (vals - vals.shift(1)).iloc[n0:].to_numpy()
-            hist = vals.iloc[-keep:].tolist()
-            yield out
-        state.update((pickle.dumps((hist, rows)),))
-        if len(rows):
-            state.setTimeoutTimestamp(max(int(_millis(rows["sampletaken"]).min()), state.getCurrentWatermarkMs() + 1))
-    return fn
+                out[f"hm_si_lag{k}"] = series.shift(k).iloc[n:].to_numpy()
+            out["hm_si_diff1"] = (series - series.shift(1)).iloc[n:].to_numpy()
+            values = series.iloc[-self.keep:].tolist()
+            yield out.assign(taphole=int(key[0]))[["taphole", "tapno", "us", "hm_si", "hm_si_lag1", "hm_si_lag2", "hm_si_lag3", "hm_si_diff1"]]
+        self.last.put([(v,) for v in values])
 
 
 def lags_stream(taps: DataFrame, keep: int = 12, delay: str = "1 hour") -> DataFrame:
     """P5s: per-series lag/diff features in event-time order.
 
-    State per series: the last ``keep`` values and the rows the watermark has
-    not passed yet.
+    State per series, in entries: the last ``keep`` values and the rows the
+    watermark has not passed yet.
     """
     x = taps.select("taphole", "tapno", "sampletaken", "hm_si").withColumn("__et", ntz_to_instant("sampletaken")).withWatermark("__et", delay)
-    return x.groupBy("taphole").applyInPandasWithState(_lag_state_fn(keep), LAG_OUT, BUFFER, "append", "EventTimeTimeout")
+    x = x.withColumn("us", _micros("sampletaken")).drop("sampletaken")
+    out = _entry_state(x).groupBy("taphole").transformWithStateInPandas(
+        _Lags(keep), "taphole long, tapno long, us long, hm_si double, hm_si_lag1 double, hm_si_lag2 double, hm_si_lag3 double, hm_si_diff1 double",
+        "append", "EventTime")
+    return out.withColumn("sampletaken", _ntz("us")).drop("us")
 
 
 def score_stream(s: DataFrame, pipeline_model, means: dict, target: str = "hm_si") -> DataFrame:

@@ -78,6 +78,65 @@ def test_stream_lags_over_batches_out_of_order(spark):
     assert lags == {1: (None, None, None), 2: (1.0, None, 1.0), 3: (2.0, 1.0, 1.0), 4: (3.0, 2.0, 1.0)}
 
 
+def test_stream_asof_equals_batch_over_random_batches(spark):
+    """Five arrivals, rows shuffled within the delay, spans and tolerances crossed: the batch as-of's rows."""
+    import bisect
+    import random
+    from tapline.sources import fixtures as fx
+    rng = random.Random(11)
+    events = [_event(i, round(rng.uniform(0, 120), 4), rng.choice(["purchase", "click", "view"]), user=rng.randint(1, 3)) for i in range(600)]
+    events.sort(key=lambda e: e[1] + timedelta(hours=rng.uniform(0, 4)))  # late by less than the delay
+    events += [_event(10_000 + u, 400, "click", user=u) for u in (1, 2, 3)]
+    d = tempfile.mkdtemp(prefix="tapline-stream-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    out, ck = os.path.join(d, "out"), os.path.join(d, "ck")
+    for i in range(5):
+        part = events[i * 121:(i + 1) * 121]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(d, "src", f"b{i}"))
+        src = spark.readStream.schema(schema).parquet(os.path.join(d, "src", "b*"))
+        got = ST.run_available_now(ST.asof_stream(src, fx.TAP_TYPES, fx.PARA_TYPES, delay="5 hours"), "many", out=out, checkpoint=ck)
+    table = spark.createDataFrame(events, schema)
+    taps = [(r.unit_id, r.sampletaken, r.tapno) for r in fx.tap_from_events(table.where(F.col("event_type").isin(*fx.TAP_TYPES))).collect()]
+    para = {}
+    for r in fx.para_from_events(table.where(F.col("event_type").isin(*fx.PARA_TYPES))).collect():
+        para.setdefault(r.unit_id, []).append(r.clock_raw)
+    want = set()
+    for unit, ts, tapno in taps:
+        times = sorted(para.get(unit, []))
+        at = bisect.bisect_right(times, ts) - 1
+        if at >= 0 and ts - times[at] <= timedelta(hours=4):
+            want.add((tapno, unit, ts, times[at]))
+    rows = got.collect()
+    assert len(want) > 50 and len(rows) == len(want) and {(r.tapno, r.unit_id, r.sampletaken, r.clock_raw) for r in rows} == want
+
+
+def test_stream_lags_of_a_large_series(spark):
+    """One series with 60,000 rows in a batch: chunks join without a seam."""
+    from tapline.streaming.streams import EMIT_ROWS
+    n = 6 * EMIT_ROWS
+    d = tempfile.mkdtemp(prefix="tapline-stream-")
+    ts = F.timestamp_add("SECOND", F.col("id") % n, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("taphole"), F.col("id").alias("tapno"), ts.alias("sampletaken"), F.col("id").cast("double").alias("hm_si"))
+    last = rows.limit(1).withColumn("sampletaken", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).withColumn("tapno", F.lit(n).cast("long"))
+    rows.unionByName(last).orderBy(F.xxhash64("tapno")).write.parquet(os.path.join(d, "b"))
+    src = spark.readStream.schema(rows.schema).parquet(os.path.join(d, "b"))
+    got = ST.run_available_now(ST.lags_stream(src), "large")
+    assert got.count() == n
+    wrong = got.where("hm_si <> tapno or (tapno >= 1 and coalesce(hm_si_lag1, -1) <> tapno - 1) or (tapno >= 3 and coalesce(hm_si_lag3, -1) <> tapno - 3)")
+    assert wrong.count() == 0
+
+
+def test_stream_left_join_over_batches(spark):
+    """Charges arrive after their taps and before: closed tap hours meet the charges of 8 h earlier, others stay with NULLs."""
+    from tapline.sources import fixtures as fx
+    one = [_event(1, 9.5, "purchase", 100.0), _event(2, 10.5, "purchase", 200.0), _event(3, 1.2, "error", 10.0), _event(4, 10.1, "error", 5.0)]
+    two = [_event(5, 1.4, "error", 30.0), _event(6, 12.5, "purchase", 300.0), _event(7, 12.7, "purchase", 500.0), _event(8, 4.1, "error", 7.0),
+           _event(9, END, "purchase", 1.0), _event(10, END, "error", 1.0)]
+    got = _two_batches(spark, one, two, lambda s: ST.offset_left_join_stream(s, fx.TAP_TYPES, fx.BURDEN_TYPES, delay="12 hours"))
+    rows = {r.clock.hour: (r.n_tap, r.n_burden) for r in got.collect()}
+    assert rows == {9: (1, 2), 10: (1, None), 12: (2, 1)}
+
+
 def test_results_do_not_depend_on_session_time_zone(spark):
     """Clock math stays on wall-clock NTZ values: a half-hour-offset zone changes nothing."""
     import __spark_entry__ as E
