@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggs import _by
+from .selection import quantiles
 
 
 def dropna_subset(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -50,19 +51,18 @@ def iqr_simultaneous(df: DataFrame, cols: Sequence[str], k: float = 3.0, by=None
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    stats = _fence_stats(df, cols, keys)
     if not keys:
-        row = stats.first()
+        found = quantiles(df, {c: [0.25, 0.75] for c in cols})
         cond = None
         for c in cols:
-            q = row[f"__q_{c}"]
-            q1, q3 = (q[0], q[1]) if q is not None else (None, None)
+            q1, q3 = found[c] or (None, None)
             if q1 is None or q3 is None:
                 t = F.lit(False)  # all-missing column: pandas keeps nothing
             else:
                 t = _between(c, F.lit(float(q1)), F.lit(float(q3)), k)
             cond = t if cond is None else (cond & t)
         return df.where(cond)
+    stats = _fence_stats(df, cols, keys)
     cond = None
     for c in cols:
         q = F.col(f"__q_{c}")
@@ -84,9 +84,9 @@ def iqr_sequential(df: DataFrame, cols: Sequence[str], k: float = 3.0,
     """
     cur = df.persist(StorageLevel.MEMORY_AND_DISK)
     todo = [c for c in cols if c in df.columns and c not in set(exempt)]
+    rows = cur.count() if todo else 0  # fills the persisted input; later steps only have fewer
     for i, c in enumerate(todo):
-        q = cur.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
-        q1, q3 = (q[0], q[1]) if q is not None else (None, None)
+        q1, q3 = quantiles(cur, {c: [0.25, 0.75]}, rows)[c] or (None, None)
         if skip_nonpositive_iqr:
             if q1 is None or q3 is None or not (q3 - q1 > 0):
                 continue
@@ -112,8 +112,8 @@ def row_guard(df: DataFrame, min_rows: int, what: str = "rows") -> DataFrame:
 def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Exact median fill (Spark ML's Imputer median is approximate)."""
     src = fit_on if fit_on is not None else df
-    med = src.agg(*[F.median(c).alias(c) for c in cols]).first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast("double")) for c in cols})
+    med = quantiles(src, {c: [0.5] for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0] if med[c] else None).cast("double")) for c in cols})
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -141,8 +141,7 @@ def scale_robust(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
                  suffix: str = "") -> DataFrame:
     """(x - median) / IQR with exact quantiles; zero IQR → divide by 1."""
     src = fit_on if fit_on is not None else df
-    st = src.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-                   for c in cols]).first()
+    st = quantiles(src, {c: [0.25, 0.5, 0.75] for c in cols})
     out = {}
     for c in cols:
         q1, med, q3 = st[c]
