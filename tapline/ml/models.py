@@ -1,6 +1,7 @@
 """Model training on the clock-aligned feature table.
 
-The estimators are Spark ML's (distributed tree/linear learners).  Exact
+The estimators are Spark ML's (distributed tree/linear learners) and the
+histogram boosting of ``boosting``.  Exact
 preprocessing (median fill, population-std scaling) is done with SQL
 aggregates so the numbers match the source's definitions; the fitted
 preprocessing and model go into one ``PipelineModel`` that can be saved
@@ -13,14 +14,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import NewtonBoosting
+
 # --------------------------------------------------------------- preprocessing
 
 
@@ -81,9 +84,9 @@ def rf_reg(label: str, trees: int = 200, depth: int = 10, min_leaf: int = 1, see
                                  minInstancesPerNode=min_leaf, seed=seed)
 
 
-def gbt_reg(label: str, iters: int = 150, depth: int = 5, lr: float = 0.08, sub: float = 1.0, seed: int = 42):
-    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=lr,
-                        subsamplingRate=sub, seed=seed)
+def gbt_reg(label: str, iters: int = 150, depth: int = 5, lr: float = 0.08, sub: float = 1.0, l2: float = 0.0, seed: int = 42):
+    """K3: histogram Newton boosting of the squared error; ``l2`` = 0 is plain gradient boosting."""
+    return NewtonBoosting(label, "squared", trees=iters, depth=depth, rate=lr, rows=sub, l2=l2, seed=seed)
 
 
 def rf_cls(label: str, trees: int = 200, depth: int = 10, seed: int = 42, weight: str | None = None):
@@ -91,10 +94,9 @@ def rf_cls(label: str, trees: int = 200, depth: int = 10, seed: int = 42, weight
     return est.setWeightCol(weight) if weight else est
 
 
-def gbt_cls(label: str, iters: int = 150, depth: int = 5, lr: float = 0.08, seed: int = 42):
-    """K5: 3-class boosting as one-vs-rest of binary GBTs."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=lr, seed=seed),
-                     featuresCol="features", labelCol=label, parallelism=3)
+def gbt_cls(label: str, iters: int = 150, depth: int = 5, lr: float = 0.08, classes: int = 3, seed: int = 42):
+    """K5: softmax Newton boosting; the trees of all classes grow in the same passes."""
+    return NewtonBoosting(label, "softmax", classes=classes, trees=iters, depth=depth, rate=lr, seed=seed)
 
 
 def logreg(label: str, C: float = 1.0, n: int = 1):

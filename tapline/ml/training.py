@@ -3,7 +3,8 @@
 ``Context`` holds the persisted feature table and the fitted pipelines of
 one (session, input) pair, so scoring/explanation operators reuse fits
 instead of re-training.  Candidate fits of a bake-off run from a small
-driver thread pool: each fit is itself a distributed Spark job.
+driver thread pool: each fit is itself a chain of distributed Spark jobs, and
+boosting waits for their latency most of the time, so the fits run side by side.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _code(label_col: str):
 REG_CANDIDATES = {
     "Random Forest": lambda y, n: M.rf_reg(y, 200, 10),
     "Gradient Boosting": lambda y, n: M.gbt_reg(y, 150, 5, 0.08),
-    "Boosted Trees (deep)": lambda y, n: M.gbt_reg(y, 200, 6, 0.08),
+    "Boosted Trees (deep)": lambda y, n: M.gbt_reg(y, 200, 6, 0.08, l2=1.0),
 }
 CLS_CANDIDATES = {
     "Random Forest": lambda y, n: M.rf_cls(y, 200, 10),
@@ -152,7 +153,7 @@ def classification_scores(fit: dict) -> DataFrame:
     return metrics.classification_metrics(pred, fit["label"], "pred_label")
 
 
-def bakeoff(ctx: Context, kind: str = "regression", parallelism: int = 3) -> DataFrame:
+def bakeoff(ctx: Context, kind: str = "regression", parallelism: int = 6) -> DataFrame:
     """Every candidate × target → metric table, best model flagged (first listed wins ties)."""
     cands = REG_CANDIDATES if kind == "regression" else CLS_CANDIDATES
     jobs = [(t, m, i) for t in TARGETS for i, m in enumerate(cands)]
@@ -220,12 +221,23 @@ def fit_timeseries(ctx: Context, target: str, k: int = K.TOP_K_FEATURES) -> dict
         train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
         prep = M.Prep.fit(train, ts_pool(ctx), scale=False)
         feats = M.top_features(M.fit(train, prep, M.rf_reg(label, trees=50, depth=8)), prep, k)
-        prep, n, scored = M.Prep.fit(train, feats), train.count(), []
-        for i, (name, make) in enumerate(REG_CANDIDATES.items()):
+        prep, n = M.Prep.fit(train, feats), train.count()
+
+        def one(candidate):
+            i, (name, make) = candidate
             pm = M.fit(train, prep, make(label, n))
             r = metrics.regression_metrics(pm.transform(test), label, "prediction").first()
-            scored.append((float(r["r2"]), -i, name, pm, float(r["rmse"]), float(r["mae"])))
+            return float(r["r2"]), -i, name, pm, float(r["rmse"]), float(r["mae"])
+        with ThreadPoolExecutor(len(REG_CANDIDATES)) as ex:
+            scored = list(ex.map(one, enumerate(REG_CANDIDATES.items())))
         best = max(scored, key=lambda x: x[:2])
         return {"pm": best[3], "prep": prep, "split": sp, "features": feats, "n_train": n, "model": best[2], "score": best[0],
                 "candidates": [(target, name, -i, r2, rmse, mae, name == best[2]) for r2, i, name, _, rmse, mae in scored]}
     return ctx.memo(("ts", target), run)
+
+
+def fit_timeseries_all(ctx: Context) -> dict[str, dict]:
+    """The next-step trainers of all targets, side by side."""
+    ts_table(ctx)
+    with ThreadPoolExecutor(len(TARGETS)) as ex:
+        return dict(zip(TARGETS, ex.map(lambda t: fit_timeseries(ctx, t), TARGETS)))
