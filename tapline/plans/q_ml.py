@@ -10,6 +10,7 @@ from ..ml import models as M
 from ..ml import prep as MP
 from ..ml import scoring as SC
 from ..ml import training as TR
+from ..ml.folds import ridge_cv
 from ..operators import clean, metrics, windows
 from ..sources.fixtures import with_fixtures as W
 from . import feature_table as FT
@@ -136,6 +137,26 @@ def q_kfold_ids(spark, d):
     return MP.kfold_ids(f, 5, ["clock"], label="si_class")
 
 
+CV_SQL = LABEL_SQL + f""",
+folded as (select cast((row_number() over (partition by si_class order by {_md5_sql()}, clock) - 1) % 5 as int) as fold, clock from lab),
+used as (select fold, t.target, case when t.target = 'hm_si' then hm_si else hm_temp end as y, hbt as a, oxygen_flow as b
+  from folded join feat using (clock), (values ('hm_si'), ('hm_temp')) t(target)
+  where hm_si is not null and hm_temp is not null and hbt is not null and oxygen_flow is not null),
+sums as (select u.target, p.alpha, k.fold, avg(y) as my, avg(a) as ma, avg(b) as mb, count(*) * var_pop(a) + p.alpha as saa,
+  count(*) * var_pop(b) + p.alpha as sbb, count(*) * covar_pop(a, b) as sab, count(*) * covar_pop(a, y) as say, count(*) * covar_pop(b, y) as sby
+  from used u join range(5) k(fold) on u.fold <> k.fold, (values (1e0), (1e4)) p(alpha) group by u.target, p.alpha, k.fold),
+lines as (select *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) as ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) as bb from sums)"""
+
+
+@query("ridge_cv", W("""select u.target, l.alpha, u.fold, count(*) as n, 1 - sum(power(y - my - ba * (a - ma) - bb * (b - mb), 2)) / (count(*) * var_pop(y)) as r2,
+  sqrt(avg(power(y - my - ba * (a - ma) - bb * (b - mb), 2))) as rmse
+  from used u join lines l on u.target = l.target and u.fold = l.fold group by u.target, l.alpha, u.fold""", CV_SQL))
+def q_ridge_cv(spark, d):
+    """5-fold stratified ridge errors of both targets at two penalties, from the folds' moments (one aggregate)."""
+    f = FT.labelled(FT.feature_table(spark, d)).select("clock", "si_class", *TR.TARGETS, "hbt", "oxygen_flow")
+    return ridge_cv(MP.kfold_ids(f, 5, ["clock"], label="si_class"), ["hbt", "oxygen_flow"], TR.TARGETS, alphas=[1.0, 1e4])
+
+
 @query("kfold_cv")
 def q_kfold_cv(spark, d):
     """5-fold stratified CV accuracy of a forest on the tap classes."""
