@@ -147,11 +147,10 @@ w as (select rid, doc_id, norm, case when norm = '' then [] else string_split(no
 pos as (select rid, ws, unnest(range(len(ws))) i from w),
 b as (select rid, i, label from pos join base on array_to_string(ws[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase),
 bs as (select rid, count(*) n_base, min(i) first_word, max(i) last_word, list(distinct label) labels from b group by rid),
-gated as (select pos.rid, pos.ws, pos.i from pos join w using (rid) where regexp_matches(norm, {q(license_rules.KEYWORDS)})),
 m as (select rid, i s, no, priority, label, regexp_extract(array_to_string(ws[i + 1:i + {license_rules.WINDOW}], ' ') || ' ', pattern, 0) hit
-      from gated join rules on ws[i + 1] = anchor),
+      from pos join rules on ws[i + 1] = anchor),
 h as (select rid, s, s + len(string_split(trim(hit), ' ')) e, priority, no, label, len(string_split(trim(hit), ' ')) n from m where hit <> ''),
-kept as (select * from h a where not exists (select 1 from h b where b.rid = a.rid and b.s <= a.s and b.e >= a.e
+kept as (select * from h a where not exists (select 1 from h b where b.rid = a.rid and b.s <= a.s and b.e >= a.e and b.priority > {license_rules.EXPRESSION}
          and (b.priority > a.priority or b.priority = a.priority and (b.n > a.n or b.n = a.n and b.no < a.no)))),
 ks as (select rid, max(priority) best, list(distinct label) labels from kept group by rid)
 select doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
