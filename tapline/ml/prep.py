@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import prefix_sum
+from .neighbours import nearest
 
 
 def key_hash(key_cols: Sequence[str], seed: int = 42) -> F.Column:
@@ -88,61 +89,6 @@ def kfold_ids(df: DataFrame, k: int, key_cols: Sequence[str], label: str | None
 
 # --------------------------------------------------------------------- SMOTE
 
-def _knn_within_class(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
-                      seed: int = 7) -> DataFrame:
-    """Exact k nearest same-class neighbours without an all-pairs join.
-
-    Points are projected on a fixed random direction and bucketed with
-    width w; candidates come from the query's bucket and its two
-    neighbours.  A query is *verified* when its k-th candidate distance is
-    ≤ w (then every closer point is inside the three buckets).  Unverified
-    queries are retried with a doubled width until all are verified, so
-    the result is exact with no cap on candidates.
-    """
-    import random
-
-    rnd = random.Random(seed)
-    u = [rnd.gauss(0, 1) for _ in feats]
-    norm = sum(v * v for v in u) ** 0.5
-    u = [v / norm for v in u]
-    proj = sum((F.col(f) * F.lit(u[i]) for i, f in enumerate(feats)), F.lit(0.0))
-    # a row without a label or with a missing feature has no place in the space
-    pts = df.select(label, key, *feats).dropna(subset=[label, *feats]).withColumn("__p", proj)
-    sizes = pts.groupBy(label).agg(F.count(F.lit(1)).alias("__ncls")).where("__ncls > 1")
-    pts = pts.join(sizes, label).checkpoint()
-    st = pts.agg(F.stddev_pop("__p").alias("s"), F.min("__ncls").alias("n")).first()
-    # start near the expected k-th neighbour distance in d dimensions
-    dim = max(len(feats), 1)
-    w = max((st["s"] or 1.0) * (dim ** 0.5) * (k / max(st["n"], 1)) ** (1.0 / dim), 1e-9)
-    pending = pts
-    done = None
-    while True:  # ends at the latest when the band holds the whole class
-        q = pending.withColumn("__b", F.floor(F.col("__p") / w).cast("long"))
-        c = pts.withColumn("__b0", F.floor(F.col("__p") / w).cast("long")) \
-            .withColumn("__b", F.explode(F.array(F.col("__b0") - 1, F.col("__b0"), F.col("__b0") + 1)))
-        qa = q.select(label, F.col(key).alias("__q"), "__b", "__ncls", *[F.col(f).alias(f"q_{f}") for f in feats])
-        ca = c.select(label, F.col(key).alias("__n"), "__b", *[F.col(f).alias(f"n_{f}") for f in feats])
-        pairs = qa.join(ca, [label, "__b"]).where(F.col("__q") != F.col("__n"))
-        d2 = sum(((F.col(f"q_{f}") - F.col(f"n_{f}")) ** 2 for f in feats), F.lit(0.0))
-        pairs = pairs.select(label, "__q", "__ncls", "__n", F.sqrt(d2).alias("dist"),
-                             *[F.col(f"n_{f}").alias(f) for f in feats])
-        rk = Window.partitionBy("__q").orderBy("dist", "__n")
-        top = pairs.withColumn("__rk", F.row_number().over(rk)).where(F.col("__rk") <= k)
-        kth = top.groupBy("__q", "__ncls").agg(F.max("dist").alias("__dk"), F.count(F.lit(1)).alias("__cnt"))
-        # verified: k-th distance inside the searched band, or the whole class already seen
-        ok = kth.where(((F.col("__dk") <= w) & (F.col("__cnt") >= k))
-                       | (F.col("__cnt") >= F.col("__ncls") - 1)).select("__q")
-        good = top.join(ok, "__q", "left_semi")
-        # reliable checkpoints keep every round's plan short (and survive executor loss)
-        done = (good if done is None else done.unionByName(good)).checkpoint(eager=True)
-        pending = pending.join(ok.withColumnRenamed("__q", key), key, "left_anti").checkpoint(eager=True)
-        # a class with ≤ k members can never have k neighbours: keep what it has
-        if pending.limit(1).count() == 0:
-            break
-        w *= 2.0
-    return done.drop("__ncls").withColumnRenamed("__q", key)
-
-
 def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Oversample every minority class to the majority size by interpolating towards
     one of the k nearest same-class neighbours (features already scaled).
@@ -166,7 +112,7 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     if not need:
         return base
     minority = df.where(F.col(label).isin(list(need))).select(key, label, *feats)
-    nn = _knn_within_class(minority, label, key, feats, k)
+    nn = nearest(minority, label, key, feats, k)
     # per-row child counts with exact class totals
     x = minority.withColumn("__u", hash_unit([key], seed))
     rk = stratified_rank(x, label, "__u", key)

@@ -129,6 +129,31 @@ def q_smote(spark, d):
     return out.groupBy("si_class", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _unit_sql(text, seed):
+    return f"(('0x' || substr(md5({text} || '|{seed}'), 1, 13))::bigint / 4503599627370496e0)"
+
+
+SMOTE_SQL = LABEL_SQL + f""",
+src as (select clock, si_class, hbt, oxygen_flow from lab join feat using (clock) where hbt is not null and oxygen_flow is not null),
+need as (select si_class, n, m - n as need from (select si_class, count(*) as n, max(count(*)) over () as m from src group by 1) x where n < m),
+minor as (select src.*, n, need, row_number() over (partition by si_class order by {_unit_sql("cast(clock as varchar)", 42)}, clock) - 1 as r
+  from src join need using (si_class)),
+near as (select a.clock, b.hbt as h, b.oxygen_flow as o, row_number() over (partition by a.clock
+    order by sqrt((a.hbt - b.hbt) * (a.hbt - b.hbt) + (a.oxygen_flow - b.oxygen_flow) * (a.oxygen_flow - b.oxygen_flow)), b.clock) as j
+  from minor a join minor b on a.si_class = b.si_class and a.clock <> b.clock qualify j <= 5),
+kids as (select *, unnest(range(1, need // n + case when r < need % n then 1 else 0 end + 1)) as c from minor),
+drawn as (select *, least(floor({_unit_sql("cast(clock as varchar) || '|' || c", 43)} * 5) + 1, n - 1) as j,
+  {_unit_sql("cast(clock as varchar) || '|' || c", 44)} as lam from kids)"""
+
+
+@query("smote_rows", W("""select cast(clock as varchar) || '#' || c as clock, si_class, hbt + lam * (h - hbt) as hbt,
+  oxygen_flow + lam * (o - oxygen_flow) as oxygen_flow from drawn join near using (clock, j)""", SMOTE_SQL))
+def q_smote_rows(spark, d):
+    """The synthetic rows themselves, over two process readings."""
+    f = FT.labelled(FT.feature_table(spark, d)).dropna(subset=["hbt", "oxygen_flow"])
+    return MP.smote(f, "si_class", "clock", ["hbt", "oxygen_flow"], k=5).where("synthetic").drop("synthetic")
+
+
 @query("kfold_ids", W(f"""select clock, si_class, cast((row_number() over (partition by si_class order by {_md5_sql()}, clock) - 1) % 5 as int) as fold
 from lab""", LABEL_SQL))
 def q_kfold_ids(spark, d):

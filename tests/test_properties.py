@@ -90,10 +90,11 @@ def test_smote_balances_and_interpolates(spark):
 
 
 def test_knn_exact_against_brute_force(spark):
+    from tapline.ml.neighbours import nearest
     rng = np.random.default_rng(3)
     pts = rng.normal(size=(80, 3))
     df = spark.createDataFrame([(f"p{i}", "c", *map(float, p)) for i, p in enumerate(pts)], "key string, label string, a double, b double, c double")
-    nn = MP._knn_within_class(df, "label", "key", ["a", "b", "c"], k=5).toPandas()
+    nn = nearest(df, "label", "key", ["a", "b", "c"], k=5).toPandas()
     for i in range(0, 80, 9):
         d = np.sqrt(((pts - pts[i]) ** 2).sum(1))
         d[i] = np.inf
