@@ -115,10 +115,10 @@ def mlp_cls(label: str, n_in: int, n_out: int = 3, hidden=(128, 64, 32), seed: i
                                           layers=[n_in, *hidden, n_out], seed=seed, maxIter=200)
 
 
-def svm_cls(label: str, C: float = 10.0, n: int = 1):
-    """K9: max-margin classifier (linear, on degree-2 expanded features), one-vs-rest."""
+def svm_cls(label: str, C: float = 10.0, n: int = 1, features: str = "kernel"):
+    """K9: max-margin classifier, linear in ``features`` (approximate kernel or degree-2 features), one-vs-rest."""
     return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=100),
-                     featuresCol="poly", labelCol=label, parallelism=3)
+                     featuresCol=features, labelCol=label, parallelism=3)
 
 
 def fit(train: DataFrame, prep: Prep, estimator, extra_stages: Sequence = ()) -> PipelineModel:

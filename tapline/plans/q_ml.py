@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -11,6 +15,7 @@ from ..ml import prep as MP
 from ..ml import scoring as SC
 from ..ml import training as TR
 from ..ml.folds import ridge_cv
+from ..ml.kernel import KernelLandmarks
 from ..operators import clean, metrics, windows
 from ..sources.fixtures import with_fixtures as W
 from . import feature_table as FT
@@ -196,7 +201,6 @@ def q_kfold_cv(spark, d):
         acc = pm.transform(te).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
         return (k, float(acc or 0.0))
     # the k fits are independent Spark jobs: submit them from a small driver thread pool
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=5) as ex:
         rows = list(ex.map(one, range(5)))
     return spark.createDataFrame(rows, "fold int, accuracy double")
@@ -219,7 +223,6 @@ def q_learning_curve(spark, d):
         pm = M.fit(tr, prep, M.rf_cls("label", 50, 8))
         acc = lambda d_: pm.transform(d_).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
         return (round(frac, 4), k, float(acc(tr) or 0), float(acc(te) or 0))
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=6) as ex:
         res = list(ex.map(one, [(i, k) for i in range(8) for k in range(3)]))
     df = spark.createDataFrame(res, "train_frac double, fold int, train_acc double, cv_acc double")
@@ -240,7 +243,6 @@ def q_feature_selection(spark, d):
 
 def _both_targets(fn):
     """Fit the two targets from a driver thread pool (each fit is a Spark job)."""
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=2) as ex:
         parts = list(ex.map(fn, TR.TARGETS))
     out = parts[0]
@@ -306,41 +308,75 @@ def q_fit_logreg(spark, d):
     return _cls_metrics(spark, d, "Logistic Regression")
 
 
-def _cls_data(spark, d):
+CLASS_TARGETS = ("si_class", "temp_class")
+
+
+def _cls_data(spark, d, target):
     ctx = TR.context(spark, d)
-    feats = TR.selection(ctx, "si_class", classify=True)
-    sp = ctx.split(stratify="si_class").withColumn("label", TR._code("si_class"))
+    feats = TR.selection(ctx, target, classify=True)
+    sp = ctx.split(stratify=target).withColumn("label", TR._code(target)).where("label is not null")
     train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
     return feats, train, test, M.Prep.fit(train, feats)
 
 
-def _acc(pm, test):
-    return pm.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+def _both(one):
+    """``one(target)`` for both class targets, fitted side by side; the target's name comes first."""
+    with ThreadPoolExecutor(max_workers=len(CLASS_TARGETS)) as pool:
+        parts = [x.select(F.lit(t).alias("target"), "*") for t, x in zip(CLASS_TARGETS, pool.map(one, CLASS_TARGETS))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _report(pm, test, model):
+    """Per-class rows and averages of the test rows, with the accuracy beside them."""
+    pred = pm.transform(test).withColumn("code", F.col("prediction"))
+    pred = MP.label_decode(MP.label_decode(pred, "label", TR.CLASS_LABELS, "actual"), "code", TR.CLASS_LABELS, "predicted")
+    pred = pred.select("actual", "predicted").persist()
+    acc = pred.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
+    rows = metrics.class_report(pred, "actual", "predicted").collect()  # one row a class
+    pred.unpersist()
+    return test.sparkSession.createDataFrame(
+        [(model, *map(r.__getitem__, ("label", "precision", "recall", "f1", "support")), acc) for r in rows],
+        "model string, label string, precision double, recall double, f1 double, support long, accuracy double")
 
 
 @query("fit_tree_rules")
 def q_fit_tree_rules(spark, d):
-    """K7: decision tree (depth 8, min leaf 5) → readable leaf rules to depth 5."""
-    feats, train, test, prep = _cls_data(spark, d)
-    pm = M.fit(train, prep, M.tree_cls("label", 8, 5))
-    rules = M.tree_rules(pm.stages[-1], prep.zcols(), 5)
-    return spark.createDataFrame(rules, "rule_no int, depth int, conditions string, predicted_code double")
+    """K7: decision tree (depth 8, min leaf 5) → readable leaf rules to depth 5, for both class targets."""
+    def one(target):
+        feats, train, test, prep = _cls_data(spark, d, target)
+        pm = M.fit(train, prep, M.tree_cls("label", 8, 5))
+        rules = M.tree_rules(pm.stages[-1], prep.zcols(), 5)
+        df = spark.createDataFrame(rules, "rule_no int, depth int, conditions string, predicted_code double")
+        return MP.label_decode(df, "predicted_code", TR.CLASS_LABELS, "predicted_class")
+    return _both(one)
 
 
 @query("fit_mlp_cls")
 def q_fit_mlp_cls(spark, d):
-    """K8: multilayer perceptron (128, 64, 32)."""
-    feats, train, test, prep = _cls_data(spark, d)
-    pm = M.fit(train, prep, M.mlp_cls("label", len(feats)))
-    return _acc(pm, test).withColumn("model", F.lit("MLP"))
+    """K8: multilayer perceptron (128, 64, 32), per-class rows for both class targets."""
+    def one(target):
+        feats, train, test, prep = _cls_data(spark, d, target)
+        return _report(M.fit(train, prep, M.mlp_cls("label", len(feats))), test, "MLP")
+    return _both(one)
 
 
 @query("fit_svm")
 def q_fit_svm(spark, d):
+    """K9: max-margin classifier (one-vs-rest) with a radial kernel by landmarks, per-class rows for both class targets."""
+    def one(target):
+        feats, train, test, prep = _cls_data(spark, d, target)
+        pm = M.fit(train, prep, M.svm_cls("label", 10.0, train.count()), extra_stages=[KernelLandmarks()])
+        return _report(pm, test, "SVM (radial)")
+    return _both(one)
+
+
+@query("fit_svm_poly")
+def q_fit_svm_poly(spark, d):
     """K9: max-margin classifier on degree-2 expanded features (one-vs-rest)."""
-    feats, train, test, prep = _cls_data(spark, d)
-    pm = M.fit(train, prep, M.svm_cls("label", 10.0, train.count()), extra_stages=[M.poly_stage()])
-    return _acc(pm, test).withColumn("model", F.lit("SVM (linear, poly-2)"))
+    feats, train, test, prep = _cls_data(spark, d, "si_class")
+    pm = M.fit(train, prep, M.svm_cls("label", 10.0, train.count(), features="poly"), extra_stages=[M.poly_stage()])
+    acc = pm.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    return acc.withColumn("model", F.lit("SVM (linear, poly-2)"))
 
 
 @query("bakeoff")
