@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,11 @@ MICROS_H = 3_600_000_000
 EMIT_ROWS = 10_000
 #: A unit's events are dealt to spans of so many tolerances, each a state key of its own.
 SPAN_TOLERANCES = 4
+#: Units are dealt to so many buckets; a state key is one bucket in one span.
+ASOF_BUCKETS = 16
+#: Packed state rows of the as-of.
+TAP = np.dtype([("us", "i8"), ("unit_id", "i8"), ("tapno", "i8"), ("hm_si", "f8")])
+READING = np.dtype([("us", "i8"), ("unit_id", "i8"), ("hbt", "f8")])
 
 
 def _entry_state(df: DataFrame) -> DataFrame:
@@ -135,15 +141,23 @@ def _micros(col: str) -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{col}`)")
 
 
+def _packed(pdf: pd.DataFrame, kind: np.dtype) -> bytes:
+    out = np.empty(len(pdf), kind)
+    for name in kind.names:
+        out[name] = pdf[name].to_numpy(kind[name])
+    return out.tobytes()
+
+
 def _ntz(col: str) -> F.Column:
     return instant_to_ntz(F.timestamp_micros(F.col(col)))
 
 
 class _EventTimeBuffer(StatefulProcessor):
-    """Pending rows of a key in list state, released in event-time order once the watermark has passed them.
+    """Pending entries of a key in list state, released in event-time order once the watermark has passed them.
 
-    One timer a key wakes it for its earliest pending row (or for its end, where
-    the key's state goes); new rows are appended frame by frame.
+    An entry is a row, or a frame of rows under its earliest time.  One timer a
+    key wakes it for its earliest pending entry (or for its end, where the key's
+    state goes); new entries are appended frame by frame.
     """
 
     pending_schema: str
@@ -154,11 +168,16 @@ class _EventTimeBuffer(StatefulProcessor):
         self.wake = handle.getValueState("wake", "ms long")
 
     def take(self, pdf: pd.DataFrame) -> list[tuple]:
-        """Pending rows (time in microseconds first) of a frame; other rows go to the key's own state."""
+        """Pending entries (time in microseconds first) of a frame; other rows go to the key's own state."""
         raise NotImplementedError
 
-    def release(self, key, due: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Results of the rows the watermark has passed, which come sorted."""
+    def due(self, rows: list[tuple], before_us: int) -> tuple[list, list[tuple]]:
+        """Pending entries parted into the rows before a time, sorted, and the entries that go on waiting."""
+        early = sorted((r for r in rows if r[0] < before_us), key=lambda r: r[:2])
+        return early, [r for r in rows if r[0] >= before_us]
+
+    def release(self, key, due) -> Iterator[pd.DataFrame]:
+        """Results of the rows the watermark has passed, as ``due`` gives them."""
         raise NotImplementedError
 
     def end_ms(self, key) -> int | None:
@@ -195,11 +214,9 @@ class _EventTimeBuffer(StatefulProcessor):
         now, held = timerValues.getCurrentWatermarkInMs(), self.wake.get()
         if held is None or held[0] >= now:
             return
-        due, rest = [], []
-        for row in self.pending.get():
-            (due if row[0] < now * 1000 else rest).append(tuple(row))
-        if due:
-            yield from self.release(key, sorted(due, key=lambda r: r[:2]))
+        due, rest = self.due([tuple(row) for row in self.pending.get()], now * 1000)
+        if len(due):
+            yield from self.release(key, due)
             self.pending.put(rest) if rest else self.pending.clear()
         end = self.end_ms(key)
         if end is not None and end < now and not rest:
@@ -218,52 +235,65 @@ class _EventTimeBuffer(StatefulProcessor):
 
 
 class _Asof(_EventTimeBuffer):
-    """Taps of one (unit, span) against its readings."""
+    """Taps of one (bucket of units, span) against the readings of their units.
 
-    pending_schema = "us long, tapno long, hm_si double"
+    Every frame of taps or readings is one state entry of packed columns, so the
+    work of a key is a few calls however many rows it holds.
+    """
+
+    pending_schema = "us long, taps binary"
 
     def __init__(self, tolerance_us: int, span_us: int):
         self.tolerance, self.span = tolerance_us, span_us
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.readings = handle.getListState("readings", "us long, hbt double")
+        self.readings = handle.getListState("readings", "rows binary")
 
     def take(self, pdf):
+        pdf = pdf[pdf["has_unit"].to_numpy(bool)]  # a missing unit meets no reading
         tap = pdf["is_tap"].to_numpy(bool)
-        para = pdf[~tap]
+        para, some = pdf[~tap], pdf[tap]
         if len(para):
-            self.readings.appendList(list(zip(para["us"].tolist(), para["hbt"].astype(float).tolist())))
-        some = pdf[tap]
-        return list(zip(some["us"].tolist(), some["tapno"].astype("int64").tolist(), some["hm_si"].astype(float).tolist()))
+            self.readings.appendList([(_packed(para, READING),)])
+        return [(int(some["us"].min()), _packed(some, TAP))] if len(some) else []
 
     def end_ms(self, key):
         return (int(key[1]) + 1) * self.span // 1000
 
+    def due(self, rows: list[tuple], before_us: int) -> tuple[list, list[tuple]]:
+        taps = np.concatenate([np.frombuffer(r[1], TAP) for r in rows]) if rows else np.zeros(0, TAP)
+        late = taps["us"] >= before_us
+        rest = taps[late]
+        return taps[~late], [(int(rest["us"].min()), rest.tobytes())] if len(rest) else []
+
     def release(self, key, due):
-        para = pd.DataFrame([tuple(r) for r in self.readings.get()], columns=["para_us", "hbt"]).astype({"para_us": "int64", "hbt": "float64"})
-        if not len(para):
+        held = [np.frombuffer(r[0], READING) for r in self.readings.get()]
+        if not held:
             return
+        para = pd.DataFrame(np.concatenate(held)).rename(columns={"us": "para_us"})
         para = para.sort_values(["para_us", "hbt"], kind="mergesort")
-        taps = pd.DataFrame(due, columns=["us", "tapno", "hm_si"])
-        m = pd.merge_asof(taps, para, left_on="us", right_on="para_us", direction="backward", tolerance=self.tolerance)
+        taps = pd.DataFrame(due).sort_values(["us", "tapno"], kind="mergesort")
+        m = pd.merge_asof(taps, para, left_on="us", right_on="para_us", by="unit_id", direction="backward", tolerance=self.tolerance)
         m = m[m["para_us"].notna()].astype({"para_us": "int64"})
         for lo in range(0, len(m), EMIT_ROWS):
-            yield m.iloc[lo:lo + EMIT_ROWS].assign(unit_id=int(key[0]))[["tapno", "unit_id", "us", "hm_si", "para_us", "hbt"]]
+            yield m.iloc[lo:lo + EMIT_ROWS][["tapno", "unit_id", "us", "hm_si", "para_us", "hbt"]]
 
     def finish(self) -> None:
         self.readings.clear()
 
 
-def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASOF_TOLERANCE_HOURS, delay: str = "1 hour") -> DataFrame:
+def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASOF_TOLERANCE_HOURS, delay: str = "1 hour",
+                buckets: int = ASOF_BUCKETS) -> DataFrame:
     """P4s: each tap meets the unit's latest process reading within ``tolerance_h``.
 
     A unit's events are dealt to time spans of SPAN_TOLERANCES tolerances; the
     readings of a span's last tolerance also go to the next span, which is all a
-    tap there can reach back to.  So every (unit, span) is a key of its own and a
-    hot unit spreads over its spans.  Taps wait until the watermark passes them,
-    a span's state goes once the watermark has passed its end, and rows may
-    arrive in any order within the delay.
+    tap there can reach back to.  Units are dealt to ``buckets`` by hash, and every
+    (bucket, span) is a state key: many small units share the cost of a key, and
+    a hot unit spreads over its spans.  Taps wait until the watermark passes
+    them, a span's state goes once the watermark has passed its end, and rows
+    may arrive in any order within the delay.  A restarted query must keep its buckets.
     """
     from ..sources.fixtures import para_from_events, tap_from_events
     none = F.lit(None)
@@ -273,13 +303,15 @@ def asof_stream(ev: DataFrame, tap_types, para_types, tolerance_h: float = K.ASO
         "unit_id", F.col("sampletaken").alias("ts"), "tapno", F.lit(True).alias("is_tap"), "hm_si",
         none.cast("double").alias("hbt"))
     para = para_from_events(ev.where(F.col("event_type").isin(*para_types))).select(
-        "unit_id", F.col("clock_raw").alias("ts"), none.cast("long").alias("tapno"), F.lit(False).alias("is_tap"),
+        "unit_id", F.col("clock_raw").alias("ts"), F.lit(0).cast("long").alias("tapno"), F.lit(False).alias("is_tap"),
         none.cast("double").alias("hm_si"), "hbt")
     x = taps.unionByName(para).withColumn("__et", ntz_to_instant("ts")).withWatermark("__et", delay).withColumn("us", _micros("ts"))
     span = F.floor(F.col("us") / F.lit(span_us)).cast("long")
     carried = ~F.col("is_tap") & (F.pmod("us", F.lit(span_us)) >= span_us - tolerance_us)
-    x = x.withColumn("span", F.explode(F.when(carried, F.array(span, span + 1)).otherwise(F.array(span))))
-    out = _entry_state(x.drop("ts")).groupBy("unit_id", "span").transformWithStateInPandas(
+    x = x.withColumn("span", F.explode(F.when(carried, F.array(span, span + 1)).otherwise(F.array(span)))).where("span is not null")
+    x = x.withColumns({"bucket": F.pmod(F.xxhash64("unit_id"), F.lit(buckets)), "has_unit": F.col("unit_id").isNotNull(),
+                       "unit_id": F.coalesce("unit_id", F.lit(0))})
+    out = _entry_state(x.drop("ts")).groupBy("bucket", "span").transformWithStateInPandas(
         _Asof(tolerance_us, span_us), "tapno long, unit_id long, us long, hm_si double, para_us long, hbt double", "append", "EventTime")
     return out.select("tapno", "unit_id", _ntz("us").alias("sampletaken"), "hm_si", _ntz("para_us").alias("clock_raw"), "hbt",
                       ((F.col("us") - F.col("para_us")) / F.lit(float(MICROS_H))).alias("lag_hours"))

@@ -151,3 +151,27 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert base == other
+
+
+def test_stream_asof_of_many_units_shares_keys(spark):
+    """2,000 units of few rows in one span, one of them missing: rows of the plain pairing, by no more keys than buckets."""
+    from tapline.sources import fixtures as fx
+    n = 2_000
+    at = lambda u, minute: datetime(2024, 1, 1, 1) + timedelta(minutes=minute, seconds=u % 50)
+    kinds = [("click", 0), ("view", 30), ("purchase", 45)]
+    rows = [(3 * u + i, at(u, m), u, kind, 1.0, '{"k": 5}') for u in range(n) for i, (kind, m) in enumerate(kinds)]
+    rows += [(9_000, at(0, 10), None, "click", 1.0, '{"k": 5}'), (9_001, at(0, 20), None, "purchase", 1.0, '{"k": 5}'),
+             (9_002, None, 3, "purchase", 1.0, '{"k": 5}'), (9_003, datetime(2024, 1, 9), 1, "click", 1.0, '{"k": 5}')]
+    d = tempfile.mkdtemp(prefix="tapline-stream-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ck = os.path.join(d, "ck")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, "b"))
+    src = spark.readStream.schema(schema).parquet(os.path.join(d, "b"))
+    stream = ST.asof_stream(src, fx.TAP_TYPES, fx.PARA_TYPES)
+    q = (stream.writeStream.format("parquet").option("path", os.path.join(d, "out")).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.tapno, r.unit_id, r.clock_raw) for r in spark.read.parquet(os.path.join(d, "out")).collect()}
+    assert got == {(3 * u + 2, u, at(u, 30)) for u in range(n)}
+    entries = max(s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"])
+    assert entries <= 10 * ST.ASOF_BUCKETS  # a key each unit wrote some thousands
