@@ -63,3 +63,21 @@ def test_saved_copies_and_no_rows(spark, tmp_path):
     assert model.transform(df.where("false")).collect() == []
     with pytest.raises(ValueError):
         KernelLandmarks(4).fit(df.where("false"))
+
+
+@pytest.mark.parametrize("present", [[2.0], [0.0, 2.0]])
+def test_classes_without_training_rows(spark, present, tmp_path):
+    """A class without rows (the rare class of a calm plant) is left out; a class alone is predicted everywhere."""
+    from pyspark.ml import PipelineModel
+    x = np.array([[4.0 * c + 0.1 * i, -4.0 * c * c] for c in present for i in range(20)])
+    y = [c for c in present for _ in range(20)]
+    df = frame(spark, x, y).coalesce(1).cache()
+    model = Pipeline(stages=[M.svm_cls("label", 10.0, len(y), features="features")]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "svm"))
+    for m in (model, PipelineModel.load(str(tmp_path / "svm"))):
+        out = m.transform(df)
+        assert set(df.columns) < set(out.columns) and not {"__code", "__place"} & set(out.columns)
+        found = [r["prediction"] for r in out.orderBy("id").collect()]
+        assert set(found) <= set(present) and np.mean(np.array(found) == y) >= 0.9
+    with pytest.raises(ValueError):
+        M.svm_cls("label", features="features").fit(df.where("false"))
