@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 
 from tapline.ml.boosting import NewtonBoosting
 from tapline.session import scratch_path
@@ -106,3 +107,21 @@ def test_no_rows_and_wrong_labels(spark):
     flat = put(spark, frame(20).assign(**{c: 1.0 for c in COLS}))
     m = NewtonBoosting("y", trees=3).fit(flat)  # nothing to split on: the mean
     assert m.transform(flat).select("prediction").distinct().count() == 1
+
+
+def test_driver_gets_splits_not_histograms(spark, monkeypatch):
+    """Several blocks give the one block's model, and what a level sends to the driver is a few numbers a node."""
+    import pickle
+    from tapline.ml import boosting as B
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    rows = [(i, float(a[0] + 2 * (a[1] > 0)), Vectors.dense(a)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "y", "features"]).repartition(4, "id").cache()
+    sizes, grow = [], B._grow
+    monkeypatch.setattr(B, "_grow", lambda trees, found, level, *rest: sizes.append(len(pickle.dumps(found)) / 2 ** level) or grow(trees, found, level, *rest))
+    models = []
+    for block in (B.BLOCK, 100):  # one block, then four
+        monkeypatch.setattr(B, "BLOCK", block)
+        models.append(NewtonBoosting("y", trees=2, depth=3, rate=0.3).fit(df))
+    one, many = (np.array([r["prediction"] for r in m.transform(df).orderBy("id").collect()]) for m in models)
+    assert np.abs(one - many).max() < 1e-9 and np.ptp(one) > 0.5
+    assert len(sizes) == 12 and max(sizes) < 1_500
