@@ -125,3 +125,17 @@ def test_driver_gets_splits_not_histograms(spark, monkeypatch):
     one, many = (np.array([r["prediction"] for r in m.transform(df).orderBy("id").collect()]) for m in models)
     assert np.abs(one - many).max() < 1e-9 and np.ptp(one) > 0.5
     assert len(sizes) == 12 and max(sizes) < 1_500
+
+
+def test_few_partitions_are_dealt_to_as_many_tasks_as_blocks(spark, monkeypatch):
+    """Adaptive execution may leave many rows in one partition; the passes must not stay in one task."""
+    from tapline.ml import boosting as B
+    monkeypatch.setattr(B, "BLOCK", 60)
+    seen, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda state, *rest: seen.append(state.rdd.getNumPartitions()) or level(state, *rest))
+    p = frame()
+    m = NewtonBoosting("y", trees=2, depth=2, rate=0.3, l2=1.0).fit(put(spark, p, parts=1))
+    assert set(seen) == {4}
+    got = m.transform(put(spark, p)).select(*COLS, "y", "prediction").toPandas().sort_values([*COLS, "y"])
+    p["want"] = plain(p[COLS].to_numpy(), p.y.to_numpy(), 1, 2, 2, 0.3, 1.0, 1.0)[:, 0]
+    np.testing.assert_allclose(got.prediction.to_numpy(), p.sort_values([*COLS, "y"]).want.to_numpy(), rtol=1e-9)
