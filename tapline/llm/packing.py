@@ -52,6 +52,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = plain
         self.plain = plain
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: bytes an id stands for: one a character of a byte-level entry, UTF-8 of an added one
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
         self.clear()
 
     def clear(self) -> None:
@@ -59,6 +66,16 @@ class WordIds:
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.offs = np.zeros(1, np.int64)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each): one call of the library, cut where the ids' bytes end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        ends, byte_ends = np.cumsum([len(w.encode()) for w in words]), np.cumsum(self.width[ids])
+        cuts = np.searchsorted(byte_ends, ends) + 1
+        if len(ids) and cuts[-1] == len(ids) and np.array_equal(byte_ends[cuts - 1], ends):
+            return ids, np.diff(cuts, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]  # ids do not spell the bytes
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
     def flat_ids(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of the rows); one step of work."""
         pre = Pretokens(array, b"") if self.plain else Pretokens(array)
@@ -68,12 +85,11 @@ class WordIds:
         slot, known = self.slot, hashes.tolist()
         new = [i for i, h in enumerate(known) if h not in slot]
         if new:
-            got = self.tokenizer.encode_batch_fast([pre.text(int(at[i])) for i in new], add_special_tokens=False)
-            ids = [e.ids for e in got]
+            ids, sizes = self._encoded(pre.texts(at[new]))
             for i in new:
                 slot[known[i]] = len(slot)
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, ids])
             self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
         slots = np.fromiter(map(slot.__getitem__, known), np.int64, len(known))[codes]
         sizes = self.sizes[slots]
