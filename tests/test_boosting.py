@@ -139,3 +139,52 @@ def test_few_partitions_are_dealt_to_as_many_tasks_as_blocks(spark, monkeypatch)
     got = m.transform(put(spark, p)).select(*COLS, "y", "prediction").toPandas().sort_values([*COLS, "y"])
     p["want"] = plain(p[COLS].to_numpy(), p.y.to_numpy(), 1, 2, 2, 0.3, 1.0, 1.0)[:, 0]
     np.testing.assert_allclose(got.prediction.to_numpy(), p.sort_values([*COLS, "y"]).want.to_numpy(), rtol=1e-9)
+
+
+def test_a_scored_row_passes_one_python_function_once(spark):
+    """A filter on the prediction, as in the metrics, must not score the rows a second time in a second worker."""
+    from tapline.operators import metrics
+    df = put(spark, frame(60))
+    reg = NewtonBoosting("y", trees=2, depth=2).fit(df)
+    cls = NewtonBoosting("c", "softmax", classes=3, trees=2, depth=2).fit(df)
+    scored = cls.transform(df).where("prediction >= 0").select("prediction", "rawPrediction", "probability")
+    for out in (metrics.regression_metrics(reg.transform(df), "y", "prediction"), scored):
+        assert out._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert scored.count() == 60
+
+
+def test_workers_load_neither_pandas_nor_spark_ml(spark, monkeypatch):
+    """What runs in tasks, loaded in a fresh process as a worker loads it, brings numpy and Arrow only."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    from pyspark import cloudpickle
+    from tapline.ml import boosting as B
+    sent, arrow_udf = [], B.F.arrow_udf
+    monkeypatch.setattr(B.F, "arrow_udf", lambda f, t: sent.append(f) or arrow_udf(f, t))
+    cls = type(put(spark, frame(20)))
+    map_in_arrow = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, f, t: sent.append(f) or map_in_arrow(self, f, t))
+    df = put(spark, frame(60))
+    df_scored = NewtonBoosting("c", "softmax", classes=3, trees=2, depth=2).fit(df).transform(df)
+    assert df_scored.count() == 60 and len(sent) == 2
+    code = """
+import pickle, sys
+import numpy as np, pyarrow as pa
+from pyspark import TaskContext
+from tapline.ml import arrowrows as A, histograms as H
+pack, score = pickle.load(sys.stdin.buffer)
+TaskContext._taskContext = task = TaskContext()
+task._partitionId = 7
+x = A.lists(np.arange(8.0).reshape(2, 4))
+column = pa.Array.from_buffers(pa.float64(), 2, [None, pa.py_buffer(np.ones(2))])
+block, = pack([pa.RecordBatch.from_arrays([x, column, column], ["x", "y", "w"])])
+row = {n: block.column(n)[0].as_py() for n in block.schema.names}
+(name, bins, y, w), margin = H.unpacked(row, 3)
+assert name == (7, 0) and bins.shape == (2, 4) and y.tolist() == w.tolist() == [1, 1] and margin.shape == (2, 3)
+assert len(score(x)) == 2 and len(score(x.slice(0, 0))) == 0 and score(x.slice(1)) == score(x).slice(1)
+assert not {"pandas", "pyspark.ml"} & set(sys.modules), "loaded"
+"""
+    root = str(Path(B.__file__).parents[2])
+    run = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sent), capture_output=True, cwd=root, timeout=120)
+    assert run.returncode == 0, run.stderr.decode()
