@@ -188,3 +188,22 @@ assert not {"pandas", "pyspark.ml"} & set(sys.modules), "loaded"
     root = str(Path(B.__file__).parents[2])
     run = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sent), capture_output=True, cwd=root, timeout=120)
     assert run.returncode == 0, run.stderr.decode()
+
+
+@pytest.mark.parametrize("block", [65_536, 100])
+def test_few_blocks_grow_in_one_job_as_level_by_level(spark, monkeypatch, block):
+    """Up to three blocks take no job a level, and the trees are those of passes over the blocks, bit for bit."""
+    from tapline.ml import boosting as B
+    monkeypatch.setattr(B, "BLOCK", block)
+    df = put(spark, frame()).cache()
+    fits = [NewtonBoosting("y", trees=12, depth=3, rate=0.3, rows=0.7, columns=0.5),
+            NewtonBoosting("c", "softmax", classes=3, trees=11, depth=2, rate=0.3, min_child=0.5)]
+    got, jobs = [], []
+    for i, fit in enumerate(fits):
+        spark.sparkContext.setJobGroup(f"few blocks {block} {i}", "")
+        got.append(fit.fit(df).getOrDefault("forest"))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few blocks {block} {i}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert max(jobs) < 12  # 36 and 22 levels
+    monkeypatch.setattr(B, "_lone", lambda *_: None, raising=False)
+    assert got == [fit.fit(df).getOrDefault("forest") for fit in fits]
