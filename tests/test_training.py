@@ -31,3 +31,21 @@ def test_candidates_share_their_rows_and_scaler(spark, monkeypatch):
     assert fits[0]["prep"] is fits[1]["prep"] and {f["n_train"] for f in fits} == {train.count()}
     want = fit(M.Prep, train, fits[0]["features"])
     assert (want.medians, want.means, want.stds) == (fits[0]["prep"].medians, fits[0]["prep"].means, fits[0]["prep"].stds)
+
+
+def test_forest_interval_reads_its_leaves_without_a_job(spark):
+    """The leaf values of a forest are the driver's already; they do not go to the cluster and back."""
+    df = table(spark)
+    pm = M.fit(df, M.Prep.fit(df, FEATS), M.rf_reg("hm_si", 7, 5))
+    spark.sparkContext.setJobGroup("interval", "")
+    out = M.forest_interval(spark, pm, df)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("interval")
+    spark.sparkContext.setJobGroup("", "")
+    assert not jobs
+    got = out.select("clock", "prediction", "pi_lo", "pi_hi", "tree_mean", "tree_std").toPandas().set_index("clock").sort_index()
+    np.testing.assert_allclose(got.tree_mean, got.prediction, rtol=1e-12)
+    x = M.assemble(M.Prep.fit(df, FEATS))
+    rows = x[1].transform(x[0].transform(df)).select("clock", "features").orderBy("clock").limit(5).collect()
+    trees = [[t.predict(r["features"]) for t in pm.stages[-1].trees] for r in rows]
+    np.testing.assert_allclose(got.tree_std.iloc[:5], np.std(trees, axis=1), rtol=1e-9)
+    np.testing.assert_allclose(got.pi_lo.iloc[:5], np.percentile(trees, 2.5, axis=1), rtol=1e-9)
